@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard import jaccard_components
 from .session import table
 from .substring import substring_dedup
+from .suffix import repeated_bytes
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op10_jaccard_join": op10_jaccard_join,
     }
 

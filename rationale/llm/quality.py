@@ -131,12 +131,37 @@ def _scored(prior: float, classes: list):
     return run
 
 
+def _kept(prior: float, classes: list, at: int):
+    score = _scored(prior, classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["id", "text"])
+            scores = np.concatenate([np.zeros(0), *[s.column(1).to_numpy() for s in score(_statistics([pair]))]])
+            yield batch.filter(pa.array(scores >= 0.5))
+
+    return run
+
+
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, shrink: float) -> tuple[DataFrame, tuple]:
+    """Statistics of all documents (id, text), and the model fitted on the training rows."""
+    stats = stored(docs.mapInArrow(_statistics, "id long, x array<double>"))
+    known = labels.where("quality in (0, 1)").select(F.col(id_col).cast("long").alias("id"), "quality").where(~_out_of_fit())
+    return stats, fit(stats.join(known, "id"), shrink)
+
+
+def _out_of_fit():
+    return F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", shrink: float = SHRINK) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score of 0.5 or more; scoring moves no text."""
+    _, model = _model(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), labels, id_col, shrink)
+    return docs.mapInArrow(_kept(*model, docs.columns.index(text_col)), docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", shrink: float = SHRINK) -> DataFrame:
     """(id, held_out, score, predicted); rows with crc32(id) mod 3 = 1 are held out of the fit."""
-    out_of_fit = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stats = stored(named.mapInArrow(_statistics, "id long, x array<double>"))
-    known = labels.where("quality in (0, 1)").select(F.col(id_col).cast("long").alias("id"), "quality").where(~out_of_fit)
-    prior, classes = fit(stats.join(known, "id"), shrink)
+    stats, (prior, classes) = _model(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), labels, id_col, shrink)
     scored = stats.mapInArrow(_scored(prior, classes), "id long, score double")
-    return scored.select(F.col("id").alias(id_col), out_of_fit.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(F.col("id").alias(id_col), _out_of_fit().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

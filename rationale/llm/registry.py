@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest_neighbours
 from .html import extract_main_text
 from .jaccard import jaccard_components
+from .mixing import mixed
+from .packing import packed_sequences
 from .quality import quality_scores
+from .scoring import pseudo_likelihood
 from .session import table
 from .substring import substring_dedup
 from .suffix import repeated_bytes
@@ -31,10 +35,26 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -45,7 +65,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_topk": op2_topk,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality": op4_quality,
+        "op5_packing": op5_packing,
+        "op6_mixing": op6_mixing,
         "op7_html_text": op7_html_text,
+        "op8_lm_scoring": op8_lm_scoring,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_jaccard_join": op10_jaccard_join,
     }
 

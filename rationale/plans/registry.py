@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import anchor_queries, bins_queries, distance_queries, evaluate_queries, linear_queries, neighbour_queries, profile_queries, rules_queries, shapley_queries, tree_queries  # noqa: F401
+from .common import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}

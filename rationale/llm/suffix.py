@@ -116,9 +116,15 @@ def _find_anchors(size: int, buckets: int):
                 _, head, group, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
                 again = times[group] > 1
                 out_bucket, out_blob = [], []
-                if again.any():
+                if again.any():  # known already: neighbouring runs make one
+                    t, a, b = text[again], first[again], last[again]
+                    new = np.ones(len(t), bool)
+                    new[1:] = (np.diff(t) != 0) | (a[1:] != b[:-1] + 1)
+                    h = np.flatnonzero(new)
+                    b = b[np.append(h[1:], len(t)) - 1]
+                    none = np.zeros(len(h))
                     out_bucket.append(-1 - int(own[0] % buckets))
-                    out_blob.append(_pack((anchor[again], "u8"), (times[group][again], "i8"), (own[again], "i8"), (first[again], "i4"), ((last - first)[again], "i4")))
+                    out_blob.append(_pack((none, "u8"), (none, "i8"), (ids[row + t[h]], "i8"), (a[h], "i4"), (b - a[h], "i4")))
                 bucket = (anchor[head] % np.uint64(buckets)).astype(np.int64)
                 for p in _parts(bucket):
                     h = head[p]
@@ -328,11 +334,13 @@ def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         where = batch.column(names.index("r_spans"))
+        keys = batch.column(names.index("r_key")).to_pylist()
         size, gone, spans, digest, kept = [], [], [], [], []
         for row, end, data, offsets in slices(batch.column(names.index("r_text"))):
             raw = data.tobytes()
             for t, ranges in enumerate(where.slice(row, end - row).to_pylist()):
                 lo, hi = int(offsets[t]), int(offsets[t + 1])
+                ranges = [r for r in ranges or () if r["r_key"] == keys[row + t]]
                 if not ranges:
                     left, removed, runs = raw[lo:hi], 0, 0
                 else:
@@ -362,8 +370,9 @@ def repeated_bytes(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     candidates = known.where("not is_hot").groupBy("r_id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     strings = named.join(candidates, "r_id").mapInArrow(_cut_strings(size, max(1, total // (2 * BYTES_PER_BUCKET)), hot), "bucket long, packed binary, place binary, spans binary")
     spans = strings.groupBy("bucket").applyInArrow(_later_windows(size), "r_id long, r_key int, s long, e long")
-    spans = spans.groupBy("r_id", "r_key").agg(F.collect_set(F.struct("s", "e")).alias("r_spans"))
-    joined = named.join(spans, ["r_id", "r_key"], "left")
+    # the same exchange of the documents serves both joins
+    spans = spans.groupBy("r_id").agg(F.collect_set(F.struct("s", "e", "r_key")).alias("r_spans"))
+    joined = named.join(spans, "r_id", "left")
     if with_bytes:
         joined = joined.withColumn("r_want", F.lit(True))
     kind = joined.schema["r_0"].dataType.simpleString()

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _c(x) -> Column:
@@ -96,6 +97,6 @@ def _t_tail(t: float, df: float) -> float:
     return 1 - p if swap else p
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_t_tail(abs(a), b) for a, b in zip(t, df, strict=True)])

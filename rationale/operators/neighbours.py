@@ -228,7 +228,7 @@ def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1
     ranked = df.withColumn("r", place).join(F.broadcast(counts), label).join(F.broadcast(top))
     copies = F.floor(F.col("most") / F.col("n")) + F.when(F.col("r") < F.col("most") % F.col("n"), 1).otherwise(0)
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))) - 1).drop("r", "n", "most")
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("r", "n", "most")
 
 
 def conditional_sample(data: DataFrame, key: str, column: str, lo: float, hi: float, n: int, seed: int = 1) -> DataFrame:

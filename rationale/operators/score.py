@@ -26,7 +26,8 @@ def score(df: DataFrame, model, output: str = "label", columns: list[str] | None
         for f in frames:
             yield f.assign(**{output: predict(f[used])})
 
-    return df.mapInPandas(run, df.schema.add(output, kind) if output not in df.columns else df.schema)
+    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != output]
+    return df.mapInPandas(run, ", ".join([*rest, f"`{output}` {kind}"]))
 
 
 def one_vs_rest(neigh: DataFrame, key: str, label: str = "label") -> DataFrame:

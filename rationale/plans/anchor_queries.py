@@ -1 +1,78 @@
-"""Queries."""
+"""Queries over anchors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rationale.operators import anchors as J
+from rationale.operators import bins as C
+from rationale.operators import texts as T
+from rationale.operators.score import score
+
+from .common import PART_MODEL, query, rounded
+
+EDGES = "e AS (SELECT unnest(list_distinct(quantile_cont(p_size, [0.25, 0.5, 0.75]))) AS value FROM part)"
+
+
+@query("j1_predicates", f"WITH {EDGES} SELECT p_partkey, 'p_size' AS feature, CASE WHEN p_size <= value THEN '<=' ELSE '>' END AS op, value::DOUBLE AS value, NULL::VARCHAR AS text FROM part CROSS JOIN e UNION ALL SELECT p_partkey, 'p_brand', '=', NULL, p_brand FROM part")
+def _(spark, read):
+    p = read("part")
+    return J.predicates(p, "p_partkey", C.quartile_bins(p, ["p_size"]), ["p_brand"])
+
+
+def _preds(spark, read):
+    """Both sides of each size quartile, and the first brand."""
+    e = C.quartile_bins(read("part"), ["p_size"]).select(F.posexplode("edges").alias("i", "value"))
+    both = e.select((F.col("i") * 2).alias("pred_id"), F.lit("p_size").alias("feature"), F.lit("<=").alias("op"), "value", F.lit(None).cast("string").alias("text")).union(e.select(F.col("i") * 2 + 1, F.lit("p_size"), F.lit(">"), "value", F.lit(None).cast("string")))
+    return both.union(spark.createDataFrame([(6, "p_brand", "=", None, "Brand#1")], "pred_id int, feature string, op string, value double, text string"))
+
+
+_P = "q AS (SELECT list_sort(list_distinct(quantile_cont(p_size, [0.25, 0.5, 0.75]))) AS edges FROM part), pr AS (SELECT (i - 1) * 2 AS pred_id, edges[i] AS value, '<=' AS op FROM q CROSS JOIN (SELECT unnest(range(1, 4)) AS i) UNION ALL SELECT (i - 1) * 2 + 1, edges[i], '>' FROM q CROSS JOIN (SELECT unnest(range(1, 4)) AS i) UNION ALL SELECT 6, NULL, '='), mx AS (SELECT p_partkey, pred_id::INT AS pred_id, CASE op WHEN '<=' THEN p_size <= value WHEN '>' THEN p_size > value ELSE p_brand = 'Brand#1' END::INT AS holds FROM part CROSS JOIN pr)"
+
+
+@query("j2_predicate_matrix", f"WITH {_P} SELECT pred_id, sum(holds)::BIGINT AS n, count(*) AS of FROM mx GROUP BY pred_id")
+def _(spark, read):
+    m = J.predicate_matrix(read("part"), _preds(spark, read), "p_partkey", ["p_size", "p_brand"])
+    return m.groupBy("pred_id").agg(F.sum("holds").alias("n"), F.count("*").alias("of"))
+
+
+_SETS = [(1, 0), (2, 1), (2, 6), (3, 3), (3, 4)]
+_STATS = f"{_P}, st AS (SELECT * FROM (VALUES {', '.join(map(str, _SETS))}) t(set_id, pred_id)), y AS (SELECT p_partkey, ({PART_MODEL} = 'Y')::INT AS positive FROM part), hit AS (SELECT set_id, p_partkey FROM st JOIN mx USING (pred_id) WHERE holds = 1 GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM st s2 WHERE s2.set_id = st.set_id)), cs AS (SELECT set_id, count(*) AS n, sum(positive)::BIGINT AS positives, count(*)::DOUBLE / (SELECT count(*) FROM part) AS coverage FROM hit JOIN y USING (p_partkey) GROUP BY set_id)"
+_STATS = _STATS.replace("GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM st s2 WHERE s2.set_id = st.set_id)", "GROUP BY set_id, p_partkey HAVING count(*) = CASE set_id WHEN 1 THEN 1 ELSE 2 END")
+
+
+def _stats(spark, read):
+    p = read("part")
+    matrix = J.predicate_matrix(p, _preds(spark, read), "p_partkey", ["p_size", "p_brand"])
+    labels = p.select("p_partkey", (F.expr(PART_MODEL) == "Y").cast("int").alias("positive"))
+    return J.candidate_stats(matrix, labels, spark.createDataFrame(_SETS, "set_id int, pred_id int"), "p_partkey")
+
+
+@query("j3_candidate_stats", f"WITH {_STATS} SELECT set_id, n, positives, round(coverage, 6) AS coverage FROM cs")
+def _(spark, read):
+    return rounded(_stats(spark, read))
+
+
+@query("j4_kl_bounds")
+def _(spark, read):
+    return rounded(J.with_bounds(_stats(spark, read), 2, 1))
+
+
+@query("j5_anchor_beam")
+def _(spark, read):
+    p = score(read("part"), PART_MODEL)
+    own = J.predicate_matrix(p, _preds(spark, read), "p_partkey", ["p_size", "p_brand"]).where("holds = 1").select("p_partkey", "pred_id")
+    named = own.join(p.select("p_partkey", F.col("label").alias("wanted")), "p_partkey").join(F.broadcast(_preds(spark, read)), "pred_id")
+    return rounded(J.anchor_beam(p.withColumnRenamed("p_partkey", "row_key"), named, "row_key", ["p_size", "p_brand"], "label", "p_partkey", beam=2, max_size=2).groupBy("accepted").agg(F.count("*").alias("n"), F.avg("precision").alias("precision")))
+
+
+@query("j6_anchor_text")
+def _(spark, read):
+    """Words of conversations that keep a length label."""
+    c = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    m = T.unk_mask(c, "id", "text", 10)
+    kept = F.filter(F.transform(F.split("masked", " "), lambda w, i: F.when(w != "UNK", i)), lambda i: i.isNotNull())
+    label = F.when(F.length("masked") > 200, "long").otherwise("short")
+    return J.anchor_text(m.select("id", "rep", kept.alias("kept"), label.alias("label")), "id", "label").groupBy("id").agg(F.count("*").alias("n"))
+
+

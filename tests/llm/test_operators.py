@@ -1,0 +1,309 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from rationale.llm import ann, html, jaccard, mixing, packing, quality, scoring, substring, suffix, topk
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, s int, r_text string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts() -> list:
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefgé"), rng.integers(1, 7))) for _ in range(300)]
+    new = lambda n: " ".join(rng.choice(vocabulary, n))
+    base, passage = new(160), new(70)
+    out = [None, "", "   \n\t", "one", "a b c", "A b C", "x " * 300, base, base, base.upper(), new(30) + "\n" + passage + " " + new(20), passage + "\t" + new(50), new(6000) + " " + passage, "ab" * 400, new(36)]
+    for k in range(90):  # near copies: enough for wide columns
+        words = base.split()
+        for i in rng.integers(0, len(words), k % 4):
+            words[i] = f"new{k}x{i}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 3 % 211, t, "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, len(t or ""), i, "clash") for i, t in enumerate(texts())]
+    rows.append(rows[8])  # a row that stands twice
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def local(docs):
+    return [(r.doc_id, r.text or "") for r in docs.collect()]
+
+
+def test_substring_dedup(spark, docs):
+    rows = [(i, WORD.findall(t)) for i, t in local(docs)]
+    seen = Counter(tuple(w[k : k + 35]) for _, w in rows for k in range(len(w) - 34))
+    wanted = []
+    for i, w in rows:
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        wanted.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    out = substring.substring_dedup(docs, carry=("s", "r_text"), with_text=True)
+    assert sorted(wanted) == sorted(tuple(r) for r in out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect())
+    assert out.where("r_text <> 'clash'").isEmpty()
+    assert substring.substring_dedup(empty(spark)).isEmpty()
+
+
+def test_substring_heavy_grams(spark, docs, monkeypatch):
+    """The order of minimisers doesn't change what is found."""
+    before = sorted(map(tuple, substring.substring_dedup(docs).collect()))
+    monkeypatch.setattr(substring, "_survey", lambda d: (10_000_000, np.sort(np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64))))
+    assert before == sorted(map(tuple, substring.substring_dedup(docs).collect()))
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(230, 8)).astype(np.float32)
+    v[7] = v[3]
+    rows = [(i, [float(x) for x in a], i) for i, a in enumerate(v)] + [(900, None, 0), (950, [1.0, None] + [0.0] * 6, 0), (1000, [float("nan")] * 8, 0), (1050, [0.0] * 8, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    x = {i: np.floor(256 * np.array(a, float)).astype(int) for i, a, _ in rows if a is not None and None not in a and np.isfinite(a).all()}
+    wanted = []
+    for q in (i for i in x if i % 50 == 0):
+        best = sorted(((-int(x[q] @ x[j]), j) for j in x if j != q))[:5]
+        wanted += [(q, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    for block in (4096, 50):
+        assert sorted(wanted) == sorted(map(tuple, topk.top_inner_products(df, block=block).collect()))
+    assert topk.top_inner_products(df.where("vec_id < 0")).isEmpty()
+    assert topk.top_inner_products(df.where("vec_id in (50, 51)")).collect()[0].vec_id == 51
+
+
+def test_repeated_bytes(spark, docs, monkeypatch):
+    rows = sorted(set(local(docs)))
+    wanted, seen = {}, set()
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        wanted[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    assert {r.doc_id: tuple(r)[1:] for r in suffix.repeated_bytes(docs).collect()} == wanted
+    assert suffix.repeated_bytes(docs).count() == docs.count()
+    monkeypatch.setattr(suffix, "_repeated_anchors", lambda hot, f=suffix._repeated_anchors: f(3))  # many hot anchors
+    assert {r.doc_id: tuple(r)[1:] for r in suffix.repeated_bytes(docs).collect()} == wanted
+    assert suffix.repeated_bytes(empty(spark)).isEmpty()
+
+
+def test_merge_of_transforms():
+    rng = np.random.default_rng(3)
+    shards = [np.concatenate([rng.integers(97, 100, n), [255]]).astype(np.uint8) for n in (300, 41, 500)]
+    shard, position, interval = suffix.merge_transforms(shards, 12)
+    keys = [bytes(np.roll(shards[s], -p)[:12]) for s, p in zip(shard, position, strict=True)]
+    assert keys == sorted(keys)
+    assert [a == b for a, b in zip(keys, keys[1:], strict=False)] == [a == b for a, b in zip(interval, interval[1:], strict=False)]
+
+
+def test_quality(spark):
+    spark_docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = quality.quality_scores(spark_docs, labels)
+    held = out.where("held_out").join(labels, "doc_id")
+    assert held.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.97
+    assert out.where("score < 0 or score > 1 or score is null").isEmpty()
+    kept = quality.good_documents(spark_docs, labels)
+    assert kept.columns == spark_docs.columns and kept.count() == out.where("predicted = 1").count()
+
+
+def test_quality_edges(spark, docs):
+    labels = spark.createDataFrame([(0, 1), (0, 1)], "doc_id long, quality int")
+    out = quality.quality_scores(docs, labels)
+    assert out.count() == docs.count() and out.where("score is null").isEmpty()
+    assert quality.quality_scores(empty(spark), labels).isEmpty()
+
+
+def test_packing(spark, docs):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = spark.createDataFrame([(900, "a b \x1cc <|endoftext|>d ΣΑΣ é 's 12", None, None, 1, 1, "x")], SCHEMA)
+    every = docs.dropDuplicates(["doc_id"]).union(odd)
+    ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in local(every)}
+    rows = packing.packed_sequences(every, 512).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(ids)
+    for i, pieces in by_doc.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids[i])
+            assert r.ids_crc32 == zlib.crc32(ids[i][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[i])
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 512 and at & (at - 1) == 0
+    assert packing.packed_sequences(empty(spark)).isEmpty()
+
+
+def test_hilbert_curve():
+    side = np.arange(8)
+    grid = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)
+    key = packing.hilbert_key(grid, 3)
+    assert sorted(key) == list(range(512))
+    assert (np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(1) == 1).all()
+
+
+def test_mixing(spark, docs):
+    out = mixing.mixed(docs, temper=1.0, share=0.5, carry=("s",)).toPandas()
+    assert len(out) == docs.count()
+    assert np.allclose(out.probability[out.n_words > 0], 0.5)
+    cells = spark.createDataFrame([("a", "x", 4.0), ("a", "y", 1.0), ("b", "x", 2.0), ("b", "y", 3.0)], "source string, lang string, w double")
+    targets = {"source": spark.createDataFrame([("a", 0.3), ("b", 0.7), ("none", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "lang string, share double")}
+    got = mixing.rake(cells, targets, 50, 1e-9).toPandas()
+    m = np.array([[4.0, 1], [2, 3]])
+    a, b = np.array([0.3, 0.7]) / 1.5, np.array([0.5, 0.5])
+    a /= a.sum()
+    for _ in range(200):
+        m *= (a / m.sum(1))[:, None]
+        m *= b / m.sum(0)
+    assert np.allclose(got.sort_values(["source", "lang"]).w, m.ravel(), atol=1e-6)
+    assert mixing.mixed(empty(spark)).isEmpty()
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body>
+<header>Site <b>name</b></header><nav><ul><li><a href="/x">Menu entry</a></li></ul></nav><div class="cookie-notice">We use cookies, please accept.</div>
+<div class="ad">Buy now, it is cheap. Really cheap.</div><article><h1>Head &amp; line</h1><p>First   para&shy;graph,\n with <i>inline</i> text.<br>More.<p>Sec&#111;nd: x &lt; y.<ul><li>one<li>two</ul>
+<p>End.</article><aside>See also, this and that.</aside><div id="comments"><p>Nice text, thank you. I liked it.</p></div><form><p>Name, please.</p></form><footer>&copy; all, rights.</footer></body></html>"""
+
+
+def test_html(spark):
+    wanted = "Head & line\nFirst para­graph, with inline text. More.\nSecond: x < y.\none\ntwo\nEnd."
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>Bare <b>text"), (4, "u", "<p>Bare <b>text"), (5, "u", "a < b and <"), (6, "u", "<div><p>" + "long, " * 50000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = [(r.page_id, r.text, r.n_chars) for r in html.extract_main_text(df).collect()]
+    assert got[0] == (1, wanted, len(wanted))
+    assert got[1:3] == [(2, "", 0), (3, "", 0)] and got[3][1] == got[4][1] == "Bare text"
+    assert got[6][2] == 299999
+    assert html.extract_main_text(df.where("page_id < 0")).isEmpty()
+
+
+def test_scoring(spark, docs):
+    out = scoring.pseudo_likelihood(docs).toPandas()
+    assert len(out) == docs.count()
+    assert (out.log_likelihood[out.n_words > 0] < 0).all() and (out.log_likelihood[out.n_words == 0] == 0).all()
+    assert out.mean_log_prob[out.n_words == 0].isna().all()
+    assert scoring.pseudo_likelihood(empty(spark)).isEmpty()
+
+
+def test_scoring_learns():
+    rng = np.random.default_rng(1)
+    ids = np.tile(rng.integers(0, 20, 10), 400)
+    text = np.zeros(len(ids), int)
+    near = scoring.contexts(ids, text, np.arange(len(ids)))
+    net = scoring.initial_network()
+    before = scoring.log_probabilities(net, near, ids).mean()
+    for _ in range(15):
+        scoring.train(net, near, ids)
+    assert scoring.log_probabilities(net, near, ids).mean() > before / 3
+
+
+def test_nearest_neighbours(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = v.toPandas()
+    x, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
+    got = ann.nearest_neighbours(v).toPandas()
+    hit = asked = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(np.square(x - x[i]).sum(1))
+        d[i] = np.inf
+        best = np.lexsort((ids, d))[:10]
+        mine = got[got.query_id == ids[i]].sort_values("rank")
+        assert np.allclose(mine.score, [d[np.flatnonzero(ids == j)[0]] for j in mine.vec_id], rtol=1e-12)
+        hit += len(set(mine.vec_id) & set(ids[best]))
+        asked += 10
+    assert hit / asked >= 0.9
+
+
+def test_nearest_neighbours_edges(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (100, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest_neighbours(df).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 100), (0, 2, 1), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
+    assert ann.nearest_neighbours(df.where("vec_id = 3")).isEmpty()
+
+
+def shingles(text: str) -> frozenset:
+    folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    w = WORD.findall(folded)
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def components(rows) -> dict:
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, shingles(t))
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    every = sorted(sets)
+    for a, i in enumerate(every):
+        for j in every[:a]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("wide", [64, 3])
+def test_jaccard_components(spark, docs, wide):
+    wanted = components(local(docs))
+    rows = jaccard.jaccard_components(docs, wide=wide).collect()
+    assert len(rows) == docs.count()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == wanted
+
+
+def test_jaccard_empty(spark):
+    assert jaccard.jaccard_components(empty(spark)).isEmpty()
+
+
+def test_pipeline_stages(spark):
+    """Every stage but the first and the sampling, on what came before, by brute force."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = corpus_pipeline.stored(stages["quality classifier"](spark, docs, sf))
+    assert kept.columns == docs.columns and kept.exceptAll(docs).isEmpty()
+    near = corpus_pipeline.stored(stages["n-gram Jaccard join"](spark, kept, sf))
+    wanted = {i for i, (_, c) in components(local(kept)).items() if i == c}
+    assert {r.doc_id for r in near.collect()} == wanted
+    cut = corpus_pipeline.stored(stages["substring dedup"](spark, near, sf))
+    rows = [(i, WORD.findall(t)) for i, t in local(near)]
+    seen = Counter(tuple(w[k : k + 35]) for _, w in rows for k in range(len(w) - 34))
+    for i, w in rows:
+        gone = {x for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for x in range(k, k + 35)}
+        assert dict(local(cut))[i] == " ".join(x for k, x in enumerate(w) if k not in gone)
+    mixed = corpus_pipeline.stored(stages["mixing sources to target weights"](spark, cut, sf))
+    assert mixed.columns == docs.columns and mixed.exceptAll(cut).isEmpty() and 0 < mixed.count() < cut.count()
+    packed = stages["packing"](spark, mixed, sf)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in mixed.collect()}

@@ -8,6 +8,7 @@ from rationale.functions.special import log_factorials
 from rationale.operators import neighbours as E
 from rationale.operators import rules as H
 from rationale.operators.score import score
+from rationale.sources.scratch import stored
 
 from .common import PART_FEATURES, PART_MODEL, query, rounded
 
@@ -100,7 +101,7 @@ def ruleset(spark, read):
 
     r = H.as_rules(H.fisher_log_p(counted(read), factorials(spark, read))).where("log_p < -1")
     text = F.array_join(F.transform("items", lambda x: F.lpad(x.cast("string"), 3, "0")), " ")
-    return r.withColumn("rule_id", F.row_number().over(Window.orderBy("g", "class", F.size("items"), text))).select("g", "rule_id", "items", "class", "support", "confidence", "log_p")
+    return r.withColumn("rule_id", F.row_number().over(Window.orderBy("g", "class", F.size("items"), text))).select("g", "rule_id", "items", "class", "support", "confidence", "log_p").transform(stored)
 
 
 @query("h8_sequential_cover")

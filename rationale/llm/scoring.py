@@ -5,17 +5,22 @@ embeddings by place add up to a hidden layer, and a softmax over the vocabulary
 follows.  A document's score is the sum over its words of the conditional
 log-probability given both sides.
 
-Vocabulary: the most frequent words of the corpus, counted over all documents;
-other words share ``OTHERS`` hashed entries; one entry stands for the edge of a
-text.  Training visits every document: each partition runs stochastic gradient
-steps over every ``STRIDE``-th word of its texts, from a start that moves with
-the document, and the networks are averaged by Spark, weighted by words seen; a
-second round starts from the mean.
+Vocabulary: every word of the corpus, with its count over all documents.  The
+most frequent words are entries of the network; the others fall into ``OTHERS``
+hashed entries, and within one of these a word has its share of the entry's
+count: P(word | sides) = P(entry | sides) * count(word) / count(entry).  One
+entry stands for the edge of a text.  Training visits every word of every
+document: each partition runs stochastic gradient steps over its texts, and the
+networks are averaged by Spark, weighted by words seen; a second round starts
+from the mean.
 
 Scale.  The network has a fixed size, so what travels for averaging is a fixed
 number of values for each partition; word counts are summed before they are
-shuffled.  Null and empty texts have no words, score 0 and a null mean.  Repeated
-rows are scored alike (and count twice in training).  No rows: no rows.
+shuffled, and stay a table as large as the vocabulary: the words outside the
+network's own entries are joined to it, none of which has more than a
+``FREQUENT``-th of all words.  Null and empty texts have no words, score 0 and a
+null mean.  Repeated rows are scored alike (and count twice in training).  No
+rows: no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import stored
 from .text import Words, slices
 
 FREQUENT = 191
@@ -35,7 +41,6 @@ EDGE = FREQUENT + OTHERS
 VOCABULARY = EDGE + 1
 HIDDEN = 16
 SIDES = (-2, -1, 1, 2)
-STRIDE = 12
 ROUNDS = 2
 BATCH = 512
 RATE = 0.05
@@ -113,13 +118,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"code": code.view(np.int64), "n": n.astype(np.int64)})
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Sorted codes of the most frequent words of all documents."""
-    counts = docs.select("text").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(code, n) of every word of all documents."""
+    return stored(docs.select("text").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+
+
+def frequent_words(counts: DataFrame) -> np.ndarray:
+    """Sorted codes of the most frequent words."""
     top = counts.orderBy(F.desc("n"), "code").limit(FREQUENT).collect()
     return np.sort(np.array([r.code for r in top], np.int64).view(np.uint64))
 
 
+def entry_counts(rare: DataFrame) -> np.ndarray:
+    """Words in each hashed entry; 1 where there are none."""
+    out = np.ones(OTHERS)
+    for r in rare.groupBy(F.pmod("code", F.lit(OTHERS)).alias("entry")).agg(F.sum("n").alias("n")).collect():
+        out[r.entry] = r.n
+    return out
+
+
 def _learn(net: list[np.ndarray], frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = [p.copy() for p in net], 0
@@ -129,10 +146,7 @@ def _learn(net: list[np.ndarray], frequent: np.ndarray):
                 if not len(words):
                     continue
                 ids = word_ids(words, frequent)
-                first = words.codes[np.minimum(words.first[:-1], len(words) - 1)]
-                place = np.arange(len(words)) - words.first[words.text] + (first % np.uint64(STRIDE)).astype(np.int64)[words.text]
-                at = np.flatnonzero(place % STRIDE == 0)
-                at = at[np.argsort(words.codes[at], kind="stable")[np.random.default_rng(len(at)).permutation(len(at))]]
+                at = np.argsort(words.codes, kind="stable")[np.random.default_rng(len(words)).permutation(len(words))]
                 train(own, contexts(ids, words.text, at), ids[at])
                 seen += len(at)
         flat = np.concatenate([p.ravel() for p in own]).astype(float)
@@ -155,14 +169,21 @@ def fit(docs: DataFrame, frequent: np.ndarray, rounds: int = ROUNDS) -> list[np.
     return net
 
 
-def _score(net: list[np.ndarray], frequent: np.ndarray):
+def _score(net: list[np.ndarray], frequent: np.ndarray, entries: np.ndarray):
+    """Scores of the entries, and the words whose own counts are still to be added."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1), 1 << 20):
                 words = Words(data, offsets, fold=True)
                 ids = word_ids(words, frequent)
                 logp = log_probabilities(net, contexts(ids, words.text, np.arange(len(ids))), ids)
-                yield pa.record_batch([batch.column(0).slice(first, last - first), pa.array(words.counts.astype(np.int64)), pa.array(np.bincount(words.text, logp, len(words.counts)).astype(float))], ["id", "n_words", "log_likelihood"])
+                rare = ids >= FREQUENT
+                logp[rare] -= np.log(entries)[ids[rare] - FREQUENT]
+                n = len(words.counts)
+                at = np.concatenate([[0], np.cumsum(np.bincount(words.text[rare], minlength=n))]).astype(np.int32)
+                codes = pa.ListArray.from_arrays(pa.array(at), pa.array(words.codes[rare].view(np.int64)))
+                yield pa.record_batch([batch.column(0).slice(first, last - first), pa.array(words.counts.astype(np.int64)), pa.array(np.bincount(words.text, logp, n).astype(float)), codes], ["id", "n_words", "entries", "codes"])
 
     return run
 
@@ -170,7 +191,12 @@ def _score(net: list[np.ndarray], frequent: np.ndarray):
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_likelihood, mean_log_prob) for each document."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    frequent = frequent_words(named)
+    counts = word_counts(named)
+    frequent = frequent_words(counts)
+    rare = counts.where(~F.col("code").isin(frequent.view(np.int64).tolist()))
     net = fit(named, frequent)
-    out = named.mapInArrow(_score(net, frequent), f"id {named.schema['id'].dataType.simpleString()}, n_words long, log_likelihood double")
-    return out.select(F.col("id").alias(id_col), "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_prob"))
+    scored = named.mapInArrow(_score(net, frequent, entry_counts(rare)), f"id {named.schema['id'].dataType.simpleString()}, n_words long, entries double, codes array<long>")
+    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
+    own = scored.select("row", F.explode("codes").alias("code")).join(rare, "code").groupBy("row").agg(F.sum(F.log("n")).alias("own"))
+    total = scored.drop("codes").join(own, "row", "left").withColumn("log_likelihood", F.col("entries") + F.coalesce("own", F.lit(0.0)))
+    return total.select(F.col("id").alias(id_col), "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_prob"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -223,6 +224,23 @@ def test_scoring_learns():
     assert scoring.log_probabilities(net, near, ids).mean() > before / 3
 
 
+def test_scoring_trains_on_every_word():
+    batch = pa.record_batch({"text": ["one", None, "a b c", "w " * 40]})
+    out = next(scoring._learn(scoring.initial_network(), np.zeros(0, np.uint64))(iter([batch])))
+    assert out["n"][0].as_py() == 44
+
+
+def test_scoring_tells_words_of_an_entry_apart(spark):
+    names = [f"rare{i}" for i in range(500)]
+    data = " ".join(names).encode()
+    codes = scoring.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), fold=True).codes
+    a, b = [w for w, c in zip(names, codes, strict=True) if c % 64 == codes[0] % 64][:2]
+    common = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, f"w1 w2 {a} w3 w4"), *[(2 + i, f"w1 w2 {b} w3 w4") for i in range(7)], *[(100 + i, common) for i in range(9)]]
+    got = {r.doc_id: r.log_likelihood for r in scoring.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] - got[1] == pytest.approx(np.log(7))
+
+
 def test_nearest_neighbours(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = v.toPandas()

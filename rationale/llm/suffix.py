@@ -197,7 +197,10 @@ def _cut_strings(size: int, buckets: int, hot: np.ndarray):
                 lead, later = [], []
                 for i, a, b in zip(by.tolist(), first[by].tolist(), (last[by] + size).tolist(), strict=True):
                     j = seen.setdefault(raw[a:b], i)
-                    (lead if j == i else later).append(i)
+                    if j == i:
+                        lead.append(i)
+                    elif (own[i], key[i], at[i]) != (own[j], key[j], at[j]):
+                        later.append(i)
                 lead, later = np.array(lead, np.int64), np.array(later, np.int64)
                 out = {"bucket": [], "packed": [], "place": [], "spans": []}
                 if len(later):

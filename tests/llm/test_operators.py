@@ -108,6 +108,15 @@ def test_repeated_bytes(spark, docs, monkeypatch):
     assert suffix.repeated_bytes(empty(spark)).isEmpty()
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_repeated_bytes_equal_rows(spark, parts):
+    """Equal rows are one place, in one slice or in two: their text isn't its own repeat."""
+    text = " ".join(f"word{i}" for i in range(60))
+    row = (1, text, None, None, 0, 0, "x")
+    df = spark.createDataFrame(spark.sparkContext.parallelize([row, row], parts), SCHEMA)
+    assert [r.n_removed for r in suffix.repeated_bytes(df).collect()] == [0, 0]
+
+
 def test_merge_of_transforms():
     rng = np.random.default_rng(3)
     shards = [np.concatenate([rng.integers(97, 100, n), [255]]).astype(np.uint8) for n in (300, 41, 500)]

@@ -5,7 +5,10 @@ their words as weight and are raked: scaled in turn so that the sums of each
 source, each language and each topic meet their targets, until all do.  The
 raked weight of a cell over its words, times the words wanted, is the
 probability with which its documents are sampled; a keyed hash of the id decides,
-so the choice is the same on every run and every partitioning.
+so the choice is the same on every run and every partitioning.  Where that asks
+for more of a cell than there is, fewer words are wanted of all cells, so that
+the targets are met with no probability above 1; a warning tells the share that
+is left.  Another warns of raking that ends before the targets are met.
 
 A topic is the one of ``TOPICS`` hashed groups of long words with most words in
 the text (ties: the smaller number).  Targets default to the corpus's own shares
@@ -19,6 +22,7 @@ are sampled with their cell.  Repeated rows share their fate.  No rows: no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,9 +84,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         cells = cells.drop("off")
         if worst is None or worst < tolerance:
             break
+    else:
+        warnings.warn(f"raking ended after {rounds} rounds with sums off their targets by up to {worst:.2g} of them", stacklevel=2)
     return cells
 
 
+def words_wanted(raked: DataFrame, most: float) -> float:
+    """``most`` words, or as many as can be had with no cell asked for more than its words."""
+    least = raked.where("w > 0").agg(F.min(F.col("words") / F.col("w"))).first()[0]
+    if least is None or least >= most:
+        return most
+    warnings.warn(f"targets can be met with {least / most:.3f} of the words wanted", stacklevel=2)
+    return least
+
+
 def mixed(docs: DataFrame, share: float = SHARE, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: id, carried columns, source, lang, topic, n_words, probability, sampled.
 
@@ -97,7 +112,7 @@ def mixed(docs: DataFrame, share: float = SHARE, temper: float = TEMPER, targets
     start = cells.withColumn("w", F.col("words") / max(total, 1.0))
     wanted = {d: tempered(start, d, temper) for d in DIMENSIONS} | (targets or {})
     raked = rake(start, wanted)
-    chance = raked.select(*DIMENSIONS, F.when(F.col("words") > 0, F.least(F.lit(1.0), share * total * F.col("w") / F.col("words"))).otherwise(F.lit(float(share))).alias("probability"))
+    chance = raked.select(*DIMENSIONS, F.when(F.col("words") > 0, F.least(F.lit(1.0), words_wanted(raked, share * total) * F.col("w") / F.col("words"))).otherwise(F.lit(float(share))).alias("probability"))
     placed = keyed.join(chance, list(DIMENSIONS))
     draw = F.pmod(F.xxhash64(F.lit("mixing"), "r_0"), F.lit(1 << 53)).cast("double") / float(1 << 53)
     return placed.select(F.col("r_0").alias(id_col), *[F.col(f"r_c{i}").alias(c) for i, c in enumerate(carry)], F.col("r_source").alias("source" if "source" not in carry else "mix_source"), F.col("r_lang").alias("lang" if "lang" not in carry else "mix_lang"), F.col("r_topic").cast("int").alias("topic"), F.col("r_words").alias("n_words"), "probability", (draw < F.col("probability")).alias("sampled"))

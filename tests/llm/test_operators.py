@@ -196,6 +196,27 @@ def test_mixing(spark, docs):
     assert mixing.mixed(empty(spark)).isEmpty()
 
 
+def test_mixing_meets_targets_on_skewed_data(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(200)]
+    shares = np.array([33.4, 30, 20, 10, 5, 1, 0.5, 0.1])
+    pick = lambda: np.repeat(np.arange(8), (20 * shares).astype(int))[rng.permutation(2000)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 10)), f"l{b}", f"s{a}", 0, 0, "x") for i, (a, b) in enumerate(zip(pick(), pick(), strict=True))]
+    out = mixing.mixed(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    kept = out.probability * out.n_words
+    assert out.probability.max() <= 1 and kept.sum() > 0
+    for d in mixing.DIMENSIONS:
+        wanted = out.groupby(d).n_words.sum() ** 0.8
+        assert np.allclose(kept.groupby(out[d]).sum() / kept.sum(), wanted / wanted.sum(), rtol=1e-3)
+
+
+def test_raking_says_when_it_ends_early(spark):
+    cells = spark.createDataFrame([("a", "x", 4.0), ("a", "y", 1.0), ("b", "x", 2.0), ("b", "y", 3.0)], "source string, lang string, w double")
+    targets = {"source": spark.createDataFrame([("a", 0.3), ("b", 0.7)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "lang string, share double")}
+    with pytest.warns(UserWarning, match="raking ended after 1 rounds"):
+        mixing.rake(cells, targets, 1, 1e-9)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body>
 <header>Site <b>name</b></header><nav><ul><li><a href="/x">Menu entry</a></li></ul></nav><div class="cookie-notice">We use cookies, please accept.</div>
 <div class="ad">Buy now, it is cheap. Really cheap.</div><article><h1>Head &amp; line</h1><p>First   para&shy;graph,\n with <i>inline</i> text.<br>More.<p>Sec&#111;nd: x &lt; y.<ul><li>one<li>two</ul>

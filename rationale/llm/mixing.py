@@ -17,7 +17,8 @@ raised to ``TEMPER`` and normalised, which lifts small sources and languages.
 Scale.  One pass over the texts; raking joins sums to a table of cells and never
 leaves Spark.  A source with a third of all rows is a few cells.  Null sources
 and languages are groups of their own; null texts have no words, topic 0, and
-are sampled with their cell.  Repeated rows share their fate.  No rows: no rows.
+are sampled with their cell.  Repeated rows share their fate; without an id the
+text's hash decides.  No rows: no rows.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def mixed(docs: DataFrame, share: float = SHARE, temper: float = TEMPER, targets
 
     ``targets`` may give (value, share) tables by dimension, under the names source, lang and topic.
     """
-    named = docs.select(F.col(id_col).alias("r_0"), *[F.col(c).alias(f"r_c{i}") for i, c in enumerate(carry)], F.col(source_col).cast("string").alias("r_source"), F.col(lang_col).cast("string").alias("r_lang"), F.col(text_col).alias("r_text"))
+    named = docs.select(F.col(id_col).alias("r_0"), *[F.col(c).alias(f"r_c{i}") for i, c in enumerate(carry)], F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("r_key"), F.col(source_col).cast("string").alias("r_source"), F.col(lang_col).cast("string").alias("r_lang"), F.col(text_col).alias("r_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields if f.name != "r_text"]
     measured = stored(named.mapInArrow(_measure, ", ".join([*kinds, "r_words long, r_topic string"])))
     keyed = measured.select("*", *[F.coalesce(f"r_{d}", F.lit("\x00")).alias(d) for d in DIMENSIONS])
@@ -114,5 +115,5 @@ def mixed(docs: DataFrame, share: float = SHARE, temper: float = TEMPER, targets
     raked = rake(start, wanted)
     chance = raked.select(*DIMENSIONS, F.when(F.col("words") > 0, F.least(F.lit(1.0), words_wanted(raked, share * total) * F.col("w") / F.col("words"))).otherwise(F.lit(float(share))).alias("probability"))
     placed = keyed.join(chance, list(DIMENSIONS))
-    draw = F.pmod(F.xxhash64(F.lit("mixing"), "r_0"), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    draw = F.pmod(F.xxhash64(F.lit("mixing"), "r_0", "r_key"), F.lit(1 << 53)).cast("double") / float(1 << 53)
     return placed.select(F.col("r_0").alias(id_col), *[F.col(f"r_c{i}").alias(c) for i, c in enumerate(carry)], F.col("r_source").alias("source" if "source" not in carry else "mix_source"), F.col("r_lang").alias("lang" if "lang" not in carry else "mix_lang"), F.col("r_topic").cast("int").alias("topic"), F.col("r_words").alias("n_words"), "probability", (draw < F.col("probability")).alias("sampled"))

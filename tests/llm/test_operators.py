@@ -355,3 +355,15 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and mixed.exceptAll(cut).isEmpty() and 0 < mixed.count() < cut.count()
     packed = stages["packing"](spark, mixed, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in mixed.collect()}
+
+
+def test_pipeline_keeps_unrelated_rows_of_one_id(spark):
+    """Different texts under one id or under none stay; equal rows are one; a sampled row needs no id."""
+    one, two, three = (" ".join(f"{k}{i}" for i in range(20)) for k in "abc")
+    rows = [(1, one), (1, two), (1, two), (None, three), (None, one), (2, ""), (2, ""), (3, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0, "x") for i, t in rows], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["n-gram Jaccard join"](spark, df, "")
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted([(1, one), (1, two), (None, three), (2, ""), (3, None)], key=str)
+    nameless = spark.createDataFrame([(None, f"word{i} " * 5, "en", "s", 0, 0, "x") for i in range(40)], SCHEMA)
+    assert 0 < stages["mixing sources to target weights"](spark, nameless, "").count() < 40

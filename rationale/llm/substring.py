@@ -173,8 +173,8 @@ def _apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         where = batch.column(names.index("r_spans"))
-        total, gone, digest, kept = [], [], [], []
         for first, last, data, offsets in slices(batch.column(names.index("r_text"))):
+            total, gone, digest, kept = [], [], [], []
             words = Words(data, offsets)
             packed, begin = words.joined()
             for t, ranges in enumerate(where.slice(first, last - first).to_pylist()):
@@ -190,9 +190,9 @@ def _apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone.append(removed)
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-        rest = {k: batch.column(i) for i, k in enumerate(names) if k not in ("r_spans", "r_text")}
-        text = pa.array(kept, pa.binary()).cast(pa.string())
-        yield pa.record_batch({**rest, "r_words": pa.array(total, pa.int64()), "r_removed": pa.array(gone, pa.int64()), "r_sha": pa.array(digest, pa.string()), **({"r_kept": text} if "r_want" in names else {})})
+            rest = {k: batch.column(i).slice(first, last - first) for i, k in enumerate(names) if k not in ("r_spans", "r_text")}
+            text = {"r_kept": pa.array(kept, pa.binary()).cast(pa.string())} if "r_want" in names else {}
+            yield pa.record_batch({**rest, "r_words": pa.array(total, pa.int64()), "r_removed": pa.array(gone, pa.int64()), "r_sha": pa.array(digest, pa.string()), **text})
 
 
 def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D.  Texts are
 handled as the Arrow data buffer of a batch, in slices of bounded size; a null
-text is an empty one.
+text is an empty one.  A text beyond that size comes alone, and its fingerprints
+are still computed a stretch of bytes at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+STRETCH = 1 << 17  # bytes or codes that are summed up at a time
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xA0761D6478BD642B)  # 3 mod 8, so 1 - base has a single factor two
 
@@ -45,7 +47,7 @@ def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    return _power_table(max(SLICE_BYTES + 1, 1 << n.bit_length()) if n > SLICE_BYTES else SLICE_BYTES + 1)
+    return _power_table(1 << max(20, n.bit_length()))
 
 
 def prefix_sums(codes: np.ndarray) -> np.ndarray:
@@ -63,6 +65,22 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
+def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of codes[start:end] for sorted starts and sorted ends, a stretch of codes at a time.
+
+    With a table, ``codes`` are numbers of its entries.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(int(np.searchsorted(ends, lo + STRETCH, "right")), i + 1)
+        part = codes[lo : ends[j - 1]]
+        out[i:j] = range_hash(prefix_sums(part if table is None else table[part]), starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with about ``limit`` bytes: first row, last row + 1, their bytes, offsets from 0.
 
@@ -103,8 +121,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)  # words of text t: first[t] .. first[t + 1]
         self.counts = np.diff(self.first)
         self.text = np.repeat(np.arange(len(self.counts)), self.counts)
-        codes = (_FOLDED_CODE if fold else _BYTE_CODE)[data]
-        self.codes = range_hash(prefix_sums(codes), self.starts, self.ends)
+        self.codes = range_hashes(data, self.starts, self.ends, _FOLDED_CODE if fold else _BYTE_CODE)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -114,7 +131,7 @@ class Words:
         if len(self) < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.text[: len(self) - size + 1] == self.text[size - 1 :])
-        return at, range_hash(prefix_sums(self.codes), at, at + size)
+        return at, range_hashes(self.codes, at, at + size)
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """All words, each followed by one space, and where each word starts in that."""

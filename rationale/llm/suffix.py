@@ -35,18 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import stored
 from .substring import NO_ID
-from .text import _BYTE_CODE, covered, prefix_sums, range_hash, runs_of, slices, sliding_min
+from .text import _BYTE_CODE, covered, mix, range_hashes, slices, sliding_min
 
 WINDOW = 100
 GRAM = 40
 RUNS_PER_BUCKET = 300_000
 BYTES_PER_BUCKET = 1_500_000
+BYTES_PER_GROUP = 8_000_000  # text of a group of documents whose ranges travel together
 SHARDS = 4
 HOT_ANCHORS = 20_000  # at most so many anchors deal out windows one by one
 SYMBOL = 8
@@ -59,9 +61,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray, size: int, wanted: np.ndarray |
     none = np.zeros(0, np.int64)
     if n < size:
         return none, none, none, np.zeros(0, np.uint64)
-    sums = prefix_sums(_BYTE_CODE[data])
     at = np.arange(n - GRAM + 1)
-    grams = range_hash(sums, at, at + GRAM)
+    grams = range_hashes(data, at, at + GRAM, _BYTE_CODE)
     keys = (grams >> np.uint64(32)) << np.uint64(32) | at.astype(np.uint64)
     least = (sliding_min(keys, size - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     valid = np.zeros(n + 1, np.int8)
@@ -135,7 +136,7 @@ def _find_anchors(size: int, buckets: int):
     return run
 
 
-def _repeated_anchors(hot: int):
+def _repeated_anchors(hot: int, groups: int):
     def run(table: pa.Table) -> pa.Table:
         anchor, times, ids, first, more = (np.concatenate(x) for x in zip(*[_unpack(b, ANCHOR_KINDS) for b in table.column("packed").to_pylist()], strict=True))
         if table.column("bucket")[0].as_py() < 0:  # known to repeat within their slice
@@ -146,18 +147,64 @@ def _repeated_anchors(hot: int):
             total = np.bincount(group, times)
             use = total[group] > 1
             hot_anchor, total = found[total >= hot], total[total >= hot]
-        m = len(hot_anchor)
-        flag = np.arange(int(use.sum()) + m) >= use.sum()
+        first = first[use].astype(np.int64)
+        docs, packed = _by_documents([(ids[use], np.zeros(len(first)), first, first + more[use] + 1)], groups)
+        m, k = len(docs), len(hot_anchor)
         return pa.table({
-            "is_hot": flag,
-            "r_id": np.concatenate([ids[use], hot_anchor.view(np.int64)]),
-            "s": np.concatenate([first[use].astype(np.int64), total.astype(np.int64)]),
-            "e": np.concatenate([first[use].astype(np.int64) + more[use] + 1, np.zeros(m, np.int64)]),
+            "docs": pa.array([*docs, *[None] * k], pa.int64()),
+            "packed": pa.array([*packed, *[None] * k], pa.binary()),
+            "hot": pa.array([*[None] * m, *hot_anchor.view(np.int64).tolist()], pa.int64()),
+            "times": pa.array([*[None] * m, *total.astype(np.int64).tolist()], pa.int64()),
         })
 
     return run
 
 
+def _merged(ids, keys, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges sorted, with those of one text that overlap or touch made one."""
+    order = np.lexsort((starts, keys, ids))
+    ids, keys, starts, ends = ids[order], keys[order], starts[order], ends[order]
+    if not len(ids):
+        return ids, keys, starts, ends
+    other = np.ones(len(ids), bool)
+    other[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    lift = (np.cumsum(other) - 1) * (int(ends.max()) + 2)
+    reach = np.maximum.accumulate(ends + lift)
+    new = other.copy()
+    new[1:] |= (starts + lift)[1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(ids)) - 1
+    return ids[head], keys[head], starts[head], reach[tail] - lift[tail]
+
+
+def _by_documents(found: list, groups: int) -> tuple[list[int], list[bytes]]:
+    """Ranges (id, key, start, end), packed for each group of documents."""
+    if not found:
+        return [], []
+    ids, keys, starts, ends = _merged(*(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)))
+    group = (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    parts = _parts(group)
+    return [int(group[p[0]]) for p in parts], [_pack((ids[p], "i8"), (keys[p], "i4"), (starts[p], "i8"), (ends[p], "i8")) for p in parts]
+
+
+def _of_documents(table: pa.Table) -> pa.Table:
+    """One row for each id of a group of documents: its ranges, merged."""
+    ids, keys, starts, ends = _merged(*(np.concatenate(x).astype(np.int64) for x in zip(*[_unpack(b, SPAN_KINDS) for b in table.column("packed").to_pylist()], strict=True)))
+    head = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    ranges = pa.StructArray.from_arrays([pa.array(keys.astype(np.int32)), pa.array(starts), pa.array(ends)], ["r_key", "s", "e"])
+    return pa.table({"r_id": ids[head], "r_spans": pa.ListArray.from_arrays(pa.array(np.append(head, len(ids)).astype(np.int32)), ranges)})
+
+
+def _ranges_of(column: pa.Array, first: int, last: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, key, start and end (both in the slice of texts first..last) of each range."""
+    lists = column.slice(first, last - first)
+    flat = lists.flatten()
+    key, s, e = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+    text = np.repeat(np.arange(last - first), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    start, stop = offsets[text], offsets[text + 1]
+    return text, key, np.minimum(start + s, stop), np.minimum(start + e, stop)
+
+
 def _spans_of(ids, keys, first, last, size: int) -> bytes:
     """Byte ranges under windows first..last, of one document or several."""
     return _pack((ids, "i8"), (keys, "i4"), (first, "i8"), (last + size, "i8"))
@@ -169,15 +216,9 @@ def _cut_strings(size: int, buckets: int, hot: np.ndarray):
             names = batch.schema.names
             ids = batch.column(names.index("r_id")).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column(names.index("r_key")).to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted_runs = batch.column(names.index("runs"))
             for row, end, data, offsets in slices(batch.column(names.index("r_text"))):
-                lists = wanted_runs.slice(row, end - row)
-                flat = lists.flatten()
-                s, e = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                counts = np.diff(lists.offsets.to_numpy())
-                start = np.repeat(offsets[:-1], counts)
-                stop = np.repeat(offsets[1:], counts)
-                wanted = covered(len(data), np.minimum(start + s, stop), np.minimum(start + e, stop))
+                _, _, s, e = _ranges_of(batch.column(names.index("r_spans")), row, end, offsets)
+                wanted = covered(len(data), s, e)
                 text, first, last, anchor = _runs(data, offsets, size, wanted)
                 if not len(text):
                     continue
@@ -186,7 +227,7 @@ def _cut_strings(size: int, buckets: int, hot: np.ndarray):
                     if is_hot.any():
                         n = (last - first + 1)[is_hot]
                         each = np.repeat(first[is_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        own = range_hash(prefix_sums(_BYTE_CODE[data]), each, each + size)
+                        own = range_hashes(data, each, each + size, _BYTE_CODE)
                         text = np.concatenate([text[~is_hot], np.repeat(text[is_hot], n)])
                         first, last = np.concatenate([first[~is_hot], each]), np.concatenate([last[~is_hot], each])
                         anchor = np.concatenate([anchor[~is_hot], own])
@@ -270,7 +311,7 @@ def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray,
     return interleave, merged, interval
 
 
-def _later_windows(size: int):
+def _later_windows(size: int, groups: int):
     def run(table: pa.Table) -> pa.Table:
         found = [_unpack(x, SPAN_KINDS) for x in table.column("spans").to_pylist() if x]
         strings: list[bytes] = []
@@ -327,8 +368,8 @@ def _later_windows(size: int):
                 if len(h):
                     t = np.append(h[1:], len(a)) - 1
                     found.append([i[h], k[h], a[h], a[t] + size])
-        i, k, s, e = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
-        return pa.table({"r_id": i, "r_key": k.astype(np.int32), "s": s, "e": e})
+        docs, packed = _by_documents(found, groups)
+        return pa.table({"docs": pa.array(docs, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
     return run
 
@@ -336,28 +377,21 @@ def _later_windows(size: int):
 def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
-        where = batch.column(names.index("r_spans"))
-        keys = batch.column(names.index("r_key")).to_pylist()
-        size, gone, spans, digest, kept = [], [], [], [], []
+        keys = batch.column(names.index("r_key")).to_numpy(zero_copy_only=False).astype(np.int64)
         for row, end, data, offsets in slices(batch.column(names.index("r_text"))):
-            raw = data.tobytes()
-            for t, ranges in enumerate(where.slice(row, end - row).to_pylist()):
-                lo, hi = int(offsets[t]), int(offsets[t + 1])
-                ranges = [r for r in ranges or () if r["r_key"] == keys[row + t]]
-                if not ranges:
-                    left, removed, runs = raw[lo:hi], 0, 0
-                else:
-                    s, e = np.array([(r["s"], r["e"]) for r in ranges], np.int64).T
-                    mask = covered(hi - lo, s, e)
-                    removed, runs = int(mask.sum()), len(runs_of(mask)[0])
-                    left = data[lo:hi][~mask].tobytes()
-                size.append(hi - lo)
-                gone.append(removed)
-                spans.append(runs)
-                digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-        rest = {k: batch.column(i) for i, k in enumerate(names) if k not in ("r_spans", "r_text", "r_id", "r_key")}
-        yield pa.record_batch({**rest, "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), **({"kept_bytes": pa.array(kept, pa.binary())} if "r_want" in names else {})})
+            text, key, s, e = _ranges_of(batch.column(names.index("r_spans")), row, end, offsets)
+            own = key == keys[row + text]
+            gone = covered(len(data), s[own], e[own])
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            edges = offsets[:-1][offsets[:-1] < len(data)]
+            begins[edges] = gone[edges]
+            removed, spans = (np.append(0, np.cumsum(x))[offsets] for x in (gone, begins))
+            left, at = data[~gone].tobytes(), offsets - removed
+            kept = [left[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            rest = {k: batch.column(i).slice(row, end - row) for i, k in enumerate(names) if k not in ("r_spans", "r_text", "r_id", "r_key")}
+            digest = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+            yield pa.record_batch({**rest, "n_bytes": np.diff(offsets), "n_removed": np.diff(removed), "n_spans": np.diff(spans), "kept_sha256": digest, **({"kept_bytes": pa.array(kept, pa.binary())} if "r_want" in names else {})})
 
 
 def repeated_bytes(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
@@ -368,14 +402,15 @@ def repeated_bytes(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     total = named.agg(F.sum(F.octet_length("r_text"))).first()[0] or 0
     runs = total // ((size - GRAM + 2) // 2)
     anchors = named.select("r_id", "r_text").mapInArrow(_find_anchors(size, max(1, runs // RUNS_PER_BUCKET)), "bucket long, packed binary")
-    known = stored(anchors.groupBy("bucket").applyInArrow(_repeated_anchors(max(2000, runs // HOT_ANCHORS)), "is_hot boolean, r_id long, s long, e long"))
-    hot = np.sort(np.array([r.r_id for r in known.where("is_hot").orderBy(F.desc("s")).limit(HOT_ANCHORS).select("r_id").collect()], np.int64).view(np.uint64))
-    candidates = known.where("not is_hot").groupBy("r_id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    groups = max(1, total // BYTES_PER_GROUP)
+    known = stored(anchors.groupBy("bucket").applyInArrow(_repeated_anchors(max(2000, runs // HOT_ANCHORS), groups), "docs long, packed binary, hot long, times long"))
+    hot = np.sort(np.array([r.hot for r in known.where("hot is not null").orderBy(F.desc("times"), "hot").limit(HOT_ANCHORS).select("hot").collect()], np.int64).view(np.uint64))
+    of_documents = "r_id long, r_spans array<struct<r_key int, s long, e long>>"
+    candidates = known.where("docs is not null").groupBy("docs").applyInArrow(_of_documents, of_documents)
     strings = named.join(candidates, "r_id").mapInArrow(_cut_strings(size, max(1, total // (2 * BYTES_PER_BUCKET)), hot), "bucket long, packed binary, place binary, spans binary")
-    spans = strings.groupBy("bucket").applyInArrow(_later_windows(size), "r_id long, r_key int, s long, e long")
+    spans = strings.groupBy("bucket").applyInArrow(_later_windows(size, groups), "docs long, packed binary")
     # the same exchange of the documents serves both joins
-    spans = spans.groupBy("r_id").agg(F.collect_set(F.struct("s", "e", "r_key")).alias("r_spans"))
-    joined = named.join(spans, "r_id", "left")
+    joined = named.join(spans.groupBy("docs").applyInArrow(_of_documents, of_documents), "r_id", "left")
     if with_bytes:
         joined = joined.withColumn("r_want", F.lit(True))
     kind = joined.schema["r_0"].dataType.simpleString()

@@ -4,14 +4,24 @@ A page is read into text blocks; each block has the path of tags from the root
 to it.  For each path the text length and the punctuation marks of its blocks
 are added up and divided by the number of blocks.  Both ratios are smoothed over
 the sequence of blocks, fused by multiplication, and paths above a threshold
-that follows the page's own spread are content.  The smallest element around the
-content then gives the text, with all its blocks, short ones too.
-
-Menus, headers, footers, sidebars, forms and the like are left out by their tags,
-and by the words in class, id and role.  Pages are independent rows: no shuffle.
-
-A null page is an empty one; its text is empty.  Repeated rows give repeated
-results, no rows none.
+that follows the page's own spread are content nodes.  They tell where the
+article is: all ``article`` elements that hold content, if those hold half of it;
+else ``main``; else the smallest element around the content.  There a block stays
+if its path is content, or if its tag says what it is (a heading, a paragraph, an
+item, a cell): so short lines of an article stay, and stray lines in neutral
+boxes go.
+
+Navigation, footers, forms and the like are left out by their tags.  Words in
+class, id and role are a weaker sign: they count where all parts of a name are
+known (``cookie-notice``, not ``notice-board``), and not for an element that
+holds more than half of the page's text, unless it stands outside ``article`` and
+``main`` on a page that has them.
+
+Pages are independent rows: no shuffle, and time and memory in proportion to the
+page, however deep it is nested (a path is a number: that of the parent's path
+and a tag).  A null page is an empty one; its text is empty.  Markup that never
+closes ends with the page.  Repeated rows give repeated results, no rows none;
+other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +39,12 @@ from pyspark.sql import functions as F
 LEFT_OUT = frozenset("head nav footer aside form script style noscript template iframe svg math button select textarea dialog object canvas audio video".split())
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset("p b i em strong span a u small font".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:nav|navbar|menu|header|footer|sidebar|side-bar|ad|ads|advert|advertisement|sponsor|sponsored|promo|banner|cookie|cookies|consent|notice|alert|popup|modal|comment|comments|disqus|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|login|search|pagination|pager|skip|widget|toolbar)(?:$|[\s_-]|\d)", re.I)
+LEAVES = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd pre blockquote td th tr caption figcaption summary address".split())
+# Names of what surrounds an article, and parts that go with them.
+ASIDES = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus gdpr header footer login menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion recommended related replies respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
+PARTS = frozenset("area article bar block body bottom box buttons container desktop entry fixed footer global group holder icons inner item items js left link links list main mobile outer page panel policy post primary reader region right secondary section site sticky text thread title top user wrap wrapper".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
@@ -39,23 +53,31 @@ MARKS = re.compile(r"[.,;:!?。，！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out")
-
-    def __init__(self, tag: str, parent: _Element | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
-        self.path = f"{parent.path}/{tag}" if parent else tag
-
-    def around(self) -> list[_Element]:
-        own, e = [], self
-        while e:
-            own.append(e)
-            e = e.parent
-        return own[::-1]
-
-
-def page_blocks(page: str) -> list[tuple[_Element, str]]:
-    """Element and text of each block that isn't left out, in page order."""
-    root = here = _Element("", None, False)
+    __slots__ = ("tag", "parent", "path", "out", "aside", "article", "block", "number")
+
+    def __init__(self, tag: str, parent: _Element | None, path: int, number: int):
+        self.tag, self.parent, self.path, self.number = tag, parent, path, number
+        self.out = parent.out if parent else False  # left out by tag
+        self.aside = False  # named like a surrounding
+        self.block = self if tag in BLOCKS or not parent else parent.block
+        self.article = tag in ("article", "main") or (parent.article if parent else False)
+
+
+def named_aside(names: list[str], in_article: bool) -> bool:
+    """Does one of the names (of class, id, role) consist of known parts, a surrounding among them?"""
+    for name in names:
+        parts = {x for x in re.split(r"[\d_-]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x}
+        own = parts & ASIDES - ({"header"} if in_article else set())
+        if own and parts <= ASIDES | PARTS:
+            return True
+    return False
+
+
+def page_blocks(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
+    """All elements, parents first; element and text of each block that isn't left out by tag, in page order."""
+    root = _Element("", None, 0, 0)
+    elements, stack, open_ = [root], [root], {}
+    paths: dict[tuple[int, str], int] = {}
     blocks: list[tuple[_Element, str]] = []
     pieces: list[str] = []
     holder = root
@@ -66,6 +88,19 @@ def page_blocks(page: str) -> list[tuple[_Element, str]]:
             blocks.append((holder, text))
         pieces.clear()
 
+    def close(keep: int) -> None:
+        while len(stack) > keep:
+            open_[stack.pop().tag] -= 1
+
+    def close_one_of(tags, within) -> None:
+        """Close the innermost element with one of the tags, if all those inside it pass ``within``."""
+        for at in range(len(stack) - 1, 0, -1):
+            if stack[at].tag in tags:
+                close(at)
+                return
+            if not within(stack[at].tag):
+                return
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -74,8 +109,8 @@ def page_blocks(page: str) -> list[tuple[_Element, str]]:
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 if not pieces:
-                    holder = here
-                if not here.out:
+                    holder = stack[-1].block
+                if not stack[-1].out:
                     pieces.append(m[0])
             continue
         tag = tag.lower()
@@ -84,49 +119,42 @@ def page_blocks(page: str) -> list[tuple[_Element, str]]:
                 flush()
             elif tag in ("td", "th"):
                 pieces.append(" ")
-            e = here
-            while e.parent and e.tag != tag:
-                e = e.parent
-            if e.parent:
-                here = e.parent
+            if open_.get(tag):
+                at_stack = len(stack) - 1
+                while stack[at_stack].tag != tag:
+                    at_stack -= 1
+                close(at_stack)
                 if tag in BLOCKS:
-                    holder = here
+                    holder = stack[-1]
             continue
         if tag in BLOCKS:
             flush()
-            e = here
-            while e.parent and e.tag in ("p", "b", "i", "em", "strong", "span", "a", "u", "small", "font"):
-                if e.tag == "p":
-                    here = e.parent
-                    break
-                e = e.parent
-        ends = CLOSED_BY.get(tag)
-        if ends:
-            e = here
-            while e.parent and e.tag not in ends and e.tag not in ("ul", "ol", "dl", "table"):
-                e = e.parent
-            if e.parent and e.tag in ends:
-                here = e.parent
+            close_one_of(("p",), lambda t: t in INLINE)
+        if tag in CLOSED_BY:
+            close_one_of(CLOSED_BY[tag], lambda t: t not in ("ul", "ol", "dl", "table"))
         if tag in VOID:
             if tag == "br":
                 pieces.append("\n")
             continue
-        attributes = m[3]
-        out = here.out or tag in LEFT_OUT
-        if not out and tag == "header":
-            out = not any(e.tag in ("article", "main") for e in here.around())
-        if not out and attributes and tag not in ("html", "body", "article", "main"):
-            out = any(NOT_CONTENT.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+        here, attributes = stack[-1], m[3]
         if attributes.endswith("/") and tag in RAW:
             continue
-        here = _Element(tag, here, out)
-        if tag in BLOCKS:
-            holder = here
+        element = _Element(tag, here, paths.setdefault((here.path, tag), len(paths) + 1), len(elements))
+        element.out |= tag in LEFT_OUT or (tag == "header" and not here.article)
+        if attributes and tag not in ("html", "body", "article", "main"):
+            element.aside = named_aside([x for a, b, c in NAMED.findall(attributes) for x in (a or b or c).split()], here.article)
+            element.out |= element.aside and tag not in BLOCKS  # within a block there is no text to weigh
+        elements.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at, here = (end.end() if end else n), here.parent
+            at = end.end() if end else n
+            continue
+        stack.append(element)
+        open_[tag] = open_.get(tag, 0) + 1
+        if tag in BLOCKS:
+            holder = element
     flush()
-    return blocks
+    return elements, blocks
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -139,45 +167,66 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The text of a page's content blocks, one a line."""
-    blocks = page_blocks(page or "")
-    if not blocks:
-        return ""
-    sums: dict[str, list[float]] = {}
+def path_scores(blocks: list[tuple[_Element, str]]) -> tuple[dict[int, float], float]:
+    """The fused, smoothed ratio of each tag path (its best block's), and the threshold above which paths are content."""
+    sums: dict[int, list[float]] = {}
     for element, text in blocks:
         s = sums.setdefault(element.path, [0.0, 0.0, 0.0])
         s[0] += len(text)
         s[1] += len(MARKS.findall(text))
         s[2] += 1
-    length = _smooth([sums[e.path][0] / sums[e.path][2] for e, _ in blocks])
-    marks = _smooth([sums[e.path][1] / sums[e.path][2] for e, _ in blocks])
+    length, marks = (_smooth([sums[e.path][i] / sums[e.path][2] for e, _ in blocks]) for i in (0, 1))
     fused = [math.log1p(a * (1 + b)) for a, b in zip(length, marks, strict=True)]
-    of_path: dict[str, float] = {}
+    of_path: dict[int, float] = {}
     for (element, _), f in zip(blocks, fused, strict=True):
         of_path[element.path] = max(f, of_path.get(element.path, 0.0))
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    bar = min(mean - 0.5 * spread, max(of_path.values()))
-    content = [e for e, _ in blocks if of_path[e.path] >= bar]
-    weight = {}
+    return of_path, min(mean - 0.5 * spread, 0.75 * mean, max(of_path.values()))
+
+
+def _weights(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> list[int]:
+    """Characters of the blocks within each element."""
+    weight = [0] * len(elements)
     for e, text in blocks:
-        if of_path[e.path] >= bar:
-            for a in e.around():
-                weight[a] = weight.get(a, 0) + len(text)
-    articles = [a for a in weight if a.tag in ("article", "main")]
-    if articles:
-        around = max(articles, key=lambda a: weight[a])
-    else:
-        common = content[0].around()
-        for e in content[1:]:
-            other = e.around()
-            k = 0
-            while k < min(len(common), len(other)) and common[k] is other[k]:
-                k += 1
-            common = common[:k]
-        around = common[-1]
-    return "\n".join(text for e, text in blocks if around in e.around())
+        weight[e.number] += len(text)
+    for e in reversed(elements):
+        if e.parent:
+            weight[e.parent.number] += weight[e.number]
+    return weight
+
+
+def _within(elements: list[_Element], chosen: set[int]) -> list[bool]:
+    """Which elements lie in one of the chosen."""
+    inside = [False] * len(elements)
+    for e in elements:
+        inside[e.number] = e.number in chosen or (e.parent is not None and inside[e.parent.number])
+    return inside
+
+
+def main_text(page: str | None) -> str:
+    """The text of a page's content blocks, one a line."""
+    elements, blocks = page_blocks(page or "")
+    weight = _weights(elements, blocks)
+    told = any(e.article for e, _ in blocks)
+    aside = _within(elements, {e.number for e in elements if e.aside and (told and not e.article or 2 * weight[e.number] <= weight[0])})
+    blocks = [(e, text) for e, text in blocks if not aside[e.number]]
+    if not blocks:
+        return ""
+    score, bar = path_scores(blocks)
+    content = [(e, text) for e, text in blocks if score[e.path] >= bar]
+    weight = _weights(elements, content)
+    around = set()
+    for tag in ("article", "main"):
+        found = {e.number for e in elements if e.tag == tag and weight[e.number]}
+        inside = _within(elements, found)
+        if 2 * sum(len(text) for e, text in content if inside[e.number]) >= weight[0] and found:
+            around = found
+            break
+    if not around:
+        around = {max(e.number for e in elements if weight[e.number] == weight[0])}
+    inside = _within(elements, around)
+    return "\n".join(text for e, text in blocks if inside[e.number] and (score[e.path] >= bar or e.tag in LEAVES))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

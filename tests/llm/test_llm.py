@@ -260,6 +260,52 @@ def test_html(spark):
     assert html.extract_main_text(df.where("page_id < 0")).isEmpty()
 
 
+SENTENCE = "It is a long sentence, with several words, and it ends here."
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (f"<article><h1>A</h1><p>{SENTENCE}</p></article><article><p>B: {SENTENCE}</article>", f"A\n{SENTENCE}\nB: {SENTENCE}"),  # several articles
+        (f"<article><p>{SENTENCE}</p><div class='share-price notice-board'><p>{SENTENCE}</p></div><div class='social-share'>Share, now.</div></article>", f"{SENTENCE}\n{SENTENCE}"),  # names of known parts alone
+        (f"<main><article><p>{SENTENCE}<p>{SENTENCE}</article><section><p>Reader: nice, thank you!</section></main>", f"{SENTENCE}\n{SENTENCE}"),  # the article within main
+        (f"<div class='widget'><div><p>{SENTENCE}</p><p>{SENTENCE}</p></div></div><div class='ad'>Buy, now.</div>", f"{SENTENCE}\n{SENTENCE}"),  # a named box around nearly all text
+        (f"<div><div>{SENTENCE}</div><div>{SENTENCE}</div></div><nav><p>{SENTENCE}</nav>", f"{SENTENCE}\n{SENTENCE}"),  # an article of neutral boxes
+        ("<div>" * 5000 + SENTENCE, SENTENCE),  # deep nesting
+        ("".join(f"<div>{i}: {SENTENCE}" for i in range(3000)), "\n".join(f"{i}: {SENTENCE}" for i in range(3000))),
+        ("<p" + " x='" * 3000, ""),  # quotes that never close
+    ],
+)
+def test_html_pages(page, wanted):
+    got = html.main_text(f"<html><body>{page}")
+    assert got == wanted or wanted == "" and len(got) < len(page) + 10
+
+
+def test_html_path_scores():
+    """Ratios of each path by a plain reading: sums over its blocks, smoothed over the page, multiplied."""
+    page = "<html><body>" + "".join(f"<div><p>{'word, ' * (3 * i + 1)}</p></div><ul><li>item {i}<li>b</ul>" for i in range(6))
+    elements, blocks = html.page_blocks(page)
+    paths = [tuple(_path(e)) for e, _ in blocks]
+    ratio = {}
+    for k in (0, 1):
+        measure = (lambda t: len(t)) if k == 0 else (lambda t: sum(c in ".,;:!?" for c in t))
+        ratio[k] = [np.mean([measure(t) for (_, t), q in zip(blocks, paths, strict=True) if q == p]) for p in paths]
+    fused = []
+    for i in range(len(blocks)):
+        near = [j for j in range(len(blocks)) if abs(i - j) <= 2]
+        weight = [(1.0, 0.6, 0.15)[abs(i - j)] for j in near]
+        a, b = (np.average([ratio[k][j] for j in near], weights=weight) for k in (0, 1))
+        fused.append(np.log(1 + a * (1 + b)))
+    score, bar = html.path_scores(blocks)
+    for (e, _), p in zip(blocks, paths, strict=True):
+        assert score[e.path] == pytest.approx(max(f for f, q in zip(fused, paths, strict=True) if q == p))
+    assert bar == pytest.approx(min(np.mean(fused) - 0.5 * np.std(fused), 0.75 * np.mean(fused), max(fused)))
+
+
+def _path(element):
+    return [] if element.parent is None else [*_path(element.parent), element.tag]
+
+
 def test_scoring(spark, docs):
     out = scoring.pseudo_likelihood(docs).toPandas()
     assert len(out) == docs.count()

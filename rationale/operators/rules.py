@@ -7,14 +7,17 @@ every join and aggregate is keyed by g.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rationale.functions.order import numbered
+from rationale.functions.special import log_binomial, log_factorial
+from rationale.sources.scratch import stored
+
 
 def split_prune(tx: DataFrame, group: str = "g", order: str = "tid") -> DataFrame:
-    """With ``is_prune``: every third basket of a group, the first among them."""
-    return tx.withColumn("is_prune", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) % 3 == 0)
+    """With ``is_prune``: every third basket of a group, the first among them; a group may be of any size."""
+    return numbered(tx, [order], "r_place", (group,)).withColumn("is_prune", F.col("r_place") % 3 == 0).drop("r_place")
 
 
 def class_sizes(tx: DataFrame, group: str = "g") -> DataFrame:
@@ -44,29 +47,37 @@ def candidate_counts(tx: DataFrame, length: int, group: str = "g", allowed: Data
     return alone.join(class_sizes(tx, group), [group, "class"])
 
 
-def fisher_log_p(counts: DataFrame, factorials: DataFrame) -> DataFrame:
-    """With ``log_p``: log of the right tail of the hypergeometric distribution, summed with the largest term taken out.
+def fisher_log_p(counts: DataFrame) -> DataFrame:
+    """With ``log_p``: log of the right tail of the hypergeometric distribution.
 
-    ``factorials`` (n, lf) holds ln n! up to the largest n; one row with an array of them is broadcast.
+    The first term comes from log factorials, each next one from its ratio to the
+    one before.  Terms further than 12 deviations from the mode and from the
+    first are left out: they don't reach the last digit of a double.
     """
-    lf = factorials.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "lf"))), lambda s: s["lf"]).alias("lf"))
-    at = lambda x: F.element_at("lf", (x + 1).cast("int"))
-    choose = lambda n, k: at(n) - at(k) - at(n - k)
-    a, c, n = F.col("n_items"), F.col("n_class"), F.col("n")
-    terms = F.transform(F.sequence(F.col("n_both"), F.least(a, c)), lambda k: choose(c, k) + choose(n - c, a - k) - choose(n, a))
-    rows = counts.join(F.broadcast(lf)).withColumn("terms", terms).withColumn("top", F.array_max("terms"))
-    total = F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.exp(t - F.col("top")))
-    return rows.withColumn("log_p", F.col("top") + F.log(total)).drop("terms", "top", "lf")
-
-
-def pss_filter(counts: DataFrame, factorials: DataFrame, alpha: float = 0.001) -> DataFrame:
+    both, a, c, n = (F.col(x).cast("double") for x in ("n_both", "n_items", "n_class", "n"))
+    mode = F.floor((a + 1) * (c + 1) / (n + 2))
+    spread = F.ceil(12 * F.sqrt(a * c / n * (n - a) / n * (n - c) / F.greatest(n - 1, F.lit(1.0)))) + 50
+    first = F.greatest(F.greatest(both, mode - spread), a + c - n)
+    last = F.least(F.least(a, c), F.greatest(both, mode) + spread)
+    start = log_binomial(c, F.col("first")) + log_binomial(n - c, a - F.col("first")) - log_binomial(n, a)
+    ratio = lambda k: (c - k) * (a - k) / ((k + 1) * (n - c - a + k + 1))
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] * ratio(k)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    steps = F.when(F.col("last") > F.col("first"), F.sequence(F.col("first").cast("long"), F.col("last").cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+    total = F.aggregate(steps, zero, add, lambda s: s["sum"])
+    rows = counts.withColumn("first", first).withColumn("last", last)
+    return rows.withColumn("log_p", start + F.log(total)).drop("first", "last")
+
+
+def pss_filter(counts: DataFrame, alpha: float = 0.001) -> DataFrame:
     """Itemsets that could still become significant: more frequent than the class, or a lower bound of p within alpha."""
-    lf = factorials.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "lf"))), lambda s: s["lf"]).alias("lf"))
-    at = lambda x: F.element_at("lf", (x + 1).cast("int"))
     a, c, n = F.col("n_items"), F.col("n_class"), F.col("n")
-    bound = at(c) + at(n - a) - at(n) - at(F.greatest(c - a, F.lit(0)))
-    rows = counts.join(F.broadcast(lf))
-    return rows.where((a > c) | (bound <= F.log(F.lit(alpha)))).drop("lf")
+    bound = log_factorial(c) + log_factorial(n - a) - log_factorial(n) - log_factorial(F.greatest(c - a, F.lit(0)))
+    return counts.where((a > c) | (bound <= F.log(F.lit(alpha))))
 
 
 def minimal_rules(rules: DataFrame, longer: DataFrame, group: str = "g") -> DataFrame:
@@ -95,14 +106,12 @@ def as_rules(counts: DataFrame) -> DataFrame:
     return counts.select("*", (F.col("n_items") / F.col("n")).alias("support"), (F.col("n_both") / F.col("n_items")).alias("confidence"))
 
 
-def mine(tx: DataFrame, factorials: DataFrame, group: str = "g", max_len: int = 3, alpha: float = 0.001) -> DataFrame:
+def mine(tx: DataFrame, group: str = "g", max_len: int = 3, alpha: float = 0.001) -> DataFrame:
     """Significant, minimal, non-redundant rules up to a length, level by level; each level is written once."""
-    from rationale.sources.scratch import stored
-
     found, previous, allowed = None, None, None
     for length in range(1, max_len + 1):
         counts = candidate_counts(tx, length, group, allowed)
-        level = fisher_log_p(pss_filter(counts, factorials, alpha), factorials)
+        level = fisher_log_p(pss_filter(counts, alpha))
         level = level.withColumn("min_log_p", F.col("log_p")) if previous is None else non_redundant(previous, level, group)
         level = stored(level)
         good = as_rules(level.where(F.col("log_p") <= F.log(F.lit(alpha))))
@@ -128,40 +137,40 @@ def importance(rules: DataFrame, tx: DataFrame, group: str = "g") -> DataFrame:
     return rules.join(votes, [group, "rule_id"])
 
 
-def sequential_cover(rules: DataFrame, prune_tx: DataFrame, min_conf: float = 0.5, group: str = "g") -> DataFrame:
-    """(g, rule_id, place): the rule best on the uncovered rows is taken again and again; a group's rules and rows fit one task.
+def sequential_cover(rules: DataFrame, prune_tx: DataFrame, min_conf: float = 0.5, group: str = "g", max_rounds: int = 1000) -> DataFrame:
+    """(g, rule_id, place): the rule best on the uncovered rows is taken again and again, in all groups at once.
 
-    The first round ranks by training confidence, later ones by confidence on what is left; ties by log_p, then id.
+    The first round ranks by training confidence, later ones by confidence on
+    what is left; ties by log_p, then id.  A round is one aggregate, a choice
+    for each group and an anti-join; a group ends when no rule reaches
+    ``min_conf`` or no row is left, so it takes as many rounds as the longest
+    list has rules.
     """
-    hits = applicable(rules, prune_tx, group).select(group, "rule_id", "tid", (F.col("class") == F.col("tx_class")).alias("ok"), "confidence", "log_p")
-
-    def cover(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rest = f
-        while len(rest):
-            by = rest.groupby("rule_id").agg(c=("confidence" if not kept else "ok", "mean"), p=("log_p", "first")).reset_index()
-            by = by[by.c >= min_conf].sort_values(["c", "p", "rule_id"], ascending=[False, True, True])
-            if not len(by):
-                break
-            top = by.rule_id.iloc[0]
-            kept.append(int(top))
-            rest = rest[~rest.tid.isin(rest.tid[rest.rule_id == top])]
-        return pd.DataFrame({group: f[group].iloc[:1].repeat(len(kept)).to_numpy(), "rule_id": kept, "place": range(1, len(kept) + 1)})
-
-    return hits.groupBy(group).applyInPandas(cover, f"{group} {hits.schema[group].dataType.simpleString()}, rule_id long, place long")
+    rest = stored(applicable(rules, prune_tx, group).select(group, "rule_id", "tid", (F.col("class") == F.col("tx_class")).cast("double").alias("ok"), "confidence", "log_p"))
+    done = None
+    for place in range(1, max_rounds + 1):
+        by = rest.groupBy(group, "rule_id").agg(F.round(F.avg("confidence" if place == 1 else "ok"), 12).alias("c"), F.first("log_p").alias("p"))
+        best = by.where(F.col("c") >= min_conf).groupBy(group).agg(F.min_by("rule_id", F.struct(-F.col("c"), "p", "rule_id")).alias("rule_id"))
+        top = stored(best.withColumn("place", F.lit(place).cast("long")))
+        if top.isEmpty():
+            break
+        done = top if done is None else done.unionByName(top)
+        gone = rest.join(top.select(group, "rule_id"), [group, "rule_id"]).select(group, "tid").distinct()
+        rest = stored(rest.join(top.select(group), group, "left_semi").join(gone, [group, "tid"], "left_anti"))
+    return top.drop("place").withColumn("place", F.lit(0).cast("long")) if done is None else done
 
 
 def classify(tx: DataFrame, rules: DataFrame, hrs: int = 1, truncate: bool = False, group: str = "g") -> DataFrame:
     """(g, tid, predicted): class scores of applicable rules by importance and log_p (1, least wins), confidence (2, most) or both (3, least).
 
-    Baskets without a rule get the group's majority class. ``truncate`` drops fractions of scores.
+    Baskets without a rule get the group's majority class (ties: the first by name). ``truncate`` drops fractions of scores.
     """
     value = {1: F.col("importance") * F.col("log_p"), 2: F.col("importance") * F.col("confidence"), 3: F.col("importance") * F.col("log_p") * F.col("confidence")}[hrs]
     sums = applicable(rules, tx, group).groupBy(group, "tid", "class").agg(F.sum(value).alias("v"))
     v = F.when(F.col("v") >= 0, F.floor("v")).otherwise(F.ceil("v")) if truncate else F.round("v", 9)
     first = Window.partitionBy(group, "tid").orderBy(F.desc(v) if hrs == 2 else F.asc(v), "class")
     won = sums.withColumn("r", F.row_number().over(first)).where("r = 1").select(group, "tid", F.col("class").alias("won"))
-    majority = class_sizes(tx, group).groupBy(group).agg(F.max_by("class", F.struct("n_class", F.hash("class"))).alias("majority"))
+    majority = class_sizes(tx, group).groupBy(group).agg(F.min_by("class", F.struct(-F.col("n_class"), "class")).alias("majority"))
     return tx.select(group, "tid").join(won, [group, "tid"], "left").join(majority, group).select(group, "tid", F.coalesce("won", "majority").alias("predicted"))
 
 
@@ -227,18 +236,16 @@ def contrast_rules(rules: DataFrame, item_features: DataFrame, max_dev: float =
     return a.join(b, [group, "fs"]).where(f"class1 < class2 and abs(p1 - p2) <= {max_dev}").select(group, "rule1", "rule2", "class1", "class2")
 
 
-def explain_rules(instances: DataFrame, make_neighbourhood, to_baskets, factorials: DataFrame, item_features: DataFrame, key: str, tries: int = 3, alpha: float = 0.001) -> DataFrame:
+def explain_rules(instances: DataFrame, make_neighbourhood, to_baskets, item_features: DataFrame, key: str, tries: int = 3, alpha: float = 0.001) -> DataFrame:
     """(key, feature, weight, attempt): neighbourhoods are mined, and instances on which the surrogate disagrees are tried again with other draws.
 
     ``make_neighbourhood(instances, seed)`` gives rows with rep and label;
     ``to_baskets(rows)`` gives (g, tid, items, class) with tid 0 the instance.
     """
-    from rationale.sources.scratch import stored
-
     open_, done = instances, None
     for turn in range(tries):
         tx = stored(to_baskets(make_neighbourhood(open_, turn + 1)))
-        rules = mine(tx, factorials, "g", 2, alpha)
+        rules = mine(tx, "g", 2, alpha)
         rules = stored(rules.withColumn("rule_id", F.xxhash64("g", "items", "class")))
         weighted = importance(rules, tx)
         own = tx.where("tid = 0")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rationale.functions.special import log_factorials
 from rationale.operators import neighbours as E
 from rationale.operators import rules as H
 from rationale.operators.score import score
@@ -36,10 +35,6 @@ def counted(read):
     return H.candidate_counts(tx, 1).unionByName(H.candidate_counts(tx, 2))
 
 
-def factorials(spark, read):
-    return log_factorials(spark, read("part").count())
-
-
 def keyed(df):
     return df.select("g", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), *[c for c in df.columns if c not in ("g", "items")])
 
@@ -59,7 +54,7 @@ def _(spark, read):
 
 @query("h3_fisher_log_p", f"WITH {TX}, {PAIRS}, {PV} SELECT g, {KEY}, class, round(log_p, 5) + 0.0 AS log_p FROM pv")
 def _(spark, read):
-    return rounded(keyed(H.fisher_log_p(counted(read), factorials(spark, read)).select("g", "items", "class", "log_p")), 5)
+    return rounded(keyed(H.fisher_log_p(counted(read)).select("g", "items", "class", "log_p")), 5)
 
 
 _PSS = f"ps AS (SELECT * FROM pv WHERE n_items > n_class OR lgamma(n_class + 1) + lgamma(n - n_items + 1) - lgamma(n + 1) - lgamma(greatest(n_class - n_items, 0) + 1) <= ln(0.001))"
@@ -67,7 +62,7 @@ _PSS = f"ps AS (SELECT * FROM pv WHERE n_items > n_class OR lgamma(n_class + 1)
 
 @query("h4_pss_filter", f"WITH {TX}, {PAIRS}, {PV}, {_PSS} SELECT g, {KEY}, class FROM ps")
 def _(spark, read):
-    return keyed(H.pss_filter(counted(read), factorials(spark, read)).select("g", "items", "class"))
+    return keyed(H.pss_filter(counted(read)).select("g", "items", "class"))
 
 
 @query("h5_minimal_rules", f"WITH {TX}, {PAIRS}, d AS (SELECT g, class, items[1] AS x FROM cn WHERE len(items) = 1 AND n_both = n_items) SELECT g, {KEY}, class FROM cn WHERE len(items) = 2 AND NOT EXISTS (SELECT 1 FROM d WHERE d.g = cn.g AND d.class = cn.class AND list_contains(cn.items, d.x))")
@@ -78,7 +73,7 @@ def _(spark, read):
 
 @query("h6_non_redundant", f"WITH {TX}, {PAIRS}, {PV}, o AS (SELECT g, class, items[1] AS x, log_p, n_both < n_items AS op FROM pv WHERE len(items) = 1), j AS (SELECT p.g, p.items, p.class, any_value(p.log_p) AS lp, count(*) AS k, bool_and(op) AS op, min(o.log_p) AS below FROM pv p JOIN o ON o.g = p.g AND o.class = p.class AND list_contains(p.items, o.x) WHERE len(p.items) = 2 GROUP BY p.g, p.items, p.class) SELECT g, {KEY}, class FROM j WHERE k = 2 AND op AND lp < below")
 def _(spark, read):
-    c = H.fisher_log_p(counted(read), factorials(spark, read))
+    c = H.fisher_log_p(counted(read))
     return keyed(H.non_redundant(c.where("size(items) = 1").withColumn("min_log_p", F.col("log_p")), c.where("size(items) = 2")).select("g", "items", "class"))
 
 
@@ -87,9 +82,13 @@ def _(spark, read):
     return rounded(keyed(H.as_rules(counted(read)).select("g", "items", "class", "support", "confidence")))
 
 
-@query("h7_mined_rules")
+_MINED = "p1 AS (SELECT g, class, items[1] AS x, log_p, n_both < n_items AS open FROM ps WHERE len(items) = 1), fo AS (SELECT * FROM ps WHERE len(items) = 1 UNION ALL SELECT ps.* FROM ps JOIN p1 a ON a.g = ps.g AND a.class = ps.class AND a.x = items[1] JOIN p1 b ON b.g = ps.g AND b.class = ps.class AND b.x = items[2] WHERE len(items) = 2 AND a.open AND b.open AND ps.log_p < least(a.log_p, b.log_p))"
+
+
+@query("h7_mined_rules", f"WITH {TX}, {PAIRS}, {PV}, {_PSS}, {_MINED} SELECT g, {KEY}, class, round(n_items::DOUBLE / n, 6) AS support, round(n_both::DOUBLE / n_items, 6) AS confidence, round(log_p, 5) + 0.0 AS log_p FROM fo WHERE log_p <= ln(0.001)")
 def _(spark, read):
-    return rounded(keyed(H.mine(baskets(read), factorials(spark, read), max_len=2)))
+    m = keyed(H.mine(baskets(read), max_len=2))
+    return rounded(m.withColumn("log_p", F.round("log_p", 5)))
 
 
 # A rule set for the rest: single items and pairs, numbered.
@@ -99,7 +98,7 @@ RULES = "ru AS (SELECT row_number() OVER (ORDER BY g, class, len(items), array_t
 def ruleset(spark, read):
     from pyspark.sql import Window
 
-    r = H.as_rules(H.fisher_log_p(counted(read), factorials(spark, read))).where("log_p < -1")
+    r = H.as_rules(H.fisher_log_p(counted(read))).where("log_p < -1")
     text = F.array_join(F.transform("items", lambda x: F.lpad(x.cast("string"), 3, "0")), " ")
     return r.withColumn("rule_id", F.row_number().over(Window.orderBy("g", "class", F.size("items"), text))).select("g", "rule_id", "items", "class", "support", "confidence", "log_p").transform(stored)
 
@@ -127,12 +126,11 @@ def _(spark, read):
 
 for _h, _value, _dir in ((1, "importance * log_p", "ASC"), (2, "importance * confidence", "DESC"), (3, "importance * log_p * confidence", "ASC")):
 
-    @query(f"h11_classify_{_h}", f"{_BASE}, {_IMP}, sc AS (SELECT ap.g, tid, class, round(sum({_value}), 9) AS v FROM ap JOIN im USING (g, rule_id) GROUP BY ap.g, tid, class), w AS (SELECT *, row_number() OVER (PARTITION BY g, tid ORDER BY v {_dir}, class) AS r FROM sc) SELECT g, class AS predicted, count(*) AS n FROM w WHERE r = 1 GROUP BY g, class")
+    @query(f"h11_classify_{_h}", f"{_BASE}, {_IMP}, sc AS (SELECT ap.g, tid, class, round(sum({_value}), 9) AS v FROM ap JOIN im USING (g, rule_id) GROUP BY ap.g, tid, class), w AS (SELECT *, row_number() OVER (PARTITION BY g, tid ORDER BY v {_dir}, class) AS r FROM sc), mj AS (SELECT g, class AS majority FROM (SELECT g, class, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, class) AS r FROM tx GROUP BY g, class) WHERE r = 1) SELECT tx.g, coalesce(w.class, majority) AS predicted, count(*) AS n, sum(tx.tid)::BIGINT AS tids FROM tx JOIN mj ON mj.g = tx.g LEFT JOIN w ON w.g = tx.g AND w.tid = tx.tid AND r = 1 GROUP BY 1, 2")
     def _(spark, read, hrs=_h):
         tx = baskets(read)
         rules = H.importance(ruleset(spark, read), tx)
-        covered = H.applicable(rules, tx).select("g", "tid").distinct()
-        return H.classify(tx, rules, hrs).join(covered, ["g", "tid"]).groupBy("g", "predicted").agg(F.count("*").alias("n"))
+        return H.classify(tx, rules, hrs).groupBy("g", "predicted").agg(F.count("*").alias("n"), F.sum("tid").alias("tids"))
 
 
 NAMES = [(i, "size", None if i == 0 else 11.0 * i, None if i == 4 else 11.0 * (i + 1), None) for i in range(5)] + [(5 + i, "price", None, None, f"mod {i}") for i in range(5)] + [(10 + i, "type", None, None, f"t{i}") for i in range(3)]
@@ -207,6 +205,6 @@ def _(spark, read):
         size, price = F.least(F.greatest(F.floor(F.col("p_size") / 11), F.lit(0)), F.lit(4)), F.least(F.greatest(F.floor((F.col("p_retailprice") - 900) / 100), F.lit(0)), F.lit(4))
         return rows.select(F.col("id").alias("g"), F.col("rep").cast("long").alias("tid"), F.array(size.cast("int"), (price + 5).cast("int")).alias("items"), F.col("label").alias("class"))
 
-    return rounded(H.explain_rules(instances, make, to_baskets, log_factorials(spark, 500), item_features(spark), "id", 2))
+    return rounded(H.explain_rules(instances, make, to_baskets, item_features(spark), "id", 2))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rationale.functions.order import numbered, percentiles, running
+from rationale.sources.scratch import stored
+
 from .profile import long_form
 
 
@@ -55,9 +58,9 @@ def rescale_categorical(df: DataFrame, spec: dict[str, list]) -> DataFrame:
 
 # Bins -----------------------------------------------------------------------
 def quantile_edges(df: DataFrame, columns: list[str], shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., feature, edges): exact percentiles, equal ones once."""
-    parts = [F.struct(F.lit(c).alias("feature"), F.array_distinct(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(s) for s in shares]))).alias("edges")) for c in columns]
-    return df.groupBy(*by).agg(F.array(*parts).alias("a")).select(*by, F.inline("a"))
+    """(by..., feature, edges): exact percentiles, equal ones once; features without values have none."""
+    found = percentiles(long_form(df, columns, by), "value", shares, (*by, "feature"))
+    return found.select(*by, "feature", F.array_distinct("percentiles").alias("edges"))
 
 
 def quartile_bins(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,23 +85,25 @@ def entropy_bins(df: DataFrame, columns: list[str], label: str, max_depth: int =
     """(feature, edges): cuts that lower class entropy most, ``max_depth`` levels deep; the median if there is none.
 
     Values are counted by (feature, value, class) first; each level is one
-    prefix sum inside the nodes and one best cut a node.
+    prefix sum inside the nodes, over ranges of values, and one best cut a node.
     """
     counts = df.select(F.col(label).alias("y"), *columns).transform(lambda d: long_form(d, columns, ("y",))).where("value is not null").groupBy("feature", "value", "y").agg(F.count("*").alias("n"))
-    nodes, cuts = counts.withColumn("node", F.lit(1)), None
+    nodes, cuts = stored(counts.withColumn("node", F.lit(1))), None
     for _ in range(max_depth):
-        up_to = Window.partitionBy("feature", "node", "y").orderBy("value")
         every = nodes.select("feature", "node", "value").distinct()
         grid = every.join(nodes.select("feature", "node", "y").distinct(), ["feature", "node"]).join(nodes, ["feature", "node", "value", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        sums = grid.withColumn("left", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(Window.partitionBy("feature", "node", "y")))
+        whole = nodes.groupBy("feature", "node", "y").agg(F.sum("n").alias("all"))
+        sums = running(grid, ["value"], {"left": F.col("n")}, ("feature", "node", "y")).join(whole, ["feature", "node", "y"])
         per = sums.groupBy("feature", "node", "value").agg(F.sum("left").alias("nl"), F.sum("all").alias("na"), F.sum(_nlogn("left")).alias("sl"), F.sum(_nlogn(F.col("all") - F.col("left"))).alias("sr"), F.sum(_nlogn("all")).alias("sa"))
         nr = F.col("na") - F.col("nl")
         gain = (_nlogn("na") - F.col("sa")) - (_nlogn("nl") - F.col("sl")) - (_nlogn(nr) - F.col("sr"))
-        after = F.lead("value").over(Window.partitionBy("feature", "node").orderBy("value"))
-        scored = per.withColumn("next", after).withColumn("gain", gain).where("next is not null and gain > 1e-9")
+        placed = numbered(per.withColumn("gain", gain), ["value"], "i", ("feature", "node"))
+        after = placed.select("feature", "node", (F.col("i") - 1).alias("i"), F.col("value").alias("next"))
+        scored = placed.where("gain > 1e-9").join(after, ["feature", "node", "i"])
         best = scored.groupBy("feature", "node").agg(F.max_by(F.struct("value", "next"), F.struct("gain", F.expr("-value"))).alias("b")).select("feature", "node", ((F.col("b.value") + F.col("b.next")) / 2).alias("cut"))
+        best = stored(best)
         cuts = best if cuts is None else cuts.union(best)
-        nodes = nodes.join(best, ["feature", "node"]).withColumn("node", F.col("node") * 2 + (F.col("value") > F.col("cut")).cast("int")).drop("cut")
+        nodes = stored(nodes.join(best, ["feature", "node"]).withColumn("node", F.col("node") * 2 + (F.col("value") > F.col("cut")).cast("int")).drop("cut"))
     medians = quantile_edges(df, columns, [0.5])
     found = cuts.groupBy("feature").agg(F.array_sort(F.collect_set("cut")).alias("found"))
     return medians.join(found, "feature", "left").select("feature", F.coalesce("found", "edges").alias("edges"))

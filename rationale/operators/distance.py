@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rationale.functions.order import percentiles
 from rationale.functions.special import kernel
 
 from .profile import long_form
@@ -71,15 +72,16 @@ def mixed_distance(discrete: list[str], continuous: list[str], other: str = "x0_
 
 
 def range_scaled_sq(columns: list[str], other: str = "x0_") -> Column:
-    """Mean squared difference by the range (min_ and max_ columns)."""
-    return _sum([F.pow((F.col(c) - F.col(other + c)) / (F.col(f"max_{c}") - F.col(f"min_{c}")), F.lit(2.0)) for c in columns]) / len(columns)
+    """Mean squared difference by the range (min_ and max_ columns); a constant feature adds nothing."""
+    return _sum([F.coalesce(F.pow((F.col(c) - F.col(other + c)) / F.nullif(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(0.0)), F.lit(2.0)), F.lit(0.0)) for c in columns]) / len(columns)
 
 
 def mad_row(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row of mad_ columns: median absolute deviations from the median."""
     long = long_form(df, columns)
-    medians = long.groupBy("feature").agg(F.median("value").alias("m"))
-    mads = long.join(F.broadcast(medians), "feature").groupBy("feature").agg(F.median(F.abs(F.col("value") - F.col("m"))).alias("mad"))
+    medians = percentiles(long, "value", [0.5], ("feature",)).select("feature", F.col("percentiles")[0].alias("m"))
+    gaps = long.join(F.broadcast(medians), "feature").select("feature", F.abs(F.col("value") - F.col("m")).alias("gap"))
+    mads = percentiles(gaps, "gap", [0.5], ("feature",)).select("feature", F.col("percentiles")[0].alias("mad"))
     return mads.groupBy().pivot("feature", columns).agg(F.first("mad")).select(*[F.col(c).alias(f"mad_{c}") for c in columns])
 
 
@@ -88,8 +90,8 @@ def mad_distance(columns: list[str], other: str = "x0_") -> Column:
 
 
 def scaled_l1(columns: list[str], other: str = "x0_") -> Column:
-    """Sum of absolute differences by the deviation (scale_ columns)."""
-    return _sum([F.abs(F.col(c) - F.col(other + c)) / F.col(f"scale_{c}") for c in columns])
+    """Sum of absolute differences by the deviation (scale_ columns); a constant feature adds nothing."""
+    return _sum([F.coalesce(F.abs(F.col(c) - F.col(other + c)) / F.nullif(F.col(f"scale_{c}"), F.lit(0.0)), F.lit(0.0)) for c in columns])
 
 
 def quadratic_form(columns: list[str], mean: np.ndarray, precision: np.ndarray, prefix: str = "") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rationale.functions.draws import draw_code
+from rationale.functions.order import running
 
 
 # Fidelity -------------------------------------------------------------------
@@ -51,8 +52,18 @@ def rank_stability(runs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def variance_stability(runs: DataFrame) -> DataFrame:
-    """(instance_id, value): mean over features of the sample variance of importance."""
-    return runs.groupBy("instance_id", "feature").agg(F.var_samp("weight").alias("v")).groupBy("instance_id").agg(F.avg("v").alias("value"))
+    """(instance_id, value): mean over features of the variance of importance among the leading half of each run.
+
+    A feature's mean is its sum over all runs by their number; its squared
+    deviations are those of runs that have it in their leading half, over the
+    number of runs less one.  Null with a single run.
+    """
+    of = runs.groupBy("instance_id").agg(F.count_distinct("feature").alias("features"), F.count_distinct("run").alias("runs"))
+    top = runs.join(of, "instance_id").where(F.col("rank") <= F.floor(F.col("features") / 2))
+    sums = top.groupBy("instance_id", "feature", "runs").agg(F.count("*").alias("n"), F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
+    mean = F.col("s") / F.col("runs")
+    deviation = (F.col("q") - 2 * mean * F.col("s") + F.col("n") * mean * mean) / F.nullif(F.col("runs") - 1, F.lit(0))
+    return sums.groupBy("instance_id").agg(F.avg(deviation).alias("value"))
 
 
 def elbow(importance: DataFrame, tolerance: float = 0.1, start: int = 5) -> DataFrame:
@@ -246,10 +257,10 @@ def r_squared(df: DataFrame, y: str, prediction: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, prediction: str) -> DataFrame:
-    """Area under the curve from sums by distinct score, so ties count half and no row list is sorted whole."""
+    """Area under the curve from sums by distinct score, so ties count half; the sums are added up over ranges of scores."""
     by = df.groupBy(F.col(prediction).alias("s")).agg(F.sum(F.col(y)).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return by.withColumn("below", below).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    up_to = running(by, ["s"], {"up_to": F.col("neg")})
+    return up_to.agg((F.sum(F.col("pos") * (F.col("up_to") - F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 
 def accuracy(df: DataFrame, y: str, prediction: str, cut: float = 0.5) -> DataFrame:

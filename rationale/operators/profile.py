@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, IntegralType
 
 from rationale.functions.draws import draw_code, uniform
+from rationale.functions.order import percentiles
 
 
 def long_form(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), value: str = "value") -> DataFrame:
@@ -106,7 +107,7 @@ def threshold_labels(df: DataFrame, score: str, cut: float, below: str = "low",
 
 def percentile_labels(df: DataFrame, score: str, share: float) -> DataFrame:
     """Label 1 at the exact percentile or above."""
-    cut = df.agg(F.percentile(score, F.lit(share)).alias("cut"))
+    cut = percentiles(df.select(score), score, [share]).select(F.col("percentiles")[0].alias("cut"))
     return df.join(F.broadcast(cut)).withColumn("label", (F.col(score) >= F.col("cut")).cast("int")).drop("cut")
 
 
@@ -145,10 +146,10 @@ def train_scaled(train: DataFrame, test: DataFrame, columns: list[str]) -> DataF
 
 
 def correlations(cov: DataFrame) -> DataFrame:
-    """(i, j, value) from a long covariance."""
+    """(i, j, value) from a long covariance; null where a feature is constant."""
     d = cov.where("i = j")
     di, dj = d.select("i", F.col("value").alias("cii")), d.select("j", F.col("value").alias("cjj"))
-    return cov.join(F.broadcast(di), "i").join(F.broadcast(dj), "j").select("i", "j", (F.col("value") / F.sqrt(F.col("cii") * F.col("cjj"))).alias("value"))
+    return cov.join(F.broadcast(di), "i").join(F.broadcast(dj), "j").select("i", "j", (F.col("value") / F.nullif(F.sqrt(F.col("cii") * F.col("cjj")), F.lit(0.0))).alias("value"))
 
 
 def correlation_labels(cov: DataFrame) -> DataFrame:
@@ -167,9 +168,9 @@ def redundant_groups(cov: DataFrame, tolerance: float = 1e-8) -> DataFrame:
 def histogram_bins(df: DataFrame, column: str) -> DataFrame:
     """Number of bins: the larger of Freedman-Diaconis and Sturges; the root of n where the first isn't finite."""
     x = F.col(column).cast("double")
-    s = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    s = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).join(F.broadcast(percentiles(df.select(x.alias("x")), "x", [0.25, 0.75]).withColumnRenamed("percentiles", "q")))
     width = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow("n", F.lit(1 / 3))
-    fd = F.ceil((F.col("hi") - F.col("lo")) / width)
+    fd = F.ceil((F.col("hi") - F.col("lo")) / F.nullif(width, F.lit(0.0)))
     bins = F.when(width > 0, F.greatest(fd, F.ceil(F.log2("n")) + 1)).otherwise(F.ceil(F.sqrt("n")))
     return s.select(F.lit(column).alias("feature"), bins.cast("long").alias("bins"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rationale.functions.draws import draw_code, uniform
+from rationale.functions.order import numbered, running
 from rationale.functions.special import t_tail
 
 from .score import score
@@ -135,7 +136,7 @@ def sampling_shap(instances: DataFrame, background: DataFrame, key: str, feature
 
 def allocate_samples(first: DataFrame, key: str, budget: int) -> DataFrame:
     """(key, feature, n): a second round in proportion to variance, in even numbers."""
-    share = F.col("variance") / F.sum("variance").over(Window.partitionBy(key))
+    share = F.col("variance") / F.nullif(F.sum("variance").over(Window.partitionBy(key)), F.lit(0.0))
     return first.select(key, "feature", (F.floor(F.coalesce(share, F.lit(0.0)) * budget / 2) * 2).cast("long").alias("n"))
 
 
@@ -147,7 +148,7 @@ def samples_for_error(first: DataFrame, key: str, error: float, z: float = 1.96)
 def efficiency_correction(phis: DataFrame, totals: DataFrame, key: str) -> DataFrame:
     """(key, feature, phi): the gap to the total is spread by variance; ``totals`` has (key, total)."""
     w = Window.partitionBy(key)
-    v = F.col("variance") / F.max("variance").over(w) * 1e6
+    v = F.col("variance") / F.nullif(F.max("variance").over(w), F.lit(0.0)) * 1e6
     v = F.coalesce(v, F.lit(1.0))
     rows = phis.join(totals, key).withColumn("v", v).withColumn("gap", F.col("total") - F.sum("phi").over(w))
     return rows.select(key, "feature", (F.col("phi") + F.col("gap") * (F.col("v") - F.col("v") * F.sum("v").over(w) / (1 + F.sum("v").over(w)))).alias("phi"))
@@ -181,22 +182,25 @@ def global_importance(attributions: DataFrame) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
-def interactions(df: DataFrame, feature: str, others: list[str], order_key: str) -> DataFrame:
+def interactions(df: DataFrame, feature: str, others: list[str], order_key: str, nan_indicators: bool = False) -> DataFrame:
     """(other, strength, rank): rows sorted by the feature are cut in runs; |correlation| of its phi with another feature is summed over runs.
 
-    The order comes from ranges of the feature, so a run is found without one global window:
-    ranges are sorted each for itself and start at the sums of those before.
+    With ``nan_indicators``, a feature's nulls count too: the stronger of its
+    value (nulls as its mean) and of an indicator of null is taken.
     """
     n = df.count()
     size = max(1, min(50, n // 10))
-    ranged = df.select(*dict.fromkeys([feature, order_key, f"phi_{feature}", *others])).repartitionByRange(feature, order_key)
-    from rationale.sources.scratch import stored
-
-    kept = stored(ranged.withColumn("part", F.spark_partition_id()))
-    counts = kept.groupBy("part").agg(F.count("*").alias("c"))
-    before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(feature, order_key)) - 1
-    runs = kept.join(F.broadcast(before), "part").withColumn("run", F.floor((F.col("before") + place) / size))
+    rows = df.select(*dict.fromkeys([feature, order_key, f"phi_{feature}", *others]))
+    if nan_indicators:
+        means = df.agg(*[F.avg(o).alias(f"mean_{o}") for o in others])
+        rows = rows.join(F.broadcast(means)).select(feature, order_key, f"phi_{feature}", *[F.coalesce(F.col(o).cast("double"), f"mean_{o}").alias(f"value_{o}") for o in others], *[F.col(o).isNull().cast("double").alias(f"null_{o}") for o in others])
+        runs = numbered(rows, [feature, order_key], "i").withColumn("run", F.floor(F.col("i") / size))
+        strength = lambda c: F.abs(F.coalesce(F.nanvl(F.corr(f"phi_{feature}", c), F.lit(0.0)), F.lit(0.0)))
+        per = runs.groupBy("run").agg(*[strength(f"{k}_{o}").alias(f"{k}_{o}") for o in others for k in ("value", "null")])
+        sums = per.agg(*[F.sum(f"{k}_{o}").alias(f"{k}_{o}") for o in others for k in ("value", "null")])
+        total = sums.select(F.inline(F.array(*[F.struct(F.lit(o).alias("other"), F.coalesce(F.greatest(f"value_{o}", f"null_{o}"), F.lit(0.0)).alias("strength")) for o in others])))
+        return total.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("strength"), "other")))
+    runs = numbered(rows, [feature, order_key], "i").withColumn("run", F.floor(F.col("i") / size))
     per = runs.groupBy("run").agg(*[F.corr(f"phi_{feature}", o).alias(o) for o in others])
     long = per.select(*[F.abs(F.when(~F.isnan(o), F.col(o))).alias(o) for o in others]).unpivot([], others, "other", "r")
     total = long.groupBy("other").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("strength"))
@@ -205,10 +209,10 @@ def interactions(df: DataFrame, feature: str, others: list[str], order_key: str)
 
 def monitor(df: DataFrame, group: str, time: str, value: str, step: int = 50, n_features: int = 1) -> DataFrame:
     """(group, cut, t, p, flagged): two-sample t at every ``step`` rows in time; the best cut of each group, flagged below .05 / n_features."""
-    run = Window.partitionBy(group).orderBy(time)
-    all_ = Window.partitionBy(group)
     x = F.col(value)
-    rows = df.select(group, F.row_number().over(run).alias("i"), F.count("*").over(all_).alias("n"), F.sum(x).over(run).alias("s1"), F.sum(x * x).over(run).alias("q1"), F.sum(x).over(all_).alias("s"), F.sum(x * x).over(all_).alias("q"))
+    whole = df.groupBy(F.col(group).alias("r_group")).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    up_to = running(df.select(group, time, value), [time], {"i": F.lit(1).cast("long"), "s1": x, "q1": x * x}, (group,))
+    rows = up_to.join(whole, F.col(group).eqNullSafe(F.col("r_group")))
     cuts = rows.where((F.col("i") % step == 0) & (F.col("i") >= 2) & (F.col("n") - F.col("i") >= 2))
     n1, n2 = F.col("i").cast("double"), (F.col("n") - F.col("i")).cast("double")
     m1, m2 = F.col("s1") / n1, (F.col("s") - F.col("s1")) / n2

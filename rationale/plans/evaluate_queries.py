@@ -60,7 +60,7 @@ def _(spark, read):
     return rounded(L.rank_stability(runs(read)))
 
 
-@query("l6_variance_stability", f"WITH {RUNS} SELECT instance_id, round(avg(v), 4) AS value FROM (SELECT instance_id, feature, var_samp(weight) AS v FROM runs GROUP BY ALL) GROUP BY instance_id")
+@query("l6_variance_stability", f"WITH {RUNS}, o AS (SELECT instance_id, count(DISTINCT feature) AS nf, count(DISTINCT run) AS nr FROM runs GROUP BY instance_id), m AS (SELECT instance_id, feature, nr, sum(weight) / any_value(nr) AS a FROM runs JOIN o USING (instance_id) WHERE rank <= nf // 2 GROUP BY instance_id, feature, nr), d AS (SELECT m.instance_id, m.feature, sum(power(a - weight, 2)) / nullif(any_value(m.nr) - 1, 0) AS v FROM m JOIN runs r ON r.instance_id = m.instance_id AND r.feature = m.feature JOIN o ON o.instance_id = m.instance_id WHERE r.rank <= o.nf // 2 GROUP BY m.instance_id, m.feature) SELECT instance_id, round(avg(v), 4) AS value FROM d GROUP BY instance_id")
 def _(spark, read):
     return rounded(L.variance_stability(runs(read)), 4)
 
@@ -113,23 +113,31 @@ def _(spark, read):
     return rounded(L.cumulative_occurrence(L.rank_occurrence(event_explanations(read)), "click"))
 
 
-CANDIDATES = "c AS (SELECT l_orderkey AS instance_id, l_linenumber AS k, CAST(l_discount > 0.05 AS INT) AS hit, l_tax > 0.01 AS changed, l_quantity / 10 AS distance, power(10, l_tax * 100) AS density_ratio FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice) AS z FROM lineitem) WHERE z = 1 AND l_linenumber <= 3)"
+CANDIDATES = "c AS (SELECT l_orderkey AS instance_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS k, CAST(l_discount > 0.05 AS INT) AS hit, l_tax > 0.01 AS changed, l_quantity / 10 AS distance, power(10, l_tax * 100) AS density_ratio FROM lineitem), most AS (SELECT max(k) AS most FROM c)"
 
 
 def candidates(read):
-    """Counterfactual candidates k of each order: did they hit, and how far are they?"""
-    one = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_extendedprice"))
-    c = read("lineitem").where("l_linenumber <= 3").withColumn("z", one).where("z = 1")
-    return c.select(F.col("l_orderkey").alias("instance_id"), F.col("l_linenumber").alias("k"), (F.col("l_discount") > 0.05).cast("int").alias("hit"), (F.col("l_tax") > 0.01).alias("changed"), (F.col("l_quantity") / 10).alias("distance"), F.pow(F.lit(10.0), F.col("l_tax") * 100).alias("density_ratio"))
+    """Counterfactual candidates of each order, one for each of its lines: did they hit, and how far are they?"""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"))
+    return read("lineitem").select(F.col("l_orderkey").alias("instance_id"), place.alias("k"), (F.col("l_discount") > 0.05).cast("int").alias("hit"), (F.col("l_tax") > 0.01).alias("changed"), (F.col("l_quantity") / 10).alias("distance"), F.pow(F.lit(10.0), F.col("l_tax") * 100).alias("density_ratio"))
 
 
-_WIDE = "w AS (SELECT instance_id, " + ", ".join(f"coalesce(max(CASE WHEN k = {i} AND changed THEN {c} END), -1)::DOUBLE AS {a}_{i}" for i in (1, 2, 3) for c, a in (("hit", "hit"), ("distance", "dist"), ("density_ratio", "dens"))) + ", coalesce(max(CASE WHEN changed THEN hit END), 0)::INT AS any_hit, coalesce(sum(CASE WHEN changed THEN hit END), 0)::BIGINT AS hits FROM c GROUP BY instance_id)"
+def wide_scores(read):
+    """Scores of all candidates, and how many an order has at most."""
+    c = candidates(read)
+    most = c.agg(F.max("k")).first()[0] or 1
+    return L.counterfactual_scores(c, k=most), most
 
 
-@query("l13_counterfactual_scores", f"WITH {CANDIDATES}, {_WIDE} SELECT any_hit, hits, count(*) AS n, " + ", ".join(f"round(sum({a}_{i}), 2) AS {a}_{i}" for i in (1, 2, 3) for a in ("hit", "dist", "dens")) + " FROM w GROUP BY any_hit, hits")
+_WIDE = "w AS (SELECT instance_id, " + ", ".join(f"sum(CASE WHEN changed THEN {c} ELSE -1 END) - (any_value(most) - count(*)) AS {a}" for c, a in (("hit", "hit"), ("distance", "dist"), ("density_ratio", "dens"))) + ", " + ", ".join(f"coalesce(max(CASE WHEN k = 1 AND changed THEN {c} END), -1)::DOUBLE AS {a}_1" for c, a in (("hit", "hit"), ("distance", "dist"), ("density_ratio", "dens"))) + ", coalesce(max(CASE WHEN changed THEN hit END), 0)::INT AS any_hit, coalesce(sum(CASE WHEN changed THEN hit END), 0)::BIGINT AS hits FROM c CROSS JOIN most GROUP BY instance_id)"
+
+
+@query("l13_counterfactual_scores", f"WITH {CANDIDATES}, {_WIDE} SELECT any_hit, hits, count(*) AS n, " + ", ".join(f"round(sum({a}), 2) AS {a}" for a in ("hit", "dist", "dens")) + " FROM w GROUP BY any_hit, hits")
 def _(spark, read):
-    w = L.counterfactual_scores(candidates(read), k=3)
-    return w.groupBy("any_hit", "hits").agg(F.count("*").alias("n"), *[F.round(F.sum(f"{a}_{i}"), 2).alias(f"{a}_{i}") for i in (1, 2, 3) for a in ("hit", "dist", "dens")])
+    """Sums of the scores over all places."""
+    w, most = wide_scores(read)
+    total = lambda a: sum((F.col(f"{a}_{i}") for i in range(1, most + 1)), F.lit(0.0))
+    return w.groupBy("any_hit", "hits").agg(F.count("*").alias("n"), *[F.round(F.sum(total(a)), 2).alias(a) for a in ("hit", "dist", "dens")])
 
 
 _SUMMED = ["hit_1", "dist_1", "dens_1"]
@@ -137,8 +145,8 @@ _SUMMED = ["hit_1", "dist_1", "dens_1"]
 
 @query("l14_counterfactual_summary", f"WITH {CANDIDATES}, {_WIDE} SELECT instance_id % 4 AS method, count(*) FILTER (WHERE hit_1 <> -1) AS tries, " + ", ".join(f"round({'median' if c.startswith('dens') else 'avg'}(CASE WHEN {c} <> -1 THEN {c} END), 4) AS {c}, round(stddev_pop(CASE WHEN {c} <> -1 THEN {c} END), 4) AS {c}_std" for c in _SUMMED) + " FROM w GROUP BY 1")
 def _(spark, read):
-    w = L.counterfactual_scores(candidates(read), k=3).withColumn("method", F.col("instance_id") % 4)
-    return rounded(L.counterfactual_summary(w, "method", _SUMMED), 4)
+    w, _most = wide_scores(read)
+    return rounded(L.counterfactual_summary(w.withColumn("method", F.col("instance_id") % 4), "method", _SUMMED), 4)
 
 
 @query("l15_region_counts", f"WITH {CANDIDATES}, b AS (SELECT CASE WHEN distance <= 1 THEN '0-1' WHEN distance <= 3 THEN '1-3' WHEN distance <= 6 THEN '3-6' END AS distance_band, CASE WHEN log10(density_ratio) <= 2 THEN '0-2' WHEN log10(density_ratio) <= 5 THEN '2-5' WHEN log10(density_ratio) <= 20 THEN '5-20' END AS density_band FROM c) SELECT distance_band, density_band, count(*) AS n FROM b WHERE distance_band IS NOT NULL AND density_band IS NOT NULL GROUP BY CUBE (distance_band, density_band)")
@@ -146,10 +154,10 @@ def _(spark, read):
     return L.region_counts(candidates(read))
 
 
-@query("l16_wide_to_long", f"WITH {CANDIDATES}, {_WIDE} SELECT k, round(sum(hit), 2) AS hit, round(sum(dist), 2) AS dist, round(sum(dens), 2) AS dens FROM (" + union_all([f"SELECT {i} AS k, hit_{i} AS hit, dist_{i} AS dist, dens_{i} AS dens FROM w" for i in (1, 2, 3)]) + ") GROUP BY k")
+@query("l16_wide_to_long", f"WITH {CANDIDATES}, w AS (SELECT count(DISTINCT instance_id) AS n FROM c) SELECT k::INT AS k, " + ", ".join(f"round(sum(CASE WHEN changed THEN {c} ELSE -1 END) - (any_value(w.n) - count(*)), 2) AS {a}" for c, a in (("hit", "hit"), ("distance", "dist"), ("density_ratio", "dens"))) + " FROM c CROSS JOIN w GROUP BY k")
 def _(spark, read):
-    long = L.wide_to_long(L.counterfactual_scores(candidates(read), k=3), ["instance_id"], 3)
-    return long.groupBy("k").agg(*[F.round(F.sum(a), 2).alias(a) for a in ("hit", "dist", "dens")])
+    w, most = wide_scores(read)
+    return L.wide_to_long(w, ["instance_id"], most).groupBy("k").agg(*[F.round(F.sum(a), 2).alias(a) for a in ("hit", "dist", "dens")])
 
 
 @query("l17_leaf_fidelity", f"WITH {UNIFORM}, {_AGREE}, b AS (SELECT p_partkey, rep, (bb = 'Y')::INT AS bb, (surrogate = 'Y')::INT AS s, d < 1 AS leaf FROM a) SELECT p_partkey, max(CASE WHEN rep = 0 THEN (bb = s)::INT::DOUBLE END) AS hit, round(avg((bb = s)::INT), 6) AS accuracy, round(coalesce(2.0 * count(*) FILTER (WHERE bb = 1 AND s = 1) / nullif(2 * count(*) FILTER (WHERE bb = 1 AND s = 1) + count(*) FILTER (WHERE bb <> s), 0), 0), 6) AS f1, round(avg(CASE WHEN leaf THEN (bb = s)::INT END), 6) AS leaf_accuracy FROM b GROUP BY p_partkey")
@@ -193,10 +201,13 @@ def _(spark, read):
     return rounded(L.imputed(attributed(read), "p_partkey", PART_FEATURES, 1, True, mean, cov), 4)
 
 
-@query("l22_batch_retrain")
+_MASKED = "k AS (SELECT p_partkey % 2 AS t, p_size AS x1, p_retailprice AS x2, " + PART_SCORE + " AS y, abs(0.05 * (p_size - avg(p_size) OVER w)) >= abs(0.01 * (p_retailprice - avg(p_retailprice) OVER w)) AS one, avg(p_size) OVER w AS n1, avg(p_retailprice) OVER w AS n2 FROM part WINDOW w AS ()), h AS (SELECT t, CASE WHEN one THEN x1 ELSE avg(x1) OVER v END AS x1, CASE WHEN one THEN avg(x2) OVER v ELSE x2 END AS x2, y FROM k WINDOW v AS (PARTITION BY t)), s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS a, covar_pop(x1, x2) AS b, var_pop(x2) AS c, covar_pop(x1, y) AS p, covar_pop(x2, y) AS q FROM h WHERE t = 0), f AS (SELECT (c * p - b * q) / (a * c - b * b) AS k1, (a * q - b * p) / (a * c - b * b) AS k2, * FROM s)"
+
+
+@query("l22_batch_retrain", f"WITH {_MASKED} SELECT round(1 - sum(power(y - (my + k1 * (x1 - m1) + k2 * (x2 - m2)), 2)) / (var_pop(y) * count(*)), 4) AS r2 FROM h CROSS JOIN f WHERE t = 1")
 def _(spark, read):
     a = attributed(read).withColumn("y", F.expr(PART_SCORE))
-    return L.batch_retrain(a.where("p_partkey % 2 = 0"), a.where("p_partkey % 2 = 1"), PART_FEATURES, "y", 1, True)
+    return rounded(L.batch_retrain(a.where("p_partkey % 2 = 0"), a.where("p_partkey % 2 = 1"), PART_FEATURES, "y", 1, True), 4)
 
 
 @query("l23_local_accuracy", f"WITH {_PHI} SELECT round(avg(abs(y - (0.05 * p_size + 0.01 * p_retailprice - a - b))), 6) AS mean_gap, round(stddev_pop(y - (a + b)), 6) AS spread FROM (SELECT *, {PART_SCORE} AS y FROM p)".replace("abs(y - (0.05 * p_size + 0.01 * p_retailprice - a - b))", "abs(y - 1.5 - a - b)"))

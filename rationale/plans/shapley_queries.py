@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rationale.functions.draws import draw_sql
 from rationale.operators import shapley as K
 
 from .common import PART_FEATURES, PART_SCORE, query, rounded
@@ -34,11 +35,16 @@ def _(spark, read):
     return K.varying_features(read("part"), background(read).where("bg_id = 3"), "p_partkey", PART_FEATURES).select("p_partkey", F.size("varying").alias("n"))
 
 
-@query("k3_kernel_masks", "SELECT size, count(*) AS n, round(max(w), 8) AS w FROM (SELECT bit_count(m) AS size, (3.0 / (bit_count(m) * (4 - bit_count(m)))) / (3.0 / 3 + 3.0 / 4 + 3.0 / 3) / CASE bit_count(m) WHEN 2 THEN 6 ELSE 4 END AS w FROM (SELECT unnest(range(1, 15)) AS m)) GROUP BY size")
+_LINE = ["l_quantity", "l_extendedprice / 1000", "l_discount * 100", "l_tax * 100"]
+
+
+@query("k3_kernel_masks", f"WITH k AS (SELECT m, bit_count(m) AS size, (3.0 / (bit_count(m) * (4 - bit_count(m)))) / (3.0 / 3 + 3.0 / 4 + 3.0 / 3) / CASE bit_count(m) WHEN 2 THEN 6 ELSE 4 END AS w FROM (SELECT unnest(range(1, 15)) AS m)) SELECT l_returnflag, size::INT AS size, count(*) AS n, round(max(w), 8) AS w, round(avg({' + '.join(f'(m >> {i} & 1) * ({x})' for i, x in enumerate(_LINE))}), 4) AS kept FROM lineitem CROSS JOIN k GROUP BY ALL")
 def _(spark, read):
-    """Weights for four features of line items, all coalitions enumerated."""
-    masks = K.kernel_masks(spark, len([c for c in read("lineitem").columns if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]))
-    return masks.groupBy(F.bit_count("mask").cast("int").alias("size")).agg(F.count("*").alias("n"), F.round(F.max("w"), 8).alias("w"))
+    """Weights of all coalitions of four features, and what each size keeps of the line items' values."""
+    masks = K.kernel_masks(spark, len(_LINE))
+    kept = sum((F.getbit("mask", F.lit(i)) * F.expr(x) for i, x in enumerate(_LINE)), F.lit(0.0))
+    rows = read("lineitem").join(F.broadcast(masks)).groupBy("l_returnflag", F.bit_count("mask").cast("int").alias("size"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.max("w"), 8).alias("w"), F.round(F.avg(kept), 4).alias("kept"))
 
 
 @query("k4_kernel_shap", f"WITH {VALUES} {PHIS}")
@@ -47,7 +53,10 @@ def _(spark, read):
     return rounded(K.kernel_shap(read("part"), background(read), "p_partkey", PART_FEATURES, PART_SCORE))
 
 
-@query("k5_sampling_shap")
+_DRAWN = f"{BG}, x AS (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice AS r, bs, br, {draw_sql(2, 'p_partkey', 'rep', 0)} AS c0, {draw_sql(2, 'p_partkey', 'rep', 1)} AS c1 FROM part CROSS JOIN (SELECT unnest(range(1, 9)) AS rep) JOIN g ON bg_id = floor({draw_sql(1, 'p_partkey', 'rep', 50)} * (SELECT count(*) FROM g))), y AS (SELECT p_partkey, 'p_size' AS feature, {_f('s', '(CASE WHEN c1 < c0 THEN r ELSE br END)')} - {_f('bs', '(CASE WHEN c1 < c0 THEN r ELSE br END)')} AS d FROM x UNION ALL SELECT p_partkey, 'p_retailprice', {_f('(CASE WHEN c0 < c1 THEN s ELSE bs END)', 'r')} - {_f('(CASE WHEN c0 < c1 THEN s ELSE bs END)', 'br')} FROM x)"
+
+
+@query("k5_sampling_shap", f"WITH {_DRAWN} SELECT p_partkey, feature, round(avg(d), 6) AS phi, round(var_pop(d), 6) AS variance FROM y GROUP BY ALL")
 def _(spark, read):
     return rounded(K.sampling_shap(read("part"), background(read), "p_partkey", PART_FEATURES, PART_SCORE, 8))
 
@@ -61,15 +70,12 @@ def variances(read):
 
 @query("k6_allocate_samples", f"WITH {_VAR} SELECT user_id, feature, (floor(round(coalesce(variance / nullif(sum(variance) OVER (PARTITION BY user_id), 0), 0) * 1000 / 2, 9)) * 2)::BIGINT AS n FROM f")
 def _(spark, read):
-    v = variances(read).withColumn("variance", F.when(F.col("variance") > 0, F.col("variance")).otherwise(0.0))
-    safe = v.join(v.groupBy("user_id").agg(F.sum("variance").alias("t")).where("t > 0").select("user_id"), "user_id")
-    zero = v.join(safe.select("user_id").distinct(), "user_id", "left_anti").select("user_id", "feature", F.lit(0).cast("long").alias("n"))
-    return K.allocate_samples(safe, "user_id", 1000).union(zero)
+    return K.allocate_samples(variances(read), "user_id", 1000)
 
 
 @query("k7_efficiency_correction", f"WITH {_VAR}, t AS (SELECT user_id, sum(value) AS total FROM events GROUP BY user_id), v AS (SELECT f.user_id, feature, phi, total - sum(phi) OVER w AS gap, coalesce(variance / nullif(max(variance) OVER w, 0) * 1e6, 1.0) AS v FROM f JOIN t USING (user_id) WINDOW w AS (PARTITION BY f.user_id)) SELECT user_id, feature, round(phi + gap * (v - v * sum(v) OVER (PARTITION BY user_id) / (1 + sum(v) OVER (PARTITION BY user_id))), 3) AS phi FROM v")
 def _(spark, read):
-    v = variances(read).withColumn("variance", F.expr("if(max(variance) over (partition by user_id) > 0, variance, null)"))
+    v = variances(read)
     totals = read("events").groupBy("user_id").agg(F.sum("value").alias("total"))
     return rounded(K.efficiency_correction(v, totals, "user_id"), 3)
 
@@ -96,6 +102,13 @@ def _(spark, read):
     return rounded(K.interactions(x, "l_quantity", ["l_extendedprice", "l_discount", "l_tax"], "l_extendedprice"), 2)
 
 
+@query("k11_interactions_nulls", "WITH x AS (SELECT l_quantity, l_extendedprice * l_discount AS phi, CASE WHEN l_tax > 0.02 THEN l_tax END AS t, CASE WHEN l_discount > 0.03 THEN l_discount END AS d, row_number() OVER (ORDER BY l_quantity, l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem), m AS (SELECT i // 50 AS run, phi, coalesce(t, avg(t) OVER ()) AS t, coalesce(d, avg(d) OVER ()) AS d, (t IS NULL)::INT AS tn, (d IS NULL)::INT AS dn FROM x), r AS (SELECT run, corr(phi, t) AS a, corr(phi, tn) AS b, corr(phi, d) AS c, corr(phi, dn) AS e FROM m GROUP BY run), s AS (SELECT sum(abs(CASE WHEN isfinite(a) THEN a ELSE 0 END)) AS a, sum(abs(CASE WHEN isfinite(b) THEN b ELSE 0 END)) AS b, sum(abs(CASE WHEN isfinite(c) THEN c ELSE 0 END)) AS c, sum(abs(CASE WHEN isfinite(e) THEN e ELSE 0 END)) AS e FROM r), o AS (SELECT 't' AS other, greatest(a, b) AS strength FROM s UNION ALL SELECT 'd', greatest(c, e) FROM s) SELECT other, round(strength, 1) AS strength, row_number() OVER (ORDER BY strength DESC, other)::INT AS rank FROM o")
+def _(spark, read):
+    place = F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    x = read("lineitem").select("l_quantity", (F.col("l_extendedprice") * F.col("l_discount")).alias("phi_l_quantity"), F.concat_ws("-", F.lpad(F.format_string("%.2f", "l_extendedprice"), 12, "0"), place).alias("place"), F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("t"), F.when(F.col("l_discount") > 0.03, F.col("l_discount")).alias("d"))
+    return rounded(K.interactions(x, "l_quantity", ["t", "d"], "place", True), 1)
+
+
 @query("k12_monitor", """WITH r AS (SELECT event_type, row_number() OVER w AS i, count(*) OVER (PARTITION BY event_type) AS n, sum(value) OVER w AS s1, sum(value * value) OVER w AS q1, sum(value) OVER (PARTITION BY event_type) AS s, sum(value * value) OVER (PARTITION BY event_type) AS q FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING)),
  c AS (SELECT event_type, i, (s1 / i - (s - s1) / (n - i)) / sqrt(((q1 - s1 * s1 / i) + (q - q1 - (s - s1) * (s - s1) / (n - i))) / (n - 2) * (1.0 / i + 1.0 / (n - i))) AS t FROM r WHERE i % 50 = 0 AND i >= 2 AND n - i >= 2),
  b AS (SELECT event_type, i, t, row_number() OVER (PARTITION BY event_type ORDER BY abs(t) DESC, i) AS k FROM c) SELECT event_type, i::INT AS cut, round(t, 4) AS t FROM b WHERE k = 1""")
@@ -113,6 +126,9 @@ def _(spark, read):
     return rounded(K.partial_dependence_2d(read("part"), "p_partkey", ("p_size", "p_retailprice"), PART_FEATURES, PART_SCORE, 5))
 
 
-@query("k14_attribution_pca")
+_PCA = "a AS (SELECT p_partkey, 0.05 * (p_size - avg(p_size) OVER ()) AS a, 0.01 * (p_retailprice - avg(p_retailprice) OVER ()) AS b FROM part), v AS (SELECT var_samp(a) AS s, covar_samp(a, b) AS t, var_samp(b) AS u FROM a), e AS (SELECT *, (s + u) / 2 + sqrt(power((s - u) / 2, 2) + t * t) AS l FROM v)"
+
+
+@query("k14_attribution_pca", f"WITH {_PCA} SELECT p_partkey, round(abs(a * t + b * (l - s)) / sqrt(t * t + (l - s) * (l - s)), 4) AS pc1 FROM a CROSS JOIN e")
 def _(spark, read):
     return K.attribution_pca(attributed(read), "p_partkey", PART_FEATURES).select("p_partkey", F.round(F.abs(F.col("pc")[0]), 4).alias("pc1"))

@@ -54,7 +54,7 @@ def anchor_beam(sample: DataFrame, preds: DataFrame, row_key: str, columns: list
     """(key, preds, precision, coverage, accepted): beams of all instances grow together by one predicate a round.
 
     ``preds`` has (key, pred_id, wanted, feature, op, value, text); the sample serves all
-    instances, so a round is one aggregate. Accepted rules with most coverage win, else most precision.
+    instances, so a round is one aggregate over the distinct sets of predicates. Accepted rules with most coverage win, else most precision.
     """
     from rationale.sources.scratch import stored
 
@@ -65,9 +65,12 @@ def anchor_beam(sample: DataFrame, preds: DataFrame, row_key: str, columns: list
     front = own.select(key, "wanted", F.array("pred_id").alias("preds"))
     every = None
     for size in range(1, max_size + 1):
-        need = front.select(key, "wanted", "preds", F.explode("preds").alias("pred_id"))
-        met = need.join(matrix, "pred_id").groupBy(key, "wanted", "preds", row_key).agg(F.count("*").alias("m")).where(F.col("m") == size)
-        stats = met.join(labels, row_key).groupBy(key, "wanted", "preds").agg(F.count("*").alias("n"), F.count_if(F.col("y") == F.col("wanted")).alias("positives"))
+        sets = front.select("preds").distinct()  # each once, however many instances ask for it
+        met = sets.select("preds", F.explode("preds").alias("pred_id")).join(matrix, "pred_id").groupBy("preds", row_key).agg(F.count("*").alias("m")).where(F.col("m") == size)
+        per = met.join(labels, row_key).groupBy("preds", "y").agg(F.count("*").alias("c"))
+        every_y = per.groupBy("preds").agg(F.sum("c").alias("n"))
+        own_y = per.select("preds", F.col("y").alias("wanted"), F.col("c").alias("positives"))
+        stats = front.join(every_y, "preds").join(own_y, ["preds", "wanted"], "left").withColumn("positives", F.coalesce("positives", F.lit(0)))
         bounded = with_bounds(stats, len(columns), size, delta).withColumn("coverage", F.col("n") / total)
         accepted = (F.col("precision") >= threshold) & (F.col("lower") > threshold - epsilon)
         best = Window.partitionBy(key).orderBy(F.desc("upper"), F.desc("n"), F.array_join(F.transform("preds", lambda x: x.cast("string")), ","))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rationale.functions.draws import cauchy, draw_code, normal, student_t, uniform
+from rationale.functions.order import numbered
 from rationale.functions.special import inverse_normal
 
 
@@ -41,20 +42,32 @@ def perturb(instances: DataFrame, stats: DataFrame, key: str, columns: list[str]
 
 
 def perturb_normal(instances: DataFrame, cov: np.ndarray, key: str, columns: list[str], n: int, seed: int = 1) -> DataFrame:
-    """Multivariate normal around each row: independent normals times the Cholesky factor (p by p, on the driver)."""
-    values, vectors = np.linalg.eigh(np.asarray(cov, float))
-    lower = vectors * np.sqrt(np.maximum(values, 0))
+    """Multivariate normal around each row: independent normals times the Cholesky factor (p by p, on the driver), or a root of a singular covariance."""
+    try:
+        lower = np.linalg.cholesky(np.asarray(cov, float))
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(np.asarray(cov, float))
+        lower = vectors * np.sqrt(np.maximum(values, 0))
     rows = repeated(instances.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), n)
     z = [normal(seed, F.col(key), F.col("rep"), i) for i in range(len(columns))]
     step = [sum((float(lower[i, j]) * z[j] for j in range(len(columns))), F.lit(0.0)) for i in range(len(columns))]
     return rows.select(key, "rep", *[F.when(F.col("rep") == 0, F.col(c)).otherwise(F.col(c) + s).alias(c) for c, s in zip(columns, step, strict=True)], *[F.col(c).alias(f"x0_{c}") for c in columns])
 
 
-def bounded(x: Column, lo: Column, hi: Column, method: str = "lazy") -> Column:
-    """Values beyond the bounds: clamped, or (``absolute``) folded back into half of the range."""
+def bounded(x: Column, lo: Column, hi: Column, method: str = "lazy", centre: Column | None = None, passes: int = 8) -> Column:
+    """Values beyond the bounds: clamped, or (``absolute``) folded back into half of the range.
+
+    ``distribute`` moves them to either side of ``centre`` (the mean, or the
+    instance's own value) by half their rest, again while they stay outside, and
+    clamps what ``passes`` moves haven't brought inside.
+    """
     if method == "lazy":
         return F.least(F.greatest(x, lo), hi)
-    r = hi - lo
+    r = F.nullif(hi - lo, F.lit(0.0))
+    if method == "distribute":
+        move = lambda v, _: F.when(v < lo, centre + F.pmod(v, r) / 2).when(v > hi, centre - F.pmod(v, r) / 2).otherwise(v)
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), x.cast("double"), move)
+        return F.least(F.greatest(moved, lo), hi)
     return F.when(x > hi, hi - F.pmod(x, r) / 2).when(x < lo, lo + F.pmod(x, r) / 2).otherwise(x)
 
 
@@ -74,6 +87,22 @@ def balanced(rounds: DataFrame, key: str, n: int, own: str = "own", per_round: i
     return rounds.join(last, key).where("round <= last").withColumn("r", F.row_number().over(place)).where(F.col("r") <= half).drop("r", "last")
 
 
+def class_balanced(rounds: DataFrame, key: str, n: int, label: str = "label") -> DataFrame:
+    """As many rows of every class that an instance's rounds show, n over their number each, of the first rounds that hold enough.
+
+    ``rounds`` holds rows (key, round, rep, label) of all rounds; where a class
+    never gets enough rows, all rounds are used and it keeps what it has.
+    """
+    classes = rounds.select(key, label).distinct()
+    share = classes.groupBy(key).agg(F.floor(n / F.count("*")).alias("share"))
+    per = rounds.groupBy(key, label, "round").agg(F.count("*").alias("c"))
+    enough = per.withColumn("c", F.sum("c").over(Window.partitionBy(key, label).orderBy("round"))).join(share, key)
+    first = enough.groupBy(key, label).agg(F.min(F.when(F.col("c") >= F.col("share"), F.col("round"))).alias("at"), F.max("round").alias("end"))
+    last = first.groupBy(key).agg(F.when(F.count("at") == F.count("*"), F.max("at")).otherwise(F.max("end")).alias("last"))
+    place = Window.partitionBy(key, label).orderBy("round", "rep")
+    return rounds.join(last, key).join(share, key).where("round <= last").withColumn("r", F.row_number().over(place)).where("r <= share").drop("r", "last", "share")
+
+
 def clustered_perturb(instances: DataFrame, cluster_scales: DataFrame, key: str, cluster: str, columns: list[str], n: int, seed: int = 1) -> DataFrame:
     """Perturb with the scales of the row's cluster: (cluster, scale_columns...)."""
     rows = repeated(instances.join(F.broadcast(cluster_scales), cluster), n)
@@ -155,17 +184,41 @@ def marginal_sample(df: DataFrame, key: str, numeric: list[str], categorical: li
     return draws.select("rep", *out)
 
 
-def closest_rows(df: DataFrame, instances: DataFrame, key: str, columns: list[str], label: str, k: int = 100, diff_ratio: float = 0.1) -> DataFrame:
-    """(instance_id, key, distance): the k nearest rows; if a class has too small a share, its nearest replace the last ones.
+NEAR_BLOCK = 8192
+
+
+def closest_rows(df: DataFrame, instances: DataFrame, key: str, columns: list[str], label: str, k: int = 100, diff_ratio: float = 0.1, block: int = NEAR_BLOCK) -> DataFrame:
+    """(instance_id, key, label, distance): the k nearest rows; if a class has too small a share, its nearest replace the last ones.
 
-    Instances are to be few (a broadcast); rows are ranked within each task's groups first.
+    Instances and rows are dealt out in blocks of a fixed size; each pair of
+    blocks leaves the k nearest, and the nearest of each class, of its instances.
     """
-    scale = stats_row(df, columns)
-    asked = instances.select(F.col(key).alias("instance_id"), *[F.col(c).cast("double").alias(f"x0_{c}") for c in columns]).join(F.broadcast(scale))
-    d = F.sqrt(sum((F.pow((F.col(c) - F.col(f"x0_{c}")) / F.col(f"scale_{c}"), 2) for c in columns), F.lit(0.0)))
-    pairs = df.select(key, label, *columns).join(F.broadcast(asked)).select("instance_id", key, label, d.alias("distance"))
-    order = ("distance", key)
     extra = int(k * diff_ratio)
+    scale = stats_row(df, columns).first()
+    z = F.array(*[F.col(c).cast("double") / F.lit(float(scale[f"scale_{c}"] or 1.0)) for c in columns])
+    rows, asked = df.select(F.col(key).alias("r_id"), F.col(label).cast("string").alias("r_label"), z.alias("z")), instances.select(F.col(key).alias("r_id"), z.alias("z"))
+    parts = {"row": -(-rows.count() // block) or 1, "ask": -(-asked.count() // block) or 1}
+
+    def dealt(d: DataFrame, own: str, other: str) -> DataFrame:
+        return d.withColumn(own, F.pmod(F.xxhash64("r_id"), F.lit(parts[own]))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[other] - 1).cast("long")))).groupBy("row", "ask")
+
+    def search(queries: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(queries) and len(near):
+            x, ids, labels = np.stack(near.z.to_list()), near.r_id.to_numpy(), near.r_label.to_numpy()
+            by_class = [np.flatnonzero(near.r_label.isna().to_numpy() if c is None else labels == c) for c in near.r_label.where(near.r_label.notna(), None).unique()]
+            for i, q in zip(queries.r_id, queries.z, strict=True):
+                d = np.sqrt(np.square(x - q).sum(1))
+                order = lambda at: at[np.lexsort((ids[at], d[at]))]  # noqa: B023, E731
+                cut = lambda at, m: order(at[d[at] <= np.partition(d[at], m - 1)[m - 1]])[:m] if len(at) > m > 0 else order(at)[:m]  # noqa: B023, E731
+                best = np.unique(np.concatenate([cut(np.arange(len(d)), k), *(cut(at, extra) for at in by_class)]))
+                found.append(pd.DataFrame({"instance_id": i, "r_id": ids[best], "r_label": labels[best], "distance": d[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"instance_id": [], "r_id": [], "r_label": [], "distance": []})
+
+    kind = rows.schema["r_id"].dataType.simpleString()
+    pairs = dealt(asked, "ask", "row").cogroup(dealt(rows, "row", "ask")).applyInPandas(search, f"instance_id {kind}, r_id {kind}, r_label string, distance double")
+    pairs = pairs.select("instance_id", F.col("r_id").alias(key), F.col("r_label").alias(label), "distance")
+    order = ("distance", key)
     ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("instance_id").orderBy(*order))).withColumn("rc", F.row_number().over(Window.partitionBy("instance_id", label).orderBy(*order))).where((F.col("r") <= k) | (F.col("rc") <= extra))
     share = ranked.where(F.col("r") <= k).groupBy("instance_id", label).agg(F.count("*").alias("n"))
     every = ranked.select("instance_id", label).distinct().join(share, ["instance_id", label], "left").where(F.coalesce("n", F.lit(0)) < extra).groupBy("instance_id").agg(F.min(label).alias("rare"))
@@ -225,8 +278,7 @@ def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
     """Minority rows are repeated up to the largest class: ``copy`` counts from 0."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("most"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1
-    ranked = df.withColumn("r", place).join(F.broadcast(counts), label).join(F.broadcast(top))
+    ranked = numbered(df, [key], "r", (label,)).join(F.broadcast(counts), label).join(F.broadcast(top))
     copies = F.floor(F.col("most") / F.col("n")) + F.when(F.col("r") < F.col("most") % F.col("n"), 1).otherwise(0)
     return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("r", "n", "most")
 
@@ -234,12 +286,13 @@ def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
 def conditional_sample(data: DataFrame, key: str, column: str, lo: float, hi: float, n: int, seed: int = 1) -> DataFrame:
     """(rep, key, value): bootstrap rows; a value outside (lo, hi] is drawn anew from rows inside, else uniformly from the range."""
     rows = data.select(F.col(key), F.col(column).cast("double").alias("v"))
-    numbered = rows.withColumn("i", F.row_number().over(Window.orderBy(draw_code(seed, F.col(key)), key)) - 1)
-    inside = rows.where((F.col("v") > lo) & (F.col("v") <= hi)).withColumn("j", F.row_number().over(Window.orderBy(draw_code(seed + 1, F.col(key)), key)) - 1).select("j", F.col("v").alias("w"))
+    placed = numbered(rows.withColumn("code", draw_code(seed, F.col(key))), ["code", key], "i").drop("code")
+    inside = rows.where((F.col("v") > lo) & (F.col("v") <= hi)).withColumn("code", draw_code(seed + 1, F.col(key)))
+    inside = numbered(inside, ["code", key], "j").select("j", F.col("v").alias("w"))
     sizes = rows.agg(F.count("*").alias("n_all"), F.count_if((F.col("v") > lo) & (F.col("v") <= hi)).alias("n_in"))
     picks = data.sparkSession.range(n).withColumnRenamed("id", "rep").join(F.broadcast(sizes))
     picks = picks.withColumn("i", F.floor(uniform(seed + 2, F.col("rep")) * F.col("n_all"))).withColumn("j", F.floor(uniform(seed + 3, F.col("rep")) * F.greatest("n_in", F.lit(1))))
-    joined = picks.join(numbered, "i").join(inside, "j", "left")
+    joined = picks.join(placed, "i").join(inside, "j", "left")
     redraw = F.coalesce("w", F.lit(lo) + uniform(seed + 4, F.col("rep")) * (hi - lo))
     return joined.select("rep", key, F.when((F.col("v") > lo) & (F.col("v") <= hi), F.col("v")).otherwise(redraw).alias("value"))
 
@@ -278,11 +331,11 @@ def permutation_pairs(df: DataFrame, background: DataFrame, key: str, columns: l
     return rows.select(key, "rep", F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("chosen") + 1).alias("feature"), *on, *off)
 
 
-def simulate(spark, n: int, seed: int = 1) -> DataFrame:
-    """(row_id, a, b, y, z): two gaussian clusters z and a polynomial class rule y."""
-    r = spark.range(n).withColumnRenamed("id", "row_id").withColumn("z", (uniform(seed, F.col("row_id")) < 0.5).cast("int") + 1)
+def simulate(ids: DataFrame, key: str, seed: int = 1) -> DataFrame:
+    """(key, a, b, z, y): for each id a point of one of two gaussian clusters z, and a polynomial class rule y."""
+    r = ids.select(key).withColumn("z", (uniform(seed, F.col(key)) < 0.5).cast("int") + 1)
     shift = F.when(F.col("z") == 1, -1.5).otherwise(1.5)
-    rows = r.select("row_id", (shift + normal(seed + 1, F.col("row_id"))).alias("a"), (shift * 0.5 + normal(seed + 3, F.col("row_id"))).alias("b"), "z")
+    rows = r.select(key, (shift + normal(seed + 1, F.col(key))).alias("a"), (shift * 0.5 + normal(seed + 3, F.col(key))).alias("b"), "z")
     return rows.withColumn("y", polynomial_rule(F.col("a"), F.col("b")))
 
 

@@ -65,19 +65,21 @@ def covered(rows: DataFrame, conditions: DataFrame, key: str, features: list[str
     return sums.join(F.broadcast(n)).select("rule_id", (F.col("c") / F.col("n")).alias("coverage"), "precision")
 
 
-def counterfactual_deltas(fact: DataFrame, others: DataFrame) -> DataFrame:
-    """(rule_id, attr, lo, hi, eq, changes) of the paths that ask for the fewest changes beyond the factual rule.
+def counterfactual_deltas(fact: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., rule_id, attr, lo, hi, eq, changes) of the paths that ask for the fewest changes beyond the factual rule of their instance.
 
-    A condition counts where the fact doesn't imply it, an interval with two such sides twice.
+    A condition counts where the fact doesn't imply it, an interval with two such
+    sides twice. Both tables have ``keys``, which name the instance.
     """
-    f = fact.select("attr", F.col("lo").alias("flo"), F.col("hi").alias("fhi"), F.col("eq").alias("feq"))
-    j = others.join(f, "attr", "left")
+    f = fact.select(*keys, "attr", F.col("lo").alias("flo"), F.col("hi").alias("fhi"), F.col("eq").alias("feq"))
+    j = others.join(fact.select(*keys).distinct(), keys, "left_semi").join(f, [*keys, "attr"], "left")
     lo = F.col("lo").isNotNull() & (F.col("flo").isNull() | (F.col("flo") < F.col("lo")))
     hi = F.col("hi").isNotNull() & (F.col("fhi").isNull() | (F.col("fhi") > F.col("hi")))
     eq = F.col("eq").isNotNull() & ~F.col("eq").eqNullSafe(F.col("feq"))
-    rows = j.select("rule_id", "attr", F.when(lo, F.col("lo")).alias("lo"), F.when(hi, F.col("hi")).alias("hi"), F.when(eq, F.col("eq")).alias("eq"), (lo.cast("int") + hi.cast("int") + eq.cast("int")).alias("n"))
-    total = rows.groupBy("rule_id").agg(F.sum("n").alias("changes")).withColumn("r", F.rank().over(Window.orderBy("changes"))).where("r = 1").drop("r")
-    return rows.where("n > 0").join(total, "rule_id").drop("n")
+    rows = j.select(*keys, "rule_id", "attr", F.when(lo, F.col("lo")).alias("lo"), F.when(hi, F.col("hi")).alias("hi"), F.when(eq, F.col("eq")).alias("eq"), (lo.cast("int") + hi.cast("int") + eq.cast("int")).alias("n"))
+    total = rows.groupBy(*keys, "rule_id").agg(F.sum("n").alias("changes"))
+    least = total.groupBy(*keys).agg(F.min("changes").alias("changes"))
+    return rows.where("n > 0").join(total.join(least, [*keys, "changes"]), [*keys, "rule_id"]).drop("n")
 
 
 def apply_delta(rows: DataFrame, deltas: DataFrame, key: str, features: list[str], step: float = 1.0) -> DataFrame:
@@ -93,17 +95,27 @@ def class_totals(applicable: DataFrame, group: str = "g") -> DataFrame:
 
 
 def next_rule(rules: DataFrame, tx: DataFrame, wanted: str, used: DataFrame | None = None, restricted: list[int] | None = None, group: str = "g") -> DataFrame:
-    """(g, tid, rule_id): the strongest rule of the wanted class that doesn't hold yet, isn't used and asks for no restricted item."""
+    """(g, tid, rule_id): the strongest rule of the wanted class that doesn't hold yet, isn't used and asks for no restricted item.
+
+    Baskets of a group with the same items and the same used rules are one
+    basket, so rules meet distinct baskets alone.
+    """
     open_ = rules.where(F.col("class") == wanted).select(group, "rule_id", "items", "log_p", "confidence")
-    pairs = tx.select(group, "tid", F.col("items").alias("own")).join(open_, group)
+    kinds = tx.select(group, "tid", F.array_sort("items").alias("own"))
+    if used is not None:
+        gone = used.groupBy(group, "tid").agg(F.array_sort(F.collect_set("rule_id")).alias("gone"))
+        kinds = kinds.join(gone, [group, "tid"], "left")
+        kinds = kinds.withColumn("gone", F.coalesce("gone", F.array().cast(gone.schema["gone"].dataType)))
+    same = [c for c in kinds.columns if c != "tid"]
+    pairs = kinds.select(*same).distinct().join(open_, group)
     missing = F.array_except("items", "own")
     pairs = pairs.where(F.size(missing) > 0)
     if restricted:
         pairs = pairs.where(~F.arrays_overlap(missing, F.array(*[F.lit(i) for i in restricted])))
     if used is not None:
-        pairs = pairs.join(used, [group, "tid", "rule_id"], "left_anti")
-    first = Window.partitionBy(group, "tid").orderBy(F.round(F.col("log_p") * F.col("confidence"), 9), "rule_id")
-    return pairs.withColumn("r", F.row_number().over(first)).where("r = 1").select(group, "tid", "rule_id")
+        pairs = pairs.where(~F.array_contains("gone", F.col("rule_id")))
+    best = pairs.groupBy(*same).agg(F.min_by("rule_id", F.struct(F.round(F.col("log_p") * F.col("confidence"), 9), "rule_id")).alias("rule_id"))
+    return kinds.join(best, same).select(group, "tid", "rule_id")
 
 
 def apply_rule(tx: DataFrame, chosen: DataFrame, rules: DataFrame, item_features: DataFrame, n_encoded: int, group: str = "g") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rationale.functions.special import exploration_rate
 from rationale.operators import anchors as J
 from rationale.operators import bins as C
 from rationale.operators import texts as T
@@ -53,7 +54,12 @@ def _(spark, read):
     return rounded(_stats(spark, read))
 
 
-@query("j4_kl_bounds")
+_KL = "(least(greatest({p}, 1e-7), 1 - 1e-7) * ln(least(greatest({p}, 1e-7), 1 - 1e-7) / least(greatest({q}, 1e-7), 1 - 1e-7)) + (1 - least(greatest({p}, 1e-7), 1 - 1e-7)) * ln((1 - least(greatest({p}, 1e-7), 1 - 1e-7)) / (1 - least(greatest({q}, 1e-7), 1 - 1e-7))))"
+_UP, _LOW = _KL.format(p="p", q="((a + b) / 2)"), _KL.format(p="p", q="((c + d) / 2)")
+_HALVED = f"bi AS (SELECT set_id, p, level, 0 AS step, p AS a, least(p + sqrt(level / 2), 1.0) AS b, greatest(p - sqrt(level / 2), 0.0) AS c, p AS d FROM (SELECT set_id, positives::DOUBLE / n AS p, {exploration_rate(2, 1, 0.05)!r} / n AS level FROM cs) UNION ALL SELECT set_id, p, level, step + 1, CASE WHEN {_UP} > level THEN a ELSE (a + b) / 2 END, CASE WHEN {_UP} > level THEN (a + b) / 2 ELSE b END, CASE WHEN {_LOW} > level THEN (c + d) / 2 ELSE c END, CASE WHEN {_LOW} > level THEN d ELSE (c + d) / 2 END FROM bi WHERE step < 16)"
+
+
+@query("j4_kl_bounds", f"WITH RECURSIVE {_STATS}, {_HALVED} SELECT set_id, n, positives, round(coverage, 6) AS coverage, round(p, 6) AS precision, round(c, 6) AS lower, round(b, 6) AS upper FROM cs JOIN bi USING (set_id) WHERE step = 16")
 def _(spark, read):
     return rounded(J.with_bounds(_stats(spark, read), 2, 1))
 

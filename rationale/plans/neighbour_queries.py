@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rationale.functions.draws import draw_sql, normal_sql
+from rationale.functions.special import normal_cdf
 from rationale.operators import bins as C
 from rationale.operators import neighbours as E
 from rationale.operators import profile as B
@@ -98,7 +99,12 @@ def _(spark, read):
     return part_neighbours(read, "cauchy").groupBy("p_partkey").agg(F.round(F.median("p_size"), 4).alias("size"), F.round(F.median("p_retailprice"), 3).alias("price"), F.count("*").alias("n"))
 
 
-@query("e1_perturb_t")
+def _t_sql(i: int) -> str:
+    squares = " + ".join(f"power({normal_sql(s, 'p_partkey', 'rep', i)}, 2)" for s in (101, 103, 105))
+    return f"({normal_sql(1, 'p_partkey', 'rep', i)} / sqrt(({squares}) / 3))"
+
+
+@query("e1_perturb_t", f"WITH {neigh_sql(_t_sql(0), _t_sql(1))} {SUMS}")
 def _(spark, read):
     return _sums(part_neighbours(read, "t"))
 
@@ -108,7 +114,10 @@ def part_covariance(read) -> np.ndarray:
     return np.array([[rows[i, j] for j in PART_FEATURES] for i in PART_FEATURES])
 
 
-@query("e2_perturb_normal")
+_Z = [normal_sql(1, "p_partkey", "rep", i) for i in (0, 1)]
+
+
+@query("e2_perturb_normal", f"WITH c AS (SELECT covar_samp(p_size, p_size) AS a, covar_samp(p_size, p_retailprice) AS b, covar_samp(p_retailprice, p_retailprice) AS c FROM part), l AS (SELECT sqrt(a) AS l11, b / sqrt(a) AS l21, sqrt(c - b * b / a) AS l22 FROM c), r AS (SELECT unnest(range(0, {N + 1})) AS rep), neigh AS (SELECT p_partkey, CASE WHEN rep = 0 THEN p_size ELSE p_size + l11 * {_Z[0]} END AS p_size, CASE WHEN rep = 0 THEN p_retailprice ELSE p_retailprice + l21 * {_Z[0]} + l22 * {_Z[1]} END AS p_retailprice FROM part CROSS JOIN r CROSS JOIN l) {SUMS}")
 def _(spark, read):
     return _sums(E.perturb_normal(read("part"), part_covariance(read), "p_partkey", PART_FEATURES, N))
 
@@ -120,6 +129,41 @@ def _(spark, read):
     return n.groupBy("p_partkey").agg(F.round(F.sum(E.bounded(F.col("p_size"), lo, hi)), 4).alias("lazy"), F.round(F.sum(E.bounded(F.col("p_size"), lo, hi, "absolute")), 4).alias("absolute"))
 
 
+_MOVED = "CASE WHEN x < lo1 THEN {c} + ((x % (hi1 - lo1)) + (hi1 - lo1)) % (hi1 - lo1) / 2 WHEN x > hi1 THEN {c} - ((x % (hi1 - lo1)) + (hi1 - lo1)) % (hi1 - lo1) / 2 ELSE x END"
+
+
+def _distributed(centre: str, name: str) -> str:
+    return f"{name} AS (SELECT p_partkey, rep, 0 AS step, p_size AS x, x0_p_size AS x0, lo1, hi1, m1 FROM neigh CROSS JOIN (SELECT lo1, hi1, m1 FROM s) UNION ALL SELECT p_partkey, rep, step + 1, {_MOVED.format(c=centre)}, x0, lo1, hi1, m1 FROM {name} WHERE step < 8)"
+
+
+@query("e3_bound_distribute", f"WITH RECURSIVE {UNIFORM}, {_distributed('m1', 'dm')}, {_distributed('x0', 'ds')} SELECT p_partkey, round(sum(least(greatest(dm.x, dm.lo1), dm.hi1)), 4) AS mean, round(sum(least(greatest(ds.x, ds.lo1), ds.hi1)), 4) AS sample FROM dm JOIN ds USING (p_partkey, rep) WHERE dm.step = 8 AND ds.step = 8 GROUP BY p_partkey")
+def _(spark, read):
+    """Values beyond the range move to either side of the mean, or of the instance's own value."""
+    n = part_neighbours(read).join(F.broadcast(E.stats_row(read("part"), ["p_size"])))
+    lo, hi = F.col("min_p_size").cast("double"), F.col("max_p_size").cast("double")
+    by = {k: E.bounded(F.col("p_size"), lo, hi, "distribute", F.col(c)) for k, c in (("mean", "mean_p_size"), ("sample", "x0_p_size"))}
+    return n.groupBy("p_partkey").agg(*[F.round(F.sum(x), 4).alias(k) for k, x in by.items()])
+
+
+_CLASS = "CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 15 THEN 'middle' ELSE 'low' END"
+
+
+@query(
+    "e4_class_balanced",
+    f"""WITH {UNIFORM}, x AS (SELECT p_partkey, rep, (rep - 1) // 4 AS round, {_CLASS} AS label FROM neigh WHERE rep > 0),
+    h AS (SELECT p_partkey, floor(6 / count(DISTINCT label)) AS share FROM x GROUP BY p_partkey),
+    c AS (SELECT p_partkey, label, round, sum(count(*)) OVER (PARTITION BY p_partkey, label ORDER BY round) AS c FROM x GROUP BY p_partkey, label, round),
+    f AS (SELECT c.p_partkey, label, min(CASE WHEN c >= share THEN round END) AS met, max(round) AS till FROM c JOIN h USING (p_partkey) GROUP BY c.p_partkey, label),
+    l AS (SELECT p_partkey, CASE WHEN count(met) = count(*) THEN max(met) ELSE max(till) END AS last FROM f GROUP BY p_partkey),
+    q AS (SELECT x.*, share, row_number() OVER (PARTITION BY x.p_partkey, label ORDER BY round, rep) AS r FROM x JOIN l USING (p_partkey) JOIN h USING (p_partkey) WHERE round <= last)
+    SELECT p_partkey, label, count(*) AS n, sum(rep)::BIGINT AS reps FROM q WHERE r <= share GROUP BY p_partkey, label""",
+)
+def _(spark, read):
+    """Every class that turns up around an instance has the same share."""
+    rounds = part_neighbours(read).where("rep > 0").select("p_partkey", "rep", F.expr("(rep - 1) div 4").alias("round"), F.expr(_CLASS).alias("label"))
+    return E.class_balanced(rounds, "p_partkey", 6).groupBy("p_partkey", "label").agg(F.count("*").alias("n"), F.sum("rep").alias("reps"))
+
+
 @query(
     "e4_balanced",
     f"""WITH {UNIFORM}, l AS (SELECT p_partkey, rep, (rep - 1) // 4 AS round, {PART_MODEL} AS label FROM neigh), o AS (SELECT p_partkey, label AS own FROM l WHERE rep = 0),
@@ -162,22 +206,58 @@ def _(spark, read):
     return E.proximity_sample(placed, shares, "p_partkey", one, N).groupBy("p_partkey").agg(F.sum("bin").alias("bins"))
 
 
-@query("e8_lhs_sample", f"SELECT p_partkey, {N}::BIGINT AS strata_size, {N}::BIGINT AS strata_price FROM part")
+@query("e8_lhs_sample", f"WITH x AS (SELECT p_partkey, rep, row_number() OVER (PARTITION BY p_partkey ORDER BY {draw_sql(1, 'p_partkey', 'rep', 0)}, rep) - 1 AS a, row_number() OVER (PARTITION BY p_partkey ORDER BY {draw_sql(1, 'p_partkey', 'rep', 1)}, rep) - 1 AS b FROM part CROSS JOIN (SELECT unnest(range(1, {N + 1})) AS rep)) SELECT p_partkey, sum(rep * a)::BIGINT AS strata_size, sum(rep * b)::BIGINT AS strata_price, {2 * N}::BIGINT AS inside FROM x GROUP BY p_partkey")
 def _(spark, read):
-    """Every stratum is used once by every instance and feature."""
+    """Strata by draw, and values that lie in their stratum of the normal distribution."""
     p = read("part")
-    s = E.lhs_sample(p, E.stats_row(p, PART_FEATURES), "p_partkey", PART_FEATURES, N)
-    return s.groupBy("p_partkey").agg(F.count_distinct("stratum_p_size").alias("strata_size"), F.count_distinct("stratum_p_retailprice").alias("strata_price"))
+    stats = E.stats_row(p, PART_FEATURES)
+    s = E.lhs_sample(p, stats, "p_partkey", PART_FEATURES, N).join(F.broadcast(stats))
+    inside = [(F.floor(normal_cdf((F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c}")) * N) == F.col(f"stratum_{c}")).cast("long") for c in PART_FEATURES]
+    return s.groupBy("p_partkey").agg(F.sum(F.col("rep") * F.col("stratum_p_size")).alias("strata_size"), F.sum(F.col("rep") * F.col("stratum_p_retailprice")).alias("strata_price"), F.sum(inside[0] + inside[1]).alias("inside"))
+
 
+_PIECES = "pc AS (SELECT doc_id, text, regexp_extract_all(text, '[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+') AS p FROM documents)"
 
-@query("e9_token_index", r"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9_]+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL")
+
+@query("e9_token_index", f"WITH {_PIECES}, u AS (SELECT doc_id, unnest(p) AS w, unnest(range(0, len(p))) AS i FROM pc), s AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS start FROM u) SELECT doc_id, w AS word, count(*) AS n, array_to_string(list(start::BIGINT ORDER BY start), ' ') AS starts FROM s WHERE regexp_matches(w, '^[a-zA-Z0-9_]') GROUP BY doc_id, w")
+def _(spark, read):
+    t = T.token_index(read("documents"), "doc_id", "text", r"[^a-zA-Z0-9_]+")
+    return t.select("doc_id", "word", "n", F.array_join(F.transform("starts", lambda s: s.cast("string")), " ").alias("starts"))
+
+
+def _word_code(w: str) -> str:
+    """The keyed code of a word, seed 1."""
+    mixed = f"((doc_id % 2147483647) * 16807 + (rep % 2147483647) * 7919 + (('0x' || substr(md5({w}), 1, 8))::BIGINT % 2147483647) * 104729 + 32)"
+    for a in (48271, 69621):
+        mixed = f"((({mixed} % 2147483647) * {a} + 12345) % 2147483647)"
+    return mixed
+
+
+def _masks(words: str, parts: str, gap: str | None, kept: str) -> str:
+    left = f"list_filter({parts}, lambda x: {kept} OR list_contains(k, x))" if gap is None else f"list_transform({parts}, lambda x: CASE WHEN {kept} OR list_contains(k, x) THEN x ELSE '{gap}' END)"
+    return f"v AS (SELECT doc_id, p, rep, list_distinct({words}) AS v FROM pc CROSS JOIN (SELECT unnest(range(0, 3)) AS rep)), q AS (SELECT *, CASE WHEN rep = 0 THEN 0 ELSE floor({draw_sql(1, 'doc_id', 'rep', 999)} * len(v)) + 1 END::INT AS removed FROM v WHERE len(v) > 0), b AS (SELECT *, CASE WHEN removed = 0 THEN -1 ELSE list_sort(list_transform(v, lambda x: {_word_code('x')}))[removed] END AS bar FROM q), k AS (SELECT *, list_filter(v, lambda x: {_word_code('x')} > bar) AS k FROM b) SELECT doc_id, rep::INT AS rep, removed, md5(array_to_string({left}, '')) AS masked FROM k"
+
+
+_WORDS, _GAP = "list_filter(p, lambda x: regexp_matches(x, '^[a-zA-Z0-9_]'))", "NOT regexp_matches(x, '^[a-zA-Z0-9_]')"
+
+
+@query("e9_text_mask", f"WITH {_PIECES}, {_masks(_WORDS, 'p', None, _GAP)}")
 def _(spark, read):
-    return T.token_index(read("documents"), "doc_id", "text", r"[^a-zA-Z0-9_]+").select("doc_id", "word", "n")
+    m = T.text_mask(read("documents"), "doc_id", "text", 2, pattern=r"[^a-zA-Z0-9_]+")
+    return m.select("doc_id", "rep", "removed", F.md5(F.col("masked").cast("binary")).alias("masked"))
 
 
-@query("e9_text_mask", f"SELECT doc_id, rep::INT AS rep, CASE WHEN rep = 0 THEN 0 ELSE floor({draw_sql(1, 'doc_id', 'rep', 999)} * v) + 1 END::INT AS removed FROM (SELECT doc_id, count(DISTINCT word) AS v FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9_]+')) AS word FROM documents) WHERE word <> '' GROUP BY doc_id) CROSS JOIN (SELECT unnest(range(0, 3)) AS rep)")
+@query("e9_text_mask_positions", f"WITH {_PIECES}, {_masks(_WORDS, 'p', 'UNKWORDZ', _GAP)}")
 def _(spark, read):
-    return T.text_mask(read("documents"), "doc_id", "text", 2, pattern=r"[^a-zA-Z0-9_]+").select("doc_id", "rep", "removed")
+    """Words that go leave a mark in their place."""
+    m = T.text_mask(read("documents"), "doc_id", "text", 2, False, pattern=r"[^a-zA-Z0-9_]+")
+    return m.select("doc_id", "rep", "removed", F.md5(F.col("masked").cast("binary")).alias("masked"))
+
+
+@query("e9_text_mask_characters", f"WITH pc AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS p FROM documents), {_masks('p', 'p', ' ', 'false')}")
+def _(spark, read):
+    m = T.text_mask(read("documents"), "doc_id", "text", 2, False, char_level=True)
+    return m.select("doc_id", "rep", "removed", F.md5(F.col("masked").cast("binary")).alias("masked"))
 
 
 @query("e10_unk_mask", f"SELECT doc_id, rep::INT AS rep, sum(CASE WHEN w = 'UNK' OR (rep > 0 AND {draw_sql(1, 'doc_id', 'rep', 0).replace('CAST(32 AS BIGINT)', '(CAST(32 AS BIGINT) + i * 104729)')} < 0.5) THEN 1 ELSE 0 END)::BIGINT AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS i FROM documents) CROSS JOIN (SELECT unnest(range(0, 2)) AS rep) GROUP BY doc_id, rep")
@@ -191,7 +271,7 @@ def _(spark, read):
     return E.marginal_sample(read("part"), "p_partkey", ["p_size"], ["p_brand"], 2000).agg(F.count("*").alias("n"), F.round(F.sum("p_size"), 4).alias("size"))
 
 
-_NEAR = f"""WITH {S}, x AS (SELECT p_partkey, p_size, p_retailprice, {PART_MODEL} AS label FROM part), i AS (SELECT p_partkey AS instance_id, p_size AS a, p_retailprice AS b FROM part WHERE p_size = 1),
+_NEAR = f"""WITH {S}, x AS (SELECT p_partkey, p_size, p_retailprice, {PART_MODEL} AS label FROM part), i AS (SELECT p_partkey AS instance_id, p_size AS a, p_retailprice AS b FROM part WHERE p_partkey % 100 = 0),
     d AS (SELECT instance_id, p_partkey, label, sqrt(power((p_size - a) / s1, 2) + power((p_retailprice - b) / s2, 2)) AS distance FROM x CROSS JOIN i CROSS JOIN s),
     k AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance, p_partkey) AS r, row_number() OVER (PARTITION BY instance_id, label ORDER BY distance, p_partkey) AS rc FROM d),
     c AS (SELECT instance_id, label, count(*) FILTER (WHERE r <= 20) AS n FROM k GROUP BY ALL), q AS (SELECT instance_id, min(label) AS rare FROM c WHERE n < 4 GROUP BY instance_id)
@@ -201,7 +281,7 @@ _NEAR = f"""WITH {S}, x AS (SELECT p_partkey, p_size, p_retailprice, {PART_MODEL
 @query("e12_closest_rows", _NEAR)
 def _(spark, read):
     p = D.score(read("part"), PART_MODEL)
-    return rounded(E.closest_rows(p, p.where("p_size = 1"), "p_partkey", PART_FEATURES, "label", 20, 0.2))
+    return rounded(E.closest_rows(p, p.where("p_partkey % 100 = 0"), "p_partkey", PART_FEATURES, "label", 20, 0.2))
 
 
 @query("e13_genetic_neighbourhood")
@@ -218,14 +298,18 @@ def _(spark, read):
     return E.fitness_gap(read("events"), "user_id", "value")
 
 
-@query("e14_oversample", f"WITH x AS (SELECT {PART_MODEL} AS label FROM part) SELECT label, (SELECT max(n) FROM (SELECT count(*) AS n FROM x GROUP BY label)) AS n FROM x GROUP BY label")
+@query("e14_oversample", f"WITH x AS (SELECT p_partkey, {PART_MODEL} AS label FROM part), y AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p_partkey) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM x), z AS (SELECT *, max(n) OVER () AS most FROM y), c AS (SELECT *, most // n + (r < most % n)::INT AS copies FROM z) SELECT label, sum(copies)::BIGINT AS n, sum(p_partkey * copies)::BIGINT AS keys, sum(copies * (copies - 1) // 2)::BIGINT AS copies FROM c GROUP BY label")
 def _(spark, read):
-    return E.oversample(D.score(read("part"), PART_MODEL), "label", "p_partkey").groupBy("label").agg(F.count("*").alias("n"))
+    o = E.oversample(D.score(read("part"), PART_MODEL), "label", "p_partkey")
+    return o.groupBy("label").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"), F.sum("copy").alias("copies"))
+
+
+_REDRAWN = f"a AS (SELECT p_partkey, p_size::DOUBLE AS v, row_number() OVER (ORDER BY {draw_sql(1, 'p_partkey')}, p_partkey) - 1 AS i FROM part), b AS (SELECT p_size::DOUBLE AS w, row_number() OVER (ORDER BY {draw_sql(2, 'p_partkey')}, p_partkey) - 1 AS j FROM part WHERE p_size > 10 AND p_size <= 20), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE v > 10 AND v <= 20) AS m FROM a), k AS (SELECT rep, floor({draw_sql(3, 'rep')} * n) AS i, floor({draw_sql(4, 'rep')} * greatest(m, 1)) AS j FROM range(0, 4000) t(rep) CROSS JOIN s)"
 
 
-@query("e15_conditional_sample")
+@query("e15_conditional_sample", f"WITH {_REDRAWN} SELECT rep, p_partkey, round(CASE WHEN v > 10 AND v <= 20 THEN v ELSE coalesce(w, 10 + {draw_sql(5, 'rep')} * 10) END, 6) AS value FROM k JOIN a USING (i) LEFT JOIN b USING (j)")
 def _(spark, read):
-    return E.conditional_sample(read("part"), "p_partkey", "p_size", 10, 20, 4000).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return rounded(E.conditional_sample(read("part"), "p_partkey", "p_size", 10, 20, 4000))
 
 
 @query("e16_noise_pairs", f"SELECT label::INT AS label, count(*) AS n, round(sum(v), 3) AS total FROM (SELECT 1 AS label, p_size::DOUBLE AS v FROM part UNION ALL SELECT 0, p_size + 0.3 * {normal_sql(1, 'p_partkey', 'rep', 0)} FROM part CROSS JOIN (SELECT unnest(range(1, 4)) AS rep)) GROUP BY label")
@@ -255,3 +339,12 @@ def _(spark, read):
 def _(spark, read):
     c = read("customer").select((F.col("c_acctbal") / 1000).alias("a"), F.col("c_nationkey").cast("double").alias("b"))
     return c.groupBy(E.polynomial_rule(F.col("a"), F.col("b")).alias("y")).agg(F.count("*").alias("n"))
+
+
+_POINTS = f"z AS (SELECT c_custkey, ({draw_sql(1, 'c_custkey')} < 0.5)::INT + 1 AS z FROM customer), p AS (SELECT c_custkey, z, CASE WHEN z = 1 THEN -1.5 ELSE 1.5 END + {normal_sql(2, 'c_custkey')} AS a, CASE WHEN z = 1 THEN -0.75 ELSE 0.75 END + {normal_sql(4, 'c_custkey')} AS b FROM z)"
+
+
+@query("e19_simulate", f"WITH {_POINTS} SELECT z, (a * a - a * b + b > 1)::INT AS y, count(*) AS n, round(sum(a), 4) AS a, round(sum(b), 4) AS b FROM p GROUP BY 1, 2")
+def _(spark, read):
+    """A simulated point for each customer."""
+    return E.simulate(read("customer"), "c_custkey").groupBy("z", "y").agg(F.count("*").alias("n"), F.round(F.sum("a"), 4).alias("a"), F.round(F.sum("b"), 4).alias("b"))

@@ -32,9 +32,18 @@ def _(spark, read):
     return t.groupBy("attr", "class").agg(F.count("*").alias("n"))
 
 
-@query("i2_path_rule", f"WITH {PATHS_SQL} SELECT rule_id, class, attr, lo, hi FROM p")
+TESTS = "t AS (SELECT l_orderkey, l_suppkey % 3 AS rule_id, l_returnflag AS attr, max(CASE WHEN l_linenumber % 2 = 1 THEN l_quantity END) AS lo, min(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity + 20 END) AS hi FROM lineitem GROUP BY ALL)"
+
+
+def order_tests(read):
+    """Each line of an order is one test of a path: odd lines ask for more than their quantity, even ones for 20 more at most."""
+    c = read("lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("rule_id"), F.col("l_returnflag").alias("attr"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity")).alias("lo"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") + 20).alias("hi"), F.lit(None).cast("string").alias("eq"))
+    return I.path_rule(c, ["l_orderkey", "rule_id"])
+
+
+@query("i2_path_rule", f"WITH {TESTS} SELECT * FROM t")
 def _(spark, read):
-    return paths(spark).drop("eq")
+    return order_tests(read).drop("eq")
 
 
 @query("i3_tree_assign", f"WITH {PATHS_SQL}, {LEAF_SQL} SELECT p_partkey, rule_id FROM h")
@@ -48,10 +57,11 @@ def _(spark, read):
     return rounded(I.covered(score(read("part"), PART_MODEL), p, "p_partkey", PART_FEATURES, "label", p.select("rule_id", "class").distinct()))
 
 
-@query("i5_counterfactual_deltas", f"WITH {PATHS_SQL}, f AS (SELECT attr, lo AS flo, hi AS fhi FROM p WHERE rule_id = 3), d AS (SELECT rule_id, p.attr, CASE WHEN lo IS NOT NULL AND (flo IS NULL OR flo < lo) THEN lo END AS lo, CASE WHEN hi IS NOT NULL AND (fhi IS NULL OR fhi > hi) THEN hi END AS hi FROM p LEFT JOIN f ON f.attr = p.attr WHERE class = 'Y'), t AS (SELECT rule_id, sum((lo IS NOT NULL)::INT + (hi IS NOT NULL)::INT)::BIGINT AS changes FROM d GROUP BY rule_id) SELECT d.rule_id, attr, lo, hi, changes FROM d JOIN t ON d.rule_id = t.rule_id WHERE (lo IS NOT NULL OR hi IS NOT NULL) AND changes = (SELECT min(changes) FROM t)")
+@query("i5_counterfactual_deltas", f"WITH {TESTS}, f AS (SELECT l_orderkey, attr, lo AS flo, hi AS fhi FROM t WHERE rule_id = 0), d AS (SELECT t.l_orderkey, rule_id, t.attr, CASE WHEN lo IS NOT NULL AND (flo IS NULL OR flo < lo) THEN lo END AS lo, CASE WHEN hi IS NOT NULL AND (fhi IS NULL OR fhi > hi) THEN hi END AS hi FROM t LEFT JOIN f ON f.l_orderkey = t.l_orderkey AND f.attr = t.attr WHERE rule_id > 0 AND t.l_orderkey IN (SELECT l_orderkey FROM f)), s AS (SELECT l_orderkey, rule_id, sum((lo IS NOT NULL)::INT + (hi IS NOT NULL)::INT)::BIGINT AS changes FROM d GROUP BY ALL), k AS (SELECT l_orderkey, min(changes) AS changes FROM s GROUP BY l_orderkey) SELECT d.l_orderkey, d.rule_id, attr, lo, hi, k.changes FROM d JOIN s ON s.l_orderkey = d.l_orderkey AND s.rule_id = d.rule_id JOIN k ON k.l_orderkey = s.l_orderkey AND k.changes = s.changes WHERE lo IS NOT NULL OR hi IS NOT NULL")
 def _(spark, read):
-    p = paths(spark)
-    return I.counterfactual_deltas(p.where("rule_id = 3").drop("class"), p.where("class = 'Y'").drop("class")).drop("eq")
+    """What the nearest other path of each order asks for beyond its first."""
+    p = order_tests(read)
+    return I.counterfactual_deltas(p.where("rule_id = 0"), p.where("rule_id > 0"), ["l_orderkey"]).drop("eq")
 
 
 @query("i6_apply_delta", "SELECT p_partkey, 1 AS rule_id, 26.0 AS p_size, 951.0 AS p_retailprice FROM part UNION ALL SELECT p_partkey, 4, 4.0, p_retailprice FROM part")

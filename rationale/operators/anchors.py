@@ -82,12 +82,34 @@ def anchor_beam(sample: DataFrame, preds: DataFrame, row_key: str, columns: list
     return every.withColumn("r", F.row_number().over(first)).where("r = 1").select(key, "preds", "precision", "coverage", "accepted")
 
 
-def anchor_text(masks: DataFrame, key: str, label: str, threshold: float = 0.95) -> DataFrame:
-    """(key, position, precision, n): single words whose presence keeps a document's label; ``masks`` has (key, rep, kept positions, label)."""
-    own = masks.where("rep = 0").select(key, F.col(label).alias("own"))
-    long = masks.where("rep > 0").join(own, key).select(key, F.explode("kept").alias("position"), (F.col(label) == F.col("own")).cast("int").alias("ok"))
-    stats = long.groupBy(key, "position").agg(F.count("*").alias("n"), F.avg("ok").alias("precision"))
-    return stats.where(F.col("precision") >= threshold)
+def anchor_text(masks: DataFrame, key: str, label: str, threshold: float = 0.95, beam: int = 4, max_size: int = 2, epsilon: float = 0.1, delta: float = 0.05) -> DataFrame:
+    """(key, preds, n, precision, coverage, accepted): the set of word positions whose presence keeps a document's label.
+
+    ``masks`` has (key, rep, kept positions, label), rep 0 being the text itself.
+    The beams of all documents grow together by one position a round, over their
+    own masks; bounds, acceptance and choice are those of ``anchor_beam``.
+    """
+    from rationale.sources.scratch import stored
+
+    own = masks.where("rep = 0").select(key, F.col(label).alias("wanted"), F.col("kept").alias("positions"))
+    rows = masks.where("rep > 0").join(own.select(key, "wanted"), key).select(key, "rep", "kept", (F.col(label) == F.col("wanted")).cast("int").alias("ok"))
+    total = rows.groupBy(key).agg(F.count("*").alias("total"))
+    front, every = None, None
+    for size in range(1, max_size + 1):
+        if front is None:  # single positions: only those that a mask keeps can have a precision
+            met = rows.select(key, "rep", "ok", F.explode("kept").alias("position")).select(key, "rep", "ok", F.array("position").alias("preds"))
+        else:
+            met = rows.join(front, key).where(F.size(F.array_except("preds", "kept")) == 0)
+        stats = met.groupBy(key, "preds").agg(F.count("*").alias("n"), F.sum("ok").alias("positives")).join(total, key)
+        bounded = with_bounds(stats, 1, size, delta).withColumn("coverage", F.col("n") / F.col("total"))
+        accepted = (F.col("precision") >= threshold) & (F.col("lower") > threshold - epsilon)
+        best = Window.partitionBy(key).orderBy(F.desc(F.round("upper", 9)), F.desc("n"), "preds")
+        level = stored(bounded.withColumn("accepted", accepted).withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
+        every = level if every is None else every.unionByName(level)
+        grown = level.where("not accepted").select(key, "preds").join(own.select(key, F.explode("positions").alias("position")), key).where(~F.array_contains("preds", F.col("position")))
+        front = grown.select(key, F.array_sort(F.concat("preds", F.array("position"))).alias("preds")).distinct()
+    first = Window.partitionBy(key).orderBy(F.desc("accepted"), F.desc(F.round(F.when(F.col("accepted"), F.col("coverage")).otherwise(F.col("precision")), 9)), F.size("preds"), F.desc("n"), "preds")
+    return every.withColumn("r", F.row_number().over(first)).where("r = 1").select(key, "preds", "n", "precision", "coverage", "accepted")
 
 
 def binned(df: DataFrame, columns: list[str], edges: DataFrame) -> DataFrame:

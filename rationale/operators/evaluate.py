@@ -125,6 +125,33 @@ def rank_overlap(df: DataFrame, key: str, a: str, b: str, p: float = 0.9) -> Dat
     return sums.select(key, ns.alias("k"), (xs / ns).alias("overlap"), (F.col("ao") / ns).alias("average_overlap"), minimum.alias("rbo_min"), ext.alias("rbo_ext"))
 
 
+def tied_rank_overlap(df: DataFrame, key: str, a: str, b: str, p: float = 0.9) -> DataFrame:
+    """(key, rbo_min, rbo_res, rbo_ext) of two rankings given as arrays of groups; the members of a group share its rank.
+
+    A depth counts groups. Agreement at a depth is twice the common members over
+    the members of both; overlap is agreement times the depth, the length of the
+    shorter ranking at most. rbo_res is what deeper ranks could add to rbo_min.
+    """
+    rows = df.select(key, F.least(F.size(a), F.size(b)).alias("s"), F.greatest(F.size(a), F.size(b)).alias("l"), a, b).where("s > 0")
+    d = rows.withColumn("d", F.explode(F.sequence(F.lit(1), F.col("l"))))
+    upto = [F.array_distinct(F.flatten(F.slice(c, F.lit(1), F.col("d")))) for c in (a, b)]
+    d = d.withColumn("g", 2.0 * F.size(F.array_intersect(*upto)) / (F.size(upto[0]) + F.size(upto[1]))).withColumn("x", F.col("g") * F.least("d", "s")).withColumn("pd", F.pow(F.lit(p), F.col("d")))
+    at = lambda c: F.max(F.when(F.col("d") == F.col(c), F.col("x")))
+    sums = d.groupBy(key).agg(
+        F.first("s").alias("s"), F.first("l").alias("l"), at("s").alias("xs"), at("l").alias("xl"),
+        F.sum(F.col("pd") * F.col("g")).alias("all_g"),
+        F.sum(F.when(F.col("d") <= F.col("s"), F.col("pd") / F.col("d") * F.col("x"))).alias("short_x"),
+        F.sum(F.when(F.col("d") > F.col("s"), F.col("pd") * (F.col("d") - F.col("s")) / F.col("d"))).alias("beyond"),
+    )
+    s, long, xs, xl = (F.col(c) for c in ("s", "l", "xs", "xl"))
+    part = lambda n: F.coalesce(_log_part(p, n), F.lit(0.0))
+    low = (1 - p) / p * (F.col("short_x") - xs * part(s) - xs * float(np.log(1 - p)))
+    f = F.ceil(F.round(long + s - xl, 9)).cast("int")
+    res = F.pow(F.lit(p), s) + F.pow(F.lit(p), long) - F.pow(F.lit(p), f) - (1 - p) / p * (s * (part(f) - part(s)) + long * (part(f) - part(long)) + xl * (-float(np.log(1 - p)) - part(f)))
+    ext = (1 - p) / p * (F.col("all_g") + xs / s * F.coalesce("beyond", F.lit(0.0))) + F.pow(F.lit(p), long) * ((xl - xs) / long + xs / s)
+    return sums.select(key, low.alias("rbo_min"), res.alias("rbo_res"), ext.alias("rbo_ext"))
+
+
 def _log_part(p: float, n: Column) -> Column:
     """Sum of p^d / d for d up to n."""
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, d: acc + F.pow(F.lit(p), d) / d)

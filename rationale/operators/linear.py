@@ -219,3 +219,30 @@ def submodular_pick(explanations: DataFrame, k: int, key: str = "instance_id") -
         picked.append((len(picked) + 1, best[0]))
         worth = worth.join(has.where(F.col(key) == best[0]).select("feature"), "feature", "left_anti")
     return spark.createDataFrame(picked, f"round int, {key} long")
+
+
+def text_ridge(masks: DataFrame, key: str, words: str, y: str, weight: str, alpha: float = 1.0) -> DataFrame:
+    """(key, word, weight, rank): ridge regression of a score on which words of a text a mask keeps, a weight for each word.
+
+    ``masks`` has one row for each mask of a text, with the kept words as an
+    array; a group is the masks of one text. The regression is solved in the
+    space of the masks, so a text of many words costs no matrix over its words.
+    """
+    kind = masks.schema[key].dataType.simpleString()
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        vocabulary = sorted({w for kept in f[words] for w in kept})
+        place = {w: i for i, w in enumerate(vocabulary)}
+        x = np.zeros((len(f), len(vocabulary)), np.float32)
+        for row, kept in enumerate(f[words]):
+            x[row, [place[w] for w in kept]] = 1
+        w = f[weight].to_numpy(float)
+        root = np.sqrt(w)
+        left = (x - w @ x / w.sum()) * root[:, None]
+        right = (f[y].to_numpy(float) - w @ f[y].to_numpy(float) / w.sum()) * root
+        coef = left.T @ np.linalg.solve(left @ left.T + alpha * np.eye(len(f)), right)
+        order = np.lexsort((np.arange(len(coef)), -np.abs(coef).round(9)))
+        return pd.DataFrame({key: f[key].iloc[0], "word": [vocabulary[i] for i in order], "weight": coef[order], "rank": np.arange(1, len(coef) + 1)})
+
+    rows = masks.select(key, F.col(words), F.col(y).cast("double").alias(y), F.col(weight).cast("double").alias(weight))
+    return rows.groupBy(key).applyInPandas(solve, f"{key} {kind}, word string, weight double, rank int")

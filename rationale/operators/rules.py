@@ -236,22 +236,32 @@ def contrast_rules(rules: DataFrame, item_features: DataFrame, max_dev: float =
     return a.join(b, [group, "fs"]).where(f"class1 < class2 and abs(p1 - p2) <= {max_dev}").select(group, "rule1", "rule2", "class1", "class2")
 
 
-def explain_rules(instances: DataFrame, make_neighbourhood, to_baskets, item_features: DataFrame, key: str, tries: int = 3, alpha: float = 0.001) -> DataFrame:
-    """(key, feature, weight, attempt): neighbourhoods are mined, and instances on which the surrogate disagrees are tried again with other draws.
+def explain_rules(instances: DataFrame, make_neighbourhood, to_baskets, item_features: DataFrame, key: str, tries: int = 10, alpha: float = 0.001, min_conf: float = 0.5) -> DataFrame:
+    """(key, feature, weight, attempt): neighbourhoods are split, mined, and their rules chosen by sequential cover of the pruning part.
+
+    Instances on which the surrogate disagrees with the black box are tried again
+    with other draws, ``tries`` times at most; those that never agree have one row
+    without feature and attempt. Groups whose rules cover nothing keep all of them.
 
     ``make_neighbourhood(instances, seed)`` gives rows with rep and label;
     ``to_baskets(rows)`` gives (g, tid, items, class) with tid 0 the instance.
     """
     open_, done = instances, None
-    for turn in range(tries):
-        tx = stored(to_baskets(make_neighbourhood(open_, turn + 1)))
-        rules = mine(tx, "g", 2, alpha)
-        rules = stored(rules.withColumn("rule_id", F.xxhash64("g", "items", "class")))
-        weighted = importance(rules, tx)
-        own = tx.where("tid = 0")
-        agreed = stored(classify(own, weighted).join(own.select("g", "class"), "g").where("predicted = class").select("g", F.col("class").alias("own")))
-        classes = agreed.join(tx.groupBy("g", "class").agg(F.count("*").alias("n")), "g").where("class <> own").groupBy("g", "own").agg(F.max_by("class", "n").alias("next"))
-        got = stored(feature_importance(rules, own, classes, item_features).withColumn("attempt", F.lit(turn + 1)))
+    for turn in range(1, tries + 1):
+        if turn > 1 and open_.isEmpty():
+            break
+        tx = stored(split_prune(to_baskets(make_neighbourhood(open_, turn))))
+        training, pruning = tx.where("not is_prune").drop("is_prune"), tx.where("is_prune").drop("is_prune")
+        rules = stored(mine(training, "g", 2, alpha).withColumn("rule_id", F.xxhash64("g", "items", "class")))
+        cover = stored(sequential_cover(rules, pruning, min_conf).select("g", "rule_id"))
+        kept = stored(rules.join(cover, ["g", "rule_id"], "left_semi").unionByName(rules.join(cover.select("g").distinct(), "g", "left_anti")))
+        own = tx.where("tid = 0").drop("is_prune")
+        predicted = classify(own, importance(kept, training))
+        agreed = stored(predicted.join(own.select("g", "class"), "g").where("predicted = class").select("g", F.col("class").alias("own")))
+        others = agreed.join(tx.groupBy("g", "class").agg(F.count("*").alias("n")), "g", "left")
+        classes = others.groupBy("g", "own").agg(F.max_by(F.when(F.col("class") != F.col("own"), F.col("class")), F.when(F.col("class") != F.col("own"), F.col("n")).otherwise(-1)).alias("next"))
+        got = stored(feature_importance(kept, own, classes, item_features).withColumn("attempt", F.lit(turn)))
         done = got if done is None else done.unionByName(got)
         open_ = stored(open_.join(agreed.select(F.col("g").alias(key)), key, "left_anti"))
-    return done.withColumnRenamed("g", key)
+    never = open_.select(F.col(key).alias("g"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("int").alias("attempt"))
+    return done.unionByName(never).withColumnRenamed("g", key)

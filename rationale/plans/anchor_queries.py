@@ -74,11 +74,12 @@ def _(spark, read):
 
 @query("j6_anchor_text")
 def _(spark, read):
-    """Words of conversations that keep a length label."""
+    """The words of each turn of a conversation that keep its length label."""
     c = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     m = T.unk_mask(c, "id", "text", 10)
     kept = F.filter(F.transform(F.split("masked", " "), lambda w, i: F.when(w != "UNK", i)), lambda i: i.isNotNull())
     label = F.when(F.length("masked") > 200, "long").otherwise("short")
-    return J.anchor_text(m.select("id", "rep", kept.alias("kept"), label.alias("label")), "id", "label").groupBy("id").agg(F.count("*").alias("n"))
+    found = J.anchor_text(m.select("id", "rep", kept.alias("kept"), label.alias("label")), "id", "label")
+    return rounded(found.withColumn("preds", F.array_join(F.transform("preds", lambda x: x.cast("string")), " ")))
 
 

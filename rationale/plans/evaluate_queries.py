@@ -100,6 +100,18 @@ def _(spark, read):
     return rounded(L.rank_overlap(a.join(b, "instance_id"), "instance_id", "a", "b"))
 
 
+_TIED = "h AS (SELECT user_id % 200 AS instance_id, event_id % 4 AS run, event_type AS feature, count(*) AS c FROM events GROUP BY ALL), q AS (SELECT instance_id, run, c, list(feature ORDER BY feature) AS fs FROM h GROUP BY ALL), t AS (SELECT instance_id, list(fs ORDER BY c DESC) FILTER (WHERE run = 0) AS a, list(fs ORDER BY c DESC) FILTER (WHERE run = 1) AS b FROM q GROUP BY instance_id HAVING count(*) FILTER (WHERE run = 0) > 0 AND count(*) FILTER (WHERE run = 1) > 0), d AS (SELECT *, least(len(a), len(b)) AS s, greatest(len(a), len(b)) AS l, unnest(range(1, greatest(len(a), len(b)) + 1)) AS d FROM t), g AS (SELECT *, 2.0 * len(list_intersect(flatten(a[1:d]), flatten(b[1:d]))) / (len(flatten(a[1:d])) + len(flatten(b[1:d]))) AS g FROM d), x AS (SELECT instance_id, s, l, d, g, g * least(d, s) AS x, power(0.9, d) AS pd FROM g), y AS (SELECT instance_id, any_value(s) AS s, any_value(l) AS l, max(CASE WHEN d = s THEN x END) AS xs, max(CASE WHEN d = l THEN x END) AS xl, sum(pd * g) AS ag, sum(CASE WHEN d <= s THEN pd / d * x END) AS sx, coalesce(sum(CASE WHEN d > s THEN pd * (d - s) / d END), 0) AS bd FROM x GROUP BY instance_id), z AS (SELECT *, ceil(round(l + s - xl, 9))::BIGINT AS f FROM y), lp AS (SELECT n, sum(power(0.9, n) / n) OVER (ORDER BY n) AS p FROM range(1, 200) t(n))"
+
+
+@query("l11_tied_rank_overlap", f"WITH {_TIED} SELECT instance_id, round((0.1 / 0.9) * (sx - xs * ps.p - xs * ln(0.1)), 6) AS rbo_min, round(power(0.9, s) + power(0.9, l) - power(0.9, f) - (0.1 / 0.9) * (s * (pf.p - ps.p) + l * (pf.p - pl.p) + xl * (-ln(0.1) - pf.p)), 6) AS rbo_res, round((0.1 / 0.9) * (ag + xs / s * bd) + power(0.9, l) * ((xl - xs) / l + xs / s), 6) AS rbo_ext FROM z JOIN lp ps ON ps.n = s JOIN lp pl ON pl.n = l JOIN lp pf ON pf.n = f")
+def _(spark, read):
+    """Rankings of event types by how often they occur; equal counts tie."""
+    c = read("events").groupBy((F.col("user_id") % 200).alias("instance_id"), (F.col("event_id") % 4).alias("run"), F.col("event_type").alias("feature")).agg(F.count("*").alias("c"))
+    g = c.groupBy("instance_id", "run", "c").agg(F.array_sort(F.collect_list("feature")).alias("fs"))
+    a, b = (g.where(f"run = {i}").groupBy("instance_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "fs")), False), lambda s: s["fs"]).alias(k)) for i, k in ((0, "a"), (1, "b")))
+    return rounded(L.tied_rank_overlap(a.join(b, "instance_id"), "instance_id", "a", "b"))
+
+
 _EXPL = "e AS (SELECT user_id AS instance_id, event_type AS feature, sum(CASE WHEN event_id % 3 = 0 THEN -value ELSE value END) AS weight FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY abs(weight) DESC, feature) AS rank FROM e), o AS (SELECT rank, feature, count(*) * 1.0 / (SELECT count(DISTINCT instance_id) FROM e) AS share FROM r WHERE rank <= 3 GROUP BY ALL)"
 
 

@@ -74,11 +74,10 @@ def _(spark, read):
 
 @query("g5_explain_text")
 def _(spark, read):
-    """How much the share of kept words moves a length score, for every document."""
-    masks = T.text_mask(read("documents"), "doc_id", "text", 8, pattern=r"[^\w]+")
-    scored = masks.select(F.col("doc_id").alias("id"), "rep", "kept_share", F.length("masked").cast("double").alias("y"), (D.cosine_mask(F.col("kept_share"))).alias("d"))
-    weighted = D.kernel_weights(scored, "d", 1, 25.0)
-    return rounded(G.explanation_rows(G.local_ridge(weighted, ["id"], ["kept_share"], "y", "weight"), ["id"], ["kept_share"]), 4)
+    """The ten words of every document that move a length score most."""
+    masks = T.text_mask(read("documents"), "doc_id", "text", 8, pattern=r"[^a-zA-Z0-9_]+")
+    scored = masks.select(F.col("doc_id").alias("id"), "rep", "kept", F.length("masked").cast("double").alias("y"), (D.cosine_mask(F.col("kept_share"))).alias("d"))
+    return rounded(G.text_ridge(D.kernel_weights(scored, "d", 1, 25.0), "id", "kept", "y", "weight").where("rank <= 10"), 4)
 
 
 _MODELS = "(SELECT 'A' AS label, 1.0 AS intercept, 0.02 AS k1, -0.001 AS k2 UNION ALL SELECT 'B', 0.0, -0.03, 0.001 UNION ALL SELECT 'C', 0.5, 0.0, 0.0002)"

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def scratch_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir where it is set; else a temporary folder in local mode, the warehouse on a cluster."""
@@ -26,4 +28,20 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this program has stored so far, and say how many.
+
+    To be called when the results that were made of them have been written or
+    read: results are lazy and read these tables.
+    """
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = path_of(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

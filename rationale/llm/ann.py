@@ -1,26 +1,32 @@
 """Approximate nearest neighbours: hierarchical k-means tree, best bin first.
 
-The tree is fitted on a bounded sample of rows (``SAMPLE``): k-means splits each
+The tree is fitted on a bounded sample of rows (``SAMPLE``, those with the least
+hashes of their ids): k-means splits each
 node into ``BRANCHES`` until a node holds ``LEAF`` sample rows or fewer.  Every row is then sent
 down to its leaf.  A query walks the tree with a priority queue that holds the
 unopened nodes by distance to their centres, and so ranks the leaves.  How many
 leaves are opened is calibrated: for a bounded set of rows the true neighbours
 among all rows are found, and visits widen until they hold the target recall.
 
-Scale.  The tree has a bounded size.  Rows are grouped by leaf, and a leaf with
+Scale.  The tree has a bounded size, so a query reads a share of all rows that
+calibration decides and that hardly falls as the table grows.  Rows are grouped by leaf, and a leaf with
 many rows is split into parts, as is a leaf that many queries visit; a group is
 one part of rows and one part of queries.  Only the k best of each group travel
 on.  Distances are exact and in double precision.
 
-Vectors that are null, zero or hold null or non-finite components take no part;
-nor do vectors of another length than most of the sample.  Repeated ids are
-separate candidates, but a query skips rows with its own id.  No rows: no rows.
+Vectors that are null, empty, zero or hold null or non-finite components take no
+part; vectors of different lengths have no distance, so each length is searched
+by itself.  Distances hold at any size of the components.  Repeated ids are
+separate candidates, but a query skips rows with its own id, and a repeated query
+is one query for each of its rows.  Other columns play no part, whatever their
+names.  No rows: no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +40,7 @@ SAMPLE = 20_000
 BRANCHES = 8
 LEAF = 100
 CALIBRATION = 200
-RECALL = 0.97
+RECALL = 0.95
 PART = 20_000
 
 
@@ -63,6 +69,9 @@ class Tree:
 
     @staticmethod
     def _split(rows: np.ndarray, k: int, rng: np.random.Generator) -> list[np.ndarray]:
+        scale = np.abs(rows).max() or 1.0
+        if not 1e-100 < scale < 1e100:
+            return [rows]  # squares would overflow or vanish
         centres = rows[rng.choice(len(rows), min(k, len(rows)), replace=False)]
         for _ in range(10):
             near = (np.square(centres).sum(1) - 2 * rows @ centres.T).argmin(1)
@@ -104,16 +113,20 @@ def _matrix(column) -> np.ndarray:
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest rows of each query but its own, ties to smaller ids, by exact distances."""
     found = []
-    of_rows = np.square(rows).sum(1)
+    largest = max(np.abs(queries).max(initial=0), np.abs(rows).max(initial=0))
+    unit = 1.0 if 1e-100 < largest < 1e100 else largest or 1.0  # squares neither overflow nor vanish
+    near_rows = rows / unit
+    of_rows = np.square(near_rows).sum(1)
     for a in range(0, len(queries), 256):
-        q = queries[a : a + 256]
-        rough = np.maximum(of_rows + np.square(q).sum(1)[:, None] - 2 * q @ rows.T, 0)
+        q = queries[a : a + 256] / unit
+        of_queries = np.square(q).sum(1)
+        rough = of_rows + of_queries[:, None] - 2 * q @ near_rows.T
         rough[query_ids[a : a + 256, None] == row_ids] = np.inf
         m = min(k, len(rows))
-        bar = np.partition(rough, m - 1, axis=1)[:, m - 1]
+        bar = np.partition(rough, m - 1, axis=1)[:, m - 1] + 1e-12 * (of_queries + of_rows.max(initial=0))  # what rounding may hide
         for i, b in enumerate(bar):
-            near = np.flatnonzero((rough[i] <= b * (1 + 1e-9) + 1e-9) & np.isfinite(rough[i])) if np.isfinite(b) else np.flatnonzero(np.isfinite(rough[i]))
-            exact = np.sqrt(np.square(rows[near] - q[i]).sum(1))
+            near = np.flatnonzero((rough[i] <= b) & np.isfinite(rough[i]))
+            exact = unit * np.sqrt(np.square(near_rows[near] - q[i]).sum(1))
             order = np.lexsort((row_ids[near], exact))[:k]
             found.append(pd.DataFrame({"query_id": query_ids[a + i], "vec_id": row_ids[near][order], "score": exact[order], "row": near[order]}))
     return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "row": np.zeros(0, np.int64)})
@@ -174,20 +187,28 @@ def calibrated_visits(tree: Tree, rows: DataFrame, asked: list, k: int, recall:
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else tree.leaves
 
 
+def least_hashes(points: DataFrame, n: int, most: int) -> list:
+    """About ``most`` of n rows, those with the least hashes of their ids: a bar on the hash leaves few more in all partitions together."""
+    code = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 40))
+    bar = int((1 << 40) * min(1.0, 1.2 * most / n)) + 1
+    return points.where(code <= bar).orderBy(code, "vec_id").limit(most).collect() if n > most else points.collect()
+
+
 def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose id is divisible by ``every``."""
     points = usable(vectors, id_col, vec_col)
-    by_hash = F.xxhash64("vec_id", F.lit("sample"))
-    drawn = points.orderBy(by_hash, "vec_id").limit(sample).collect()
+    sizes = points.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).where("asked > 0").orderBy("width").collect()
+    found = [_of_one_length(points.where(F.size("v") == r.width), r.n, r.asked, k, every, recall, sample) for r in sizes]
+    return reduce(DataFrame.union, found) if found else points.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "0d as score").where("false")
+
+
+def _of_one_length(points: DataFrame, n: int, n_asked: int, k: int, every: int, recall: float, sample: int) -> DataFrame:
     kind = "query_id long, vec_id long, score double"
-    if not drawn:
-        return points.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "0d as score").where("false")
-    lengths, times = np.unique([len(r.v) for r in drawn], return_counts=True)
-    width = int(lengths[times.argmax()])
-    tree = Tree(np.array([r.v for r in drawn if len(r.v) == width], float))
-    rows = stored(points.where(F.size("v") == width).mapInPandas(_to_leaves(tree), "vec_id long, v array<double>, leaf long"))
+    tree = Tree(np.array([r.v for r in least_hashes(points, n, sample)], float))
+    rows = stored(points.mapInPandas(_to_leaves(tree), "vec_id long, v array<double>, leaf long"))
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    visits = calibrated_visits(tree, rows, asked.dropDuplicates(["vec_id"]).orderBy(by_hash, "vec_id").limit(CALIBRATION).collect(), k, recall)
+    known = {r.vec_id: r for r in least_hashes(asked, n_asked, CALIBRATION)}
+    visits = calibrated_visits(tree, rows, list(known.values()), k, recall)
     visiting = asked.mapInPandas(_walk(tree, visits), "vec_id long, v array<double>, leaf long")
 
     def parts(df: DataFrame) -> DataFrame:

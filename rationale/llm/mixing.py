@@ -10,8 +10,11 @@ for more of a cell than there is, fewer words are wanted of all cells, so that
 the targets are met with no probability above 1; a warning tells the share that
 is left.  Another warns of raking that ends before the targets are met.
 
-A topic is the one of ``TOPICS`` hashed groups of long words with most words in
-the text (ties: the smaller number).  Targets default to the corpus's own shares
+Topics come from which words occur together: a document's long words, hashed to
+``TERMS`` groups, give a vector of damped counts of length 1; less the mean of its
+language, and turned to the ``AXES`` directions in which all documents vary most
+(principal components), the signs of its coordinates are its topic, one of 8.
+Without words, or with a single document, that is topic 0 or the last.  Targets default to the corpus's own shares
 raised to ``TEMPER`` and normalised, which lifts small sources and languages.
 
 Scale.  One pass over the texts; raking joins sums to a table of cells and never
@@ -28,13 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import stored
 from .text import Words, slices
 
-TOPICS = 8
+TERMS, AXES = 64, 3
 LONG_WORD = 5
 TEMPER = 0.8
 SHARE = 0.7  # of all words, to be kept
@@ -46,17 +51,33 @@ DIMENSIONS = ("source", "lang", "topic")
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
-        n, topic = [], []
+        n, vectors = [], []
         for _, _, data, offsets in slices(batch.column(names.index("r_text"))):
             words = Words(data, offsets, fold=True)
             long = words.ends - words.starts >= LONG_WORD
-            group = words.text * TOPICS + (words.codes % np.uint64(TOPICS)).astype(np.int64)
-            counts = np.bincount(group[long], minlength=len(words.counts) * TOPICS).reshape(-1, TOPICS)
+            group = words.text * TERMS + (words.codes % np.uint64(TERMS)).astype(np.int64)
+            damped = np.log1p(np.bincount(group[long], minlength=len(words.counts) * TERMS).reshape(-1, TERMS))
             n.append(words.counts)
-            topic.append(counts.argmax(1))
+            vectors.append(damped / np.maximum(np.sqrt(np.square(damped).sum(1, keepdims=True)), 1e-9))
         rest = {k: batch.column(i) for i, k in enumerate(names) if k != "r_text"}
-        whole = [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (n, topic)]
-        yield pa.record_batch({**rest, "r_words": whole[0], "r_topic": whole[1].astype(str)})
+        flat = np.concatenate([np.zeros((0, TERMS)), *vectors]).astype(np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * TERMS), pa.array(flat.ravel()))
+        yield pa.record_batch({**rest, "r_words": np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64), "r_vector": lists})
+
+
+def with_topics(measured: DataFrame) -> DataFrame:
+    """``r_topic`` (text) in place of ``r_vector``: signs along the principal components within languages."""
+    means = measured.groupBy("r_lang").agg(F.array(*[F.avg(F.col("r_vector")[i]) for i in range(TERMS)]).alias("r_mean")).withColumnRenamed("r_lang", "r_of")
+    centred = measured.join(means, F.col("r_lang").eqNullSafe(F.col("r_of"))).withColumn("r_x", array_to_vector(F.zip_with("r_vector", "r_mean", lambda a, b: a - b)))
+    if len(measured.take(2)) < 2:
+        topic = F.lit("0")
+    else:
+        model = PCA(k=AXES, inputCol="r_x", outputCol="r_y").fit(centred)
+        axes = model.pc.toArray()
+        centred = model.transform(centred).withColumn("r_y", vector_to_array("r_y"))
+        ahead = [1.0 if axes[np.abs(axes[:, k]).argmax(), k] >= 0 else -1.0 for k in range(AXES)]  # an axis has no direction of its own
+        topic = sum((F.when(F.col("r_y")[k] * s > 0, 1 << k).otherwise(0) for k, s in enumerate(ahead)), F.lit(0)).cast("string")
+    return centred.withColumn("r_topic", topic).drop("r_vector", "r_mean", "r_of", "r_x", "r_y")
 
 
 def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
@@ -106,7 +127,8 @@ def mixed(docs: DataFrame, share: float = SHARE, temper: float = TEMPER, targets
     """
     named = docs.select(F.col(id_col).alias("r_0"), *[F.col(c).alias(f"r_c{i}") for i, c in enumerate(carry)], F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("r_key"), F.col(source_col).cast("string").alias("r_source"), F.col(lang_col).cast("string").alias("r_lang"), F.col(text_col).alias("r_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields if f.name != "r_text"]
-    measured = stored(named.mapInArrow(_measure, ", ".join([*kinds, "r_words long, r_topic string"])))
+    measured = stored(named.mapInArrow(_measure, ", ".join([*kinds, "r_words long, r_vector array<float>"])))
+    measured = stored(with_topics(measured))
     keyed = measured.select("*", *[F.coalesce(f"r_{d}", F.lit("\x00")).alias(d) for d in DIMENSIONS])
     cells = stored(keyed.groupBy(*DIMENSIONS).agg(F.sum("r_words").cast("double").alias("words")))
     total = cells.agg(F.sum("words")).first()[0] or 1.0

@@ -74,5 +74,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS ws FROM documents)"
+
+OP1_SQL = f"""WITH {_WORDS.format(text="coalesce(text, '')")},
+ n AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+ t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS c FROM n) WHERE c > 1),
+ g AS (SELECT DISTINCT r, i + k AS p FROM t CROSS JOIN (SELECT unnest(range(0, 35)) AS k)),
+ u AS (SELECT r, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x FROM w),
+ k AS (SELECT u.r, string_agg(x, ' ' ORDER BY u.p) AS kept, count(*) AS n FROM u LEFT JOIN g ON g.r = u.r AND g.p = u.p WHERE g.p IS NULL GROUP BY u.r)
+ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.r = w.r"""
+
+OP2_SQL = """WITH x AS (SELECT vec_id, list_transform(embedding, lambda a: floor(256 * a::DOUBLE)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda a: a IS NULL OR NOT isfinite(a))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM x q JOIN x c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP10_SQL = f"""WITH RECURSIVE {_WORDS.format(text=_FOLDED)},
+ h AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+ z AS (SELECT r, count(*) AS n FROM h GROUP BY r),
+ o AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM h a JOIN h b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+ e AS (SELECT u, v FROM o JOIN z a ON a.r = u JOIN z b ON b.r = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ d AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+ k AS (SELECT r, r AS c FROM w UNION SELECT k.r, d.v FROM k JOIN d ON d.u = k.c),
+ m AS (SELECT k.r, min(w.doc_id) AS component_id FROM k JOIN w ON w.r = k.c GROUP BY k.r)
+ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM w LEFT JOIN z ON z.r = w.r JOIN m ON m.r = w.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express at its own pace; the others are tested by brute force."""
+    return {"op1_substring_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op10_jaccard_join": OP10_SQL}

@@ -174,11 +174,13 @@ def _apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = batch.schema.names
         where = batch.column(names.index("r_spans"))
         for first, last, data, offsets in slices(batch.column(names.index("r_text"))):
-            total, gone, digest, kept = [], [], [], []
+            total, gone, digest, kept, cut = [], [], [], [], []
+            raw = data.tobytes() if "r_want" in names else b""
             words = Words(data, offsets)
             packed, begin = words.joined()
             for t, ranges in enumerate(where.slice(first, last - first).to_pylist()):
                 lo, n = int(words.first[t]), int(words.counts[t])
+                rest_of = raw[offsets[t] : offsets[t + 1]] if raw else b""
                 if not ranges:
                     left, removed = packed[begin[lo] : begin[lo + n] - 1] if n else b"", 0
                 else:
@@ -186,19 +188,24 @@ def _apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mask = covered(n, s, e)
                     removed = int(mask.sum())
                     left = b" ".join(packed[begin[lo + a] : begin[lo + b] - 1] for a, b in zip(*(x.tolist() for x in runs_of(~mask)), strict=True))
+                    if raw:  # a removed run goes with the white space behind it
+                        edge = [offsets[t], *(x for a, b in zip(*(y.tolist() for y in runs_of(mask)), strict=True) for x in (words.starts[lo + a], words.starts[lo + b] if b < n else offsets[t + 1])), offsets[t + 1]]
+                        rest_of = b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
+                cut.append(rest_of)
                 total.append(n)
                 gone.append(removed)
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
             rest = {k: batch.column(i).slice(first, last - first) for i, k in enumerate(names) if k not in ("r_spans", "r_text")}
-            text = {"r_kept": pa.array(kept, pa.binary()).cast(pa.string())} if "r_want" in names else {}
+            text = {k: pa.array(x, pa.binary()).cast(pa.string()) for k, x in (("r_kept", kept), ("r_cut", cut))} if "r_want" in names else {}
             yield pa.record_batch({**rest, "r_words": pa.array(total, pa.int64()), "r_removed": pa.array(gone, pa.int64()), "r_sha": pa.array(digest, pa.string()), **text})
 
 
 def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """One row for each document: id, carried columns, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+    """One row for each document: id, carried columns, n_words, n_removed, kept_sha256 and, if asked for, kept_text and cut_text.
 
-    Kept words are joined by one space.
+    In kept_text the kept words are joined by one space; cut_text is the text
+    itself without the removed words and the white space behind them.
     """
     named = docs.select(F.col(id_col).alias("r_0"), *[F.col(c).alias(f"r_c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("r_id"), F.hash(text_col).alias("r_key"), F.col(text_col).alias("r_text"))
     spans = repeated_spans(named.select("r_id", "r_key", F.col("r_text").alias("text")), size)
@@ -207,5 +214,5 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     if with_text:
         joined = joined.withColumn("r_want", F.lit(True))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("r_spans", "r_text")]
-    out = joined.mapInArrow(_apply_spans, ", ".join([*kinds, "r_words long, r_removed long, r_sha string", *["r_kept string"] * with_text]))
-    return out.select(F.col("r_0").alias(id_col), *[F.col(f"r_c{i}").alias(c) for i, c in enumerate(carry)], F.col("r_words").alias("n_words"), F.col("r_removed").alias("n_removed"), F.col("r_sha").alias("kept_sha256"), *[F.col("r_kept").alias("kept_text")] * with_text)
+    out = joined.mapInArrow(_apply_spans, ", ".join([*kinds, "r_words long, r_removed long, r_sha string", *["r_kept string, r_cut string"] * with_text]))
+    return out.select(F.col("r_0").alias(id_col), *[F.col(f"r_c{i}").alias(c) for i, c in enumerate(carry)], F.col("r_words").alias("n_words"), F.col("r_removed").alias("n_removed"), F.col("r_sha").alias("kept_sha256"), *[F.col("r_kept").alias("kept_text"), F.col("r_cut").alias("cut_text")] * with_text)

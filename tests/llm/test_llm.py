@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rationale.llm import ann, html, jaccard, mixing, packing, quality, scoring, substring, suffix, topk
+from rationale.llm import ann, html, jaccard, mixing, packing, quality, registry, scoring, substring, suffix, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, s int, r_text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,7 +61,8 @@ def test_substring_dedup(spark, docs):
                 gone[k : k + 35] = [True] * 35
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         wanted.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
-    out = substring.substring_dedup(docs, carry=("s", "r_text"), with_text=True)
+    out = substring.substring_dedup(docs, carry=("s", "r_text"), with_text=True).cache()
+    assert all(WORD.findall(r.cut_text) == r.kept_text.split() for r in out.collect())
     assert sorted(wanted) == sorted(tuple(r) for r in out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect())
     assert out.where("r_text <> 'clash'").isEmpty()
     assert substring.substring_dedup(empty(spark)).isEmpty()
@@ -222,6 +224,17 @@ def test_mixing(spark, docs):
     assert mixing.mixed(empty(spark)).isEmpty()
 
 
+def test_mixing_topics(spark):
+    """Documents that share no words but by topic fall apart by topic, in either language."""
+    rng = np.random.default_rng(6)
+    words = {(a, b): [f"{a}{b}{''.join(rng.choice(list('abcdefgh'), 6))}" for _ in range(25)] for a in ("en", "de") for b in ("x", "y")}
+    rows = [(i, " ".join(rng.choice(words[("en", "de")[i % 2], ("x", "y")[i // 2 % 2]], 60)), ("en", "de")[i % 2], "s", 0, 0, "x") for i in range(200)]
+    out = mixing.mixed(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    for lang in ("en", "de"):
+        parts = [set(out[(out.lang == lang) & (out.doc_id // 2 % 2 == k)].topic % 4) for k in (0, 1)]  # by the first axes
+        assert not parts[0] & parts[1]
+
+
 def test_mixing_meets_targets_on_skewed_data(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(200)]
@@ -423,6 +436,19 @@ def test_nearest_neighbours_edges(spark):
     assert ann.nearest_neighbours(df.where("vec_id = 3")).isEmpty()
 
 
+@pytest.mark.parametrize("unit", [1.0, 1e9, 1e200, 1e-200])
+def test_nearest_neighbours_of_any_size(spark, unit):
+    """Near rows far from the origin, several lengths, an empty vector, and columns with clashing names."""
+    rows = [(i, [unit * (1e6 + i * i), unit * 1e6, unit]) for i in range(30)] + [(100, [unit * 1e6, unit * 1e6, unit]), (200, [unit, unit]), (201, [unit, 2 * unit]), (300, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("x")).withColumn("leaf", F.lit(1)).withColumn("row", F.lit(2))
+    got = {}
+    for r in ann.nearest_neighbours(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score / unit))
+    assert [i for i, _ in got[0]] == [100, 1, 2, 3, 4, 5, 6, 7, 8, 9] and [i for i, _ in got[100]] == list(range(10))
+    assert [s for _, s in got[100]] == pytest.approx([i * i for i in range(10)], rel=1e-9)
+    assert got[200] == [(201, pytest.approx(1.0))] and 300 not in got
+
+
 def shingles(text: str) -> frozenset:
     folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     w = WORD.findall(folded)
@@ -473,17 +499,44 @@ def test_pipeline_stages(spark):
     wanted = {i for i, (_, c) in components(local(kept)).items() if i == c}
     assert {r.doc_id for r in near.collect()} == wanted
     cut = corpus_pipeline.stored(stages["substring dedup"](spark, near, sf))
-    rows = [(i, WORD.findall(t)) for i, t in local(near)]
+    before, after = dict(local(near)), dict(local(cut))
+    rows = [(i, WORD.findall(t)) for i, t in before.items()]
     seen = Counter(tuple(w[k : k + 35]) for _, w in rows for k in range(len(w) - 34))
     for i, w in rows:
         gone = {x for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for x in range(k, k + 35)}
-        assert dict(local(cut))[i] == " ".join(x for k, x in enumerate(w) if k not in gone)
+        left = [x for k, x in enumerate(w) if k not in gone]
+        assert (i in after) == bool(left or not w) and WORD.findall(after.get(i, "")) == left
+        assert gone or after[i] == before[i]
     mixed = corpus_pipeline.stored(stages["mixing sources to target weights"](spark, cut, sf))
     assert mixed.columns == docs.columns and mixed.exceptAll(cut).isEmpty() and 0 < mixed.count() < cut.count()
     packed = stages["packing"](spark, mixed, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in mixed.collect()}
 
 
+def test_pipeline_stages_on_edges(spark):
+    """Empty tables, nulls in every column, and a column with a name that operators use inside."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(None, None, None, None, None, 0, "x"), (1, "", "en", None, 0, 0, "x"), (2, "line one\n\n  line two\t" + " ".join(f"word{i}" for i in range(50)), "en", "s", 9, 0, "x"), (2, "other text of no more than some words", None, "s", 9, 0, "x")]
+    full = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty(spark), sf).isEmpty() and stage(spark, empty(spark), sf).columns == full.columns, name
+        out = stage(spark, full, sf)
+        assert out.columns == full.columns and out.exceptAll(full).isEmpty(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, empty(spark), sf).isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, full, sf).where("start = 0").count() == 4
+
+
+def test_sql(spark):
+    """Queries that SQL can express, on the smallest tables."""
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        got = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        wanted = con.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(wanted), name
+
+
 def test_pipeline_keeps_unrelated_rows_of_one_id(spark):
     """Different texts under one id or under none stay; equal rows are one; a sampled row needs no id."""
     one, two, three = (" ".join(f"{k}{i}" for i in range(20)) for k in "abc")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rationale.functions.small import small
 from rationale.functions.special import exploration_rate, kl_bound
 
 from .bins import bin_of
@@ -31,13 +32,13 @@ def predicate_matrix(sample: DataFrame, preds: DataFrame, row_key: str, columns:
     long = sample.select(row_key, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(row_key, columns, "feature", "v")
     x = F.expr("try_cast(v as double)")
     holds = F.when(F.col("op") == "<=", x <= F.col("value")).when(F.col("op") == ">", x > F.col("value")).otherwise(F.col("v") == F.col("text"))
-    return long.join(F.broadcast(preds), "feature").select(row_key, "pred_id", F.coalesce(holds, F.lit(False)).cast("int").alias("holds"))
+    return long.join(small(preds, "a list of predicates"), "feature").select(row_key, "pred_id", F.coalesce(holds, F.lit(False)).cast("int").alias("holds"))
 
 
 def candidate_stats(matrix: DataFrame, labels: DataFrame, sets: DataFrame, row_key: str) -> DataFrame:
     """(set_id, n, positives, coverage) of predicate sets (set_id, pred_id); labels has (row_key, positive)."""
     need = sets.groupBy("set_id").agg(F.count("*").alias("need"))
-    met = matrix.where("holds = 1").join(F.broadcast(sets), "pred_id").groupBy("set_id", row_key).agg(F.count("*").alias("m")).join(F.broadcast(need), "set_id").where("m = need")
+    met = matrix.where("holds = 1").join(sets, "pred_id").groupBy("set_id", row_key).agg(F.count("*").alias("m")).join(need, "set_id").where("m = need")
     total = labels.agg(F.count("*").alias("total"))
     sums = met.join(labels, row_key).groupBy("set_id").agg(F.count("*").alias("n"), F.sum("positive").alias("positives"))
     return sums.join(F.broadcast(total)).select("set_id", "n", "positives", (F.col("n") / F.col("total")).alias("coverage"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rationale.functions.draws import draw_code
 from rationale.functions.order import running
+from rationale.functions.small import small
 
 
 # Fidelity -------------------------------------------------------------------
@@ -237,7 +238,7 @@ def masked(df: DataFrame, features: list[str], ks: list[int], keep: bool, absolu
 def resampled(df: DataFrame, background: DataFrame, key: str, features: list[str], k: int, keep: bool) -> DataFrame:
     """(key, bg_id, features...): masked features come from each background row (a small table)."""
     order = ranked_features(features)
-    rows = df.withColumn("order", order).join(F.broadcast(background.select("bg_id", *[F.col(f).alias(f"bg_{f}") for f in features])))
+    rows = df.withColumn("order", order).join(small(background.select("bg_id", *[F.col(f).alias(f"bg_{f}") for f in features]), "a background"))
     inside = {f: F.array_position("order", f) <= k for f in features}
     return rows.select(key, "bg_id", *[F.when(inside[f] if keep else ~inside[f], F.col(f).cast("double")).otherwise(F.col(f"bg_{f}")).alias(f) for f in features])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rationale.functions.draws import cauchy, draw_code, normal, student_t, uniform
 from rationale.functions.order import numbered
+from rationale.functions.small import small
 from rationale.functions.special import inverse_normal
 
 
@@ -105,7 +106,7 @@ def class_balanced(rounds: DataFrame, key: str, n: int, label: str = "label") ->
 
 def clustered_perturb(instances: DataFrame, cluster_scales: DataFrame, key: str, cluster: str, columns: list[str], n: int, seed: int = 1) -> DataFrame:
     """Perturb with the scales of the row's cluster: (cluster, scale_columns...)."""
-    rows = repeated(instances.join(F.broadcast(cluster_scales), cluster), n)
+    rows = repeated(instances.join(cluster_scales, cluster), n)
     return rows.select(key, cluster, "rep", *[F.when(F.col("rep") == 0, F.col(c).cast("double")).otherwise(F.col(c) + F.col(f"scale_{c}") * normal(seed, F.col(key), F.col("rep"), i)).alias(c) for i, c in enumerate(columns)])
 
 
@@ -278,7 +279,7 @@ def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
     """Minority rows are repeated up to the largest class: ``copy`` counts from 0."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("most"))
-    ranked = numbered(df, [key], "r", (label,)).join(F.broadcast(counts), label).join(F.broadcast(top))
+    ranked = numbered(df, [key], "r", (label,)).join(counts, label).join(F.broadcast(top))
     copies = F.floor(F.col("most") / F.col("n")) + F.when(F.col("r") < F.col("most") % F.col("n"), 1).otherwise(0)
     return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("r", "n", "most")
 
@@ -310,7 +311,7 @@ def substitution_set(df: DataFrame, background: DataFrame, key: str, columns: li
 
     ``background`` has bg_id 0 .. m-1 and is to be small.
     """
-    lists = background.agg(F.count("*").alias("m"), *[F.transform(F.array_sort(F.collect_list(F.struct("bg_id", F.col(c).alias("v")))), lambda s: s["v"]).alias(f"bg_{c}") for c in columns])
+    lists = small(background, "a background").agg(F.count("*").alias("m"), *[F.transform(F.array_sort(F.collect_list(F.struct("bg_id", F.col(c).alias("v")))), lambda s: s["v"]).alias(f"bg_{c}") for c in columns])
     rows = df.select(key, *columns).join(F.broadcast(lists))
     pick = (F.floor(uniform(seed, F.col(key), 1) * F.col("m")) + 1).cast("int")
     mixed = rows.select(key, *[F.when(uniform(seed, F.col(key), 2, i) < 0.5, F.element_at(f"bg_{c}", pick)).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)])
@@ -320,7 +321,7 @@ def substitution_set(df: DataFrame, background: DataFrame, key: str, columns: li
 
 def permutation_pairs(df: DataFrame, background: DataFrame, key: str, columns: list[str], multiplier: int = 1, seed: int = 1) -> DataFrame:
     """(key, rep, feature, on_columns..., off_columns...): a keyed order of features; those after a keyed feature come from another row, with and without that feature."""
-    lists = background.agg(F.count("*").alias("m"), *[F.transform(F.array_sort(F.collect_list(F.struct("bg_id", F.col(c).alias("v")))), lambda s: s["v"]).alias(f"bg_{c}") for c in columns])
+    lists = small(background, "a background").agg(F.count("*").alias("m"), *[F.transform(F.array_sort(F.collect_list(F.struct("bg_id", F.col(c).alias("v")))), lambda s: s["v"]).alias(f"bg_{c}") for c in columns])
     rows = repeated(df.select(key, *columns), multiplier).where("rep > 0").join(F.broadcast(lists))
     code = [draw_code(seed, F.col(key), F.col("rep"), i) for i in range(len(columns))]
     chosen = F.floor(uniform(seed + 1, F.col(key), F.col("rep")) * len(columns)).cast("int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rationale.functions.small import small
+
 from .bins import _nlogn
 from .profile import long_form
 
@@ -53,14 +55,14 @@ def tree_assign(rows: DataFrame, conditions: DataFrame, key: str, features: list
     """(key, rule_id): rules whose conditions a row meets, all of them."""
     long = long_form(rows, features, (key,)).withColumnRenamed("feature", "attr")
     need = conditions.groupBy("rule_id").agg(F.count("*").alias("need"))
-    hit = long.join(F.broadcast(conditions), "attr").where(_holds(F.col("value"), F.col("value").cast("string"))).groupBy(key, "rule_id").agg(F.count("*").alias("m"))
-    return hit.join(F.broadcast(need), "rule_id").where("m = need").select(key, "rule_id")
+    hit = long.join(small(conditions, "a list of conditions"), "attr").where(_holds(F.col("value"), F.col("value").cast("string"))).groupBy(key, "rule_id").agg(F.count("*").alias("m"))
+    return hit.join(need, "rule_id").where("m = need").select(key, "rule_id")
 
 
 def covered(rows: DataFrame, conditions: DataFrame, key: str, features: list[str], label: str, wanted: DataFrame) -> DataFrame:
     """(rule_id, coverage, precision): share of rows that a rule holds for, and of those with its class (rule_id, class)."""
     n = rows.agg(F.count("*").alias("n"))
-    hits = tree_assign(rows, conditions, key, features).join(rows.select(key, label), key).join(F.broadcast(wanted), "rule_id")
+    hits = tree_assign(rows, conditions, key, features).join(rows.select(key, label), key).join(wanted, "rule_id")
     sums = hits.groupBy("rule_id").agg(F.count("*").alias("c"), F.avg((F.col(label) == F.col("class")).cast("double")).alias("precision"))
     return sums.join(F.broadcast(n)).select("rule_id", (F.col("c") / F.col("n")).alias("coverage"), "precision")
 
@@ -85,7 +87,7 @@ def counterfactual_deltas(fact: DataFrame, others: DataFrame, keys: list[str]) -
 def apply_delta(rows: DataFrame, deltas: DataFrame, key: str, features: list[str], step: float = 1.0) -> DataFrame:
     """(key, rule_id, features...): beyond t becomes t + step, up to t becomes t."""
     wide = deltas.groupBy("rule_id").agg(*[F.first(F.when(F.col("attr") == f, F.coalesce(F.col("lo") + step, F.col("hi"))), ignorenulls=True).alias(f"new_{f}") for f in features])
-    return rows.select(key, *features).join(F.broadcast(wide)).select(key, "rule_id", *[F.coalesce(f"new_{f}", F.col(f).cast("double")).alias(f) for f in features])
+    return rows.select(key, *features).join(small(wide, "a list of changes")).select(key, "rule_id", *[F.coalesce(f"new_{f}", F.col(f).cast("double")).alias(f) for f in features])
 
 
 def class_totals(applicable: DataFrame, group: str = "g") -> DataFrame:
@@ -151,6 +153,6 @@ def rule_counterfactuals(tx: DataFrame, rules: DataFrame, item_features: DataFra
 def random_counterfactual(instances: DataFrame, draws: DataFrame, key: str, features: list[str], label: str, wanted: str, distance) -> DataFrame:
     """(key, feature, old, new): the closest draw with the wanted label (``distance`` uses x0_ columns), as changes. ``draws`` is small."""
     asked = instances.select(key, *[F.col(f).cast("double").alias(f"x0_{f}") for f in features])
-    pairs = asked.join(F.broadcast(draws.where(F.col(label) == wanted).select("rep", *features))).withColumn("d", distance)
+    pairs = asked.join(small(draws.where(F.col(label) == wanted).select("rep", *features), "a list of draws")).withColumn("d", distance)
     best = pairs.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"x0_{f}") for f in features], *features), F.struct("d", "rep")).alias("b")).select(key, "b.*")
     return best.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"x0_{f}").alias("old"), F.col(f).cast("double").alias("new")) for f in features]))).where("old <> new")

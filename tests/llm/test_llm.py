@@ -162,11 +162,30 @@ def test_quality(spark):
     assert kept.columns == spark_docs.columns and kept.count() == out.where("predicted = 1").count()
 
 
+def test_quality_discriminant():
+    """Scores against densities written out, with a covariance shrunk by hand."""
+    rng = np.random.default_rng(9)
+    d = len(quality.FEATURES)
+    x, y = rng.normal(size=(400, d)) @ rng.normal(size=(d, d)), rng.integers(0, 2, 400)
+    x[y == 1] += 0.5
+    sums = np.array([np.concatenate([[(y == c).sum()], x[y == c].sum(0), (x[y == c].T @ x[y == c]).ravel()]) for c in (0, 1)])
+    got = quality.log_odds(x[:20], *quality.discriminant(sums, 0.3))
+    within = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = np.diag(np.diag(sum((y == c).mean() * within[c] for c in (0, 1)))) + 1e-4 * np.eye(d)
+    odds = np.full(20, np.log((y == 1).sum() / (y == 0).sum()))
+    for c, sign in ((0, -1), (1, 1)):
+        cov, gap = 0.7 * within[c] + 0.3 * pooled, x[:20] - x[y == c].mean(0)
+        odds += sign * -0.5 * (np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap) + np.linalg.slogdet(cov)[1])
+    assert np.allclose(got, odds)
+
+
 def test_quality_edges(spark, docs):
     labels = spark.createDataFrame([(0, 1), (0, 1)], "doc_id long, quality int")
     out = quality.quality_scores(docs, labels)
     assert out.count() == docs.count() and out.where("score is null").isEmpty()
     assert quality.quality_scores(empty(spark), labels).isEmpty()
+    none = quality.quality_scores(docs, labels.where("doc_id < 0"))
+    assert none.count() == docs.count() and none.where("score <> 0.5").isEmpty()
 
 
 def test_packing(spark, docs):

@@ -32,16 +32,40 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = path_of(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the tables that this program has stored so far, and say how many.
 
     To be called when the results that were made of them have been written or
     read: results are lazy and read these tables.
     """
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_written)
-    while _written:
-        path = path_of(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-    return n
+    paths = _written[:]
+    _written.clear()
+    return _delete(spark, paths)
+
+
+class ScratchScope:
+    """The tables stored within a ``with`` block, to be deleted by ``clear`` when their results have been written."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> ScratchScope:
+        self._before = len(_written)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.paths += _written[self._before :]
+        del _written[self._before :]
+
+    def clear(self, spark: SparkSession) -> int:
+        paths, self.paths = self.paths, []
+        return _delete(spark, paths)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,5 +68,13 @@ class ScratchScope:
         del _written[self._before :]
 
     def clear(self, spark: SparkSession) -> int:
+        """Delete the tables, and let Spark find the shuffle files and broadcasts of frames that are no longer used.
+
+        Spark removes those when the driver's garbage collection meets them, as
+        its own periodic collection does every half hour.
+        """
         paths, self.paths = self.paths, []
+        if paths:
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
         return _delete(spark, paths)

@@ -69,8 +69,8 @@ def _survey(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Words of all documents, and the grams to put last (a sorted list of bounded length)."""
     counts = docs.select("text").mapInArrow(_gram_counts, "gram long, n long, is_total boolean").groupBy("is_total", "gram").agg(F.sum("n").alias("n"))
     total = counts.where("is_total").agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(f"not is_total and n >= {max(64, total // (2 * HEAVY_GRAMS))}").orderBy(F.desc("n"), "gram").limit(HEAVY_GRAMS).collect()
-    return total, np.sort(np.array([r.gram for r in rows], np.int64).view(np.uint64))
+    rows = counts.where(f"not is_total and n >= {max(64, total // (2 * HEAVY_GRAMS))}").orderBy(F.desc("n"), "gram").limit(HEAVY_GRAMS).select("gram").toArrow()
+    return total, np.sort(rows.column("gram").to_numpy().view(np.uint64))
 
 
 def _repeats(words: Words, size: int):

@@ -60,9 +60,9 @@ def _(spark, read):
     return rounded(L.rank_stability(runs(read)))
 
 
-@query("l6_variance_stability", f"WITH {RUNS}, o AS (SELECT instance_id, count(DISTINCT feature) AS nf, count(DISTINCT run) AS nr FROM runs GROUP BY instance_id), m AS (SELECT instance_id, feature, nr, sum(weight) / any_value(nr) AS a FROM runs JOIN o USING (instance_id) WHERE rank <= nf // 2 GROUP BY instance_id, feature, nr), d AS (SELECT m.instance_id, m.feature, sum(power(a - weight, 2)) / nullif(any_value(m.nr) - 1, 0) AS v FROM m JOIN runs r ON r.instance_id = m.instance_id AND r.feature = m.feature JOIN o ON o.instance_id = m.instance_id WHERE r.rank <= o.nf // 2 GROUP BY m.instance_id, m.feature) SELECT instance_id, round(avg(v), 4) AS value FROM d GROUP BY instance_id")
+@query("l6_variance_stability", f"WITH {RUNS}, o AS (SELECT instance_id, count(DISTINCT feature) AS nf, count(DISTINCT run) AS nr FROM runs GROUP BY instance_id), m AS (SELECT instance_id, feature, nr, sum(weight) / any_value(nr) AS a FROM runs JOIN o USING (instance_id) WHERE rank <= nf // 2 GROUP BY instance_id, feature, nr), d AS (SELECT m.instance_id, m.feature, sum(power(a - weight, 2)) / nullif(any_value(m.nr) - 1, 0) AS v FROM m JOIN runs r ON r.instance_id = m.instance_id AND r.feature = m.feature JOIN o ON o.instance_id = m.instance_id WHERE r.rank <= o.nf // 2 GROUP BY m.instance_id, m.feature) SELECT instance_id, round(avg(v), 2) AS value FROM d GROUP BY instance_id")
 def _(spark, read):
-    return rounded(L.variance_stability(runs(read)), 4)
+    return rounded(L.variance_stability(runs(read)), 2)
 
 
 @query("l7_elbow", f"WITH {RUNS}, f AS (SELECT instance_id, rank, lead(weight) OVER (PARTITION BY instance_id ORDER BY rank) / nullif(weight, 0) AS ratio FROM runs WHERE run = 0) SELECT instance_id, coalesce(min(CASE WHEN rank >= 2 AND ratio >= 0.7 THEN rank END), max(rank))::INT AS k FROM f GROUP BY instance_id")

@@ -56,9 +56,9 @@ def _(spark, read):
 _DRAWN = f"{BG}, x AS (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice AS r, bs, br, {draw_sql(2, 'p_partkey', 'rep', 0)} AS c0, {draw_sql(2, 'p_partkey', 'rep', 1)} AS c1 FROM part CROSS JOIN (SELECT unnest(range(1, 9)) AS rep) JOIN g ON bg_id = floor({draw_sql(1, 'p_partkey', 'rep', 50)} * (SELECT count(*) FROM g))), y AS (SELECT p_partkey, 'p_size' AS feature, {_f('s', '(CASE WHEN c1 < c0 THEN r ELSE br END)')} - {_f('bs', '(CASE WHEN c1 < c0 THEN r ELSE br END)')} AS d FROM x UNION ALL SELECT p_partkey, 'p_retailprice', {_f('(CASE WHEN c0 < c1 THEN s ELSE bs END)', 'r')} - {_f('(CASE WHEN c0 < c1 THEN s ELSE bs END)', 'br')} FROM x)"
 
 
-@query("k5_sampling_shap", f"WITH {_DRAWN} SELECT p_partkey, feature, round(avg(d), 4) AS phi, round(var_pop(d), 4) AS variance FROM y GROUP BY ALL")
+@query("k5_sampling_shap", f"WITH {_DRAWN} SELECT p_partkey, feature, round(avg(d), 9) AS phi, round(var_pop(d), 9) AS variance FROM y GROUP BY ALL")
 def _(spark, read):
-    return rounded(K.sampling_shap(read("part"), background(read), "p_partkey", PART_FEATURES, PART_SCORE, 8), 4)
+    return rounded(K.sampling_shap(read("part"), background(read), "p_partkey", PART_FEATURES, PART_SCORE, 8), 9)
 
 
 _VAR = "f AS (SELECT user_id, event_type AS feature, var_pop(value) AS variance, avg(value) AS phi FROM events GROUP BY ALL)"

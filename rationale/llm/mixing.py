@@ -31,8 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +65,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_topics(measured: DataFrame) -> DataFrame:
     """``r_topic`` (text) in place of ``r_vector``: signs along the principal components within languages."""
+    from pyspark.ml.feature import PCA  # not for the workers, which import this module
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     means = measured.groupBy("r_lang").agg(F.array(*[F.avg(F.col("r_vector")[i]) for i in range(TERMS)]).alias("r_mean")).withColumnRenamed("r_lang", "r_of")
     centred = measured.join(means, F.col("r_lang").eqNullSafe(F.col("r_of"))).withColumn("r_x", array_to_vector(F.zip_with("r_vector", "r_mean", lambda a, b: a - b)))
     if len(measured.take(2)) < 2:

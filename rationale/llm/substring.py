@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, covered, equal_neighbours, runs_of, slices, sliding_min
+from .text import Words, covered, equal_neighbours, release, runs_of, slices, sliding_min
 
 WINDOW = 35
 GRAM = 4
@@ -153,6 +153,7 @@ def _gather(size: int):
             shift = place[2, run_no] - words.first[run_no]
             found.append(np.stack([place[0, run_no], place[1, run_no], s + shift, e - 1 + size + shift]))
         all_found = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        release()
         return pa.table({"r_id": all_found[0], "r_key": all_found[1].astype(np.int32), "s": all_found[2], "e": all_found[3]})
 
     return run
@@ -198,6 +199,7 @@ def _apply_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(left)
             rest = {k: batch.column(i).slice(first, last - first) for i, k in enumerate(names) if k not in ("r_spans", "r_text")}
             text = {k: pa.array(x, pa.binary()).cast(pa.string()) for k, x in (("r_kept", kept), ("r_cut", cut))} if "r_want" in names else {}
+            release()
             yield pa.record_batch({**rest, "r_words": pa.array(total, pa.int64()), "r_removed": pa.array(gone, pa.int64()), "r_sha": pa.array(digest, pa.string()), **text})
 
 

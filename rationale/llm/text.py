@@ -8,6 +8,7 @@ are still computed a stretch of bytes at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,14 @@ _FOLDED_CODE = _BYTE_CODE.copy()
 _FOLDED_CODE[65:91] = _BYTE_CODE[97:123]
 
 
+def release() -> None:
+    """Give freed memory back to the system: worker processes live on over stages, and idle ones count too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

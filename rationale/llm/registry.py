@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest_neighbours
+from .clusters import centroid_clusters
+from .contamination import contamination_report
 from .html import extract_main_text
 from .jaccard import jaccard_components
 from .mixing import mixed
@@ -59,6 +61,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -71,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_decontamination": op11_decontamination,
+        "op13_centroids": op13_centroids,
     }
 
 
@@ -99,7 +111,36 @@ OP10_SQL = f"""WITH RECURSIVE {_WORDS.format(text=_FOLDED)},
  m AS (SELECT k.r, min(w.doc_id) AS component_id FROM k JOIN w ON w.r = k.c GROUP BY k.r)
  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM w LEFT JOIN z ON z.r = w.r JOIN m ON m.r = w.r"""
 
+_PLAIN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS ws FROM documents),
+ b AS (SELECT item_id, {_PLAIN_WORDS} AS ws FROM benchmark),
+ g AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM b WHERE len(ws) > 0)),
+ d AS (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS s FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w CROSS JOIN (SELECT DISTINCT n FROM g) WHERE len(ws) >= n)),
+ h AS (SELECT r, i, d.n, item_id FROM d JOIN g ON g.n = d.n AND g.s = d.s),
+ p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+ t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM w LEFT JOIN p ON p.r = w.r LEFT JOIN t ON t.r = w.r"""
+
+
+def _round_sql(i: int) -> str:
+    """Assignment to the centroids c{i}, and the centroids after it."""
+    return f"""d{i} AS MATERIALIZED (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d FROM x CROSS JOIN c{i}),
+ a{i} AS MATERIALIZED (SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS k FROM d{i}) WHERE k = 1),
+ s{i} AS (SELECT c, i, sum(e)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS e FROM a{i} JOIN x ON x.r = a{i}.r) GROUP BY c, i),
+ c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(l, m) AS m FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS l FROM s{i} GROUP BY c) z ON z.c = c{i}.c)"""
+
+
+OP13_SQL = f"""WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda a: floor(64 * a::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda a: a IS NULL OR NOT isfinite(a))) = 0),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v AS m FROM (SELECT v, sha256('1:' || vec_id::VARCHAR) AS h FROM x) ORDER BY h NULLS LAST, v LIMIT 16),
+ {_round_sql(0)},
+ {_round_sql(1)},
+ {_round_sql(2)},
+ {_round_sql(3)}
+ SELECT vec_id, a3.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a3.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+ FROM a3 JOIN x ON x.r = a3.r JOIN c3 ON c3.c = a3.c"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries that SQL can express at its own pace; the others are tested by brute force."""
-    return {"op1_substring_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op11_decontamination": OP11_SQL, "op13_centroids": OP13_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest_neighbours
 from .clusters import centroid_clusters
 from .contamination import contamination_report
+from .conversations import damaged_report
 from .html import extract_main_text
 from .jaccard import jaccard_components
 from .mixing import mixed
@@ -65,6 +66,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_decontamination": op11_decontamination,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_centroids": op13_centroids,
     }
 
@@ -123,6 +129,49 @@ OP11_SQL = f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORD
  FROM w LEFT JOIN p ON p.r = w.r LEFT JOIN t ON t.r = w.r"""
 
 
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({key}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda e, z: xor(e >> 1, (e & 1) * 3988292384))), 4294967295)"
+
+
+def _edit(of: str, cost: str, initial: str, text: str = "''") -> str:
+    """The way ``of`` with one more edit: cost, initials and repaired text, or null."""
+    return f"CASE WHEN {of} IS NOT NULL THEN {{'c': {of}.c + {cost}, 'a': {of}.a || '{initial}', 't': {of}.t || {text}}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda way: way IS NOT NULL))[1]"
+
+
+_NEW_USER, _NEW_ASSISTANT = "'user:' || chr(10)", "'assistant:' || chr(10)"
+_LESS = "CASE WHEN truncated THEN 3 ELSE 0 END"
+_SAME_CONV = "{a}.conv_id IS NOT DISTINCT FROM {b}.conv_id"
+
+
+def _kept(of: str, initial: str) -> str:
+    return f"CASE WHEN NOT gone AND initial = '{initial}' THEN {_edit(of, _LESS, 'K', 'line')} END"
+
+
+def _changed(of: str, role: str) -> str:
+    return f"CASE WHEN NOT gone THEN {_edit(of, f'3 + {_LESS}', 'R', f'{chr(39)}{role}:{chr(39)} || text || chr(10)')} END"
+
+
+OP12_SQL = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format(key="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+ d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 0 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+ t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM o),
+ f AS MATERIALIZED (SELECT *, last = '' AS blank, last <> '' AND nth > 1 AS duplicate, last <> '' AND nth = 1 AND last NOT IN ('.', '!', '?') AS truncated, last = '' OR nth > 1 AS gone, left(role, 1) AS initial, role || ':' || text || chr(10) AS line, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM t),
+ g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ n AS (SELECT DISTINCT conv_id FROM conversations),
+ p AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}} AS z, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS s, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS u, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS a FROM n
+  UNION ALL
+  SELECT q.conv_id, f.i, {_edit('z', '4', 'D')}, {_least(_edit('s', '4', 'D'), _kept('z', 's'))},
+   {_least(_edit('u', '4', 'D'), *[_kept(x, 'u') for x in 'zsa'], *[_changed(x, 'user') for x in 'zsa'])},
+   {_least(_edit('a', '4', 'D'), _kept('u', 'a'), _changed('u', 'assistant'))}
+  FROM (SELECT conv_id, i, z, s, u, {_least('a', _edit('u', '3', 'I', _NEW_ASSISTANT))} AS a FROM (SELECT conv_id, i, z, s, a, {_least('u', *[_edit(x, '3', 'I', _NEW_USER) for x in 'zsa'])} AS u FROM p)) q JOIN f ON {_SAME_CONV.format(a='f', b='q')} AND f.i = q.i + 1),
+ e AS (SELECT conv_id, {_least('z', 'a', _edit('u', '3', 'I', _NEW_ASSISTANT), _edit(f"({_edit('s', '3', 'I', _NEW_USER)})", '3', 'I', _NEW_ASSISTANT))} AS way FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM p) WHERE back = 1)
+ SELECT n.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, way.c::BIGINT AS cost, way.a AS audit, sha256(left(way.t, greatest(length(way.t) - 1, 0)::BIGINT)) AS repaired_sha256
+ FROM n JOIN e ON {_SAME_CONV.format(a='e', b='n')} LEFT JOIN g ON {_SAME_CONV.format(a='g', b='n')}"""
+
+
 def _round_sql(i: int) -> str:
     """Assignment to the centroids c{i}, and the centroids after it."""
     return f"""d{i} AS MATERIALIZED (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d FROM x CROSS JOIN c{i}),
@@ -143,4 +192,4 @@ OP13_SQL = f"""WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries that SQL can express at its own pace; the others are tested by brute force."""
-    return {"op1_substring_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op11_decontamination": OP11_SQL, "op13_centroids": OP13_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_centroids": OP13_SQL}

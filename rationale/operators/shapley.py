@@ -22,8 +22,13 @@ from rationale.functions.special import t_tail
 from .score import score
 
 
+MOST_FEATURES = 16
+
+
 def mask_table(spark, p: int) -> DataFrame:
-    """(mask, size): all coalitions of p features."""
+    """(mask, size): all coalitions of p features, which are copied to every task: at most 16 features."""
+    if p > MOST_FEATURES:
+        raise ValueError(f"{p} features have 2**{p} coalitions; kernel_shap takes a part of them")
     return spark.range(1 << p).select(F.col("id").alias("mask"), F.bit_count("id").alias("size"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rationale.functions.special import exploration_rate
 from rationale.operators import anchors as J
+from rationale.operators import bestarm as B
 from rationale.operators import bins as C
 from rationale.operators import texts as T
 from rationale.operators.score import score
@@ -83,3 +84,19 @@ def _(spark, read):
     return rounded(found.withColumn("preds", F.array_join(F.transform("preds", lambda x: x.cast("string")), " ")))
 
 
+
+
+_CELL = "CASE WHEN s <= 4 THEN 0 WHEN s <= 25 THEN 1 ELSE 2 END"
+
+
+@query("j7_best_arm_anchors", f"""WITH b AS (SELECT {_CELL} AS cs, (r > 950)::INT AS cr, CASE WHEN (s > 25 AND r > 950) OR s < 5 THEN 'Y' ELSE 'N' END AS y FROM (SELECT (n_nationkey * 2)::DOUBLE AS s, 900.0 + 4 * ((7 * n_nationkey) % 25) AS r FROM nation)),
+ x AS (SELECT p_partkey, {_CELL} AS cs, (p_retailprice > 950)::INT AS cr, {PART_MODEL} AS y FROM (SELECT *, p_size AS s FROM part)),
+ c AS (SELECT p_partkey, cs = 2 AS two, (SELECT count(*) FROM b WHERE b.cs = x.cs AND (x.cs < 2 OR b.cr = x.cr)) / 25.0 AS coverage FROM x)
+ SELECT p_partkey, CASE WHEN two THEN 'p_size,p_retailprice' ELSE 'p_size' END AS anchor, 1.0::DOUBLE AS precision, round(coverage, 6)::DOUBLE AS coverage, true AS accepted FROM c""")
+def _(spark, read):
+    """A bin of sizes decides most labels by itself, the large sizes together with the price; brands decide nothing."""
+    n = F.col("n_nationkey")
+    behind = read("nation").select((n * 2).cast("double").alias("p_size"), (900.0 + 4 * ((7 * n) % 25)).alias("p_retailprice"), F.concat(F.lit("Brand#"), n).alias("p_brand"))
+    edges = C.stats_bins({"p_size": [4, 25], "p_retailprice": [950]}, behind)
+    found = B.best_arm_anchors(read("part"), behind, "p_partkey", ["p_size", "p_retailprice"], edges, ["p_brand"], PART_MODEL, max_size=2, epsilon=0.2, batch=300, growth=2.0)
+    return rounded(found.select("p_partkey", F.array_join("anchor", ",").alias("anchor"), "precision", "coverage", "accepted"))

@@ -170,28 +170,32 @@ def selection_test(neigh: DataFrame, key: str, features: list[str], y: str, w: s
     return test.select("*", stable.alias("stable"), F.when(~stable, F.ceil(F.col("n") * F.pow(z_alpha / F.greatest(F.abs("statistic"), F.lit(1e-3)), F.lit(2.0)))).otherwise(F.col("n")).cast("long").alias("suggested"))
 
 
-def stable_explain(instances: DataFrame, make_neighbourhood, key: str, features: list[str], y: str, w: str, n0: int, n_max: int = 10_000, rounds: int = 6) -> DataFrame:
-    """(key, n, coef_...): only instances whose test fails are sampled again, with at most twice the rows.
+def stable_explain(instances: DataFrame, make_neighbourhood, key: str, features: list[str], y: str, w: str, n0: int, n_max: int = 10_000, k: int | None = None) -> DataFrame:
+    """(key, n, stable, coef_...): rows are drawn again for instances whose first ``k`` choices (all, without it) aren't told from their runners-up.
 
-    ``make_neighbourhood(instances, n)`` gives the scored neighbourhood.
+    ``make_neighbourhood(instances, n)`` gives the scored neighbourhood; ``n`` is a
+    column, as each instance asks for its own number: what its first failing test
+    suggests, at least a quarter more than before and at most twice as many.  At
+    ``n_max`` rows an instance is explained as it is, with ``stable`` false.
     """
     from rationale.sources.scratch import stored
 
-    open_, n, done = instances, n0, None
-    for turn in range(rounds):
-        neigh = make_neighbourhood(open_, n)
-        test = stored(selection_test(neigh, key, features, y, w))
-        last = turn == rounds - 1 or n >= n_max
-        fits = stored(local_ridge(neigh.join(test.where("stable" if not last else "true").select(key), key), [key], features, y, w).withColumn("n", F.lit(n)))
+    from .paths import tested_path
+
+    open_, done = instances.withColumn("r_rows", F.lit(min(n0, n_max)).cast("long")), None
+    while True:
+        neigh = stored(make_neighbourhood(open_, F.col("r_rows")))
+        tests = tested_path(neigh, [key], features, y, w).where(F.col("step") < (k or len(features)))
+        first = tests.groupBy(key).agg(F.min_by(F.struct("stable", "suggested"), F.struct("stable", "step")).alias("t"))
+        first = stored(first.select(key, F.col("t.stable").alias("stable"), F.col("t.suggested").alias("suggested")).join(open_.select(key, "r_rows"), key))
+        final = first.where(F.col("stable") | (F.col("r_rows") >= n_max))
+        fits = stored(local_ridge(neigh.join(final.select(key), key, "left_semi"), [key], features, y, w).join(final.select(key, F.col("r_rows").alias("n"), "stable"), key))
         done = fits if done is None else done.unionByName(fits)
-        if last:
-            break
-        open_ = stored(open_.join(test.where("not stable").select(key), key, "left_semi"))
-        ask = test.where("not stable").agg(F.max("suggested")).first()[0]
-        if ask is None:
-            break
-        n = int(min(ask, 2 * n, n_max))
-    return done
+        more = first.where(~F.col("stable") & (F.col("r_rows") < n_max))
+        size = F.least(F.greatest("suggested", F.ceil(F.col("r_rows") * 1.25)), 2 * F.col("r_rows"), F.lit(n_max)).cast("long").alias("r_rows")
+        open_ = stored(open_.drop("r_rows").join(more.select(key, size), key))
+        if open_.isEmpty():
+            return done
 
 
 def maple(rows: DataFrame, weights: DataFrame, features: list[str], y: str, row_key: str, alpha: float = 1e-3) -> DataFrame:

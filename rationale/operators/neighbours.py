@@ -28,13 +28,13 @@ def _draw(dist: str, seed: int, key: Column, rep: Column, i: int) -> Column:
     return {"standard-normal": normal, "cauchy": cauchy, "t": student_t}[dist](seed, key, rep, i)
 
 
-def repeated(instances: DataFrame, n: int) -> DataFrame:
+def repeated(instances: DataFrame, n: int | Column) -> DataFrame:
     return instances.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n))))
 
 
-def perturb(instances: DataFrame, stats: DataFrame, key: str, columns: list[str], n: int, dist: str = "uniform", seed: int = 1) -> DataFrame:
-    """(key, rep, columns..., x0_columns...): draw * scale + row; ``range`` draws from the training range instead."""
-    rows = repeated(instances.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), n).join(F.broadcast(stats))
+def perturb(instances: DataFrame, stats: DataFrame, key: str, columns: list[str], n: int | Column, dist: str = "uniform", seed: int = 1) -> DataFrame:
+    """(key, rep, columns..., x0_columns...): draw * scale + row; ``range`` draws from the training range instead. ``n`` may be a column."""
+    rows = repeated(instances.select(key, F.lit(n).cast("int").alias("r_n"), *[F.col(c).cast("double").alias(c) for c in columns]), F.col("r_n")).join(F.broadcast(stats))
     out = []
     for i, c in enumerate(columns):
         x = F.col(f"min_{c}") + uniform(seed, F.col(key), F.col("rep"), i) * (F.col(f"max_{c}") - F.col(f"min_{c}")) if dist == "range" else F.col(c) + F.col(f"scale_{c}") * _draw(dist, seed, F.col(key), F.col("rep"), i)

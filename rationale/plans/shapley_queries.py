@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rationale.functions.draws import draw_sql
+from rationale.operators import linearshap as LS
 from rationale.operators import shapley as K
 
 from .common import PART_FEATURES, PART_SCORE, query, rounded
@@ -132,3 +133,10 @@ _PCA = "a AS (SELECT p_partkey, 0.05 * (p_size - avg(p_size) OVER ()) AS a, 0.01
 @query("k14_attribution_pca", f"WITH {_PCA} SELECT p_partkey, round(abs(a * t + b * (l - s)) / sqrt(t * t + (l - s) * (l - s)), 4) AS pc1 FROM a CROSS JOIN e")
 def _(spark, read):
     return K.attribution_pca(attributed(read), "p_partkey", PART_FEATURES).select("p_partkey", F.round(F.abs(F.col("pc")[0]), 4).alias("pc1"))
+
+
+@query("k20_correlated_linear", "WITH x AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice + 0.5 * p_size AS b FROM part), m AS (SELECT avg(a) AS ma, avg(b) AS mb, covar_samp(a, b) / var_samp(a) AS ra, covar_samp(a, b) / var_samp(b) AS rb FROM x) SELECT p_partkey, round(2 + 3 * ma - 0.5 * mb, 6) AS base, round(0.5 * ((2 * 3 - 0.5 * ra) * (a - ma) - 3 * rb * (b - mb)), 6) + 0.0 AS phi_size, round(0.5 * ((2 * -0.5 + 3 * rb) * (b - mb) + 0.5 * ra * (a - ma)), 6) + 0.0 AS phi_price FROM x CROSS JOIN m")
+def _(spark, read):
+    """Size and a price that rises with it."""
+    rows = read("part").select("p_partkey", F.col("p_size").cast("double").alias("size"), (F.col("p_retailprice") + 0.5 * F.col("p_size")).alias("price"))
+    return rounded(LS.correlated_linear_shap(rows, rows, "p_partkey", ["size", "price"], {"size": 3.0, "price": -0.5}, 2.0))

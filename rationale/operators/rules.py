@@ -25,24 +25,38 @@ def class_sizes(tx: DataFrame, group: str = "g") -> DataFrame:
     return tx.groupBy(group, "class").agg(F.count("*").alias("n_class")).withColumn("n", F.sum("n_class").over(Window.partitionBy(group)))
 
 
-def itemsets(tx: DataFrame, length: int, group: str = "g", allowed: DataFrame | None = None) -> DataFrame:
-    """(g, tid, class, items): all ordered itemsets of a length in each basket; ``allowed`` (g, items) keeps those whose first items are listed."""
-    rows = tx.select(group, "tid", "class", F.array_sort(F.array_distinct("items")).alias("b"))
-    out = rows.select(group, "tid", "class", "b", F.posexplode("b").alias("i", "x")).select(group, "tid", "class", "b", "i", F.array("x").alias("items"))
+def blocks(tx: DataFrame, group: str = "g", order: str = "tid") -> DataFrame:
+    """(g, block, items, classes): up to 64 baskets of a group as bitmaps, one for each item and each class among them.
+
+    Baskets are numbered by sorted ranges, so a group may be of any size; repeated
+    items of a basket are one bit.
+    """
+    placed = numbered(tx.select(group, order, "class", "items"), [order], "r_place", (group,))
+    rows = placed.select(group, F.floor(F.col("r_place") / 64).alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("r_place") % 64).cast("int")).alias("bit"), "class", "items")
+    own = [group, "block"]
+    items = rows.select(*own, "bit", F.explode("items").alias("x")).groupBy(*own, "x").agg(F.bit_or("bit").alias("bits")).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("x", "bits"))).alias("items"))
+    classes = rows.groupBy(*own, "class").agg(F.bit_or("bit").alias("bits")).groupBy(*own).agg(F.collect_list(F.struct("class", "bits")).alias("classes"))
+    return items.join(classes, own)
+
+
+def candidate_counts(tx: DataFrame, length: int, group: str = "g", allowed: DataFrame | None = None, packed: DataFrame | None = None) -> DataFrame:
+    """(g, items, class, n_items, n_both, n_class, n): support of each ordered itemset, alone and with each class.
+
+    The bitmaps of its items in a block, taken together, are the baskets that hold it:
+    an itemset is met once a block, not once a basket, and counted by bits.
+    ``allowed`` (g, items) keeps itemsets whose first items are listed; ``packed`` are
+    the ``blocks`` of ``tx``, where they are known.
+    """
+    packed = blocks(tx, group) if packed is None else packed
+    out = packed.select(group, "classes", F.col("items").alias("b"), F.posexplode("items").alias("i", "s")).select(group, "classes", "b", "i", F.array("s.x").alias("items"), "s.bits")
     for _ in range(length - 1):
         tail = F.slice("b", F.col("i") + 2, F.size("b"))
-        out = out.select(group, "tid", "class", "b", "i", "items", F.posexplode(tail).alias("j", "x"))
-        out = out.select(group, "tid", "class", "b", (F.col("i") + F.col("j") + 1).alias("i"), F.concat("items", F.array("x")).alias("items"))
-    out = out.select(group, "tid", "class", "items")
+        out = out.select(group, "classes", "b", "i", "items", "bits", F.posexplode(tail).alias("j", "s"))
+        out = out.select(group, "classes", "b", (F.col("i") + F.col("j") + 1).alias("i"), F.concat("items", F.array("s.x")).alias("items"), F.col("bits").bitwiseAND(F.col("s.bits")).alias("bits")).where("bits <> 0")
     if allowed is not None:
         out = out.withColumn("head", F.slice("items", 1, length - 1)).join(allowed.select(group, F.col("items").alias("head")), [group, "head"], "left_semi").drop("head")
-    return out
-
-
-def candidate_counts(tx: DataFrame, length: int, group: str = "g", allowed: DataFrame | None = None) -> DataFrame:
-    """(g, items, class, n_items, n_both, n_class, n): support of each itemset, alone and with each class."""
-    sets = itemsets(tx, length, group, allowed)
-    both = sets.groupBy(group, "items", "class").agg(F.count("*").alias("n_both"))
+    per = out.select(group, "items", "bits", F.explode("classes").alias("c")).select(group, "items", F.col("c.class").alias("class"), F.bit_count(F.col("bits").bitwiseAND(F.col("c.bits"))).alias("n"))
+    both = per.where("n > 0").groupBy(group, "items", "class").agg(F.sum("n").alias("n_both"))
     alone = both.withColumn("n_items", F.sum("n_both").over(Window.partitionBy(group, "items")))
     return alone.join(class_sizes(tx, group), [group, "class"])
 
@@ -108,9 +122,9 @@ def as_rules(counts: DataFrame) -> DataFrame:
 
 def mine(tx: DataFrame, group: str = "g", max_len: int = 3, alpha: float = 0.001) -> DataFrame:
     """Significant, minimal, non-redundant rules up to a length, level by level; each level is written once."""
-    found, previous, allowed = None, None, None
+    found, previous, allowed, packed = None, None, None, stored(blocks(tx, group))
     for length in range(1, max_len + 1):
-        counts = candidate_counts(tx, length, group, allowed)
+        counts = candidate_counts(tx, length, group, allowed, packed)
         level = fisher_log_p(pss_filter(counts, alpha))
         level = level.withColumn("min_log_p", F.col("log_p")) if previous is None else non_redundant(previous, level, group)
         level = stored(level)
@@ -137,7 +151,7 @@ def importance(rules: DataFrame, tx: DataFrame, group: str = "g") -> DataFrame:
     return rules.join(votes, [group, "rule_id"])
 
 
-def sequential_cover(rules: DataFrame, prune_tx: DataFrame, min_conf: float = 0.5, group: str = "g", max_rounds: int = 1000) -> DataFrame:
+def sequential_cover(rules: DataFrame, prune_tx: DataFrame, min_conf: float = 0.5, group: str = "g") -> DataFrame:
     """(g, rule_id, place): the rule best on the uncovered rows is taken again and again, in all groups at once.
 
     The first round ranks by training confidence, later ones by confidence on
@@ -147,8 +161,9 @@ def sequential_cover(rules: DataFrame, prune_tx: DataFrame, min_conf: float = 0.
     list has rules.
     """
     rest = stored(applicable(rules, prune_tx, group).select(group, "rule_id", "tid", (F.col("class") == F.col("tx_class")).cast("double").alias("ok"), "confidence", "log_p"))
-    done = None
-    for place in range(1, max_rounds + 1):
+    done, place = None, 0
+    while True:
+        place += 1
         by = rest.groupBy(group, "rule_id").agg(F.round(F.avg("confidence" if place == 1 else "ok"), 12).alias("c"), F.first("log_p").alias("p"))
         best = by.where(F.col("c") >= min_conf).groupBy(group).agg(F.min_by("rule_id", F.struct(-F.col("c"), "p", "rule_id")).alias("rule_id"))
         top = stored(best.withColumn("place", F.lit(place).cast("long")))
@@ -236,7 +251,7 @@ def contrast_rules(rules: DataFrame, item_features: DataFrame, max_dev: float =
     return a.join(b, [group, "fs"]).where(f"class1 < class2 and abs(p1 - p2) <= {max_dev}").select(group, "rule1", "rule2", "class1", "class2")
 
 
-def explain_rules(instances: DataFrame, make_neighbourhood, to_baskets, item_features: DataFrame, key: str, tries: int = 10, alpha: float = 0.001, min_conf: float = 0.5) -> DataFrame:
+def explain_rules(instances: DataFrame, make_neighbourhood, to_baskets, item_features: DataFrame, key: str, tries: int = 10, alpha: float = 0.001, min_conf: float = 0.5, max_len: int = 3) -> DataFrame:
     """(key, feature, weight, attempt): neighbourhoods are split, mined, and their rules chosen by sequential cover of the pruning part.
 
     Instances on which the surrogate disagrees with the black box are tried again
@@ -252,7 +267,7 @@ def explain_rules(instances: DataFrame, make_neighbourhood, to_baskets, item_fea
             break
         tx = stored(split_prune(to_baskets(make_neighbourhood(open_, turn))))
         training, pruning = tx.where("not is_prune").drop("is_prune"), tx.where("is_prune").drop("is_prune")
-        rules = stored(mine(training, "g", 2, alpha).withColumn("rule_id", F.xxhash64("g", "items", "class")))
+        rules = stored(mine(training, "g", max_len, alpha).withColumn("rule_id", F.xxhash64("g", "items", "class")))
         cover = stored(sequential_cover(rules, pruning, min_conf).select("g", "rule_id"))
         kept = stored(rules.join(cover, ["g", "rule_id"], "left_semi").unionByName(rules.join(cover.select("g").distinct(), "g", "left_anti")))
         own = tx.where("tid = 0").drop("is_prune")

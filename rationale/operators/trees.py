@@ -132,22 +132,46 @@ def apply_rule(tx: DataFrame, chosen: DataFrame, rules: DataFrame, item_features
     return moved.groupBy(group, "tid").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def rule_counterfactuals(tx: DataFrame, rules: DataFrame, item_features: DataFrame, predict, wanted: str, n_encoded: int, changes: int = 3, restricted: list[int] | None = None, group: str = "g") -> DataFrame:
-    """(g, tid, items, step): rules are applied one after another until the black box gives the wanted class; all open baskets move together.
-
-    ``predict(df)`` adds ``label`` to rows with items.
+def rule_counterfactuals(tx: DataFrame, rules: DataFrame, item_features: DataFrame, predict, wanted: str, n_encoded: int, changes: int = 3, restricted: list[int] | None = None, group: str = "g", n: int = 1) -> DataFrame:
+    """(g, tid, k, items, rules): up to ``n`` counterfactuals of each basket, and the rules that made them, in their order.
+
+    A search starts from the basket itself and applies up to ``changes`` rules, one
+    after another, until the black box gives the wanted class.  What a counterfactual
+    used is not used again for its basket; a search that fails gives up its first rule
+    alone.  A basket is done with its n-th counterfactual, or when no rule is left to
+    start with.  All open baskets search together; ``predict(df)`` adds ``label`` to
+    rows with items, and keeps their other columns.
     """
     from rationale.sources.scratch import stored
 
-    open_, done, used = tx.select(group, "tid", "items"), None, None
-    for step in range(1, changes + 1):
-        chosen = stored(next_rule(rules, open_, wanted, used, restricted, group))
-        used = chosen if used is None else used.unionByName(chosen)
-        moved = stored(predict(apply_rule(open_.join(chosen.select(group, "tid"), [group, "tid"]), chosen, rules, item_features, n_encoded, group)))
-        hit = moved.where(F.col("label") == wanted).select(group, "tid", "items").withColumn("step", F.lit(step))
-        done = hit if done is None else done.unionByName(hit)
-        open_ = moved.where(F.col("label") != wanted).select(group, "tid", "items")
-    return done
+    own = [group, "tid"]
+    start = stored(tx.select(*own, "items").withColumn("k", F.lit(0)))
+    used = stored(rules.join(start, group).select(*own, "rule_id").limit(0))
+    none = F.array().cast(f"array<{rules.schema['rule_id'].dataType.simpleString()}>")
+    done = None
+    while True:
+        open_, tried, hits = start.select(*own, "items", none.alias("rules")), used, None
+        for step in range(changes):
+            chosen = next_rule(rules, open_.select(*own, "items"), wanted, tried, restricted, group)
+            chosen = stored(chosen.join(open_.select(*own, F.col("items").alias("before"), "rules"), own).withColumn("rules", F.concat("rules", F.array("rule_id"))))
+            tried = tried.unionByName(chosen.select(*own, "rule_id"))
+            moved = apply_rule(chosen.select(*own, F.col("before").alias("items")), chosen.select(*own, "rule_id"), rules, item_features, n_encoded, group)
+            moved = stored(predict(moved).join(chosen.select(*own, "rules"), own))
+            hit = moved.where(F.col("label") == wanted).select(*own, "items", "rules")
+            hits = hit if hits is None else hits.unionByName(hit)
+            # a basket without another rule ends its search where it is
+            stuck = open_.where(F.size("rules") > 0).join(chosen.select(*own), own, "left_anti").select(*own, "items", "rules")
+            lost = stuck if step == 0 else lost.unionByName(stuck)
+            open_ = moved.where(~F.col("label").eqNullSafe(wanted)).select(*own, "items", "rules")
+        lost = lost.unionByName(open_)
+        found = stored(hits.join(start.select(*own, "k"), own).select(*own, (F.col("k") + 1).alias("k"), "items", "rules"))
+        done = found if done is None else done.unionByName(found)
+        given_up = found.select(*own, F.explode("rules").alias("rule_id")).unionByName(lost.select(*own, F.get("rules", F.lit(0)).alias("rule_id")))
+        used = stored(used.unionByName(given_up))
+        going = found.select(*own, "k").unionByName(lost.join(start.select(*own, "k"), own).select(*own, "k")).where(F.col("k") < n)
+        start = stored(start.drop("k").join(going, own))
+        if start.isEmpty():
+            return done
 
 
 def random_counterfactual(instances: DataFrame, draws: DataFrame, key: str, features: list[str], label: str, wanted: str, distance) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rationale.functions.draws import draw_sql
 from rationale.operators import distance as D
 from rationale.operators import evaluate as L
 
@@ -70,12 +71,14 @@ def _(spark, read):
     return L.elbow(runs(read).where("run = 0"), 0.3, 2)
 
 
-@query("l8_stability_baseline", union_all([f"SELECT {r} AS rank, {1 / 3} AS value" for r in (1, 2, 3)]))
+_SHUFFLED = "d AS (" + union_all([f"SELECT c_custkey AS id, run, '{f}' AS feature, {draw_sql(1, 'c_custkey', 'run', i)} AS c FROM customer CROSS JOIN (SELECT unnest(range(1, 7)) AS run)" for i, f in enumerate("abc")]) + "), k AS (SELECT id, run, feature, row_number() OVER (PARTITION BY id, run ORDER BY c, feature) AS rank FROM d)"
+
+
+@query("l8_stability_baseline", f"WITH {_SHUFFLED} SELECT a.rank::INT AS rank, round(avg(CASE WHEN a.feature = b.feature THEN 1.0 ELSE 0 END), 6) AS value FROM k a JOIN k b ON a.id = b.id AND a.rank = b.rank AND a.run < b.run GROUP BY a.rank")
 def _(spark, read):
-    """Random rankings agree at each of three ranks in a third of the pairs; rounded to tell apart no more than chance."""
+    """Six random rankings of three features for each customer: they agree at a rank in about a third of the pairs."""
     users = read("customer").select(F.col("c_custkey").alias("instance_id"))
-    r = L.random_rankings(users, ["a", "b", "c"], 6)
-    return L.rank_stability(r).select("rank", F.when(F.abs(F.col("value") - 1 / 3) < 0.03, F.lit(1 / 3)).otherwise(F.col("value")).alias("value"))
+    return rounded(L.rank_stability(L.random_rankings(users, ["a", "b", "c"], 6)))
 
 
 @query("l9_rule_stability", f"WITH {RUNS}, t AS (SELECT instance_id, run, list_sort(list(feature)) AS s FROM runs WHERE rank <= 2 GROUP BY ALL) SELECT a.instance_id, round(avg(len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s)))), 6) AS jaccard, round(avg(CASE WHEN a.s = b.s THEN 1.0 ELSE 0 END), 6) AS identical, round(avg(abs(len(a.s) - len(b.s))), 6) AS size_deviation FROM t a JOIN t b ON a.instance_id = b.instance_id AND a.run <= b.run GROUP BY 1")

@@ -40,6 +40,7 @@ def keyed(df):
 
 
 KEY = "array_to_string(items, ' ') AS items"
+PAIRS3 = PAIRS.replace("a.x < b.x),", "a.x < b.x UNION ALL SELECT a.g, a.tid, a.class, [a.x, b.x, c.x] FROM s1 a JOIN s1 b ON a.g = b.g AND a.tid = b.tid AND a.x < b.x JOIN s1 c ON a.g = c.g AND a.tid = c.tid AND b.x < c.x),")
 
 
 @query("h1_split_prune", f"WITH {TX} SELECT g, is_prune, count(*) AS n, sum(tid)::BIGINT AS tids FROM (SELECT *, (row_number() OVER (PARTITION BY g ORDER BY tid) - 1) % 3 = 0 AS is_prune FROM tx) GROUP BY g, is_prune")
@@ -47,9 +48,10 @@ def _(spark, read):
     return H.split_prune(baskets(read)).groupBy("g", "is_prune").agg(F.count("*").alias("n"), F.sum("tid").alias("tids"))
 
 
-@query("h2_candidate_counts", f"WITH {TX}, {PAIRS} SELECT g, {KEY}, class, n_items::BIGINT AS n_items, n_both, n_class, n::BIGINT AS n FROM cn")
+@query("h2_candidate_counts", f"WITH {TX}, {PAIRS3} SELECT g, {KEY}, class, n_items::BIGINT AS n_items, n_both, n_class, n::BIGINT AS n FROM cn")
 def _(spark, read):
-    return keyed(counted(read))
+    tx = baskets(read)
+    return keyed(counted(read).unionByName(H.candidate_counts(tx, 3)))
 
 
 @query("h3_fisher_log_p", f"WITH {TX}, {PAIRS}, {PV} SELECT g, {KEY}, class, round(log_p, 5) + 0.0 AS log_p FROM pv")
@@ -82,12 +84,14 @@ def _(spark, read):
     return rounded(keyed(H.as_rules(counted(read)).select("g", "items", "class", "support", "confidence")))
 
 
-_MINED = "p1 AS (SELECT g, class, items[1] AS x, log_p, n_both < n_items AS open FROM ps WHERE len(items) = 1), fo AS (SELECT * FROM ps WHERE len(items) = 1 UNION ALL SELECT ps.* FROM ps JOIN p1 a ON a.g = ps.g AND a.class = ps.class AND a.x = items[1] JOIN p1 b ON b.g = ps.g AND b.class = ps.class AND b.x = items[2] WHERE len(items) = 2 AND a.open AND b.open AND ps.log_p < least(a.log_p, b.log_p))"
+# A rule of a level has all its parts in the level before, open and of higher log_p than its own.
+_LEVEL = "l{k} AS (SELECT p.g, p.items, p.class, any_value(p.n_items) AS n_items, any_value(p.n_both) AS n_both, any_value(p.n) AS n, any_value(p.log_p) AS log_p, least(any_value(p.log_p), min(o.below)) AS below, any_value(p.n_both) < any_value(p.n_items) AS open FROM ps p JOIN l{j} o ON o.g = p.g AND o.class = p.class AND len(list_intersect(p.items, o.items)) = {j} WHERE len(p.items) = {k} GROUP BY p.g, p.items, p.class HAVING count(*) = {k} AND bool_and(o.open) AND any_value(p.log_p) < min(o.below))"
+_MINED = "l1 AS (SELECT g, items, class, n_items, n_both, n, log_p, log_p AS below, n_both < n_items AS open FROM ps WHERE len(items) = 1), " + _LEVEL.format(k=2, j=1) + ", " + _LEVEL.format(k=3, j=2) + ", fo AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"
 
 
-@query("h7_mined_rules", f"WITH {TX}, {PAIRS}, {PV}, {_PSS}, {_MINED} SELECT g, {KEY}, class, round(n_items::DOUBLE / n, 6) AS support, round(n_both::DOUBLE / n_items, 6) AS confidence, round(log_p, 5) + 0.0 AS log_p FROM fo WHERE log_p <= ln(0.001)")
+@query("h7_mined_rules", f"WITH {TX}, {PAIRS3}, {PV}, {_PSS}, {_MINED} SELECT g, {KEY}, class, round(n_items::DOUBLE / n, 6) AS support, round(n_both::DOUBLE / n_items, 6) AS confidence, round(log_p, 5) + 0.0 AS log_p FROM fo WHERE log_p <= ln(0.001)")
 def _(spark, read):
-    m = keyed(H.mine(baskets(read), max_len=2))
+    m = keyed(H.mine(baskets(read)))
     return rounded(m.withColumn("log_p", F.round("log_p", 5)))
 
 

@@ -97,7 +97,8 @@ def _(spark, read):
         return df.withColumn("label", F.when(F.array_contains("items", 0) | F.array_contains("items", 3) | F.array_contains("items", 4), "Y").otherwise("N"))
 
     tx = predict(baskets(read).drop("class")).where("label = 'N'")
-    return I.rule_counterfactuals(tx, ruleset(spark, read), item_features(spark), predict, "Y", 13, 2).groupBy("step").agg(F.count("*").alias("n"))
+    found = I.rule_counterfactuals(tx, ruleset(spark, read), item_features(spark), predict, "Y", 13, 2, n=2)
+    return found.select("g", "tid", "k", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), F.array_join(F.transform("rules", lambda x: x.cast("string")), " ").alias("rules"))
 
 
 _DRAWS = f"w AS (SELECT n_nationkey AS rep, (n_nationkey * 2)::DOUBLE AS p_size, 900.0 + n_nationkey * 5 AS p_retailprice FROM nation), k AS (SELECT * FROM w WHERE {PART_MODEL} = 'Y')"

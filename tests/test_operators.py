@@ -18,6 +18,7 @@ from rationale.operators import profile as B
 from rationale.operators import rules as H
 from rationale.operators import shapley as K
 from rationale.operators import texts as T
+from rationale.operators import trees as I
 from rationale.sources.scratch import clear_scratch, stored
 from rationale.streaming.apply import scored_stream
 
@@ -232,3 +233,45 @@ def test_stream(spark, tmp_path):
     got = spark.table("scored")
     assert got.count() == part.count()
     assert {r.p_size_bin for r in got.select("p_size_bin").distinct().collect()} <= {0, 1, 2, 3}
+
+
+def test_several_counterfactuals(spark):
+    """Searches start again from the basket, without the rules of earlier counterfactuals and the first rules of failed searches."""
+    rng = np.random.default_rng(13)
+    n_encoded, feature_of = 9, {i: "abc"[i // 3] for i in range(9)}
+    predict_one = lambda items: "Y" if (1 in items and 4 in items) or 8 in items or 5 in items else "N"
+    rules = []
+    for r in range(8):
+        items = sorted(int(3 * f + rng.integers(0, 3)) for f in rng.choice(3, rng.integers(1, 3), replace=False))
+        rules.append((0, r, items, "Y" if r % 3 else "N", -float(rng.integers(1, 50)), float(rng.integers(1, 9)) / 10))
+    baskets = [(0, t, [int(rng.integers(0, 3)), int(3 + rng.integers(0, 3)), int(6 + rng.integers(0, 2))]) for t in range(14)]
+    baskets = [b for b in baskets if predict_one(b[2]) == "N"]
+    wanted = []
+    ranked = sorted((r for r in rules if r[3] == "Y"), key=lambda r: (round(r[4] * r[5], 9), r[1]))
+    for _, t, items in baskets:
+        used, k = set(), 0
+        while k < 2:
+            now, path = list(items), []
+            for _step in range(2):
+                best = next((r for r in ranked if r[1] not in used | set(path) and set(r[2]) - set(now)), None)
+                if best is None:
+                    break
+                path.append(best[1])
+                new = {feature_of[i]: i for i in best[2]}
+                now = sorted(new.get(feature_of[i], i) for i in now)
+                if predict_one(now) == "Y":
+                    break
+            if not path:
+                break
+            if predict_one(now) == "Y":
+                k += 1
+                wanted.append((0, t, k, now, path))
+                used |= set(path)
+            else:
+                used.add(path[0])
+    tx = spark.createDataFrame(baskets, "g int, tid long, items array<int>")
+    table = spark.createDataFrame(rules, "g int, rule_id long, items array<int>, class string, log_p double, confidence double")
+    predict = lambda df: df.withColumn("label", F.expr("CASE WHEN (array_contains(items, 1) AND array_contains(items, 4)) OR array_contains(items, 8) OR array_contains(items, 5) THEN 'Y' ELSE 'N' END"))
+    names = spark.createDataFrame(list(feature_of.items()), "item int, feature string")
+    out = I.rule_counterfactuals(tx, table, names, predict, "Y", n_encoded, 2, n=2)
+    assert len(wanted) > len(baskets) and sorted(map(tuple, out.collect())) == sorted(wanted)

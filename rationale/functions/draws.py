@@ -1,6 +1,8 @@
 """Keyed draws: the same number for the same (seed, id, rep, feature), whatever the partitioning.
 
-Integer arithmetic alone, below 2**62, so any engine gives the same values.
+Integer arithmetic alone, below 2**62, so any engine gives the same values.  The fifth
+power modulo the prime is a permutation that isn't linear: without it, draws of
+neighbouring seeds or features would be shifted copies of each other.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ def _whole(x) -> Column:
 def draw_code(seed, key, rep=0, feature=0) -> Column:
     m = F.lit(MODULUS).cast("bigint")
     mixed = F.pmod(_whole(key), m) * 16807 + F.pmod(_whole(rep), m) * 7919 + F.pmod(_whole(feature), m) * 104729 + _whole(seed) * 31 + 1
+    x = F.pmod(mixed, m)
+    square = F.pmod(x * x, m)
+    mixed = F.pmod(F.pmod(square * square, m) * x, m)
     for a in MULTIPLIERS:
-        mixed = F.pmod(F.pmod(mixed, m) * a + 12345, m)
+        mixed = F.pmod(mixed * a + 12345, m)
     return mixed
 
 
@@ -48,12 +53,19 @@ def student_t(seed, key, rep=0, feature=0, df: int = 3) -> Column:
 
 
 # The same in SQL text, for use inside expressions.
+def permuted_sql(mixed: str) -> str:
+    m = f"CAST({MODULUS} AS BIGINT)"
+    x = f"({mixed} % {m})"
+    code = f"((({x} * {x} % {m}) * ({x} * {x} % {m}) % {m}) * {x} % {m})"
+    for a in MULTIPLIERS:
+        code = f"(({code} * CAST({a} AS BIGINT) + CAST(12345 AS BIGINT)) % {m})"
+    return code
+
+
 def draw_sql(seed: int, key: str, rep: str = "0", feature: int = 0) -> str:
     m = f"CAST({MODULUS} AS BIGINT)"
     mixed = f"((CAST({key} AS BIGINT) % {m}) * CAST(16807 AS BIGINT) + (CAST({rep} AS BIGINT) % {m}) * CAST(7919 AS BIGINT) + CAST({feature * 104729 + seed * 31 + 1} AS BIGINT))"
-    for a in MULTIPLIERS:
-        mixed = f"((({mixed} % {m}) * CAST({a} AS BIGINT) + CAST(12345 AS BIGINT)) % {m})"
-    return f"(({mixed} + CAST(0.5 AS DOUBLE)) / CAST({MODULUS} AS DOUBLE))"
+    return f"(({permuted_sql(mixed)} + CAST(0.5 AS DOUBLE)) / CAST({MODULUS} AS DOUBLE))"
 
 
 def normal_sql(seed: int, key: str, rep: str = "0", feature: int = 0) -> str:

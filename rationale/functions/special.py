@@ -28,14 +28,15 @@ def bernoulli_kl(p, q) -> Column:
 def kl_bound(p, level, upper: bool, steps: int = 16) -> Column:
     """Largest (or least) q whose divergence from p stays within ``level``, by bisection inside one expression."""
     p, level = _c(p), _c(level)
-    start = F.struct((p if upper else F.greatest(p - F.sqrt(level / 2), F.lit(0.0))).cast("double").alias("lo"), (F.least(p + F.sqrt(level / 2), F.lit(1.0)) if upper else p).cast("double").alias("hi"))
+    start = F.struct((p if upper else F.greatest(p - F.sqrt(level / 2), F.lit(0.0))).cast("double").alias("lo"), (F.least(p + F.sqrt(level / 2), F.lit(1.0)) if upper else p).cast("double").alias("hi"), p.cast("double").alias("p"), level.cast("double").alias("level"))
 
     def halve(s: Column, _) -> Column:
         middle = (s["lo"] + s["hi"]) / 2
-        beyond = bernoulli_kl(p, middle) > level
+        beyond = bernoulli_kl(s["p"], middle) > s["level"]
+        along = (s["p"].alias("p"), s["level"].alias("level"))
         if upper:
-            return F.struct(F.when(beyond, s["lo"]).otherwise(middle).alias("lo"), F.when(beyond, middle).otherwise(s["hi"]).alias("hi"))
-        return F.struct(F.when(beyond, middle).otherwise(s["lo"]).alias("lo"), F.when(beyond, s["hi"]).otherwise(middle).alias("hi"))
+            return F.struct(F.when(beyond, s["lo"]).otherwise(middle).alias("lo"), F.when(beyond, middle).otherwise(s["hi"]).alias("hi"), *along)
+        return F.struct(F.when(beyond, middle).otherwise(s["lo"]).alias("lo"), F.when(beyond, s["hi"]).otherwise(middle).alias("hi"), *along)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["hi"] if upper else s["lo"])
 
@@ -70,12 +71,13 @@ def normal_cdf(z: Column) -> Column:
 
 def inverse_normal(u: Column) -> Column:
     """Inverse of the normal distribution function, by 40 halvings of [-8, 8]."""
-    start = F.struct(F.lit(-8.0).alias("lo"), F.lit(8.0).alias("hi"))
+    # u goes along, so that it is worked out once and not at each step
+    start = F.struct(F.lit(-8.0).alias("lo"), F.lit(8.0).alias("hi"), u.alias("u"))
 
     def halve(s: Column, _) -> Column:
         middle = (s["lo"] + s["hi"]) / 2
-        low = normal_cdf(middle) < u
-        return F.struct(F.when(low, middle).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(middle).alias("hi"))
+        low = normal_cdf(middle) < s["u"]
+        return F.struct(F.when(low, middle).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(middle).alias("hi"), s["u"].alias("u"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rationale.operators import bins as C
 from rationale.operators import distance as D
 from rationale.operators import linear as G
 from rationale.operators import paths as P
+from rationale.operators import tabular as TAB
 from rationale.operators import neighbours as E
 from rationale.operators import texts as T
 from rationale.operators.score import score
@@ -66,11 +68,9 @@ def _(spark, read):
 
 @query("g4_explain_tabular")
 def _(spark, read):
+    """Quartiles of size and price, and the brand, of every part."""
     p = read("part")
-    rows = E.perturb(p, E.stats_row(p, PART_FEATURES), "p_partkey", PART_FEATURES, N, "standard-normal").join(F.broadcast(E.stats_row(p, PART_FEATURES)))
-    d = D.kernel_weights(score(rows.withColumn("d", D.euclidean(PART_FEATURES)), PART_SCORE, "y"), "d", 2)
-    fits = G.local_ridge(d.select("p_partkey", "rep", *[((F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c}")).alias(k) for c, k in zip(PART_FEATURES, Z, strict=True)], "y", "weight"), ["p_partkey"], Z, "y", "weight")
-    return rounded(G.mirrored(G.explanation_rows(fits, ["p_partkey"], Z, {"z_size": "p_size", "z_price": "p_retailprice"})))
+    return rounded(TAB.explain_tabular(p, p, "p_partkey", PART_FEATURES, C.quartile_bins(p, PART_FEATURES), ["p_brand"], PART_SCORE, n=100))
 
 
 @query("g5_explain_text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from rationale.functions.draws import draw_sql, normal_sql
+from rationale.functions.draws import draw_sql, normal_sql, permuted_sql
 from rationale.functions.special import normal_cdf
 from rationale.operators import bins as C
 from rationale.operators import neighbours as E
@@ -62,9 +62,9 @@ def _(spark, read):
     return D.label_indicator(read("lineitem").select("l_returnflag"), ["A", "N", "R"], "l_returnflag").agg(*[F.sum(f"is_{c}").alias(c.lower()) for c in "ANR"])
 
 
-@query("d4_top_labels", "SELECT vec_id, i::INT AS class_index, round(p, 6) AS p, rank::INT AS rank FROM (SELECT vec_id, i, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS rank FROM (SELECT vec_id, unnest(range(0, 4)) AS i, unnest(embedding[1:4])::DOUBLE AS p FROM embeddings)) WHERE rank <= 2")
+@query("d4_top_labels", "SELECT vec_id, i::INT AS class_index, round(p, 6) AS p, rank::INT AS rank FROM (SELECT vec_id, i, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS rank FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS p FROM embeddings)) WHERE rank <= 2")
 def _(spark, read):
-    e = read("embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("p"))
+    e = read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("p"))
     return rounded(D.top_labels(e, "vec_id", "p", 2))
 
 
@@ -228,9 +228,7 @@ def _(spark, read):
 def _word_code(w: str) -> str:
     """The keyed code of a word, seed 1."""
     mixed = f"((doc_id % 2147483647) * 16807 + (rep % 2147483647) * 7919 + (('0x' || substr(md5({w}), 1, 8))::BIGINT % 2147483647) * 104729 + 32)"
-    for a in (48271, 69621):
-        mixed = f"((({mixed} % 2147483647) * {a} + 12345) % 2147483647)"
-    return mixed
+    return permuted_sql(mixed)
 
 
 def _masks(words: str, parts: str, gap: str | None, kept: str) -> str:

@@ -19,9 +19,13 @@ holds more than half of the page's text, unless it stands outside ``article`` an
 
 Pages are independent rows: no shuffle, and time and memory in proportion to the
 page, however deep it is nested (a path is a number: that of the parent's path
-and a tag).  A null page is an empty one; its text is empty.  Markup that never
-closes ends with the page.  Repeated rows give repeated results, no rows none;
-other columns play no part, whatever their names.
+and a tag) and however broken: a page is read forward once.  A null page is an
+empty one; its text is empty.  Markup that never closes ends with the page: a
+comment, a script, a tag without ``>`` behind it.  A quote counts behind ``=``
+only, and where it has a partner; where quotes leave a tag without an end, they
+count no more from there on.  A character number that no character has is U+FFFD.
+Repeated rows give repeated results, no rows none; other columns play no part,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,20 +44,26 @@ LEFT_OUT = frozenset("head nav footer aside form script style noscript template
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("p b i em strong span a u small font".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title".split())
+DRAWN = frozenset("svg math".split())
 LEAVES = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd pre blockquote td th tr caption figcaption summary address".split())
 # Names of what surrounds an article, and parts that go with them.
 ASIDES = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus gdpr header footer login menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion recommended related replies respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
 PARTS = frozenset("area article bar block body bottom box buttons container desktop entry fixed footer global group holder icons inner item items js left link links list main mobile outer page panel policy post primary reader region right secondary section site sticky text thread title top user wrap wrapper".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+LISTED = frozenset("ul ol dl table".split())
+
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTES = re.compile(r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+)*+>")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+NUMBER = re.compile(r"&#0*(?=\d)(\d*)(;?)", re.A)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MARKS = re.compile(r"[.,;:!?。，！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "aside", "article", "block", "number")
+    __slots__ = ("tag", "parent", "path", "out", "aside", "article", "block", "number", "closes")
 
     def __init__(self, tag: str, parent: _Element | None, path: int, number: int):
         self.tag, self.parent, self.path, self.number = tag, parent, path, number
@@ -61,6 +71,24 @@ class _Element:
         self.aside = False  # named like a surrounding
         self.block = self if tag in BLOCKS or not parent else parent.block
         self.article = tag in ("article", "main") or (parent.article if parent else False)
+        self.closes: dict[str, int] = {}
+
+
+def closed_with(tag: str, depth: int, outer: dict[str, int]) -> dict[str, int]:
+    """For each tag that ends open elements: the depth of the one it would end within this element, itself included.
+
+    A block ends a paragraph around inline elements, an item its neighbour in the same list.
+    """
+    inner = outer
+    if "p" in outer and tag not in INLINE or tag in LISTED and outer.keys() - {"p"}:
+        inner = {t: d for t, d in outer.items() if (tag in INLINE if t == "p" else tag not in LISTED)}
+    own = [t for t, ended in CLOSED_BY.items() if tag in ended] + (["p"] if tag == "p" else [])
+    return inner | dict.fromkeys(own, depth) if own else inner
+
+
+def decoded(text: str) -> str:
+    """The text with its character references resolved, numbers of any length among them."""
+    return entities.unescape(NUMBER.sub(lambda m: "\ufffd" if len(m[1]) > 7 else f"&#{m[1]}{m[2]}", text))
 
 
 def named_aside(names: list[str], in_article: bool) -> bool:
@@ -83,7 +111,7 @@ def page_blocks(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
     holder = root
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(pieces)).split()) if pieces else ""
+        text = " ".join(decoded("".join(pieces)).split()) if pieces else ""
         if text and not holder.out:
             blocks.append((holder, text))
         pieces.clear()
@@ -92,27 +120,39 @@ def page_blocks(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
         while len(stack) > keep:
             open_[stack.pop().tag] -= 1
 
-    def close_one_of(tags, within) -> None:
-        """Close the innermost element with one of the tags, if all those inside it pass ``within``."""
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at].tag in tags:
-                close(at)
-                return
-            if not within(stack[at].tag):
-                return
+    def text(piece: str) -> None:
+        nonlocal holder
+        if not pieces:
+            holder = stack[-1].block
+        if not stack[-1].out:
+            pieces.append(piece)
 
-    at, n = 0, len(page)
+    at, n, quoted = 0, len(page), True
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                if not pieces:
-                    holder = stack[-1].block
-                if not stack[-1].out:
-                    pieces.append(m[0])
+        if page[at] != "<":
+            start = page.find("<", at)
+            start = n if start < 0 else start
+            text(page[at:start])
+            at = start
+            continue
+        m = NAME.match(page, at)
+        if m is None and page[at + 1 : at + 2] in ("!", "?", "/"):
+            end = page.find("-->", at + 2) + 2 if page.startswith("<!--", at) else page.find(">", at)
+            if page[end : end + 1] != ">" or end < at:
+                break
+            at = end + 1
             continue
+        if m is None:
+            text("<")
+            at += 1
+            continue
+        at, tag = m.end(), m[2]
+        whole = ATTRIBUTES.match(page, at) if quoted else None
+        quoted = whole is not None
+        end = whole.end() if whole else page.find(">", at) + 1
+        if not end:
+            break
+        attributes, at = page[at : end - 1], end
         tag = tag.lower()
         if m[1]:
             if tag in BLOCKS:
@@ -129,15 +169,15 @@ def page_blocks(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
             continue
         if tag in BLOCKS:
             flush()
-            close_one_of(("p",), lambda t: t in INLINE)
+            close(stack[-1].closes.get("p", len(stack)))
         if tag in CLOSED_BY:
-            close_one_of(CLOSED_BY[tag], lambda t: t not in ("ul", "ol", "dl", "table"))
+            close(stack[-1].closes.get(tag, len(stack)))
         if tag in VOID:
             if tag == "br":
                 pieces.append("\n")
             continue
-        here, attributes = stack[-1], m[3]
-        if attributes.endswith("/") and tag in RAW:
+        here = stack[-1]
+        if attributes.endswith("/") and tag in RAW | DRAWN:
             continue
         element = _Element(tag, here, paths.setdefault((here.path, tag), len(paths) + 1), len(elements))
         element.out |= tag in LEFT_OUT or (tag == "header" and not here.article)
@@ -146,9 +186,12 @@ def page_blocks(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
             element.out |= element.aside and tag not in BLOCKS  # within a block there is no text to weigh
         elements.append(element)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            ended = RAW_END[tag].search(page, at)
+            at = page.find(">", ended.end()) + 1 if ended else n
+            if not at:
+                break
             continue
+        element.closes = closed_with(tag, len(stack), here.closes)
         stack.append(element)
         open_[tag] = open_.get(tag, 0) + 1
         if tag in BLOCKS:

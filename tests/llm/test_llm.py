@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -313,6 +314,35 @@ def test_html_pages(page, wanted):
     assert got == wanted or wanted == "" and len(got) < len(page) + 10
 
 
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<p>x</p><svg><svg></svg>inside</svg><p>y, z.</p>", "x\ny, z."),  # elements that are left out, within each other
+        ("<p>a <template>q<template></template>inside</template> b.</p>", "a b."),
+        ("<p>t <svg/> u <noscript>v<noscript>w</noscript>x</noscript> y</p>", "t u y"),
+        ('<p>one <a href="foo>link</a> more text.</p>', "one link more text."),  # a quote without a partner
+        ("<p title=it's>a, it's b</p>", "a, it's b"),
+        ("<p>a<!-->b<!-- c --> d</p><p>e <3 </3> f", "ab d\ne <3 f"),
+        ("<script>a</script x>b<p>c <d", "b\nc"),  # a page that ends within a tag
+        ("<p>&#" + "9" * 6000 + "; &#0000000065;&#x110000;", "\ufffd A\ufffd"),
+    ],
+)
+def test_html_broken_pages(page, wanted):
+    assert html.main_text(page) == wanted
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a ", "</a ", "<!", "<!--", '<a href="x>', '<a =">" ', "</script ", "<b>", "<p><table><i>", "&#9"],
+)
+@pytest.mark.parametrize("end", ["", '="', ">", "<hr>" * 40000, "<li></li>" * 40000])
+def test_html_reads_forward_once(piece, end):
+    """A page of 400 KB and more in a few seconds; it took hours where each piece looked at all behind it."""
+    start = time.process_time()
+    html.main_text(piece * (400_000 // len(piece)) + end)
+    assert time.process_time() - start < 8
+
+
 def test_html_path_scores():
     """Ratios of each path by a plain reading: sums over its blocks, smoothed over the page, multiplied."""
     page = "<html><body>" + "".join(f"<div><p>{'word, ' * (3 * i + 1)}</p></div><ul><li>item {i}<li>b</ul>" for i in range(6))

@@ -19,6 +19,7 @@ from rationale.functions.order import numbered, running
 from rationale.functions.small import small
 from rationale.functions.special import t_tail
 
+from .paths import homotopy
 from .score import score
 
 
@@ -94,8 +95,39 @@ def varying_features(instances: DataFrame, background: DataFrame, key: str, feat
     return flags.select(key, F.filter(F.array(*[F.when(F.col(f) == 1, F.lit(f)) for f in features]), lambda x: x.isNotNull()).alias("varying"))
 
 
-def kernel_shap(instances: DataFrame, background: DataFrame, key: str, features: list[str], model, masks: DataFrame | None = None, link: str = "identity", weight: str | None = None) -> DataFrame:
-    """(key, phi_<feature>...): weighted least squares on coalition values, bound to add up to f(x) - f0; the last feature is eliminated."""
+def kept_features(z: np.ndarray, y: np.ndarray, w: np.ndarray, total: float, select: str | int) -> list[int]:
+    """Columns of the coalitions ``z`` that explain their values ``y``.
+
+    Each coalition stands twice, as what it adds to none and as what it lacks of all,
+    so that the sum is fitted too.  A number takes the features that enter a
+    least-angle path first; ``aic`` or ``bic`` take the breakpoint of the lasso path
+    with the best trade of squared error, in units of the noise that all features
+    leave, for features.  Ties go to fewer features.
+    """
+    p, size = z.shape[1], z.sum(1)
+    root = np.sqrt(np.concatenate([w * (p - size), w * size]))
+    x = np.vstack([z, z - 1]) * root[:, None]
+    t = np.concatenate([y, y - total]) * root
+    if not isinstance(select, str):
+        return sorted([entered for _, entered, *_ in homotopy(x.T @ x, x.T @ t, lasso=False) if entered is not None][:select])
+    x, t = x - x.mean(0), t - t.mean()
+    xx, xy, yy = x.T @ x, x.T @ t, float(t @ t)
+    coefs = [step[-1] for step in homotopy(xx, xy)]
+    left = np.array([max(yy - 2 * c @ xy + c @ xx @ c, 0.0) for c in coefs])
+    used = [np.flatnonzero(np.abs(c) > 1e-9 * np.abs(c).max(initial=0.0)) for c in coefs]
+    noise = max(left[-1] / max(len(t) - p - 1, 1), 1e-12 * yy / len(t), 1e-300)
+    price = {"aic": 2.0, "bic": np.log(len(t))}[select]
+    cost = np.round(left / noise + price * np.array([len(u) for u in used]), 9)
+    return used[int(np.lexsort(([len(u) for u in used], cost))[0])].tolist()
+
+
+def kernel_shap(instances: DataFrame, background: DataFrame, key: str, features: list[str], model, masks: DataFrame | None = None, link: str = "identity", weight: str | None = None, select: str | int | None = None) -> DataFrame:
+    """(key, phi_<feature>...): weighted least squares on coalition values, bound to add up to f(x) - f0; the last feature is eliminated.
+
+    With ``select`` (``aic``, ``bic`` or a number) each instance is fitted on the
+    features of its own that ``kept_features`` finds; the others have 0, as all have
+    if none is found.
+    """
     p, spark = len(features), instances.sparkSession
     full = (1 << p) - 1
     masks = masks if masks is not None else kernel_masks(spark, p)
@@ -112,11 +144,15 @@ def kernel_shap(instances: DataFrame, background: DataFrame, key: str, features:
             f0, f1 = v[m == 0][0], v[m == full][0]
             use = (m != 0) & (m != full)
             z = (m[use, None] >> np.arange(p) & 1).astype(float)
-            y = v[use] - f0 - z[:, -1] * (f1 - f0)
-            x = z[:, :-1] - z[:, -1:]
-            a = x.T * w[use]
-            phi = np.linalg.lstsq(a @ x, a @ y, rcond=None)[0] if p > 1 else np.zeros(0)
-            out.append([*phi, f1 - f0 - phi.sum()])
+            kept = list(range(p)) if select is None else kept_features(z, v[use] - f0, w[use], f1 - f0, select)
+            phi = np.zeros(p)
+            if kept:
+                *first, last = kept
+                x = z[:, first] - z[:, [last]]
+                a = x.T * w[use]
+                phi[first] = np.linalg.lstsq(a @ x, a @ (v[use] - f0 - z[:, last] * (f1 - f0)), rcond=None)[0] if first else []
+                phi[last] = f1 - f0 - phi.sum()
+            out.append(phi.tolist())
         return pd.Series(out)
 
     fits = packed.select(key, solve("s").alias("phi"))

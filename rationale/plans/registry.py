@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchor_queries, bins_queries, distance_queries, evaluate_queries, linear_queries, neighbour_queries, profile_queries, rules_queries, shapley_queries, tree_queries, treeshap_queries  # noqa: F401
+from . import anchor_queries, bins_queries, distance_queries, evaluate_queries, linear_queries, neighbour_queries, profile_queries, rules_queries, selection_queries, shapley_queries, tree_queries, treeshap_queries  # noqa: F401
 from .common import QUERIES
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rationale.operators import condensed as N
+from rationale.operators import families as D
 from rationale.operators import refit as R
+from rationale.operators import search as S
 from rationale.operators import shapley as K
 
-from .common import query, rounded
+from .common import PART_FEATURES, PART_MODEL, query, rounded, union_all
 
 _ADDITIVE = "0.03 * p_size + 0.00001 * p_retailprice * p_retailprice"
 _FOUR = ["p_size", "p_retailprice", "seventh", "eleventh"]
@@ -43,3 +46,50 @@ def _(spark, read):
 def _(spark, read):
     """Error of the model that knew that feature alone."""
     return _refit(read, True)
+
+
+@query("e20_condensed")
+def _(spark, read):
+    """The parts by whose nearest one every part keeps the model's label."""
+    rows = read("part").select("p_partkey", (F.col("p_size") / 50).alias("size"), (F.col("p_retailprice") / 1000).alias("price"), F.expr(PART_MODEL).alias("label"))
+    return N.condensed(rows, "p_partkey", ["size", "price"], "label")
+
+
+@query("i12_counterfactual_search")
+def _(spark, read):
+    """For each part the nearest size and price found that the model gives the other label."""
+    rows = read("part").select("p_partkey", *[F.col(c).cast("double").alias(c) for c in PART_FEATURES])
+    bounds = rows.agg(*[f(c).alias(f"{e}_{c}") for c in PART_FEATURES for e, f in (("lo", F.min), ("hi", F.max))])
+    other = F.when(F.expr(PART_MODEL) == "Y", "N").otherwise("Y")
+    return rounded(S.search_counterfactuals(rows, bounds, PART_MODEL, "p_partkey", PART_FEATURES, other, starts=4))
+
+
+_FITTED = ["l_quantity", "l_extendedprice", "l_discount"]
+_CLOSED = {
+    "uniform": ("lo", "hi - lo", "1 / (hi - lo)"),
+    "normal": ("m", "sd", "exp(-power((t - m) / sd, 2) / 2) / (sd * sqrt(2 * pi()))"),
+    "exponential": ("lo", "m - lo", "exp(-(t - lo) / (m - lo)) / (m - lo)"),
+    "laplace": ("q2", "md", "exp(-abs(t - q2) / md) / (2 * md)"),
+    "lognormal": ("ml", "sl", "CASE WHEN lo > 0 THEN exp(-power((ln(t) - ml) / sl, 2) / 2) / (t * sl * sqrt(2 * pi())) END"),
+}
+_FAMILIES = f"""WITH x AS ({union_all([f"SELECT '{c}' AS feature, {c}::DOUBLE AS v FROM lineitem" for c in _FITTED])}),
+ s AS (SELECT feature, count(*) AS n, min(v) AS lo, max(v) AS hi, avg(v) AS m, stddev_pop(v) AS sd, avg(CASE WHEN v > 0 THEN ln(v) END) AS ml, stddev_pop(CASE WHEN v > 0 THEN ln(v) END) AS sl, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY feature),
+ w AS (SELECT *, greatest(ceil((hi - lo) / (2 * (q3 - q1) / power(n, 1.0 / 3))), ceil(log2(n)) + 1)::BIGINT AS bins FROM s), d AS (SELECT feature, avg(abs(v - q2)) AS md FROM x JOIN s USING (feature) GROUP BY feature),
+ c AS (SELECT feature, least(floor((v - lo) / (hi - lo) * bins), bins - 1)::BIGINT AS bin, count(*) AS k FROM x JOIN w USING (feature) GROUP BY ALL), e AS (SELECT *, unnest(range(0, bins)) AS bin FROM w JOIN d USING (feature)),
+ g AS (SELECT e.*, coalesce(k, 0) * bins / n AS y, lo + (e.bin + 0.5) * (hi - lo) / bins AS t FROM e LEFT JOIN c ON c.feature = e.feature AND c.bin = e.bin),
+ f AS ({union_all([f"SELECT feature, '{f}' AS family, {a} AS a, {b} AS b, power(y - ({p}) * (hi - lo), 2) AS e FROM g" for f, (a, b, p) in _CLOSED.items()])}), h AS (SELECT feature, family, any_value(a) AS a, any_value(b) AS b, sum(e) AS sse FROM f WHERE e IS NOT NULL GROUP BY ALL)
+ SELECT feature, family, round(a, 4) AS a, round(b, 4) AS b, round(sse, 4) AS sse, row_number() OVER (PARTITION BY feature ORDER BY sse, family) = 1 AS best FROM h"""
+
+
+@query("b22_families", _FAMILIES)
+def _(spark, read):
+    """The families whose parameters SQL can give; the gamma distribution is in ``b22_drawn``."""
+    return rounded(D.fit_families(read("lineitem"), _FITTED, tuple(_CLOSED)), 4)
+
+
+@query("b22_drawn")
+def _(spark, read):
+    """A drawn row for each part, from the families that fit the order values and the line items' best."""
+    rows = read("lineitem").join(read("orders").select("o_totalprice", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    fits = D.fit_families(rows, ["o_totalprice", "l_extendedprice", "l_quantity"])
+    return rounded(D.fitted_sample(fits, read("part").count()))

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rationale.operators import refit, shapley
+from rationale.operators import condensed, families, refit, search, shapley
+from rationale.plans.common import PART_MODEL
 
 
 def test_kernel_selection(spark):
@@ -80,3 +81,92 @@ def test_refit_edges(spark):
     assert got[:3] == pytest.approx([2.0, 2.0, 2.0]) and got[3] is None  # there the null is among what stays
     assert refit.refit_predictions(df.where("y < 0"), df, ["a", "b"], "y", 1).where("prediction is not null").isEmpty()
     assert refit.refit_predictions(df, df.where("y < 0"), ["a", "b"], "y", 1).isEmpty()
+
+
+def plain_condensed(rows):
+    """Rows (id, values, label) that are kept, with their rounds; values are distinct."""
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a[1], b[1], strict=True))
+    kept = {}
+    for r in sorted(rows):
+        if r[2] not in [k[2] for k in kept]:
+            kept[r] = 0
+    turn = 0
+    while True:
+        turn += 1
+        cells = {}
+        for r in rows:
+            k = min(kept, key=lambda k: (dist(r, k), k[0]))  # noqa: B023
+            if k[2] != r[2]:
+                cells.setdefault(k, []).append((dist(r, k), r[0], r))
+        if not cells:
+            return {(k[0], k[2], t) for k, t in kept.items()}
+        kept |= {min(c)[2]: turn for c in cells.values()}
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_condensed(spark, block):
+    rng = np.random.default_rng(2)
+    places = sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (220, 2))})
+    rows = [(i, (x / 4, y / 4), "abc"[(x * x // 90 + y // 11) % 3]) for i, (x, y) in enumerate(places)]
+    table = [(i, *v, c) for i, v, c in rows] + [(0, *rows[0][1], rows[0][2]), (900, *rows[3][1], "z"), (901, None, 1.0, "a"), (902, float("nan"), 1.0, "a"), (903, 1.0, 1.0, None), (None, 1.1, 1.0, "a")]
+    df = spark.createDataFrame(table, "id long, x double, y double, label string").withColumn("d", F.lit("clash")).withColumn("round", F.lit("clash"))
+    got = condensed.condensed(df, "id", ["x", "y"], "label", block)
+    assert got.columns == ["id", "label", "round"]
+    assert {tuple(r) for r in got.collect()} == plain_condensed(rows)
+    assert condensed.condensed(df.where("id < 0"), "id", ["x", "y"], "label").isEmpty()
+
+
+def test_counterfactual_search(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(s), float(p)) for i, (s, p) in enumerate(zip(rng.integers(1, 51, 60), rng.uniform(900, 1000, 60), strict=True))]
+    df = spark.createDataFrame([*rows, (98, None, 1.0), (99, 60.0, 2000.0)], "id long, p_size double, p_retailprice double").withColumn("cost", F.lit("clash")).withColumn("start", F.lit("clash"))
+    bounds = spark.createDataFrame([(1.0, 50.0, 900.0, 1000.0)], "lo_p_size double, hi_p_size double, lo_p_retailprice double, hi_p_retailprice double")
+    aim = F.when(F.expr(PART_MODEL) == "Y", "N").otherwise("Y")
+    tolerance = 1e-3
+    found = search.search_counterfactuals(df, bounds, PART_MODEL, "id", ["p_size", "p_retailprice"], aim, starts=32, tolerance=tolerance)  # one start in 12 is in the region of small sizes
+    got = {r.id: r for r in found.collect()}
+    label = lambda s, p: s > 25 and p > 950 or s < 5
+    nearest = 0
+    assert len(got) == 62 and got[98].cf_p_size is None and got[98].starts == 0 and got[98].distance is None
+    assert 1 <= got[99].cf_p_size <= 50 and 900 <= got[99].cf_p_retailprice <= 1000
+    for i, s, p in rows:
+        r = got[i]
+        own = label(s, p)
+        at = ((r.cf_p_size - 1) / 49, (r.cf_p_retailprice - 900) / 100)
+        home = ((s - 1) / 49, (p - 900) / 100)
+        there = lambda u: label(1 + 49 * u[0], 900 + 100 * u[1])
+        assert there(at) != own and r.starts >= 1
+        assert r.distance == pytest.approx(np.hypot(at[0] - home[0], at[1] - home[1]))
+        for j in (0, 1):  # a step of the tolerance towards the row leaves the class, or there is nothing to go
+            if abs(home[j] - at[j]) > tolerance:
+                step = list(at)
+                step[j] += np.sign(home[j] - at[j]) * tolerance
+                assert there(step) == own
+        grid = np.linspace(0, 1, 401)
+        best = min((np.hypot(a - home[0], b - home[1]) for a in grid for b in (home[1], 0.4999, 0.5001) if there((a, b)) != own), default=9)
+        best = min([best, *(np.hypot(a - home[0], b - home[1]) for b in grid for a in (home[0], 3.99 / 49, 4.01 / 49, 24.01 / 49, 23.99 / 49) if there((a, b)) != own)])
+        assert r.distance > best - 0.01
+        nearest += r.distance < best + 0.01
+    assert nearest >= 54  # of 60; the rest ends at the boundary of another region
+    none = search.search_counterfactuals(df, bounds, PART_MODEL, "id", ["p_size", "p_retailprice"], "no such class", most_draws=40)
+    assert none.where("distance is null and starts = 0").count() == 62
+
+
+def test_families(spark):
+    """Drawn data is recognised, with its parameters; what is drawn from the fits is recognised again."""
+    true = {"uniform": (2.0, 3.0), "normal": (5.0, 2.0), "exponential": (1.0, 4.0), "laplace": (0.0, 2.0), "lognormal": (0.5, 0.8), "gamma": (2.5, 1.5), "constant": (7.0, 0.0)}
+    key = F.col("id")
+    df = spark.range(20000).select(*[families.family_draw(f, *ab, 11, key, i).alias(f) for i, (f, ab) in enumerate(true.items())], F.lit(None).cast("double").alias("empty"))
+    df = df.unionByName(spark.createDataFrame([(float("nan"),)], "normal double"), True)
+    fits = families.fit_families(df, [*true, "empty"])
+    best = {r.feature: r for r in fits.where("best").collect()}
+    assert sorted(best) == sorted(true)
+    for f, (a, b) in true.items():
+        assert best[f].family == f and (best[f].a, best[f].b) == pytest.approx((a, b), rel=0.05, abs=0.06)
+    small_shape = spark.range(20000).select(families.family_draw("gamma", 0.6, 2.0, 5, key, 0).alias("x"))
+    got = families.fit_families(small_shape, ["x"], ("gamma",)).first()
+    assert (got.a, got.b) == pytest.approx((0.6, 2.0), rel=0.06)
+    assert families.fit_families(df.where("uniform < 0"), ["uniform"]).isEmpty()
+    drawn = families.fitted_sample(fits, 5000, 3)
+    assert drawn.columns == ["rep", *sorted(true)] and drawn.count() == 5000
+    assert drawn.agg(F.avg("gamma")).first()[0] == pytest.approx(3.75, rel=0.05)

@@ -16,13 +16,13 @@ _ADDITIVE = "0.03 * p_size + 0.00001 * p_retailprice * p_retailprice"
 _FOUR = ["p_size", "p_retailprice", "seventh", "eleventh"]
 
 
-@query("k21_kernel_shap_aic", "WITH g AS (SELECT avg(0.03 * n_nationkey * 2) AS s, avg(0.00001 * (900.0 + n_nationkey * 3) * (900.0 + n_nationkey * 3)) AS r FROM nation) SELECT p_partkey, round(0.03 * p_size - s, 6) + 0.0 AS phi_p_size, round(0.00001 * p_retailprice * p_retailprice - r, 6) + 0.0 AS phi_p_retailprice, 0.0::DOUBLE AS phi_seventh, 0.0::DOUBLE AS phi_eleventh FROM part CROSS JOIN g")
+@query("k21_kernel_shap_aic", "WITH g AS (SELECT avg(0.03 * n_nationkey * 2) AS s, avg(0.00001 * (900.0 + n_nationkey * 3) * (900.0 + n_nationkey * 3)) AS r FROM nation) SELECT p_partkey, round(0.03 * p_size - s, 9) + 0.0 AS phi_p_size, round(0.00001 * p_retailprice * p_retailprice - r, 9) + 0.0 AS phi_p_retailprice, 0.0::DOUBLE AS phi_seventh, 0.0::DOUBLE AS phi_eleventh FROM part CROSS JOIN g")
 def _(spark, read):
     """Two features that the model reads, and two that it doesn't."""
     rows = read("part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 7).alias("seventh"), (F.col("p_partkey") % 11).alias("eleventh"))
     n = F.col("n_nationkey")
     background = read("nation").select((n * 2).cast("double").alias("p_size"), (900.0 + n * 3).alias("p_retailprice"), (n % 7).alias("seventh"), (n % 11).alias("eleventh"))
-    return rounded(K.kernel_shap(rows, background, "p_partkey", _FOUR, _ADDITIVE, select="aic"))
+    return rounded(K.kernel_shap(rows, background, "p_partkey", _FOUR, _ADDITIVE, select="aic"), 9)
 
 
 _PHI = {"l_quantity": "(l_quantity - 25) * 0.02", "l_discount": "(l_discount - 0.05) * 10"}

@@ -32,8 +32,10 @@ def constant_baseline(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 # Stability over runs: (instance_id, run, feature, weight, rank) --------------
 def _pairs(df: DataFrame, on: list[str], value: str, same: bool = False) -> DataFrame:
-    a, b = (df.select(*on, F.col("run").alias(f"run{i}"), F.col(value).alias(f"v{i}")) for i in (1, 2))
-    return a.join(b, on).where("run1 <= run2" if same else "run1 < run2")
+    """(on..., run1, v1, run2, v2): pairs of runs, from one list of each group's runs; no table is joined to itself, as its size would be guessed too low."""
+    runs = df.where(" and ".join(f"{c} is not null" for c in on)).groupBy(*on).agg(F.collect_list(F.struct("run", F.col(value).alias("v"))).alias("runs"))
+    first = runs.select(*on, "runs", F.inline("runs").alias("run1", "v1"))
+    return first.select(*on, "run1", "v1", F.inline("runs").alias("run2", "v2")).where("run1 <= run2" if same else "run1 < run2")
 
 
 def jaccard(a: str, b: str) -> Column:

@@ -13,3 +13,8 @@ def small(df: DataFrame, what: str, most: int = MOST_ROWS) -> DataFrame:
     if df.limit(most + 1).count() > most:
         raise ValueError(f"{what} of more than {most} rows would be copied to every task; take a sample or cluster centres of it")
     return F.broadcast(df)
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """``df`` to be joined to a larger table: broadcast if its rows, counted, are few; sorted otherwise, as the size of a compressed file says too little."""
+    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df.hint("merge")

@@ -68,8 +68,8 @@ def _(spark, read):
 @query("j5_anchor_beam")
 def _(spark, read):
     p = score(read("part"), PART_MODEL)
-    own = J.predicate_matrix(p, _preds(spark, read), "p_partkey", ["p_size", "p_brand"]).where("holds = 1").select("p_partkey", "pred_id")
-    named = own.join(p.select("p_partkey", F.col("label").alias("wanted")), "p_partkey").join(F.broadcast(_preds(spark, read)), "pred_id")
+    own = J.predicate_matrix(p, _preds(spark, read), "p_partkey", ["p_size", "p_brand"], ("label",)).where("holds = 1")
+    named = own.select("p_partkey", "pred_id", F.col("label").alias("wanted")).join(F.broadcast(_preds(spark, read)), "pred_id")
     return rounded(J.anchor_beam(p.withColumnRenamed("p_partkey", "row_key"), named, "row_key", ["p_size", "p_brand"], "label", "p_partkey", beam=2, max_size=2).groupBy("accepted").agg(F.count("*").alias("n"), F.avg("precision").alias("precision")))
 
 

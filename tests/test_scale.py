@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rationale.operators import anchors as J
 from rationale.operators import evaluate as L
 
 
@@ -23,3 +24,21 @@ def test_pairs_of_runs_without_a_join(spark):
         assert r.value == pytest.approx(np.mean(pairs))
     odd = spark.createDataFrame([(1, 1, "a", 1), (1, 2, None, 1), (1, 3, "a", 1), (None, 1, "a", 1), (None, 2, "b", 1)], "instance_id int, run int, feature string, rank int")
     assert [(r["rank"], r.value) for r in L.rank_stability(odd).collect()] == [(1, 1.0)]
+
+
+def test_beams_once_a_profile(spark):
+    """Instances with equal predicates share one search, and all of them get its answer."""
+    preds = [(0, "a", "<=", 4.0, None), (1, "a", ">", 4.0, None), (2, "b", "=", None, "x")]
+    rows = spark.createDataFrame([(i, float(i % 10), "xy"[i % 3 % 2], "Y" if i % 10 > 4 and i % 3 % 2 == 0 else "N") for i in range(300)], "k long, a double, b string, y string")
+    named = spark.createDataFrame(preds, "pred_id int, feature string, op string, value double, text string")
+    own = J.predicate_matrix(rows, named, "k", ["a", "b"], ("y",)).where("holds = 1").select("k", "pred_id", F.col("y").alias("wanted")).join(named, "pred_id")
+    found = J.anchor_beam(rows.withColumnRenamed("k", "row_key"), own, "row_key", ["a", "b"], "y", "k", max_size=2)
+    got = {r.k: r for r in found.collect()}
+    assert len(got) == 300 and "Window [row_number() windowspecdefinition(k#" not in plan(found)
+    inside = {0: lambda r: r.a <= 4, 1: lambda r: r.a > 4, 2: lambda r: r.b == "x"}
+    for r in rows.collect():
+        met = [s for s in rows.collect() if all(inside[p](s) for p in got[r.k].preds)] if r.k < 6 else None
+        assert all(inside[p](r) for p in got[r.k].preds)
+        if met:
+            assert got[r.k].precision == pytest.approx(np.mean([s.y == r.y for s in met])) and got[r.k].coverage == pytest.approx(len(met) / 300)
+    assert got[5].accepted == (got[5].precision >= 0.95)

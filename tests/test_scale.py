@@ -1,11 +1,14 @@
 """Steps whose cost was out of proportion to their input: what they leave out of the plan, and that results stay."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rationale.operators import anchors as J
 from rationale.operators import evaluate as L
+from rationale.operators import texts as T
 
 
 def plan(df) -> str:
@@ -42,3 +45,17 @@ def test_beams_once_a_profile(spark):
         if met:
             assert got[r.k].precision == pytest.approx(np.mean([s.y == r.y for s in met])) and got[r.k].coverage == pytest.approx(len(met) / 300)
     assert got[5].accepted == (got[5].precision >= 0.95)
+
+
+def test_masks_by_codes(spark):
+    """What stays in the text is what the list of kept words says, without looking each word up in it."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % 40}" for j in range(60)) + ", end.") for i in range(20)], "id long, t string")
+    for char_level in (False, True):
+        found = T.text_mask(docs, "id", "t", 4, bow=False, char_level=char_level, pattern=r"[^a-zA-Z0-9_]+")
+        assert "array_contains" not in plan(found)
+        texts = {r.id: r.t for r in docs.collect()}
+        for r in found.collect():
+            parts = list(texts[r.id]) if char_level else re.findall(r"[a-zA-Z0-9_]+|[^a-zA-Z0-9_]+", texts[r.id])
+            words = {p for p in parts if char_level or re.match(r"\w", p)}
+            assert r.masked == "".join(p if p not in words or p in set(r.kept) else (" " if char_level else "UNKWORDZ") for p in parts)
+            assert len(words) - len(r.kept) == r.removed and r.kept == sorted(r.kept)

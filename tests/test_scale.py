@@ -2,13 +2,17 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rationale.operators import anchors as J
 from rationale.operators import evaluate as L
+from rationale.operators import linear as G
+from rationale.operators import neighbours as E
 from rationale.operators import texts as T
+from rationale.plans import registry
 
 
 def plan(df) -> str:
@@ -59,3 +63,9 @@ def test_masks_by_codes(spark):
             words = {p for p in parts if char_level or re.match(r"\w", p)}
             assert r.masked == "".join(p if p not in words or p in set(r.kept) else (" " if char_level else "UNKWORDZ") for p in parts)
             assert len(words) - len(r.kept) == r.removed and r.kept == sorted(r.kept)
+
+
+def test_lasso_of_features_that_enter_together():
+    """The second feature enters a hundredth after the first: the exact path still shows the first alone."""
+    assert G._lasso(np.eye(2) * 100, np.array([1.0, 0.99]), 1.0, 1) == [0]
+    assert G._lasso(np.eye(2) * 100, np.array([0.0, 0.0]), 1.0, 1) == []

@@ -196,7 +196,8 @@ def closest_rows(df: DataFrame, instances: DataFrame, key: str, columns: list[st
     """
     extra = int(k * diff_ratio)
     scale = stats_row(df, columns).first()
-    z = F.array(*[F.col(c).cast("double") / F.lit(float(scale[f"scale_{c}"] or 1.0)) for c in columns])
+    width = np.array([float(scale[f"scale_{c}"] or 1.0) for c in columns])
+    z = F.array(*[F.col(c).cast("double") for c in columns])
     rows, asked = df.select(F.col(key).alias("r_id"), F.col(label).cast("string").alias("r_label"), z.alias("z")), instances.select(F.col(key).alias("r_id"), z.alias("z"))
     parts = {"row": -(-rows.count() // block) or 1, "ask": -(-asked.count() // block) or 1}
 
@@ -209,7 +210,7 @@ def closest_rows(df: DataFrame, instances: DataFrame, key: str, columns: list[st
             x, ids, labels = np.stack(near.z.to_list()), near.r_id.to_numpy(), near.r_label.to_numpy()
             by_class = [np.flatnonzero(near.r_label.isna().to_numpy() if c is None else labels == c) for c in near.r_label.where(near.r_label.notna(), None).unique()]
             for i, q in zip(queries.r_id, queries.z, strict=True):
-                d = np.sqrt(np.square(x - q).sum(1))
+                d = np.sqrt(np.square((x - q) / width).sum(1))  # differences first: rows as far apart have the same distance to the last digit
                 order = lambda at: at[np.lexsort((ids[at], d[at]))]  # noqa: B023, E731
                 cut = lambda at, m: order(at[d[at] <= np.partition(d[at], m - 1)[m - 1]])[:m] if len(at) > m > 0 else order(at)[:m]  # noqa: B023, E731
                 best = np.unique(np.concatenate([cut(np.arange(len(d)), k), *(cut(at, extra) for at in by_class)]))

@@ -69,3 +69,12 @@ def test_lasso_of_features_that_enter_together():
     """The second feature enters a hundredth after the first: the exact path still shows the first alone."""
     assert G._lasso(np.eye(2) * 100, np.array([1.0, 0.99]), 1.0, 1) == [0]
     assert G._lasso(np.eye(2) * 100, np.array([0.0, 0.0]), 1.0, 1) == []
+
+
+def test_equal_distances_are_equal(spark):
+    """Rows as far to the left as to the right tie, so the smaller key goes first."""
+    rows = spark.createDataFrame([(i, float(i), "p") for i in range(41)], "k long, a double, y string")
+    found = E.closest_rows(rows, rows.where("k % 7 = 3"), "k", ["a"], "y", 7, 0.2).collect()
+    for q in (10, 17, 24, 31):
+        near = sorted((r.distance, r.k) for r in found if r.instance_id == q)
+        assert [k for _, k in near] == [q, q - 1, q + 1, q - 2, q + 2, q - 3, q + 3]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from rationale.operators import bins as C
@@ -87,7 +89,7 @@ _MODELS = "(SELECT 'A' AS label, 1.0 AS intercept, 0.02 AS k1, -0.001 AS k2 UNIO
 @query("g6_surrogate_predict", f"SELECT p_partkey, label AS predicted FROM (SELECT p_partkey, label, row_number() OVER (PARTITION BY p_partkey ORDER BY intercept + k1 * p_size + k2 * p_retailprice DESC, label) AS r FROM part CROSS JOIN {_MODELS}) WHERE r = 1")
 def _(spark, read):
     p = read("part").select("p_partkey", *PART_FEATURES)
-    fits = p.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("intercept"), F.lit(c).alias("coef_p_size"), F.lit(d).alias("coef_p_retailprice")) for a, b, c, d in (("A", 1.0, 0.02, -0.001), ("B", 0.0, -0.03, 0.001), ("C", 0.5, 0.0, 0.0002))])).alias("m")).select("p_partkey", "m.*")
+    fits = p.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(Decimal(b)).cast("decimal(2,1)").alias("intercept"), F.lit(Decimal(c)).cast("decimal(3,2)").alias("coef_p_size"), F.lit(d).alias("coef_p_retailprice")) for a, b, c, d in (("A", "1.0", "0.02", -0.001), ("B", "0.0", "-0.03", 0.001), ("C", "0.5", "0.0", 0.0002))])).alias("m")).select("p_partkey", "m.*")
     return G.surrogate_predict(p, fits, PART_FEATURES, "p_partkey").select("p_partkey", "predicted")
 
 

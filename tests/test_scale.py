@@ -78,3 +78,12 @@ def test_equal_distances_are_equal(spark):
     for q in (10, 17, 24, 31):
         near = sorted((r.distance, r.k) for r in found if r.instance_id == q)
         assert [k for _, k in near] == [q, q - 1, q + 1, q - 2, q + 2, q - 3, q + 3]
+
+
+def test_surrogates_that_tie(spark, tmp_path):
+    """Scores are added as the SQL does, decimals first: where two labels tie, both sides choose the same."""
+    spark.sql("select cast(id as bigint) as p_partkey, cast(id as int) as p_size, cast(500 + 25 * id as double) as p_retailprice from range(1, 51)").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.predicted for r in registry.queries()["g6_surrogate_predict"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert got == dict(con.execute(registry.oracle_sql()["g6_surrogate_predict"]).fetchall())

@@ -22,7 +22,7 @@ def _whole(x) -> Column:
     return x.cast("bigint") if isinstance(x, Column) else F.lit(int(x)).cast("bigint")
 
 
-def _bound(x: Column, of: Callable[[Column], Column]) -> Column:
+def bound(x: Column, of: Callable[[Column], Column]) -> Column:
     """``of(x)``, with x worked out once: elsewhere an expression is worked out as often as it is named."""
     return F.transform(F.array(x), of)[0]
 
@@ -30,8 +30,9 @@ def _bound(x: Column, of: Callable[[Column], Column]) -> Column:
 def draw_code(seed, key, rep=0, feature=0) -> Column:
     m = F.lit(MODULUS).cast("bigint")
     mixed = F.pmod(_whole(key), m) * 16807 + F.pmod(_whole(rep), m) * 7919 + F.pmod(_whole(feature), m) * 104729 + _whole(seed) * 31 + 1
-    fifth = lambda x, square: F.pmod(F.pmod(square * square, m) * x, m)
-    mixed = _bound(F.pmod(mixed, m), lambda x: _bound(F.pmod(x * x, m), lambda square: fifth(x, square)))
+    square = lambda x: F.pmod(x * x, m)
+    # one level of binding: Spark takes functions within functions for each other when it looks for equal expressions
+    mixed = bound(F.pmod(mixed, m), lambda x: F.pmod(F.pmod(square(x) * square(x), m) * x, m))
     for a in MULTIPLIERS:
         mixed = F.pmod(mixed * a + 12345, m)
     return mixed

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rationale.functions.draws import cauchy, draw_code, normal, student_t, uniform
+from rationale.functions.draws import bound, cauchy, draw_code, normal, student_t, uniform
 from rationale.functions.order import numbered
 from rationale.functions.small import small
 from rationale.functions.special import inverse_normal
@@ -133,11 +133,16 @@ def lime_sample(instances: DataFrame, stats: DataFrame, frequencies: DataFrame,
     original = F.col("rep") == 0
     out = [F.when(original, F.col(c).cast("double")).otherwise((F.col(c) if around else F.col(f"mean_{c}")) + F.col(f"scale_{c}") * normal(seed, F.col(key), F.col("rep"), i)).alias(c) for i, c in enumerate(numeric)]
     for i, c in enumerate(categorical, len(numeric)):
-        value = F.when(original, F.col(c)).otherwise(drawn_value(uniform(seed, F.col(key), F.col("rep"), i), c))
+        value = F.when(original, F.col(c)).otherwise(_drawn_once(uniform(seed, F.col(key), F.col("rep"), i), c))
         out += [value.alias(c), (value == F.col(c)).cast("int").alias(f"same_{c}")]
     return rows.select(key, "rep", *out)
 
 
+def _drawn_once(u: Column, c: str) -> Column:
+    """The draw is bound, or it would be worked out for every category anew."""
+    return bound(u, lambda x: drawn_value(x, c))
+
+
 def proximity_shares(bins: DataFrame) -> DataFrame:
     """(feature, bin, other, lo, hi): shares by exp(-|bin - other| / 2) for each bin of a feature with ``n_bins``."""
     grid = bins.select("feature", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"), "n_bins").select("feature", "bin", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("other"))
@@ -155,7 +160,7 @@ def proximity_sample(instances: DataFrame, shares: DataFrame, key: str, columns:
         place = place.when(F.col("feature") == c, i)
     lists = shares.groupBy("feature", F.col("bin").alias("own")).agg(F.array_sort(F.collect_list(F.struct("hi", "other"))).alias("s"))
     u = long.join(F.broadcast(lists), ["feature", "own"]).withColumn("u", uniform(seed, F.col(key), F.col("rep"), place))
-    pick = F.coalesce(F.filter("s", lambda e: e["hi"] >= F.col("u"))[0]["other"], F.element_at("s", -1)["other"])
+    pick = bound(F.col("u"), lambda u: F.coalesce(F.filter("s", lambda e: e["hi"] >= u)[0]["other"], F.element_at("s", -1)["other"]))
     return u.select(key, "rep", "feature", F.when(F.col("rep") == 0, F.col("own")).otherwise(pick).alias("bin"))
 
 

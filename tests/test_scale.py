@@ -87,3 +87,13 @@ def test_surrogates_that_tie(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     assert got == dict(con.execute(registry.oracle_sql()["g6_surrogate_predict"]).fetchall())
+
+
+def test_category_draws_are_bound(spark):
+    """The draw isn't part of the test of each category: the filter over categories names no arithmetic."""
+    p = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)], "k long, c string")
+    shares = p.groupBy(F.lit("c").alias("feature"), F.col("c").alias("value")).agg((F.count("*") / 30).alias("share"))
+    found = E.lime_sample(p, spark.range(1).select(F.lit(1).alias("one")), shares, "k", [], ["c"], 5)
+    tests = re.findall(r"\.hi >= (.{12})", plan(found).split("Optimized Logical Plan")[0])
+    assert tests and all(t.startswith("lambda") for t in tests)
+    assert found.where("rep = 0 and same_c = 0").isEmpty() and found.count() == 180

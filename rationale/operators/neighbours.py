@@ -1,7 +1,8 @@
 """Neighbourhoods: perturbed rows around every instance, keyed by (instance, rep); rep 0 is the instance itself.
 
-Rows are made by exploding a sequence beside each instance, so nothing is
-shuffled; draws depend on (seed, instance, rep, feature) alone.
+Instances are dealt out by key (``spread``) and rows made by exploding a sequence
+beside each, so no made row is shuffled; draws depend on (seed, instance, rep,
+feature) alone.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from rationale.functions.draws import bound, cauchy, draw_code, normal, student_t, uniform
+from rationale.functions.draws import MODULUS, bound, cauchy, codes_of, draw_code, normal, student_t, uniform
 from rationale.functions.order import numbered
 from rationale.functions.small import small
-from rationale.functions.special import inverse_normal
+from rationale.functions.special import normal_quantiles
+from rationale.functions.spread import spread
 
 
 def stats_row(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,7 +37,7 @@ def repeated(instances: DataFrame, n: int | Column) -> DataFrame:
 
 def perturb(instances: DataFrame, stats: DataFrame, key: str, columns: list[str], n: int | Column, dist: str = "uniform", seed: int = 1) -> DataFrame:
     """(key, rep, columns..., x0_columns...): draw * scale + row; ``range`` draws from the training range instead. ``n`` may be a column."""
-    rows = repeated(instances.select(key, F.lit(n).cast("int").alias("r_n"), *[F.col(c).cast("double").alias(c) for c in columns]), F.col("r_n")).join(F.broadcast(stats))
+    rows = repeated(spread(instances.select(key, F.lit(n).cast("int").alias("r_n"), *[F.col(c).cast("double").alias(c) for c in columns]), key), F.col("r_n")).join(F.broadcast(stats))
     out = []
     for i, c in enumerate(columns):
         x = F.col(f"min_{c}") + uniform(seed, F.col(key), F.col("rep"), i) * (F.col(f"max_{c}") - F.col(f"min_{c}")) if dist == "range" else F.col(c) + F.col(f"scale_{c}") * _draw(dist, seed, F.col(key), F.col("rep"), i)
@@ -49,7 +52,7 @@ def perturb_normal(instances: DataFrame, cov: np.ndarray, key: str, columns: lis
     except np.linalg.LinAlgError:
         values, vectors = np.linalg.eigh(np.asarray(cov, float))
         lower = vectors * np.sqrt(np.maximum(values, 0))
-    rows = repeated(instances.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), n)
+    rows = repeated(spread(instances.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), key), n)
     z = [normal(seed, F.col(key), F.col("rep"), i) for i in range(len(columns))]
     step = [sum((float(lower[i, j]) * z[j] for j in range(len(columns))), F.lit(0.0)) for i in range(len(columns))]
     return rows.select(key, "rep", *[F.when(F.col("rep") == 0, F.col(c)).otherwise(F.col(c) + s).alias(c) for c, s in zip(columns, step, strict=True)], *[F.col(c).alias(f"x0_{c}") for c in columns])
@@ -129,7 +132,7 @@ def drawn_value(u: Column, feature: str) -> Column:
 
 def lime_sample(instances: DataFrame, stats: DataFrame, frequencies: DataFrame, key: str, numeric: list[str], categorical: list[str], n: int, around: bool = False, seed: int = 1) -> DataFrame:
     """(key, rep, numeric..., categorical..., same_categorical...): normals around the mean or the row; categories by frequency."""
-    rows = repeated(instances.select(key, *numeric, *categorical), n).join(F.broadcast(stats)).join(F.broadcast(lookup_map(cumulative(frequencies))))
+    rows = repeated(spread(instances.select(key, *numeric, *categorical), key), n).join(F.broadcast(stats)).join(F.broadcast(lookup_map(cumulative(frequencies))))
     original = F.col("rep") == 0
     out = [F.when(original, F.col(c).cast("double")).otherwise((F.col(c) if around else F.col(f"mean_{c}")) + F.col(f"scale_{c}") * normal(seed, F.col(key), F.col("rep"), i)).alias(c) for i, c in enumerate(numeric)]
     for i, c in enumerate(categorical, len(numeric)):
@@ -165,14 +168,28 @@ def proximity_sample(instances: DataFrame, shares: DataFrame, key: str, columns:
 
 
 def lhs_sample(instances: DataFrame, stats: DataFrame, key: str, columns: list[str], n: int, seed: int = 1) -> DataFrame:
-    """Latin hypercube: per instance and feature each of n strata is used once, in keyed order."""
-    rows = repeated(instances.select(key), n).where("rep > 0").join(F.broadcast(stats))
-    out = []
-    for i, c in enumerate(columns):
-        stratum = F.row_number().over(Window.partitionBy(key).orderBy(draw_code(seed, F.col(key), F.col("rep"), i), "rep")) - 1
-        out += [stratum.alias(f"stratum_{c}")]
-    placed = rows.select("*", *out)
-    return placed.select(key, "rep", *[f"stratum_{c}" for c in columns], *[(F.col(f"mean_{c}") + F.col(f"scale_{c}") * inverse_normal((F.col(f"stratum_{c}") + uniform(seed + 1, F.col(key), F.col("rep"), i)) / n)).alias(c) for i, c in enumerate(columns)])
+    """Latin hypercube: per instance and feature each of n strata is used once, in keyed order.
+
+    An instance's strata are sorted within its own row, so the n rows are neither shuffled nor sorted.
+    """
+
+    def mixed(keys: np.ndarray, i: int, seed: int) -> np.ndarray:
+        return (keys % MODULUS)[:, None] * 16807 + np.arange(1, n + 1) * 7919 + (i * 104729 + seed * 31 + 1)
+
+    def strata(i: int):
+        @F.pandas_udf(StructType([StructField("s", ArrayType(IntegerType())), StructField("z", ArrayType(DoubleType()))]))
+        def of(keys: pd.Series) -> pd.DataFrame:
+            keys = keys.to_numpy("int64")
+            place = np.argsort(np.argsort(codes_of(mixed(keys, i, seed)), axis=1, kind="stable"), axis=1).astype("int32")
+            z = normal_quantiles((place + (codes_of(mixed(keys, i, seed + 1)) + 0.5) / float(MODULUS)) / n)
+            return pd.DataFrame({"s": list(place), "z": list(z)})
+
+        return of(F.col(key).cast("bigint")).alias(f"r_{i}")
+
+    p = len(columns)
+    known = spread(instances.select(key), key).where(F.col(key).isNotNull()).select(key, *[strata(i) for i in range(p)])
+    rows = known.select(key, F.inline(F.arrays_zip(F.sequence(F.lit(1), F.lit(n)), *[F.col(f"r_{i}.{x}") for x in "sz" for i in range(p)])).alias("rep", *[f"stratum_{c}" for c in columns], *[f"r_z{i}" for i in range(p)]))
+    return rows.join(F.broadcast(stats)).select(key, "rep", *[f"stratum_{c}" for c in columns], *[(F.col(f"mean_{c}") + F.col(f"scale_{c}") * F.col(f"r_z{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 def marginal_sample(df: DataFrame, key: str, numeric: list[str], categorical: list[str], n: int, seed: int = 1) -> DataFrame:

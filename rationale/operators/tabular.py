@@ -36,16 +36,17 @@ def binned_neighbourhood(instances: DataFrame, training: DataFrame, key: str, fe
     shares = category_frequencies(texts(training.select(*columns)), columns).where("value is not null")
     one = training.sparkSession.range(1).select(F.lit(1).alias("r_one"))
     drawn = lime_sample(texts(instances.select(key, *columns)), one, shares, key, [], columns, n, seed=seed)
-    lists = bin_stats(training, edges, features).groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "mean", "std", "lo", "hi"))).alias("s"))
+    # the distribution at the ends of each bin is worked out once a bin, not once a draw
+    ends = [normal_cdf((F.col(end) - F.col("mean")) / F.col("std")).alias(f"p_{end}") for end in ("lo", "hi")]
+    lists = bin_stats(training, edges, features).select("*", *ends).groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "mean", "std", "lo", "hi", "p_lo", "p_hi"))).alias("s"))
     stats = lists.agg(F.map_from_entries(F.collect_list(F.struct("feature", "s"))).alias("r_stats"))
     own = instances.select(F.col(key).alias("r_key"), *[F.col(c).alias(f"r_own_{c}") for c in features])
-    rows = drawn.join(F.broadcast(stats)).join(own, F.col(key) == F.col("r_key"))
+    rows = drawn.join(F.broadcast(stats)).join(own.hint("shuffle_hash"), F.col(key) == F.col("r_key"))
     quantile, values = F.pandas_udf(_quantile, "double"), []
     for i, c in enumerate(features):
         s = F.get(F.col("r_stats")[F.lit(c)], F.col(c).cast("int"))
         u = uniform(seed + 1, F.col(key), F.col("rep"), i)
-        low, high = (normal_cdf((s[end] - s["mean"]) / s["std"]) for end in ("lo", "hi"))
-        drawn_value = F.least(F.greatest(s["mean"] + s["std"] * quantile(low + u * (high - low)), s["lo"]), s["hi"])
+        drawn_value = F.least(F.greatest(s["mean"] + s["std"] * quantile(s["p_lo"] + u * (s["p_hi"] - s["p_lo"])), s["lo"]), s["hi"])
         values.append(F.when(F.col("rep") == 0, F.col(f"r_own_{c}").cast("double")).otherwise(drawn_value).alias(c))
     return rows.select(key, "rep", *values, *categories, *[f"same_{c}" for c in columns])
 

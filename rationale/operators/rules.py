@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rationale.functions.order import numbered
+from rationale.functions.small import beside
 from rationale.functions.special import log_binomial, log_factorial
+from rationale.functions.spread import spread
 from rationale.sources.scratch import stored
 
 
@@ -136,19 +138,24 @@ def mine(tx: DataFrame, group: str = "g", max_len: int = 3, alpha: float = 0.001
 
 
 def applicable(rules: DataFrame, tx: DataFrame, group: str = "g") -> DataFrame:
-    """(rules..., tid, tx_class): rules all of whose items a basket holds, by counting item matches."""
-    long_rules = rules.select(group, "rule_id", F.size("items").alias("need"), F.explode("items").alias("x"))
-    long_tx = tx.select(group, "tid", F.explode(F.array_distinct("items")).alias("x"))
-    hit = long_rules.join(long_tx, [group, "x"]).groupBy(group, "rule_id", "tid").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m = need").select(group, "rule_id", "tid")
-    return hit.join(rules, [group, "rule_id"]).join(tx.select(group, "tid", F.col("class").alias("tx_class")), [group, "tid"])
+    """(rules..., tid, tx_class): rules all of whose items a basket holds.
+
+    A rule meets the baskets with its first item and is tested there, so nothing is
+    counted by rule and basket; rows stay together by basket where rules are few.
+    """
+    asked = rules.withColumn("r_head", F.get("items", F.lit(0))).transform(beside)
+    own = spread(tx.select(group, "tid", F.col("class").alias("tx_class"), F.col("items").alias("r_own")), group, "tid")
+    met = own.withColumn("r_head", F.explode(F.array_distinct("r_own"))).join(asked, [group, "r_head"]).where(F.forall("items", lambda x: F.array_contains("r_own", x)))
+    return met.select(group, "tid", "rule_id", *[c for c in rules.columns if c not in (group, "rule_id")], "tx_class")
 
 
 def importance(rules: DataFrame, tx: DataFrame, group: str = "g") -> DataFrame:
     """Rules with ``importance``: baskets that vote for them, each for its applicable rule of its own class with the highest confidence, then support."""
-    own = applicable(rules, tx, group).where("class = tx_class")
-    best = F.row_number().over(Window.partitionBy(group, "tid").orderBy(F.desc("confidence"), F.desc("support"), "rule_id"))
-    votes = own.withColumn("r", best).where("r = 1").groupBy(group, "rule_id").agg(F.count("*").alias("importance"))
-    return rules.join(votes, [group, "rule_id"])
+    # the order of rules is one for all baskets of a group, so a basket's choice is a least number
+    ranked = stored(rules.withColumn("r_vote", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("confidence"), F.desc("support"), "rule_id"))))
+    own = applicable(ranked, tx, group).where("class = tx_class").groupBy(group, "tid").agg(F.min("r_vote").alias("r_vote"))
+    votes = own.groupBy(group, "r_vote").agg(F.count("*").alias("importance")).join(ranked.select(group, "r_vote", "rule_id"), [group, "r_vote"])
+    return rules.join(votes.select(group, "rule_id", "importance"), [group, "rule_id"])
 
 
 def sequential_cover(rules: DataFrame, prune_tx: DataFrame, min_conf: float = 0.5, group: str = "g") -> DataFrame:
@@ -181,12 +188,12 @@ def classify(tx: DataFrame, rules: DataFrame, hrs: int = 1, truncate: bool = Fal
     Baskets without a rule get the group's majority class (ties: the first by name). ``truncate`` drops fractions of scores.
     """
     value = {1: F.col("importance") * F.col("log_p"), 2: F.col("importance") * F.col("confidence"), 3: F.col("importance") * F.col("log_p") * F.col("confidence")}[hrs]
-    sums = applicable(rules, tx, group).groupBy(group, "tid", "class").agg(F.sum(value).alias("v"))
+    sums = applicable(stored(rules), tx, group).groupBy(group, "tid", "class").agg(F.sum(value).alias("v"))
     v = F.when(F.col("v") >= 0, F.floor("v")).otherwise(F.ceil("v")) if truncate else F.round("v", 9)
     first = Window.partitionBy(group, "tid").orderBy(F.desc(v) if hrs == 2 else F.asc(v), "class")
     won = sums.withColumn("r", F.row_number().over(first)).where("r = 1").select(group, "tid", F.col("class").alias("won"))
     majority = class_sizes(tx, group).groupBy(group).agg(F.min_by("class", F.struct(-F.col("n_class"), "class")).alias("majority"))
-    return tx.select(group, "tid").join(won, [group, "tid"], "left").join(majority, group).select(group, "tid", F.coalesce("won", "majority").alias("predicted"))
+    return tx.select(group, "tid").join(won, [group, "tid"], "left").join(beside(stored(majority)), group).select(group, "tid", F.coalesce("won", "majority").alias("predicted"))
 
 
 def rule_text(rules: DataFrame, item_names: DataFrame, n_encoded: int, group: str = "g") -> DataFrame:

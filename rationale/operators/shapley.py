@@ -18,6 +18,7 @@ from rationale.functions.draws import draw_code, uniform
 from rationale.functions.order import numbered, running
 from rationale.functions.small import small
 from rationale.functions.special import t_tail
+from rationale.functions.spread import spread
 
 from .paths import homotopy
 from .score import score
@@ -72,7 +73,7 @@ def kernel_masks(spark, p: int, nsamples: int | None = None, seed: int = 1) -> D
 def coalition_values(instances: DataFrame, background: DataFrame, masks: DataFrame, key: str, features: list[str], model, weight: str | None = None) -> DataFrame:
     """(key, mask, v): mean prediction when masked-in features are the instance's and others the background's."""
     names = [F.col(f).alias(f"bg_{f}") for f in features] + ([F.col(weight).alias("bg_weight")] if weight else [F.lit(1.0).alias("bg_weight")])
-    rows = instances.select(key, *[F.col(f).cast("double").alias(f) for f in features]).join(F.broadcast(masks.select("mask"))).join(small(background.select(*names), "a background"))
+    rows = spread(instances.select(key, *[F.col(f).cast("double").alias(f) for f in features]), key).join(F.broadcast(masks.select("mask"))).join(small(background.select(*names), "a background"))
     mixed = rows.select(key, "mask", "bg_weight", *[F.when(F.getbit("mask", F.lit(i)) == 1, F.col(f)).otherwise(F.col(f"bg_{f}").cast("double")).alias(f) for i, f in enumerate(features)])
     scored = score(mixed, model, "prediction", features, "double")
     return scored.groupBy(key, "mask").agg((F.sum(F.col("prediction") * F.col("bg_weight")) / F.sum("bg_weight")).alias("v"))
@@ -163,7 +164,7 @@ def sampling_shap(instances: DataFrame, background: DataFrame, key: str, feature
     """(key, feature, phi, variance): keyed permutations and background rows; f with less f without each feature."""
     p = len(features)
     lists = small(background, "a background").agg(F.count("*").alias("m"), *[F.transform(F.array_sort(F.collect_list(F.struct("bg_id", F.col(f).alias("v")))), lambda s: s["v"]).alias(f"bg_{f}") for f in features])
-    rows = instances.select(key, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))).join(F.broadcast(lists))
+    rows = spread(instances.select(key, *[F.col(f).cast("double").alias(f) for f in features]), key).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))).join(F.broadcast(lists))
     pick = (F.floor(uniform(seed, F.col(key), F.col("rep"), 50) * F.col("m")) + 1).cast("int")
     codes = F.array(*[draw_code(seed + 1, F.col(key), F.col("rep"), i) for i in range(p)])
     rows = rows.withColumn("codes", codes).withColumn("pick", pick).withColumn("mine", F.element_at("codes", F.col("j") + 1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rationale.functions.small import small
+from rationale.functions.spread import spread
 
 from .bins import _nlogn
 from .profile import long_form
@@ -33,7 +34,7 @@ def local_tree(neigh: DataFrame, key: str, features: list[str], label: str, edge
         child = F.when(F.col("feature").isNull(), F.col("node")).otherwise(F.col("node") * 2 + (value > F.col("edge")).cast("long"))
         step = splits.select(key, F.col("node").alias("parent"), F.col("feature").alias("attr"), "edge")
         conds = step if conds is None else conds.unionByName(step)
-        rows = stored(joined.withColumn("node", child).select(key, "rep", "y", "node", *features))
+        rows = spread(stored(joined.withColumn("node", child).select(key, "rep", "y", "node", *features)), key)
     leaves = rows.groupBy(key, "node", "y").agg(F.count("*").alias("n")).groupBy(key, F.col("node").alias("rule_id")).agg(F.max_by("y", F.struct("n", "y")).alias("class"))
     path = leaves.withColumn("up", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.log2("rule_id")).cast("int")))))
     path = path.withColumn("child", F.expr("shiftright(rule_id, up - 1)")).withColumn("parent", F.expr("shiftright(rule_id, up)"))
@@ -176,7 +177,7 @@ def rule_counterfactuals(tx: DataFrame, rules: DataFrame, item_features: DataFra
 
 def random_counterfactual(instances: DataFrame, draws: DataFrame, key: str, features: list[str], label: str, wanted: str, distance) -> DataFrame:
     """(key, feature, old, new): the closest draw with the wanted label (``distance`` uses x0_ columns), as changes. ``draws`` is small."""
-    asked = instances.select(key, *[F.col(f).cast("double").alias(f"x0_{f}") for f in features])
+    asked = spread(instances.select(key, *[F.col(f).cast("double").alias(f"x0_{f}") for f in features]), key)
     pairs = asked.join(small(draws.where(F.col(label) == wanted).select("rep", *features), "a list of draws")).withColumn("d", distance)
     best = pairs.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"x0_{f}") for f in features], *features), F.struct("d", "rep")).alias("b")).select(key, "b.*")
     return best.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"x0_{f}").alias("old"), F.col(f).cast("double").alias("new")) for f in features]))).where("old <> new")

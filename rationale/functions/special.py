@@ -31,18 +31,21 @@ def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q))
 
 
+def kl_bounds(p: np.ndarray, level: np.ndarray, upper: bool, steps: int = 16) -> np.ndarray:
+    lo, hi = (p, np.minimum(p + np.sqrt(level / 2), 1.0)) if upper else (np.maximum(p - np.sqrt(level / 2), 0.0), p)
+    for _ in range(steps):
+        middle = (lo + hi) / 2
+        beyond = _divergence(p, middle) > level
+        lo, hi = (np.where(beyond, lo, middle), np.where(beyond, middle, hi)) if upper else (np.where(beyond, middle, lo), np.where(beyond, hi, middle))
+    return hi if upper else lo
+
+
 def kl_bound(p, level, upper: bool, steps: int = 16) -> Column:
     """Largest (or least) q whose divergence from p stays within ``level``, by bisection of a batch at once."""
 
     @F.pandas_udf(DoubleType())
     def halved(p: pd.Series, level: pd.Series) -> pd.Series:
-        p, level = p.to_numpy(float), level.to_numpy(float)
-        lo, hi = (p, np.minimum(p + np.sqrt(level / 2), 1.0)) if upper else (np.maximum(p - np.sqrt(level / 2), 0.0), p)
-        for _ in range(steps):
-            middle = (lo + hi) / 2
-            beyond = _divergence(p, middle) > level
-            lo, hi = (np.where(beyond, lo, middle), np.where(beyond, middle, hi)) if upper else (np.where(beyond, middle, lo), np.where(beyond, hi, middle))
-        return pd.Series(hi if upper else lo)
+        return pd.Series(kl_bounds(p.to_numpy(float), level.to_numpy(float), upper, steps))
 
     return halved(_c(p).cast("double"), _c(level).cast("double"))
 

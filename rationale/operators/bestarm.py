@@ -16,12 +16,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from rationale.functions.draws import uniform
+from rationale.functions.draws import MODULUS, codes_of, uniform
 from rationale.functions.small import small
-from rationale.functions.special import kl_bound
+from rationale.functions.special import kl_bound, kl_bounds
+from rationale.functions.spread import spread
 from rationale.sources.scratch import stored
 
 from .bins import bin_of
@@ -35,15 +39,38 @@ def _bin(x: Column, edges: Column) -> Column:
     return F.when(x.isNull(), "").otherwise(F.coalesce(bin_of(x, edges), F.lit(0)).cast("string"))
 
 
-def _bounds(n: Column, positives: Column, beta: Column) -> tuple[Column, Column, Column]:
-    p = positives / n
-    return p, kl_bound(p, beta / n, False), kl_bound(p, beta / n, True)
-
-
-def _drawn(arms: DataFrame, asked: DataFrame, key: str, draw: Draw) -> DataFrame:
-    """``arms`` with the draws that ``asked`` (key, arm, n, size) adds; ``n`` is how many there are."""
-    new = draw(asked).select(key, "arm", F.col("size").alias("more"), F.col("hits").alias("more_hits"))
-    return stored(arms.join(new, [key, "arm"], "left").select(key, "arm", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("positives") + F.coalesce("more_hits", F.lit(0))).alias("positives")))
+def _added(arms: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """``arms`` with the draws of ``hits`` (key, arm, size, hits); ``n`` is how many there are."""
+    both = arms.select(key, "arm", "n", "positives").union(hits.select(key, "arm", "size", "hits"))
+    return both.groupBy(key, "arm").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+
+
+def _contested(top: int, epsilon: float, delta: float, t: int):
+    """Of all arms of each key, the two that are to be told apart: the worst of the best and the best of the rest."""
+
+    @F.pandas_udf(StructType([StructField("arm", ArrayType(LongType())), StructField("n", ArrayType(LongType()))]))
+    def two(arms: pd.Series, ns: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        lens = arms.str.len().to_numpy("int64")
+        arm, n, positives = (np.concatenate([*x, np.zeros(0, "int64")]).astype("int64") for x in (arms, ns, hits))
+        row = np.repeat(np.arange(len(lens)), lens)
+        mean, level = positives / n, np.log(405.5 * lens[row] * t**1.1 / delta)
+        beta = (level + np.log(level)) / n
+        lower, upper = kl_bounds(mean, beta, False), kl_bounds(mean, beta, True)
+        by = np.lexsort((arm, -mean, row))
+        inside = np.empty(len(by), bool)
+        inside[by] = np.arange(len(by)) - np.repeat(np.cumsum(lens) - lens, lens) < top
+        ends = []
+        for side, order in ((inside, np.lexsort((n, arm, lower, row))), (~inside, np.lexsort((-n, arm, -upper, row)))):
+            order = order[side[order]]
+            first = np.full(len(lens), -1)
+            first[row[order][::-1]] = order[::-1]
+            ends.append(first)
+        low, high = ends
+        open_ = (lens > top) & (upper[high] - lower[low] > epsilon) if len(arm) else np.zeros(len(lens), bool)
+        pick = lambda x: [[x[i], x[j]] if o else [] for i, j, o in zip(low, high, open_, strict=True)]
+        return pd.DataFrame({"arm": pick(arm), "n": pick(n)})
+
+    return two("arms", "ns", "hits")
 
 
 def best_arms(arms: DataFrame, key: str, draw: Draw, top: int, epsilon: float = 0.1, delta: float = 0.05, batch: int = 100, growth: float = 1.5) -> tuple[DataFrame, DataFrame]:
@@ -51,25 +78,27 @@ def best_arms(arms: DataFrame, key: str, draw: Draw, top: int, epsilon: float =
 
     ``arms`` has (key, arm, n, positives) with what was drawn so far; ``draw`` turns
     (key, arm, n, size) into (key, arm, size, hits) for draws n + 1 to n + size.  Arms
-    without draws get one batch; equal means go by the smaller arm.
+    without draws get one batch; equal means go by the smaller arm.  The arms of a key
+    are one row, with the two that it asks for, so that a round is one job.  A key that
+    is decided leaves, though the bounds of later rounds are wider: else the rounds, and
+    with them the batches, would grow with the number of keys.
     """
-    first = stored(arms.where("n = 0").select(key, "arm", "n", F.lit(batch).cast("long").alias("size")))
-    arms = stored(arms) if first.isEmpty() else _drawn(arms, first, key, draw)
-    size, t = float(batch), 1
+    arms = stored(arms.select(key, "arm", F.col("n").cast("long").alias("n"), F.col("positives").cast("long").alias("positives")))
+    asked = arms.where("n = 0").select(key, "arm", "n", F.lit(batch).cast("long").alias("size"))
+    size, t, done = float(batch), 1, None
     while True:
-        by_mean = Window.partitionBy(key).orderBy(F.desc(F.col("positives") / F.col("n")), "arm")
-        ranked = arms.withColumn("r_arms", F.count("*").over(Window.partitionBy(key))).withColumn("r_rank", F.row_number().over(by_mean))
-        level = F.log(405.5 * F.col("r_arms") * t**1.1 / delta)
-        _, lower, upper = _bounds(F.col("n"), F.col("positives"), level + F.log(level))
-        bounded = ranked.where(F.col("r_arms") > top).select(key, "arm", "n", "r_rank", lower.alias("r_lower"), upper.alias("r_upper"))
-        inside = F.min(F.when(F.col("r_rank") <= top, F.struct("r_lower", "arm", "n"))).alias("r_in")
-        outside = F.max(F.when(F.col("r_rank") > top, F.struct("r_upper", (-F.col("arm")).alias("minus"), "n"))).alias("r_out")
-        open_ = bounded.groupBy(key).agg(inside, outside).where(F.col("r_out.r_upper") - F.col("r_in.r_lower") > epsilon)
-        two = F.array(F.struct(F.col("r_in.arm").alias("arm"), F.col("r_in.n").alias("n")), F.struct((-F.col("r_out.minus")).alias("arm"), F.col("r_out.n").alias("n")))
-        asked = stored(open_.select(key, F.inline(two)).withColumn("size", F.lit(int(size)).cast("long")))
-        if asked.isEmpty():
-            return ranked.where(F.col("r_rank") <= top).select(key, "arm", "n", "positives"), arms
-        arms = _drawn(arms, asked, key, draw)
+        added = _added(arms, draw(asked), key)
+        lists = added.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("arm", "n", "positives"))).alias("of"))
+        lists = lists.select(key, "of", *[F.col(f"of.{c}").alias(k) for c, k in (("arm", "arms"), ("n", "ns"), ("positives", "hits"))])
+        state = stored(lists.select(key, "of", _contested(top, epsilon, delta, t).alias("two")))
+        told = state.where("size(two.arm) = 0").select(key, F.inline("of"))
+        done = told if done is None else done.union(told)
+        state = state.where("size(two.arm) > 0")
+        if state.isEmpty():
+            by_mean = Window.partitionBy(key).orderBy(F.desc(F.col("positives") / F.col("n")), "arm")
+            return done.withColumn("r_rank", F.row_number().over(by_mean)).where(F.col("r_rank") <= top).select(key, "arm", "n", "positives"), done
+        arms = state.select(key, F.inline("of"))
+        asked = state.select(key, F.inline(F.arrays_zip("two.arm", "two.n")).alias("arm", "n")).withColumn("size", F.lit(int(size)).cast("long"))
         size, t = size * growth, t + 1
 
 
@@ -77,12 +106,14 @@ def settled(arms: DataFrame, key: str, draw: Draw, threshold: float, epsilon: fl
     """``arms`` with ``accepted``: drawn until each is told to reach the threshold, up to ``epsilon``, or not to."""
     size, beta = float(batch), F.log(F.lit(1 / delta))
     while True:
-        mean, lower, upper = _bounds(F.col("n"), F.col("positives"), beta)
-        doubtful = ((mean >= threshold) & (lower < threshold - epsilon)) | ((mean < threshold) & (upper >= threshold + epsilon))
-        asked = stored(arms.where(doubtful).select(key, "arm", "n", F.lit(int(size)).cast("long").alias("size")))
-        if asked.isEmpty():
-            return arms.withColumn("accepted", (mean >= threshold) & (lower > threshold - epsilon))
-        arms = _drawn(arms, asked, key, draw)
+        mean = F.col("positives") / F.col("n")
+        lower, upper = kl_bound(mean, beta / F.col("n"), False), kl_bound(mean, beta / F.col("n"), True)
+        told = stored(arms.select(key, "arm", "n", "positives", mean.alias("r_mean"), lower.alias("r_lower"), upper.alias("r_upper")))
+        high = F.col("r_mean") >= threshold
+        doubtful = told.where((high & (F.col("r_lower") < threshold - epsilon)) | (~high & (F.col("r_upper") >= threshold + epsilon)))
+        if doubtful.isEmpty():
+            return told.select(key, "arm", "n", "positives", (high & (F.col("r_lower") > threshold - epsilon)).alias("accepted"))
+        arms = _added(told, draw(doubtful.select(key, "arm", "n", F.lit(int(size)).cast("long").alias("size"))), key)
         size *= growth
 
 
@@ -111,27 +142,50 @@ def best_arm_anchors(instances: DataFrame, background: DataFrame, key: str, feat
     own = score(instances.select(key, *[F.col(f).cast("double").alias(f) for f in features], *[F.col(c).cast("string").alias(c) for c in categories]), model, "r_wanted", names)
     bins = {**{f"r_b{i}": _bin(F.col(f), F.col("m")[F.lit(f)]) for i, f in enumerate(features)}, **{f"r_b{i}": F.coalesce(F.col(c), F.lit("")) for i, c in enumerate(categories, len(features))}}
     own = own.join(F.broadcast(all_edges)).withColumns(bins).select(key, F.col("r_wanted").cast("string").alias("r_wanted"), *[F.col(f).alias(f"r_x{i}") for i, f in enumerate(names)], *[f"r_b{i}" for i in places])
-    spans = stored(lists.select(*[F.expr(f"transform(r_v{i}, v -> v.r_b{i})").alias(f"r_v{i}") for i in range(len(features))]))
-    own = own.join(F.broadcast(spans)).withColumns({f"r_at{i}": F.array_position(f"r_v{i}", F.col(f"r_b{i}")) for i in range(len(features))})
-    own = stored(own.withColumns({f"r_n{i}": F.expr(f"size(filter(r_v{i}, b -> b = r_b{i}))") for i in range(len(features))}).drop(*[f"r_v{i}" for i in range(len(features))]))
+    picked = small(stored(lists.select(F.posexplode("r_rows").alias("r_pick", "r_row")).select("r_pick", *[F.col(f"r_row.r_x{i}").alias(f"r_y{i}") for i in places])), "a background")
+    total = picked.count()
+    for i in range(len(features)):
+        at = lists.select(F.posexplode(f"r_v{i}").alias("r_place", "v")).groupBy(F.col(f"v.r_b{i}").alias(f"r_b{i}")).agg(F.min("r_place").alias(f"r_at{i}"), F.count("*").alias(f"r_n{i}"))
+        own = own.join(F.broadcast(at), f"r_b{i}", "left")
+    own = stored(own)
+    values = [small(stored(lists.select(F.posexplode(f"r_v{i}").alias(f"r_d{i}", "v")).select(f"r_d{i}", F.col(f"v.r_x{i}").alias(f"r_w{i}"))), "a background") for i in range(len(features))]
+
+    @F.pandas_udf(StructType([StructField(f"d{i}", ArrayType(IntegerType())) for i in range(len(features) + 1)]))
+    def drawn_places(ids: pd.Series, arm: pd.Series, n: pd.Series, size: pd.Series, *spans: pd.Series) -> pd.DataFrame:
+        """A row of the background for each draw, then the place of each numeric feature that is held."""
+        arm, start = arm.to_numpy("int64"), (ids.to_numpy("int64") % MODULUS) * 16807 + seed * 31 + 1
+        reps = [np.arange(a + 1, a + m + 1) % MODULUS * 7919 for a, m in zip(n, size, strict=True)]
+
+        def places(of: np.ndarray, i: int, first: np.ndarray, width: np.ndarray) -> list:
+            out = [None] * len(arm)
+            for row in np.flatnonzero(of):
+                u = (codes_of(start[row] + reps[row] + (int(arm[row]) * 64 + i) % MODULUS * 104729) + 0.5) / float(MODULUS)
+                out[row] = (first[row] + np.floor(u * width[row])).astype("int32")
+            return out
+
+        zero, every = np.zeros(len(arm)), np.ones(len(arm), bool)
+        found = {"d0": places(every, 63, zero, zero + total)}
+        for i in range(len(features)):
+            first, width = spans[2 * i].to_numpy(float), spans[2 * i + 1].fillna(0).to_numpy(float)
+            found[f"d{i + 1}"] = places((arm >> i & 1 == 1) & (width > 0), i, first, width)
+        return pd.DataFrame(found)
 
     def draw(asked: DataFrame) -> DataFrame:
-        rows = asked.withColumn("rep", F.explode(F.sequence(F.col("n") + 1, F.col("n") + F.col("size")))).join(own, key).join(F.broadcast(lists))
-        pick = F.floor(uniform(seed, F.col(key), F.col("rep"), F.col("arm") * 64 + 63) * F.size("r_rows")).cast("int")
-        rows = rows.withColumn("r_row", F.get("r_rows", pick))
+        rows = spread(asked, key).join(own, key)
+        rows = rows.withColumn("r_d", drawn_places(F.col(key).cast("bigint"), "arm", "n", "size", *[f"r_{k}{i}" for i in range(len(features)) for k in ("at", "n")]))
+        zipped = F.arrays_zip(*[F.coalesce(f"r_d.d{i}", F.array_repeat(F.lit(None).cast("int"), F.col("size").cast("int"))) for i in range(len(features) + 1)])
+        rows = rows.select(key, "arm", "size", "r_wanted", *[f"r_x{i}" for i in places], F.inline(zipped).alias("r_pick", *[f"r_d{i}" for i in range(len(features))])).join(picked, "r_pick")
+        for i, of in enumerate(values):
+            rows = rows.join(of, f"r_d{i}", "left")
 
         def value(i: int) -> Column:
-            if i >= len(features):
-                return F.col(f"r_x{i}")
-            at = F.col(f"r_at{i}") - 1 + F.floor(uniform(seed, F.col(key), F.col("rep"), F.col("arm") * 64 + i) * F.col(f"r_n{i}"))
-            return F.when(F.col(f"r_n{i}") == 0, F.col(f"r_x{i}")).otherwise(F.get(f"r_v{i}", at.cast("int"))[f"r_x{i}"])
+            return F.col(f"r_x{i}") if i >= len(features) else F.when(F.col(f"r_d{i}").isNull(), F.col(f"r_x{i}")).otherwise(F.col(f"r_w{i}"))
 
-        mixed = rows.select(F.col(key).alias("r_key"), F.col("arm").alias("r_arm"), F.col("size").alias("r_size"), "r_wanted", *[F.when(F.getbit("arm", F.lit(i)) == 1, value(i)).otherwise(F.col("r_row")[f"r_x{i}"]).alias(f) for i, f in enumerate(names)])
+        mixed = rows.select(F.col(key).alias("r_key"), F.col("arm").alias("r_arm"), F.col("size").alias("r_size"), "r_wanted", *[F.when(F.getbit("arm", F.lit(i)) == 1, value(i)).otherwise(F.col(f"r_y{i}")).alias(f) for i, f in enumerate(names)])
         scored = score(mixed, model, "r_label", names)
         return scored.groupBy(F.col("r_key").alias(key), F.col("r_arm").alias("arm")).agg(F.first("r_size").alias("size"), F.count_if(F.col("r_label").cast("string") == F.col("r_wanted")).alias("hits"))
 
     cells = stored(behind.groupBy(*[f"r_b{i}" for i in places]).agg(F.count("*").alias("of")))
-    total = cells.agg(F.sum("of")).first()[0]
     bits = own.select(key, *[f"r_b{i}" for i in places])
 
     def with_coverage(candidates: DataFrame) -> DataFrame:

@@ -53,6 +53,7 @@ SIDES = (-2, -1, 1, 2)
 BATCH = 8192
 RATE = 0.1
 ALPHA = 0.05
+SAFE = 80  # the exponential of a number below it is far from the largest of 32 bits
 FAN = 64
 KEYS_PER_BUCKET = 1_000_000
 #: embeddings, scale by place, bias; classes and their bias; members and their bias
@@ -91,50 +92,51 @@ def contexts(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hidden(net: list[np.ndarray], near: np.ndarray) -> np.ndarray:
-    total = net[0][near[:, 0]] * net[1][0]
-    for k in range(1, len(SIDES)):
-        total += net[0][near[:, k]] * net[1][k]
-    return np.tanh(total + net[2])
-
-
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits
-
-
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts targets of one class side by side, and where each class starts."""
     own = (target // MEMBERS).astype(np.uint8)
     return np.argsort(own, kind="stable"), np.append(0, np.cumsum(np.bincount(own, minlength=CLASSES)))
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
+def _weights(net: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights of the classes and of the members with their biases as a last row, and whether no logit can be large, as the hidden layer is within 1."""
+    classes, members = np.concatenate([net[3], net[4][None]]), np.concatenate([net[5], net[6][:, None]], axis=1)
+    return classes, members, bool(np.abs(classes).sum(0).max() < SAFE and np.abs(members).sum(1).max() < SAFE)
+
+
+def _forward(net: list[np.ndarray], near: np.ndarray, first: np.ndarray, weights: tuple[np.ndarray, np.ndarray, bool]) -> tuple[np.ndarray, ...]:
+    """Embeddings of the sides, hidden layer (and a column of 1), logits of the classes and of the members of each word's own class."""
+    side = np.take(net[0], near.T, axis=0)
+    hidden = np.ones((len(near), HIDDEN + 1), np.float32)
+    total = side[0] * net[1][0]
+    for k in range(1, len(SIDES)):
+        total += side[k] * net[1][k]
+    total += net[2]
+    np.tanh(total, out=hidden[:, :-1])
+    logits = hidden @ weights[0], np.empty((len(near), MEMBERS), np.float32)
+    for c in np.flatnonzero(np.diff(first)).tolist():
+        np.matmul(hidden[first[c] : first[c + 1]], weights[1][c], out=logits[1][first[c] : first[c + 1]])
+    if not weights[2]:
+        for x in logits:
+            x -= x.max(1, keepdims=True)
+    return side, hidden, *logits
 
 
 def log_probabilities(net: list[np.ndarray], near: np.ndarray, target: np.ndarray, rows: int = 16384) -> np.ndarray:
     """Log-probability of each target given its sides."""
-    out = np.empty(len(target))
+    out, weights, one = np.empty(len(target)), _weights(net), np.ones(MEMBERS, np.float32)
     for a in range(0, len(target), rows):
         order, first = _by_class(target[a : a + rows])
         x, y = near[a : a + rows][order], target[a : a + rows][order]
-        hidden = _hidden(net, x)
-        logp = _log_softmax(hidden @ net[3] + net[4])[np.arange(len(y)), y // MEMBERS]
-        for c in np.flatnonzero(np.diff(first)).tolist():
-            own = slice(first[c], first[c + 1])
-            member = y[own] % MEMBERS
-            logp[own] += _log_softmax(hidden[own] @ net[5][c] + net[6][c])[np.arange(len(member)), member]
-        out[a + order] = logp
+        every, logits = np.arange(len(y)), _forward(net, x, first, weights)[2:]
+        own = [x[every, at] for x, at in zip(logits, np.divmod(y, MEMBERS), strict=True)]
+        out[a + order] = sum(x - np.log(np.exp(z, out=z) @ one) for x, z in zip(own, logits, strict=True))
     return out
 
 
 def train(net: list[np.ndarray], squares: list[np.ndarray], near: np.ndarray, target: np.ndarray) -> None:
     """One pass of gradient steps (scaled by sums of squares) over the examples, in place."""
+    one = np.ones(MEMBERS, np.float32)
 
     def step(i: int, where, gradient: np.ndarray) -> None:
         squares[i][where] += gradient * gradient
@@ -143,29 +145,33 @@ def train(net: list[np.ndarray], squares: list[np.ndarray], near: np.ndarray, ta
     for a in range(0, len(target), BATCH):
         order, first = _by_class(target[a : a + BATCH])
         x, y = near[a : a + BATCH][order], target[a : a + BATCH][order]
-        n = np.float32(1 / len(y))
-        hidden = _hidden(net, x)
-        error = _softmax(hidden @ net[3] + net[4])
-        error[np.arange(len(y)), y // MEMBERS] -= 1
-        error *= n
+        n, every, weights = np.float32(1 / len(y)), np.arange(len(y)), _weights(net)
+        side, hidden, error, inner = _forward(net, x, first, weights)
+        for z, at in zip((error, inner), np.divmod(y, MEMBERS), strict=True):
+            np.exp(z, out=z)
+            z *= (n / (z @ one))[:, None]
+            z[every, at] -= n
         back = error @ net[3].T
+        slope = np.zeros_like(weights[1])
         for c in np.flatnonzero(np.diff(first)).tolist():
             own = slice(first[c], first[c + 1])
-            inner = _softmax(hidden[own] @ net[5][c] + net[6][c])
-            inner[np.arange(len(inner)), y[own] % MEMBERS] -= 1
-            inner *= n
-            back[own] += inner @ net[5][c].T
-            step(5, c, hidden[own].T @ inner)
-            step(6, c, inner.sum(0))
-        step(3, slice(None), hidden.T @ error)
-        step(4, slice(None), error.sum(0))
+            back[own] += inner[own] @ net[5][c].T
+            np.matmul(hidden[own].T, inner[own], out=slope[c])
+        # a class without words has no slope, so nothing of it changes
+        step(5, slice(None), slope[:, :-1])
+        step(6, slice(None), slope[:, -1])
+        slope = hidden.T @ error
+        step(3, slice(None), slope[:-1])
+        step(4, slice(None), slope[-1])
+        hidden = hidden[:, :-1]
         back *= 1 - hidden * hidden
-        step(2, slice(None), back.sum(0))
-        scale = np.stack([(back * net[0][x[:, k]]).sum(0) for k in range(len(SIDES))])
+        step(2, slice(None), np.ones(len(y), np.float32) @ back)
+        scale = np.einsum("nd,knd->kd", back, side)
         flat = x.T.ravel().astype(np.uint16)
         by = np.argsort(flat, kind="stable")
         entry, head = np.unique(flat[by], return_index=True)
-        step(0, entry, np.add.reduceat((back[None] * net[1][:, None]).reshape(-1, HIDDEN)[by], head, axis=0))
+        np.multiply(back, net[1][:, None], out=side)
+        step(0, entry, np.add.reduceat(np.take(side.reshape(-1, HIDDEN), by, axis=0), head, axis=0))
         step(1, slice(None), scale)
 
 

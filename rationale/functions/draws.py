@@ -11,8 +11,11 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 MODULUS = 2147483647  # fixed values: a Mersenne prime and two multipliers of full period
 MULTIPLIERS = (48271, 69621)
@@ -38,6 +41,35 @@ def draw_code(seed, key, rep=0, feature=0) -> Column:
     return mixed
 
 
+def _uniforms(seeds: tuple[tuple[int, int], ...]):
+    """Of keys and repeats, a struct with the uniforms of each (seed, feature)."""
+    kind = StructType([StructField(f"u{j}", DoubleType()) for j in range(len(seeds))])
+
+    @F.arrow_udf(kind)
+    def of(key: pa.Array, rep: pa.Array) -> pa.Array:
+        unknown = pc.or_(pc.is_null(key), pc.is_null(rep)).to_numpy(zero_copy_only=False)
+        k, r = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False) % MODULUS for x in (key, rep))
+        mixed = k * 16807 + r * 7919
+        u = [(codes_of(mixed + (feature * 104729 + seed * 31 + 1)) + 0.5) / float(MODULUS) for seed, feature in seeds]
+        return pa.StructArray.from_arrays([pa.array(x, mask=unknown if unknown.any() else None) for x in u], [f.name for f in kind])
+
+    return of
+
+
+def with_students(df: DataFrame, seed: int, key: Column, rep: Column, names: list[str], df_of: int = 3) -> DataFrame:
+    """``df`` with a column for each name: what ``student_t`` gives for the features 0, 1, ...
+
+    Such a draw takes ``2 * (df_of + 1)`` uniforms, which are worked out for a batch of rows at
+    once: as expressions they aren't compiled.
+    """
+    seeds = [s + more for s in (seed, *(seed + 100 + 2 * i for i in range(df_of))) for more in (0, 1)]
+    of = _uniforms(tuple((s, i) for i in range(len(names)) for s in seeds))
+    u = [[F.col(f"r_u.u{i * len(seeds) + j}") for j in range(len(seeds))] for i in range(len(names))]
+    z = [[_normal(*x[j : j + 2]) for j in range(0, len(x), 2)] for x in u]
+    found = {n: x[0] / F.sqrt(sum((F.pow(s, 2) for s in x[1:]), F.lit(0.0)) / df_of) for n, x in zip(names, z, strict=True)}
+    return df.withColumn("r_u", of(_whole(key), _whole(rep))).withColumns(found).drop("r_u")
+
+
 def codes_of(mixed: np.ndarray) -> np.ndarray:
     """The codes of ``draw_code`` from its sum of key, rep, feature and seed, below 2**62."""
     x = mixed % MODULUS
@@ -53,10 +85,13 @@ def uniform(seed, key, rep=0, feature=0) -> Column:
     return (draw_code(seed, key, rep, feature) + 0.5) / float(MODULUS)
 
 
+def _normal(u: Column, v: Column) -> Column:
+    return F.sqrt(-2 * F.log(u)) * F.cos(v * (2 * math.pi))
+
+
 def normal(seed, key, rep=0, feature=0) -> Column:
     """Box-Muller."""
-    u, v = uniform(seed, key, rep, feature), uniform(int(seed) + 1, key, rep, feature)
-    return F.sqrt(-2 * F.log(u)) * F.cos(v * (2 * math.pi))
+    return _normal(uniform(seed, key, rep, feature), uniform(int(seed) + 1, key, rep, feature))
 
 
 def cauchy(seed, key, rep=0, feature=0) -> Column:

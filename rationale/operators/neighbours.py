@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from rationale.functions.draws import MODULUS, bound, cauchy, codes_of, draw_code, normal, student_t, uniform
+from rationale.functions.draws import MODULUS, bound, cauchy, codes_of, draw_code, normal, uniform, with_students
 from rationale.functions.order import numbered
 from rationale.functions.small import small
 from rationale.functions.special import normal_quantiles
@@ -28,7 +28,7 @@ def stats_row(df: DataFrame, columns: list[str]) -> DataFrame:
 def _draw(dist: str, seed: int, key: Column, rep: Column, i: int) -> Column:
     if dist == "uniform":
         return 4 * uniform(seed, key, rep, i) - 2
-    return {"standard-normal": normal, "cauchy": cauchy, "t": student_t}[dist](seed, key, rep, i)
+    return {"range": uniform, "standard-normal": normal, "cauchy": cauchy}[dist](seed, key, rep, i)
 
 
 def repeated(instances: DataFrame, n: int | Column) -> DataFrame:
@@ -38,9 +38,12 @@ def repeated(instances: DataFrame, n: int | Column) -> DataFrame:
 def perturb(instances: DataFrame, stats: DataFrame, key: str, columns: list[str], n: int | Column, dist: str = "uniform", seed: int = 1) -> DataFrame:
     """(key, rep, columns..., x0_columns...): draw * scale + row; ``range`` draws from the training range instead. ``n`` may be a column."""
     rows = repeated(spread(instances.select(key, F.lit(n).cast("int").alias("r_n"), *[F.col(c).cast("double").alias(c) for c in columns]), key), F.col("r_n")).join(F.broadcast(stats))
+    if dist == "t":
+        rows = with_students(rows, seed, F.col(key), F.col("rep"), [f"r_d_{i}" for i in range(len(columns))])
     out = []
     for i, c in enumerate(columns):
-        x = F.col(f"min_{c}") + uniform(seed, F.col(key), F.col("rep"), i) * (F.col(f"max_{c}") - F.col(f"min_{c}")) if dist == "range" else F.col(c) + F.col(f"scale_{c}") * _draw(dist, seed, F.col(key), F.col("rep"), i)
+        draw = F.col(f"r_d_{i}") if dist == "t" else _draw(dist, seed, F.col(key), F.col("rep"), i)
+        x = F.col(f"min_{c}") + draw * (F.col(f"max_{c}") - F.col(f"min_{c}")) if dist == "range" else F.col(c) + F.col(f"scale_{c}") * draw
         out.append(F.when(F.col("rep") == 0, F.col(c)).otherwise(x).alias(c))
     return rows.select(key, "rep", *out, *[F.col(c).alias(f"x0_{c}") for c in columns])
 

@@ -211,6 +211,7 @@ def marginal_sample(df: DataFrame, key: str, numeric: list[str], categorical: li
 
 
 NEAR_BLOCK = 8192
+EVOLVED = 16_384  # rows that evolve side by side
 
 
 def closest_rows(df: DataFrame, instances: DataFrame, key: str, columns: list[str], label: str, k: int = 100, diff_ratio: float = 0.1, block: int = NEAR_BLOCK) -> DataFrame:
@@ -258,40 +259,64 @@ def genetic_neighbourhood(instances: DataFrame, predict, key: str, columns: list
     """(key, rep, columns..., fitness): per instance, evolution of rows that are near and keep, or leave, its class.
 
     ``predict`` takes a numpy matrix and gives labels.  Tournament of three, two-point crossover, mutation
-    0.2; those above the largest gap in fitness are kept.
+    0.2; those above the largest gap in fitness are kept.  ``predict`` labels each row of the matrix by itself: the
+    instances of a batch evolve side by side, each by its own draws.
     """
-    width = np.array([scales[c] for c in columns])
+    width, p, half = np.array([scales[c] for c in columns]), len(columns), generations + 1
 
-    def evolve(batch: pd.DataFrame) -> pd.DataFrame:
-        x0 = batch[columns].to_numpy(float)[0]
-        rng = np.random.default_rng(abs(hash((seed, int(batch[key].iloc[0])))) % (1 << 32))
-        own = predict(x0[None])[0]
-        out = []
-        for keep in (True, False):
-            rows = x0 + width * rng.normal(size=(population, len(columns)))
+    def drawn(k: int) -> list[np.ndarray]:
+        """All draws of an instance, which don't depend on its rows, in the order of its generations."""
+        rng, out = np.random.default_rng(abs(hash((seed, k))) % (1 << 32)), []
+        for _ in range(2):
+            out.append([rng.normal(size=(population, p))])
+            for _ in range(generations):
+                out.append([rng.integers(0, population, (population, 3)), rng.permutation(population), rng.integers(0, p + 1, (population, 2)), rng.random((population, 1)), rng.random((population, p)), rng.normal(size=(population, p))])
+        return out
+
+    def evolve(ids: np.ndarray, x0: np.ndarray) -> pd.DataFrame:
+        b, every = len(ids), np.arange(len(ids))[:, None]
+        draws = [[np.stack(x) for x in zip(*of, strict=True)] for of in zip(*map(drawn, ids.tolist()), strict=True)]
+        own, at = np.asarray(predict(x0))[:, None], x0[:, None]
+        rows_of, fitness_of, kept = [], [], []
+        for side, keep in enumerate((True, False)):
+            (first,), *later = draws[side * half : (side + 1) * half]
+            rows = at + width * first
 
             def fitness(z, keep=keep):
-                d = np.sqrt((((z - x0) / width) ** 2).mean(1))
+                d = np.sqrt((((z - at) / width) ** 2).mean(2))
                 near = np.where(d >= eta, 0.0, 1 - d / eta)
-                return alpha * np.where(d > 0, near, 0.0) + alpha * ((predict(z) == own) == keep)
+                return alpha * np.where(d > 0, near, 0.0) + alpha * ((np.asarray(predict(z.reshape(-1, p))).reshape(b, population) == own) == keep)
 
-            for _ in range(generations):
+            for rivals, order, cut, mate, change, more in later:
                 f = fitness(rows)
-                rivals = rng.integers(0, population, (population, 3))
-                parents = rows[rivals[np.arange(population), f[rivals].argmax(1)]]
-                mates = parents[rng.permutation(population)]
-                cut = np.sort(rng.integers(0, len(columns) + 1, (population, 2)), axis=1)
-                between = (np.arange(len(columns)) >= cut[:, :1]) & (np.arange(len(columns)) < cut[:, 1:])
-                rows = np.where(between & (rng.random((population, 1)) < 0.5), mates, parents)
-                rows = np.where(rng.random(rows.shape) < 0.2, rows + width * rng.normal(size=rows.shape), rows)
+                best = f[every[:, :, None], rivals].argmax(2)[:, :, None]
+                parents = rows[every, np.take_along_axis(rivals, best, 2)[:, :, 0]]
+                mates = parents[every, order]
+                cut = np.sort(cut, axis=2)
+                between = (np.arange(p) >= cut[:, :, :1]) & (np.arange(p) < cut[:, :, 1:])
+                rows = np.where(between & (mate < 0.5), mates, parents)
+                rows = np.where(change < 0.2, rows + width * more, rows)
             f = fitness(rows)
-            order = np.argsort(-f, kind="stable")
-            gap = np.argmax(-np.diff(f[order])) + 1 if population > 1 else 1
-            out.append(np.column_stack([rows[order[:gap]], f[order[:gap]]]))
-        m = np.concatenate(out)
-        return pd.DataFrame({key: int(batch[key].iloc[0]), "rep": np.arange(1, len(m) + 1), **{c: m[:, i] for i, c in enumerate(columns)}, "fitness": m[:, -1]})
-
-    return instances.select(key, *columns).groupBy(key).applyInPandas(evolve, f"{key} long, rep long, " + ", ".join(f"{c} double" for c in columns) + ", fitness double")
+            order = np.argsort(-f, axis=1, kind="stable")
+            f = np.take_along_axis(f, order, 1)
+            gap = np.argmax(-np.diff(f, axis=1), axis=1) + 1 if population > 1 else np.ones(b, int)
+            rows_of.append(rows[every, order])
+            fitness_of.append(f)
+            kept.append(np.arange(population) < gap[:, None])
+        kept = np.concatenate(kept, 1)
+        m, n = np.concatenate(rows_of, 1)[kept], kept.sum(1)
+        rep = np.arange(1, len(m) + 1) - np.repeat(np.cumsum(n) - n, n)
+        return pd.DataFrame({key: np.repeat(ids, n), "rep": rep, **{c: m[:, i] for i, c in enumerate(columns)}, "fitness": np.concatenate(fitness_of, 1)[kept]})
+
+    def run(batches):
+        together = max(1, EVOLVED // population)
+        for batch in batches:
+            ids, x0 = np.array([int(k) for k in batch[key]], "int64"), batch[columns].to_numpy(float)
+            for a in range(0, len(ids), together):
+                yield evolve(ids[a : a + together], x0[a : a + together])
+
+    once = spread(instances.select(key, *columns), key).dropDuplicates([key])
+    return once.mapInPandas(run, f"{key} long, rep long, " + ", ".join(f"{c} double" for c in columns) + ", fitness double")
 
 
 def fitness_gap(scored: DataFrame, key: str, fitness: str = "fitness") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rationale.functions.draws import uniform
+from rationale.functions.small import beside
+from rationale.functions.spread import spread
 from rationale.sources.scratch import stored
 
 from .score import score
@@ -50,14 +52,14 @@ def search_counterfactuals(instances: DataFrame, bounds: DataFrame, model, key:
         miss = F.when(F.col("r_label").cast("string") == F.col("aim"), 0.0).otherwise(1.0)
         return scored.withColumn("cost", price * miss + far).select(*points.columns, "cost")
 
-    open_, left, drawn = None, own, 0
+    open_, left, drawn = None, spread(own, "r_id"), 0
     while open_ is None or drawn < most_draws and not left.isEmpty():
         more = min(drawn + starts if open_ is None else 2 * drawn + starts, most_draws)
         begun = left.withColumn("start", F.explode(F.sequence(F.lit(drawn + 1), F.lit(more))))
         begun = begun.withColumn("x", F.array(*[uniform(seed, F.xxhash64("r_id"), F.col("start"), i) for i in range(len(features))]))
         hits = stored(costed(begun).where(F.col("cost") < price).withColumn("radius", F.lit(0.5)))
         open_, drawn = hits if open_ is None else open_.unionByName(hits), more
-        left = stored(left.join(hits.select("r_id").distinct(), "r_id", "left_anti"))
+        left = stored(left.join(beside(hits.select("r_id").distinct()), "r_id", "left_anti"))
     done = open_.where("radius < 0")
     gap = F.zip_with("x0", "x", lambda a, b: F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0)) - b)
     span = F.sqrt(F.aggregate("gap", F.lit(0.0), lambda a, b: a + b * b))
@@ -69,16 +71,22 @@ def search_counterfactuals(instances: DataFrame, bounds: DataFrame, model, key:
             return F.transform("gap", lambda g: g * F.least(F.lit(1.0), long / F.greatest("span", F.lit(1e-300))))
         return F.transform("gap", lambda g, i: F.when(i == which - 1, F.signum(g) * F.least(F.abs(g), long)).otherwise(0.0))
 
+    steps = F.array(*[toward(w, 0.5**h) for w in range(len(features) + 1) for h in range(SHORTER)])
+    point = ["r_id", "start", "aim", "x0", "radius", "was", "x_was"]
     while not open_.isEmpty():
-        steps = [F.struct(F.lit(w * SHORTER + h).alias("n"), toward(w, 0.5**h).alias("s")) for w in range(len(features) + 1) for h in range(SHORTER)]
-        tried = open_.withColumnRenamed("cost", "was").withColumn("gap", gap).withColumn("span", span).withColumn("step", F.explode(F.array(*steps)))
-        tried = tried.withColumn("x_was", F.col("x")).withColumn("x", F.zip_with("x", "step.s", lambda a, b: a + b)).withColumn("n", F.col("step.n")).drop("gap", "span", "step")
-        best = costed(tried).groupBy("r_id", "start").agg(F.min(F.struct("cost", "n", "x")).alias("m"), *[F.first(c).alias(c) for c in ("aim", "x0", "radius", "was", "x_was")])
+        # dealt out by row, the steps of a point stay in its task; their costs are numbers side by side, so they are hashed and neither shuffled nor sorted
+        tried = spread(open_.withColumnRenamed("cost", "was").withColumnRenamed("x", "x_was"), "r_id").withColumn("x", F.col("x_was")).withColumn("gap", gap).withColumn("span", span)
+        tried = tried.select(*point, F.posexplode(steps).alias("n", "step")).select(*point, "n", F.zip_with("x_was", "step", lambda a, b: a + b).alias("x"))
+        each = range(SHORTER * (len(features) + 1))
+        best = costed(tried).groupBy(*point).agg(*[F.max(F.when(F.col("n") == n, F.col("cost"))).alias(f"cost_{n}") for n in each])
+        best = best.select(*point, F.least(*[F.struct(F.col(f"cost_{n}").alias("cost"), F.lit(n).alias("n")) for n in each]).alias("m"), F.col("x_was").alias("x"))
+        step = steps[F.col("m.n")]
+        best = best.withColumn("gap", gap).withColumn("span", span).select(*point, F.struct("m.cost", F.zip_with("x_was", step, lambda a, b: a + b).alias("x")).alias("m"))
         better = F.col("m.cost") < F.col("was") - 1e-15
         moved = best.select("r_id", "aim", "x0", "start", F.when(better, F.col("m.x")).otherwise(F.col("x_was")).alias("x"), F.when(better, F.col("m.cost")).otherwise(F.col("was")).alias("cost"), F.when(better, F.least(F.lit(0.5), 2 * F.col("radius"))).otherwise(F.col("radius") / 2**SHORTER).alias("radius"))
         moved = stored(moved)
         done = done.unionByName(moved.where(F.col("radius") <= tolerance / 2))
         open_ = moved.where(F.col("radius") > tolerance / 2)
-    nearest = done.groupBy("r_id").agg(F.min(F.struct("cost", "start", "x")).alias("m"), F.count("*").alias("starts")).join(F.broadcast(ends))
+    nearest = spread(done.select("r_id", "cost", "start", "x"), "r_id").groupBy("r_id").agg(F.min(F.struct("cost", "start", "x")).alias("m"), F.count("*").alias("starts")).join(F.broadcast(ends))
     found = nearest.select(F.col("r_id").alias(key), *[value(f, F.col("m.x")[i]).alias(f"cf_{f}") for i, f in enumerate(features)], F.sqrt("m.cost").alias("distance"), "starts")
     return instances.select(key).join(found, key, "left").select(key, *[f"cf_{f}" for f in features], "distance", F.coalesce("starts", F.lit(0)).alias("starts"))

@@ -157,3 +157,11 @@ def test_search_steps_without_sorting(spark, monkeypatch):
     rounds = [p for p in plans if "posexplode" in p or "explode" in p and "cost" in p and "Aggregate" in p]
     assert rounds and not any("SortAggregate" in p for p in rounds)
     assert all(r.cf_p > 0.5 and r.distance >= 0 for r in found) and len(found) == 30
+
+
+def test_token_index_within_texts(spark):
+    """F32: places come from the text itself, without a window or a group over the words of all texts."""
+    texts = {1: "a bc a, é bc!", 2: "", 3: None, 4: " x", 5: "\U0001f600 w w"}
+    found = T.token_index(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t", r"[^a-zA-Z0-9_]+")
+    assert "Window" not in plan(found) and "Aggregate" not in plan(found)
+    assert {(r.id, r.word): (r.starts, r.n) for r in found.collect()} == {(1, "a"): ([0, 5], 2), (1, "bc"): ([2, 10], 2), (4, "x"): ([1], 1), (5, "w"): ([2, 4], 2)}

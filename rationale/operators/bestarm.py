@@ -10,10 +10,15 @@ call, which shrinks as instances are decided; batches grow by ``growth`` a round
 rounds are few.
 
 Draws are keyed by instance, candidate and number: the same on every partitioning.
+
+Where a candidate has few possible draws (``COUNTED``: background rows times the values
+of the bins held), all of them are counted instead, once for all instances that hold the
+same: its precision is then known, and nothing is left to chance.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from rationale.functions.draws import MODULUS, codes_of, uniform
-from rationale.functions.small import small
+from rationale.functions.small import beside, small
 from rationale.functions.special import kl_bound, kl_bounds
 from rationale.functions.spread import spread
 from rationale.sources.scratch import stored
@@ -32,6 +37,7 @@ from .bins import bin_of
 from .score import score
 
 Draw = Callable[[DataFrame], DataFrame]
+COUNTED = 10_000  # possible draws of a candidate up to which each is taken once
 
 
 def _bin(x: Column, edges: Column) -> Column:
@@ -123,8 +129,8 @@ def best_arm_anchors(instances: DataFrame, background: DataFrame, key: str, feat
     ``features`` are numeric with (feature, edges), ``categories`` are text.  A numeric
     feature that is held is drawn from the background's values in its bin (its own
     value, if there are none).  Without an accepted anchor the most precise candidate
-    is returned.  ``draws`` counts all draws of the instance.  ``key`` is a unique whole
-    number; an empty background gives no rows.
+    is returned.  ``draws`` counts all draws of the instance, or those that its candidates
+    have.  ``key`` is a unique whole number; an empty background gives no rows.
     """
     names = [*features, *categories]
     if len(names) > 62:
@@ -185,6 +191,44 @@ def best_arm_anchors(instances: DataFrame, background: DataFrame, key: str, feat
         scored = score(mixed, model, "r_label", names)
         return scored.groupBy(F.col("r_key").alias(key), F.col("r_arm").alias("arm")).agg(F.first("r_size").alias("size"), F.count_if(F.col("r_label").cast("string") == F.col("r_wanted")).alias("hits"))
 
+    widths = [own.agg(F.coalesce(F.max(f"r_n{i}"), F.lit(1))).first()[0] for i in range(len(features))]
+    instance, whole, profile = key, own, None
+    counting = total * math.prod(sorted(widths)[-max_size:] if max_size else []) <= COUNTED
+    if counting:
+        # what is held, and so what is counted, is the same for instances with the same bins, categories and label
+        key, profile = "r_profile", F.struct("r_wanted", *[f"r_b{i}" for i in places], *[F.when(F.col(f"r_n{i}").isNull(), F.col(f"r_x{i}")) if i < len(features) else F.col(f"r_x{i}") for i in places])
+        kinds = own.withColumn("r_of", profile).groupBy("r_of").agg(F.first(F.struct(*[c for c in own.columns if c != instance])).alias("r"))
+        own = stored(kinds.select(F.monotonically_increasing_id().alias(key), "r_of", "r.*"))
+
+    def counted(candidates: DataFrame) -> DataFrame:
+        """(key, arm, n, positives) of all possible draws."""
+        parts = [F.struct(*[F.when(F.getbit("arm", F.lit(i)) == 1, x) for x in ((F.col(f"r_at{i}"), F.col(f"r_n{i}"), F.when(F.col(f"r_n{i}").isNull(), F.col(f"r_x{i}"))) if i < len(features) else (F.col(f"r_x{i}"),))]) for i in places]
+        held = candidates.select(key, "arm").join(own, key).select(key, "arm", "r_wanted", F.struct("arm", *[x.alias(f"p{i}") for i, x in enumerate(parts)]).alias("r_s"))
+        sets = stored(held.select("r_s").distinct().withColumn("r_set", F.monotonically_increasing_id()))
+        rows = spread(sets, "r_set").select("r_set", "r_s.*").join(picked)
+        for i, of in enumerate(values):
+            first, width = (F.col(f"p{i}.col{j}").cast("int") for j in (1, 2))
+            rows = rows.withColumn(f"r_d{i}", F.explode(F.when(width.isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(first, first + width - 1)))).join(of, f"r_d{i}", "left")
+        taken = [F.when(F.col(f"r_d{i}").isNull(), F.col(f"p{i}.col3")).otherwise(F.col(f"r_w{i}")) if i < len(features) else F.col(f"p{i}.col1") for i in places]
+        mixed = rows.select("r_set", *[F.when(F.getbit("arm", F.lit(i)) == 1, taken[i]).otherwise(F.col(f"r_y{i}")).alias(f) for i, f in enumerate(names)])
+        labels = stored(score(mixed, model, "r_label", names).groupBy("r_set", F.col("r_label").cast("string").alias("r_label")).agg(F.count("*").alias("c")))
+        wanted = labels.select("r_set", F.col("r_label").alias("r_wanted"), F.col("c").alias("positives"))
+        numbered = held.join(sets, "r_s").drop("r_s").join(labels.groupBy("r_set").agg(F.sum("c").alias("n")), "r_set")
+        return numbered.join(wanted, ["r_set", "r_wanted"], "left").select(key, "arm", "n", F.coalesce("positives", F.lit(0)).alias("positives"))
+
+    def told(arms: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+        """The ``top`` arms of each key, and all of them."""
+        if not counting:
+            return best_arms(arms, key, draw, top, epsilon, delta, batch, growth)
+        arms = stored(counted(arms))
+        by_mean = Window.partitionBy(key).orderBy(F.desc(F.col("positives") / F.col("n")), "arm")
+        return arms.withColumn("r_rank", F.row_number().over(by_mean)).where(F.col("r_rank") <= top).drop("r_rank"), arms
+
+    def decided(top: DataFrame) -> DataFrame:
+        if not counting:
+            return settled(top, key, draw, threshold, epsilon_stop, delta / (1 + (beam - 1) * len(names)), batch, growth)
+        return top.withColumn("accepted", F.col("positives") / F.col("n") >= threshold)
+
     cells = stored(behind.groupBy(*[f"r_b{i}" for i in places]).agg(F.count("*").alias("of")))
     bits = own.select(key, *[f"r_b{i}" for i in places])
 
@@ -210,8 +254,8 @@ def best_arm_anchors(instances: DataFrame, background: DataFrame, key: str, feat
         if covered.isEmpty():
             break
         arms = covered.select(key, "arm", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("positives"))
-        top, left = best_arms(arms, key, draw, beam, epsilon, delta, batch, growth)
-        final = stored(settled(top, key, draw, threshold, epsilon_stop, delta / (1 + (beam - 1) * len(names)), batch, growth).join(covered, [key, "arm"]))
+        top, left = told(arms, beam)
+        final = stored(decided(top).join(covered, [key, "arm"]))
         spent = left.join(final.select(key, "arm", F.col("n").alias("n2")), [key, "arm"], "left").groupBy(key).agg(F.sum(F.coalesce("n2", "n")).alias("draws"))
         drawn = spent if drawn is None else drawn.union(spent)
         chosen_of_all = final if chosen_of_all is None else chosen_of_all.union(final)
@@ -221,9 +265,12 @@ def best_arm_anchors(instances: DataFrame, background: DataFrame, key: str, feat
     if rest.isEmpty():
         fallback = rest
     else:
-        fallback, left = best_arms(rest, key, draw, 1, epsilon, delta, batch, growth)
+        fallback, left = told(rest, 1)
         spent = left.withColumnRenamed("n", "n2").join(rest.select(key, "arm", "n"), [key, "arm"]).groupBy(key).agg(F.sum(F.col("n2") - F.col("n")).alias("draws"))
         drawn = drawn.union(spent)
     found = best.select(key, "arm", "n", "positives", "coverage", F.lit(True).alias("accepted")).union(fallback.join(chosen_of_all.select(key, "arm", "coverage"), [key, "arm"]).select(key, "arm", "n", "positives", "coverage", F.lit(False)))
     anchor = F.filter(F.array(*[F.when(F.getbit("arm", F.lit(i)) == 1, F.lit(f)) for i, f in enumerate(names)]), lambda x: x.isNotNull())
-    return found.join(drawn.groupBy(key).agg(F.sum("draws").alias("draws")), key).select(key, anchor.alias("anchor"), (F.col("positives") / F.col("n")).alias("precision"), "coverage", "draws", "accepted")
+    found = found.join(drawn.groupBy(key).agg(F.sum("draws").alias("draws")), key)
+    if counting:
+        found = whole.select(instance, profile.alias("r_of")).join(beside(stored(found.join(own.select(key, "r_of"), key).drop(key))), "r_of")
+    return found.select(instance, anchor.alias("anchor"), (F.col("positives") / F.col("n")).alias("precision"), "coverage", "draws", "accepted")

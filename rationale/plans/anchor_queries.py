@@ -8,7 +8,6 @@ from rationale.functions.special import exploration_rate
 from rationale.operators import anchors as J
 from rationale.operators import bestarm as B
 from rationale.operators import bins as C
-from rationale.operators import texts as T
 from rationale.operators.score import score
 
 from .common import PART_MODEL, query, rounded
@@ -77,10 +76,7 @@ def _(spark, read):
 def _(spark, read):
     """The words of each turn of a conversation that keep its length label."""
     c = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    m = T.unk_mask(c, "id", "text", 10)
-    kept = F.filter(F.transform(F.split("masked", " "), lambda w, i: F.when(w != "UNK", i)), lambda i: i.isNotNull())
-    label = F.when(F.length("masked") > 200, "long").otherwise("short")
-    found = J.anchor_text(m.select("id", "rep", kept.alias("kept"), label.alias("label")), "id", "label")
+    found = J.anchor_words(c, "id", "text", lambda masked: F.when(F.length(masked) > 200, "long").otherwise("short"))
     return rounded(found.withColumn("preds", F.array_join(F.transform("preds", lambda x: x.cast("string")), " ")))
 
 

@@ -18,3 +18,8 @@ def small(df: DataFrame, what: str, most: int = MOST_ROWS) -> DataFrame:
 def beside(df: DataFrame) -> DataFrame:
     """``df`` to be joined to a larger table: broadcast if its rows, counted, are few; sorted otherwise, as the size of a compressed file says too little."""
     return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df.hint("merge")
+
+
+def apart(df: DataFrame, rows: int, hint: str = "merge") -> DataFrame:
+    """``df`` to be joined by key: left to Spark where ``rows`` are few; else never broadcast, as the size of a compressed file, or of a shuffle, says too little."""
+    return df if rows <= MOST_ROWS else df.hint(hint)

@@ -171,6 +171,7 @@ def stable_explain(instances: DataFrame, make_neighbourhood, key: str, features:
     suggests, at least a quarter more than before and at most twice as many.  At
     ``n_max`` rows an instance is explained as it is, with ``stable`` false.
     """
+    from rationale.functions.small import MOST_ROWS, apart
     from rationale.sources.scratch import stored
 
     from .paths import tested_path
@@ -180,13 +181,15 @@ def stable_explain(instances: DataFrame, make_neighbourhood, key: str, features:
         neigh = stored(make_neighbourhood(open_, F.col("r_rows")))
         tests = tested_path(neigh, [key], features, y, w).where(F.col("step") < (k or len(features)))
         first = tests.groupBy(key).agg(F.min_by(F.struct("stable", "suggested"), F.struct("stable", "step")).alias("t"))
-        first = stored(first.select(key, F.col("t.stable").alias("stable"), F.col("t.suggested").alias("suggested")).join(open_.select(key, "r_rows"), key))
+        rows = open_.limit(MOST_ROWS + 1).count()
+        first = stored(first.select(key, F.col("t.stable").alias("stable"), F.col("t.suggested").alias("suggested")).join(apart(open_.select(key, "r_rows"), rows), key))
         final = first.where(F.col("stable") | (F.col("r_rows") >= n_max))
-        fits = stored(local_ridge(neigh.join(final.select(key), key, "left_semi"), [key], features, y, w).join(final.select(key, F.col("r_rows").alias("n"), "stable"), key))
+        of_final = neigh.join(apart(final.select(key), rows, "shuffle_hash"), key, "left_semi")
+        fits = stored(local_ridge(of_final, [key], features, y, w).join(apart(final.select(key, F.col("r_rows").alias("n"), "stable"), rows), key))
         done = fits if done is None else done.unionByName(fits)
         more = first.where(~F.col("stable") & (F.col("r_rows") < n_max))
         size = F.least(F.greatest("suggested", F.ceil(F.col("r_rows") * 1.25)), 2 * F.col("r_rows"), F.lit(n_max)).cast("long").alias("r_rows")
-        open_ = stored(open_.drop("r_rows").join(more.select(key, size), key))
+        open_ = stored(open_.drop("r_rows").join(apart(more.select(key, size), rows), key))
         if open_.isEmpty():
             return done
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rationale.functions.small import MOST_ROWS, apart
 from rationale.sources.scratch import stored
 
 from .linear import centred, moments
@@ -91,7 +92,7 @@ def angle_path(neigh: DataFrame, keys: list[str], features: list[str], y: str, w
         return pd.Series([[{"step": k, "penalty": float(lam / n.iloc[i]), "entered": none(e), "dropped": none(d), "runner_up": none(r), "coef": coef.tolist()} for k, (lam, e, d, r, coef) in enumerate(homotopy(xx[i], xy[i], method == "lasso"))] for i in range(len(m))])
 
     counts = neigh.groupBy(*keys).agg(F.count("*").alias("r_n"))
-    packed = moments(neigh, keys, features, y, w).where(F.col("m")[0] > 0).join(counts, keys)
+    packed = moments(neigh, keys, features, y, w).where(F.col("m")[0] > 0).join(counts.hint("merge"), keys)
     steps = packed.select(*keys, F.inline(solved("m", "r_n")))
     names = F.array(*[F.lit(f) for f in features])
     named = [F.get(names, F.col(c)).alias(c) for c in ("entered", "dropped", "runner_up")]
@@ -112,10 +113,11 @@ def tested_path(neigh: DataFrame, keys: list[str], features: list[str], y: str,
     runner-up is stable.  One aggregate over rows and steps.
     """
     path = stored(angle_path(neigh, keys, features, y, w, method))
+    n = path.limit(MOST_ROWS + 1).count()
     wt = F.col(w).cast("double")
     means = neigh.groupBy(*keys).agg((F.sum(wt * F.col(y)) / F.sum(wt)).alias("r_my"), *[(F.sum(wt * F.col(f)) / F.sum(wt)).alias(f"r_m_{f}") for f in features])
-    asked = path.where("entered is not null and runner_up is not null").join(means, keys)
-    rows = neigh.select(*keys, wt.alias("r_w"), F.col(y).cast("double").alias("r_y"), *[F.col(f).cast("double").alias(f"r_x_{f}") for f in features]).join(asked, keys)
+    asked = path.where("entered is not null and runner_up is not null").join(apart(means, n), keys)
+    rows = neigh.select(*keys, wt.alias("r_w"), F.col(y).cast("double").alias("r_y"), *[F.col(f).cast("double").alias(f"r_x_{f}") for f in features]).join(apart(asked, n, "shuffle_hash"), keys)
     x = {f: F.col(f"r_x_{f}") - F.col(f"r_m_{f}") for f in features}
     residual = F.col("r_y") - F.col("r_my") - sum((x[f] * F.col(f"coef_{f}") for f in features), F.lit(0.0))
     products = rows.select(*keys, "step", (F.col("r_w") * _of("entered", x) * residual).alias("a"), (F.col("r_w") * _of("runner_up", x) * residual).alias("b"))
@@ -126,4 +128,4 @@ def tested_path(neigh: DataFrame, keys: list[str], features: list[str], y: str,
     tests = sums.select(*keys, "step", "n", statistic.alias("statistic"))
     stable = F.coalesce(F.col("statistic") >= z_alpha, F.lit(True))
     suggested = F.when(~stable, F.ceil(F.col("n") * F.pow(F.lit(z_alpha) / F.greatest("statistic", F.lit(1e-3)), F.lit(2.0)))).otherwise(F.col("n")).cast("long")
-    return path.join(tests, [*keys, "step"], "left").select(*path.columns, "n", "statistic", stable.alias("stable"), suggested.alias("suggested"))
+    return path.join(apart(tests, n), [*keys, "step"], "left").select(*path.columns, "n", "statistic", stable.alias("stable"), suggested.alias("suggested"))

@@ -18,6 +18,7 @@ from rationale.functions.order import numbered
 from rationale.functions.small import small
 from rationale.functions.special import normal_quantiles
 from rationale.functions.spread import spread
+from rationale.sources.scratch import stored
 
 
 def stats_row(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -217,14 +218,21 @@ EVOLVED = 16_384  # rows that evolve side by side
 def closest_rows(df: DataFrame, instances: DataFrame, key: str, columns: list[str], label: str, k: int = 100, diff_ratio: float = 0.1, block: int = NEAR_BLOCK) -> DataFrame:
     """(instance_id, key, label, distance): the k nearest rows; if a class has too small a share, its nearest replace the last ones.
 
-    Instances and rows are dealt out in blocks of a fixed size; each pair of
+    Places, with as many rows of each class as can be among the nearest, and places
+    asked for are dealt out in blocks of a fixed size; each pair of
     blocks leaves the k nearest, and the nearest of each class, of its instances.
     """
     extra = int(k * diff_ratio)
     scale = stats_row(df, columns).first()
     width = np.array([float(scale[f"scale_{c}"] or 1.0) for c in columns])
     z = F.array(*[F.col(c).cast("double") for c in columns])
-    rows, asked = df.select(F.col(key).alias("r_id"), F.col(label).cast("string").alias("r_label"), z.alias("z")), instances.select(F.col(key).alias("r_id"), z.alias("z"))
+    rows = df.select(F.col(key).alias("r_id"), F.col(label).cast("string").alias("r_label"), z.alias("z"))
+    # of rows at one place and of one class only the first can be among the nearest: further ones come after them
+    same = Window.partitionBy("z", "r_label").orderBy("r_id")
+    rows = stored(rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= max(k, extra, 1)).drop("r"))
+    # instances at one place have the same nearest rows, which are sought once
+    own = stored(instances.select(F.col(key).alias("instance_id"), z.alias("z")))
+    asked = stored(own.groupBy("z").agg(F.count("*").alias("r_n")).select(F.monotonically_increasing_id().alias("r_id"), "z"))
     parts = {"row": -(-rows.count() // block) or 1, "ask": -(-asked.count() // block) or 1}
 
     def dealt(d: DataFrame, own: str, other: str) -> DataFrame:
@@ -240,19 +248,20 @@ def closest_rows(df: DataFrame, instances: DataFrame, key: str, columns: list[st
                 order = lambda at: at[np.lexsort((ids[at], d[at]))]  # noqa: B023, E731
                 cut = lambda at, m: order(at[d[at] <= np.partition(d[at], m - 1)[m - 1]])[:m] if len(at) > m > 0 else order(at)[:m]  # noqa: B023, E731
                 best = np.unique(np.concatenate([cut(np.arange(len(d)), k), *(cut(at, extra) for at in by_class)]))
-                found.append(pd.DataFrame({"instance_id": i, "r_id": ids[best], "r_label": labels[best], "distance": d[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"instance_id": [], "r_id": [], "r_label": [], "distance": []})
+                found.append(pd.DataFrame({"r_ask": i, "r_id": ids[best], "r_label": labels[best], "distance": d[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"r_ask": [], "r_id": [], "r_label": [], "distance": []})
 
     kind = rows.schema["r_id"].dataType.simpleString()
-    pairs = dealt(asked, "ask", "row").cogroup(dealt(rows, "row", "ask")).applyInPandas(search, f"instance_id {kind}, r_id {kind}, r_label string, distance double")
-    pairs = pairs.select("instance_id", F.col("r_id").alias(key), F.col("r_label").alias(label), "distance")
+    pairs = dealt(asked, "ask", "row").cogroup(dealt(rows, "row", "ask")).applyInPandas(search, f"r_ask long, r_id {kind}, r_label string, distance double")
+    pairs = pairs.select("r_ask", F.col("r_id").alias(key), F.col("r_label").alias(label), "distance")
     order = ("distance", key)
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("instance_id").orderBy(*order))).withColumn("rc", F.row_number().over(Window.partitionBy("instance_id", label).orderBy(*order))).where((F.col("r") <= k) | (F.col("rc") <= extra))
-    share = ranked.where(F.col("r") <= k).groupBy("instance_id", label).agg(F.count("*").alias("n"))
-    every = ranked.select("instance_id", label).distinct().join(share, ["instance_id", label], "left").where(F.coalesce("n", F.lit(0)) < extra).groupBy("instance_id").agg(F.min(label).alias("rare"))
-    joined = ranked.join(every, "instance_id", "left")
+    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("r_ask").orderBy(*order))).withColumn("rc", F.row_number().over(Window.partitionBy("r_ask", label).orderBy(*order))).where((F.col("r") <= k) | (F.col("rc") <= extra))
+    share = ranked.where(F.col("r") <= k).groupBy("r_ask", label).agg(F.count("*").alias("n"))
+    every = ranked.select("r_ask", label).distinct().join(share, ["r_ask", label], "left").where(F.coalesce("n", F.lit(0)) < extra).groupBy("r_ask").agg(F.min(label).alias("rare"))
+    joined = ranked.join(every, "r_ask", "left")
     near = F.col("r") <= F.when(F.col("rare").isNull(), k).otherwise(k - extra)
-    return joined.where(near | ((F.col(label) == F.col("rare")) & (F.col("rc") <= extra))).select("instance_id", key, label, "distance")
+    found = joined.where(near | ((F.col(label) == F.col("rare")) & (F.col("rc") <= extra))).select("r_ask", key, label, "distance")
+    return own.join(asked.withColumnRenamed("r_id", "r_ask"), "z").join(found, "r_ask").select("instance_id", key, label, "distance")
 
 
 def genetic_neighbourhood(instances: DataFrame, predict, key: str, columns: list[str], scales: dict[str, float], population: int = 200, generations: int = 10, eta: float = 2.0, alpha: float = 0.5, seed: int = 1) -> DataFrame:
